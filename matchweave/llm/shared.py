@@ -83,8 +83,10 @@ class _Powers:
 
 
 _POWERS = _Powers()
+#: White space is these six characters and no others.
+SPACE_CODES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SPACE[SPACE_CODES] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
