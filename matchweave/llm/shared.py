@@ -87,8 +87,10 @@ _POWERS = _Powers()
 SPACE_CODES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _SPACE = np.zeros(256, bool)
 _SPACE[SPACE_CODES] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+with np.errstate(over="ignore"):
+    _CODES = mix(np.arange(1, 257, dtype=np.uint64))
+_FOLDED = _CODES.copy()
+_FOLDED[65:91] = _CODES[97:123]  # A-Z as a-z
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +110,8 @@ def word_hashes(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), starts, ends
     up, down = _POWERS.get(len(data) + 1)
     with np.errstate(over="ignore"):
-        codes = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(mix(codes) * up[:-1], out=prefix[1:])
+        np.cumsum((_FOLDED if lower else _CODES)[data] * up[:-1], out=prefix[1:])
         h = (prefix[ends] - prefix[starts]) * down[starts]
         return mix(h + (ends - starts).astype(np.uint64)), starts, ends
 
@@ -135,7 +136,7 @@ def blocks(texts, limit: int = 1 << 20):
 
 def block_words(raws: list[bytes], lower: bool = False):
     """Words of several texts at once: (hashes, starts, ends, bytes, first word of each text and the end)."""
-    data = np.frombuffer(b"\n".join(raws), np.uint8)
+    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     h, starts, ends = word_hashes(data, lower)
     offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
     return h, starts, ends, data, np.searchsorted(starts, offsets)
