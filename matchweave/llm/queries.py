@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import bpe_fst, chat, minhash, packing, quality, substring, token_count, toxicity, url_filter
+from matchweave.llm import bpe_fst, chat, embed_dedup, minhash, packing, quality, substring, token_count, toxicity, url_filter
 from matchweave.llm.shared import Workspace, table
 
 #: Fixed values of the contract: (verdict, host, path prefix).
@@ -26,6 +26,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark, "op3"), threshold=0.98)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op4"), size=35)
 
@@ -79,7 +83,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_line_quality, op4_substring_dedup, op5_minhash_dedup, op6_chat_windows, op7_toxicity, op8_token_counts, op9_bpe_codec, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_line_quality, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_chat_windows, op7_toxicity, op8_token_counts, op9_bpe_codec, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
