@@ -7,7 +7,9 @@ determine the last token of each prefix).  On a byte the machine finds
 the last token of the longer prefix, keeps the tokenisations that a later token
 can still start from, and emits the tokens that all of them share.  A token is
 thus emitted after a bounded lookahead: less than the longest token's bytes.
-States and arcs are made when first needed and kept in a bounded table.
+States and arcs are made when a piece first needs them, one for each piece, so
+that frequent beginnings are found first; when the bounded table is full, or
+behind a piece's new arc, the same step is simulated without keeping states.
 
 **Decoder.**  ``Utf8Stream`` is the incremental UTF-8 machine: token bytes go
 in one token at a time, whole characters come out as soon as they are complete,
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from matchweave.llm.bpe import Remembered, Vocabulary
 from matchweave.llm.shared import no_cycles, utf8
 
-#: Bounds of a worker's tables of arcs, which starts anew when full, and of each of two generations of whole pieces.
-ARCS, PIECES = 150_000, 200_000
+#: Bounds of a worker's tables of arcs, and of each of two generations of whole pieces.
+ARCS, PIECES = 120_000, 350_000
 
 
 class State:
@@ -46,17 +48,11 @@ class State:
 class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.states: dict[tuple[bytes, bytes], State] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        for state in self.states.values():
-            state.arcs.clear()  # states can lead back to each other
         self.start = State(b"", (b"",))
-        self.states = {(b"", b""): self.start}
+        self.states: dict[tuple[bytes, bytes], State] = {(b"", b""): self.start}
         self.arcs = 0
 
-    def _ids(self, last: tuple[bytes, ...], cut: int) -> tuple[int, ...]:
+    def _ids(self, last, cut: int) -> tuple[int, ...]:
         """The ids of the first ``cut`` pending bytes."""
         out = []
         while cut:
@@ -91,13 +87,24 @@ class Transducer:
         state.arcs[byte] = arc = (to, self._ids(last, cut))
         return arc
 
+    def _simulate(self, state: State, rest: bytes) -> tuple[int, ...]:
+        """All ids still to come for the ``rest`` of a piece, without making states."""
+        text, last = state.pending + rest, list(state.last)
+        for end in range(len(last), len(text) + 1):
+            last.append(self.vocabulary.last_token(text, end, last))
+        return self._ids(last, len(text))
+
     def encode(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
-        if self.arcs > ARCS:
-            self._reset()
-        state, out = self.start, []
-        for byte in piece:
-            arc = state.arcs.get(byte) or self._arc(state, byte)
+        """The ids of one piece.  It may make one arc, while the table has room; behind that the piece is simulated."""
+        state, out, grows = self.start, [], self.arcs < ARCS
+        for at, byte in enumerate(piece):
+            arc = state.arcs.get(byte)
+            if arc is None:
+                if not grows:
+                    out += self._simulate(state, piece[at:])
+                    return out
+                grows = False
+                arc = self._arc(state, byte)
             state, ids = arc
             if ids:
                 out += ids
@@ -155,19 +162,20 @@ class Utf8Stream:
 
 
 class Codec(Remembered):
-    """piece -> (its number of ids, the ids as text, what they decode to); each is made by the transducer and the decoder."""
+    """piece -> (the ids as text, what they decode to); each is made by the transducer and the decoder."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__(PIECES)
         self.transducer = Transducer(vocabulary)
         self.tokens = {i: t for t, i in vocabulary.ids.items()}
+        self.digits = {i: b"%d" % i for i in self.tokens}
         self.pieces = regex.compile(pattern).findall
 
-    def make(self, piece: str) -> tuple[int, bytes, bytes]:
+    def make(self, piece: str) -> tuple[bytes, bytes]:
         ids = self.transducer.encode(utf8(piece))
         stream = Utf8Stream()
-        text = "".join([stream.feed(self.tokens[i]) for i in ids]) + stream.close()
-        return len(ids), ",".join(map(str, ids)).encode(), utf8(text)
+        text = stream.feed(b"".join([self.tokens[i] for i in ids])) + stream.close()
+        return b",".join([self.digits[i] for i in ids]), utf8(text)
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in self.transducer.encode(utf8(p))]
@@ -200,9 +208,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
             rows = []
             for x in batch.column(1).to_pylist():
                 made = list(map(get, coder.pieces(x or "")))
-                ids = b",".join([m[1] for m in made])
-                decoded = b"".join([m[2] for m in made])
-                rows.append((sum([m[0] for m in made]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                ids = b",".join([m[0] for m in made])
+                decoded = b"".join([m[1] for m in made])
+                rows.append((ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 if with_ids:
                     rows[-1] += ([int(i) for i in ids.split(b",")] if ids else [], decoded.decode("utf-8"))
             n, a, b, *more = zip(*rows, strict=True) if rows else ((), (), ()) + ((), ()) * with_ids
