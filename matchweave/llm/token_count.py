@@ -26,7 +26,7 @@ from matchweave.llm.bpe import Remembered, Vocabulary
 from matchweave.llm.shared import no_cycles, utf8
 
 #: Bound of each of the two generations of pieces that a worker remembers.
-PIECES = 400_000
+PIECES = 700_000
 
 
 class PrefixCounts(Remembered):
@@ -105,7 +105,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n_bytes, n_tokens, fit = [], [], []
             for x in texts:
-                each = list(map(get, pieces(x)))
+                parts = pieces(x)
+                each = list(map(get, parts))
                 n = sum(each)
                 n_bytes.append(len(utf8(x)))
                 n_tokens.append(n)
@@ -113,8 +114,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
                     fit.append(n_bytes[-1])
                 else:
                     whole = int(np.searchsorted(np.fromiter(accumulate(each), np.int64, len(each)), limit, "right"))
-                    parts = pieces(x)
-                    before = sum(len(utf8(p)) for p in parts[:whole])
+                    before = len(utf8("".join(parts[:whole])))
                     rest = longest_fit(parts[whole], limit - sum(each[:whole]), counts, lambda p: [p])
                     fit.append(before + rest)
             n_tokens = pa.array(n_tokens, pa.int64())
