@@ -134,6 +134,20 @@ def blocks(texts, limit: int = 1 << 20):
         yield first, held
 
 
+def text_groups(texts: list, limit: int = 1 << 19):
+    """Consecutive texts of about ``limit`` characters together; null counts as empty."""
+    group, size = [], 0
+    for x in texts:
+        x = x or ""
+        if group and size + len(x) > limit:
+            yield group
+            group, size = [], 0
+        group.append(x)
+        size += len(x)
+    if group:
+        yield group
+
+
 def block_words(raws: list[bytes], lower: bool = False):
     """Words of several texts at once: (hashes, starts, ends, bytes, first word of each text and the end)."""
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)

@@ -10,7 +10,7 @@ As averaging is linear, a trained model folds into one number per bucket: the
 difference of the two classes' logits.  Scoring a text is the mean of these numbers
 over its n-grams, a few vector operations for many texts at once.
 
-Labels are learned from at most ``per_class`` labelled rows of each class, a documented bound: those
+Labels are learned from at most ``positive`` and ``negative`` labelled rows of the two classes, a documented bound: those
 with the smallest hash of their id.  Null and empty texts have no n-grams and get the score of the bias
 alone.  Conflicting labels of one id count as the larger; null labels are not used.
 """
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.shared import SPACE_CODES
+from matchweave.llm.shared import SPACE_CODES, text_groups
 
-#: n-gram lengths, log2 of the buckets, embedding size, and the gain of the average (it keeps gradients of long texts from vanishing).
-LENGTHS, BITS, DIM, GAIN = (3, 4, 5), 17, 8, 20.0
+#: n-gram lengths, log2 of the buckets, embedding size, the gain of the average (it keeps gradients of long texts from vanishing),
+#: and n-grams of weight 0 that every text has besides its own (they keep a few words from deciding).
+LENGTHS, BITS, DIM, GAIN, PRIOR = (3, 4, 5), 17, 8, 20.0, 400
 
 
 def ngram_buckets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -49,27 +50,13 @@ def ngram_buckets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def mean_weights(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The mean of the weights of each text's n-grams; 0 without n-grams."""
+    """The mean of the weights of each text's n-grams and PRIOR zeros."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for bucket, starts in ngram_buckets(texts):
         sums = np.concatenate(([0.0], np.cumsum(weights[bucket], dtype=np.float64)))
         total += sums[starts[1:]] - sums[starts[:-1]]
         count += np.diff(starts)
-    return total / np.maximum(count, 1)
-
-
-def text_groups(texts: list, limit: int = 1 << 19):
-    """Consecutive texts of about ``limit`` characters together; null counts as empty."""
-    group, size = [], 0
-    for x in texts:
-        x = x or ""
-        if group and size + len(x) > limit:
-            yield group
-            group, size = [], 0
-        group.append(x)
-        size += len(x)
-    if group:
-        yield group
+    return total / (count + PRIOR)
 
 
 class Model:
@@ -83,35 +70,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((np.concatenate(parts) if parts else np.zeros(0)) + self.bias, -60, 60)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.3, seed: int = 7) -> Model:
-    """Embeddings and softmax trained together by Adagrad on sparse averages: rows of (distinct buckets, their counts)."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, steps: int = 400, batch: int = 128, rate: float = 0.3, start: float = 2.0, seed: int = 7) -> Model:
+    """Embeddings and softmax trained together by Adagrad on sparse averages: rows of (distinct buckets, their counts).  There are ``steps`` steps at least.  The bias starts at ``start`` times the log shares of the classes."""
     random = np.random.default_rng(seed)
     embedding = random.uniform(-1, 1, (1 << BITS, DIM)) / DIM
-    out, bias = random.uniform(-1, 1, (DIM, 2)) / DIM, np.zeros(2)
+    out, bias = random.uniform(-1, 1, (DIM, 2)) / DIM, np.log(np.maximum(np.bincount(labels, minlength=2), 1) / len(labels)) * start
     seen_e, seen_o, seen_b = np.full(1 << BITS, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
-    share = np.bincount(labels, minlength=2) / max(1, len(labels))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(1, len(rows))))):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
             index = np.concatenate([rows[i][0] for i in part])
             sizes = np.array([len(rows[i][0]) for i in part])
-            value = np.concatenate([GAIN * rows[i][1] / max(1, rows[i][1].sum()) for i in part])
+            value = np.concatenate([GAIN * rows[i][1] / (rows[i][1].sum() + PRIOR) for i in part])
             text = np.repeat(np.arange(len(part)), sizes)
             average = np.stack([np.bincount(text, value * embedding[index, d], minlength=len(part)) for d in range(DIM)], 1)
             logits = average @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(part)), labels[part]] -= 1
-            p *= (0.5 / np.maximum(share, 1e-9))[labels[part]][:, None] / len(part)  # both classes weigh the same
+            p /= len(part)
             back = p @ out.T
             used, where = np.unique(index, return_inverse=True)
             gradient = np.stack([np.bincount(where, value * back[text, d], minlength=len(used)) for d in range(DIM)], 1)
             seen_e[used] += (gradient**2).mean(1)
             embedding[used] -= rate * gradient / np.sqrt(seen_e[used])[:, None]
-            for value_, seen, g in ((out, seen_o, average.T @ p), (bias, seen_b, p.sum(0))):
+            for value_, seen, g, step in ((out, seen_o, average.T @ p, 0.3), (bias, seen_b, p.sum(0), 1.0)):
                 seen += g**2
-                value_ -= 0.3 * rate * g / np.sqrt(seen)
+                value_ -= step * rate * g / np.sqrt(seen)
     return Model((GAIN * (embedding @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -130,8 +116,8 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], names=["id", "buckets", "counts", "label"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """A model from the labelled documents that are not held out, at most ``per_class`` of each class.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = 1000, negative: int = 3000, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """A model from the labelled documents that are not held out, at most ``positive`` of class 1 and ``negative`` of class 0.
 
     The rows are chosen on ids alone; executors turn the chosen texts into counts of buckets (at most
     2**BITS numbers a text, however long it is), and only these reach the driver.
@@ -139,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64(F.lit("train"), F.col(doc_id)), F.col(doc_id)]
     # both limits are the documented bound, so the chosen ids can be broadcast
-    chosen = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(known.filter("label = 0").orderBy(*order).limit(per_class))
+    chosen = known.filter("label = 1").orderBy(*order).limit(positive).unionByName(known.filter("label = 0").orderBy(*order).limit(negative))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(doc_id, "id")), "id")
     rows = rows.mapInArrow(_features, f"id {kind}, buckets array<int>, counts array<int>, label int").toArrow()
@@ -148,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     if len(np.unique(target)) < 2:  # nothing to tell apart: the share of class 1, for every text
         p = (target.sum() + 0.5) / (len(target) + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
-    part = [(b.values.to_numpy(), c.values.to_numpy().astype(np.float64)) for b, c in zip(rows.column("buckets"), rows.column("counts"), strict=True)]
+    part = [(b.values.to_numpy(), c.values.to_numpy().astype(np.float32)) for b, c in zip(rows.column("buckets"), rows.column("counts"), strict=True)]
     return fit(part, target)
 
 
