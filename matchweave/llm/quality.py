@@ -75,12 +75,12 @@ def line_passes(line: Column, symbols: float = 0.1, shouting: float = 0.34, scra
     return ~(boilerplate | navigation | odd_marks | scraps)
 
 
-def judge(docs: DataFrame, most_lost: float = 0.5, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, most_lost: float = 0.5, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_lines_failed.
 
     ``kept`` is false if the base check fails or if the failed lines hold more than
     ``most_lost`` of the characters of all lines with a word.  ``with_text`` adds ``clean_text``: the
-    lines that pass (and those without a word) in order; null for a null text.
+    lines that pass (and those without a word) in order; null for a null text.  ``keep`` names columns to hand on.
     """
     source = F.col(text)
     counted = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
@@ -94,8 +94,8 @@ def judge(docs: DataFrame, most_lost: float = 0.5, doc_id: str = "doc_id", text:
     if with_text:
         kept_line = lambda x: (F.length(F.btrim(x, F.lit(SPACES))) == 0) | line_passes(x)
         columns.append(F.array_join(F.filter(F.split(source, "\n", -1), kept_line), "\n").alias("clean_text"))
-    found = docs.select(*columns)
+    found = docs.select(*columns, *keep)
     failed = (F.col("w.n_words") < 10) | (100 * F.col("w.n_repeat_words") > 20 * F.col("w.n_words"))
     enough = F.col("l.chars") - F.col("l.good_chars") <= most_lost * F.col("l.chars")
-    out = found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "l.n_lines", "l.n_lines_failed", *["clean_text"] * with_text)
+    out = found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "l.n_lines", "l.n_lines_failed", *["clean_text"] * with_text, *keep)
     return out.withColumnRenamed("doc_id", doc_id)

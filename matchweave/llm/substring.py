@@ -40,7 +40,7 @@ from matchweave.llm.shared import Workspace, block_words, blocks, mix, pair
 LEAST_BUCKETS, BYTES_PER_BUCKET = 256, 64 << 20
 
 # Rows between the levels.  kind 0: a document; 1: a block's hashes of one bucket; 2: a block's documents.
-ROWS = "kind int, block long, bucket int, data binary, {id}, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, text string, bits1 binary, bits2 binary"
+ROWS = "kind int, block long, bucket int, data binary, {id}, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, text string, bits1 binary, extra string"
 
 
 # ---------------------------------------------------------------- windows
@@ -189,7 +189,7 @@ def _hash_rows(block: Block, number: int, width: int) -> list[tuple]:
 
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
-    kinds = [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("id", id_type), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("bits1", pa.binary()), ("bits2", pa.binary())]
+    kinds = [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("id", id_type), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("bits1", pa.binary()), ("extra", pa.string())]
     return pa.schema(kinds)
 
 
@@ -221,20 +221,20 @@ def _anchors(size: int, buckets: int):
     return run
 
 
-def _extend(size: int, buckets: int, id_type: pa.DataType):
+def _extend(size: int, buckets: int, id_type: pa.DataType, with_text: bool):
     """Level 2: texts without a repeated anchor are done; the others' anchors are extended."""
     schema = _schema(id_type)
 
     def run(batches):
         for count, batch in enumerate(batches):
-            ids, k1, k2, texts, bits = (batch.column(i).to_pylist() for i in range(5))
+            ids, k1, k2, texts, bits, extra = (batch.column(i).to_pylist() for i in range(6))
             rows, block = [], Block(buckets)
             with np.errstate(over="ignore"):
                 for first, raws in blocks(texts):
                     for i, raw in enumerate(raws, first):
                         if bits[i] is None:
                             kept = raw.split()
-                            rows.append((0, None, None, None, ids[i], k1[i], k2[i], len(kept), 0, hashlib.sha256(b" ".join(kept)).hexdigest(), None, None, None))
+                            rows.append((0, None, None, None, ids[i], k1[i], k2[i], len(kept), 0, hashlib.sha256(b" ".join(kept)).hexdigest(), texts[i] if with_text else None, None, extra[i]))
                     open_ = [i for i in range(first, first + len(raws)) if bits[i] is not None]
                     if not open_:
                         continue
@@ -246,7 +246,7 @@ def _extend(size: int, buckets: int, id_type: pa.DataType):
                         starts = w.extensions(mine[_bits(bits[i], len(mine))])
                         hashes = wide[starts]
                         block.add((k1[i], k2[i]), hashes, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
-                        rows.append((0, None, None, None, ids[i], k1[i], k2[i], int(w.first[j + 1] - w.first[j]), None, None, texts[i], bits[i], None))
+                        rows.append((0, None, None, None, ids[i], k1[i], k2[i], int(w.first[j + 1] - w.first[j]), None, None, texts[i], bits[i], extra[i]))
             yield _batch(rows, _hash_rows(block, _number(count), len(schema)), schema)
 
     return run
@@ -261,12 +261,12 @@ def _alive(w: Windows, j: int, parts: np.ndarray, bits1, bits2) -> tuple[np.ndar
 
 
 def _full_windows(size: int, buckets: int, id_type: pa.DataType):
-    """Level 3: the full windows that are still candidates; bits2 (level 2's answer) is handed on."""
+    """Level 3: the full windows that are still candidates; their places go where level 1's bits were."""
     schema = _schema(id_type)
 
     def run(batches):
         for count, batch in enumerate(batches):
-            ids, k1, k2, words, texts, bits1, bits2 = (batch.column(i).to_pylist() for i in range(7))
+            ids, k1, k2, words, texts, bits1, bits2, extra = (batch.column(i).to_pylist() for i in range(8))
             rows, block = [], Block(buckets)
             with np.errstate(over="ignore"):
                 for first, raws in blocks(texts):
@@ -280,7 +280,7 @@ def _full_windows(size: int, buckets: int, id_type: pa.DataType):
                         i, mine = first + j, found[cuts[j] : cuts[j + 1]]
                         block.add((k1[i], k2[i]), full[mine], second[mine])
                         runs = (mine - w.first[j]).astype(np.int32)
-                        rows.append((0, None, None, None, ids[i], k1[i], k2[i], words[i], None, None, texts[i], _runs(runs).tobytes(), None))
+                        rows.append((0, None, None, None, ids[i], k1[i], k2[i], words[i], None, None, texts[i], _runs(runs).tobytes(), extra[i]))
             yield _batch(rows, _hash_rows(block, _number(count), len(schema)), schema)
 
     return run
@@ -305,7 +305,7 @@ def _cut(size: int, with_text: bool):
 
     def run(batches):
         for batch in batches:
-            ids, words, texts, runs, bits = (batch.column(i).to_pylist() for i in range(5))
+            ids, words, texts, runs, bits = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4))
             removed, digests, kept_texts = [], [], []
             for text, r, b in zip(texts, runs, bits, strict=True):
                 split = text.encode("utf-8", "surrogatepass").split()
@@ -320,10 +320,10 @@ def _cut(size: int, with_text: bool):
                 joined = b" ".join(split)
                 removed.append(len(split))
                 digests.append(hashlib.sha256(joined).hexdigest())
-                kept_texts.append(joined.decode("utf-8", "surrogatepass") if with_text and b is not None else None)
+                kept_texts.append((joined.decode("utf-8", "surrogatepass") if b is not None else text) if with_text else None)
             n_removed = [n - k for n, k in zip(words, removed, strict=True)]
-            arrays = [batch.column(0), pa.array(words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            names = ["id", "n_words", "n_removed", "kept_sha256"]
+            arrays = [batch.column(0), batch.column(5), pa.array(words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            names = ["id", "extra", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(kept_texts, pa.string()))
                 names.append("kept_text")
@@ -332,36 +332,41 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, space: Workspace, size: int = 35, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, space: Workspace, size: int = 35, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     A word is removed if a window of ``size`` words that covers it has the same words as a window
-    that starts anywhere else.  ``with_text`` adds ``kept_text``: the kept words of a document
-    that lost some, null for one that lost none.
+    that starts anywhere else.  ``with_text`` adds ``kept_text``: the kept words joined by one space, or the
+    text as it was (empty for null) if all are kept.  ``keep`` names columns to hand on.
     """
     if size < 4:
         raise ValueError("size must be 4 or more")
     id_type = to_arrow_type(docs.schema[doc_id].dataType)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows_schema = ROWS.format(id=f"id {kind}")
-    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = source.select("id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "text")
+    extra = F.to_json(F.struct(*keep)) if keep else F.lit(None).cast("string")
+    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), extra.alias("extra"))
+    source = source.select("id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "text", "extra")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = LEAST_BUCKETS + int(total // BYTES_PER_BUCKET)
 
     first = space.table(source.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), "kind int, block long, bucket int, data binary"), "anchors")
     alive = _compare(space, first, "anchors-alive")
     space.drop("anchors")
-    joined = source.join(alive, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "bits")
-    second = space.table(joined.mapInArrow(_extend(size, buckets, id_type), rows_schema), "extended")
+    joined = source.join(alive, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "bits", "extra")
+    second = space.table(joined.mapInArrow(_extend(size, buckets, id_type, with_text), rows_schema), "extended")
     wider = _compare(space, second, "extended-alive")
     space.drop("anchors-alive")
-    open_ = second.filter("kind = 0 AND text IS NOT NULL").select("id", "k1", "k2", "n_words", "text", "bits1").join(wider, ["k1", "k2"], "left")
-    third = space.table(open_.select("id", "k1", "k2", "n_words", "text", "bits1", F.col("bits").alias("bits2")).mapInArrow(_full_windows(size, buckets, id_type), rows_schema), "full")
+    open_ = second.filter("kind = 0 AND bits1 IS NOT NULL").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(wider, ["k1", "k2"], "left")
+    third = space.table(open_.select("id", "k1", "k2", "n_words", "text", "bits1", F.col("bits").alias("bits2"), "extra").mapInArrow(_full_windows(size, buckets, id_type), rows_schema), "full")
     repeated = _compare(space, third, "full-alive")
     space.drop("extended-alive")
-    last = third.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1").join(repeated, ["k1", "k2"], "left").select("id", "n_words", "text", "bits1", "bits")
-    columns = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    done = second.filter("kind = 0 AND text IS NULL").select("id", "n_words", "n_removed", "kept_sha256", *[F.lit(None).cast("string").alias("kept_text")] * with_text)
-    return done.unionByName(last.mapInArrow(_cut(size, with_text), columns)).withColumnRenamed("id", doc_id)
-
+    last = third.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(repeated, ["k1", "k2"], "left").select("id", "n_words", "text", "bits1", "bits", "extra")
+    columns = ["id", "extra", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    cut = last.mapInArrow(_cut(size, with_text), f"id {kind}, extra string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    done = second.filter("kind = 0 AND bits1 IS NULL").withColumn("kept_text", F.col("text")).select(*columns)
+    out = done.unionByName(cut)
+    if keep:
+        handed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        out = out.select(*columns, F.from_json("extra", handed).alias("handed")).select(*columns, *(F.col(f"handed.`{c}`") for c in keep))
+    return out.drop("extra").withColumnRenamed("id", doc_id)
