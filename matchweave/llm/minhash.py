@@ -8,14 +8,17 @@ candidate pair is estimated from equal bit groups of the packed signatures,
 corrected for chance collisions, and only pairs more than five standard
 deviations below the threshold are dropped by it.  The rest are confirmed on full sets.
 
-Not all pairs of a bucket are written out.  First every member is compared with
-the bucket's smallest one, and the confirmed links give components; then, in buckets whose
-members lie in several components, all pairs between different components are compared.
-Pairs inside a component cannot change it, so no link is lost, and a bucket of
-thousands of near copies costs as many pairs as it has members.
+Not all pairs of a bucket are written out.  Every member is compared with the
+bucket's smallest one; confirmed links give components, and the pairs that the estimate
+let pass give wider groups.  Then pairs between different groups of a bucket are
+compared one by one (they are few), and in groups with several components all pairs
+between these are compared in blocks: a task holds the sets of two blocks of bounded
+size, counts all intersections by matrix products, and returns one link for
+two components at most.  Pairs inside a component cannot change it, so no link is
+lost, and thousands of near copies cost as many rows as there are copies.
 
 Null and empty texts have an empty set and link with nothing; so do null ids, whose
-component is null and which are kept.  Rows with equal ids are one node.
+component is null and which are kept.  Rows with equal ids are one node.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from matchweave.llm.shared import Workspace, block_words, blocks, mix, pair
 
 #: Bands and minima of a band (a pair of similarity 0.8 shares none with a probability of 3e-6), bits kept of each minimum.
 BANDS, ROWS, BITS = 32, 5, 2
-#: Ids that may be broadcast to fetch their texts.
-BROADCAST_IDS = 200_000
+#: Ids that may be broadcast to fetch their texts; documents of a block; shingles that a matrix product takes at once.
+BROADCAST_IDS, BLOCK, COLUMNS = 200_000, 192, 8192
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +147,96 @@ def _compare(percent: int):
     return run
 
 
-def _confirm(space: Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int, kind: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of one list with all of another."""
+    whole = [np.concatenate(x) for x in (a, b)]
+    both = np.intersect1d(*whole)
+    out = np.zeros((len(a), len(b)), np.float64)
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    at = [np.searchsorted(both, x) for x in whole]
+    here = [np.append(both, np.uint64(0))[p] == x if len(both) else np.zeros(len(x), bool) for p, x in zip(at, whole, strict=True)]
+    row, at = [r[h] for r, h in zip(row, here, strict=True)], [p[h] for p, h in zip(at, here, strict=True)]
+    order = [np.argsort(p, kind="stable") for p in at]
+    row, at = [r[o] for r, o in zip(row, order, strict=True)], [p[o] for p, o in zip(at, order, strict=True)]
+    for low in range(0, len(both), COLUMNS):
+        sides = []
+        for r, p, n in zip(row, at, out.shape, strict=True):
+            x, y = np.searchsorted(p, [low, low + COLUMNS])
+            side = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            side[r[x:y], p[x:y] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _pack(group: pa.Table) -> pa.Table:
+    whole = {c: [group.column(c).to_pylist()] for c in ("id", "c", "shingles")}
+    first = {c: group.column(c).take([0]) for c in ("g", "block")}
+    return pa.table({**first, "ids": pa.array(whole["id"], pa.list_(group.schema.field("id").type)), "cs": pa.array(whole["c"], pa.list_(group.schema.field("c").type)), "sets": pa.array(whole["shingles"], pa.list_(pa.binary()))})
+
+
+def _bridges(percent: int, kind: pa.DataType):
+    """Two blocks (or one with itself): for components that a link joins, one link that does."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = []
+        for i in range(len(group)):
+            sides.append((group.column("ids")[i].as_py(), group.column("cs")[i].as_py(), [np.frombuffer(x, np.uint64) for x in group.column("sets")[i].as_py()]))
+        (ids_a, c_a, a), (ids_b, c_b, b) = sides[0], sides[-1]
+        shared = _shared_counts(a, b)
+        total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
+        i, j = np.nonzero((100 * shared >= percent * total) & (np.array(c_a)[:, None] != np.array(c_b)[None, :]))
+        up: dict = {}
+
+        def top(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        out = [], []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = top(c_a[x]), top(c_b[y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out[0].append(ids_a[x])
+                out[1].append(ids_b[y])
+        return pa.table({"a": pa.array(out[0], kind), "b": pa.array(out[1], kind)})
+
+    return run
+
+
+def _sets_of(space: Workspace, docs: DataFrame, pairs: DataFrame, n: int, kind: str, name: str) -> DataFrame:
+    """(id, shingles) of all ends of the pairs, as a table."""
     ids = space.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = space.table(docs.join(some, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), f"id {kind}, shingles binary"), f"{name}-sets")
+    return space.table(docs.join(some, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), f"id {kind}, shingles binary"), f"{name}-sets")
+
+
+def _confirm(space: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, kind: str, name: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = space.table(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), f"a {kind}, b {kind}"), f"{name}-links")
-    space.drop(f"{name}-sets", f"{name}-ids")
-    return links
+    return space.table(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), f"a {kind}, b {kind}"), f"{name}-links")
+
+
+def _inside(space: Workspace, groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links between different components (``found``) of one group (``groups``), as a table; enough of them to join what any link joins."""
+    members = space.table(groups.withColumnRenamed("component", "g").join(found, "id", "left").select("id", "g", F.coalesce("component", "id").alias("c")), "members")
+    mixed = space.table(members.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g"), "mixed")
+    sized = space.table(members.join(mixed, "g").groupBy("g", "c").agg(F.count("*").alias("n")), "sized")
+    # a large component has blocks of its own, so that they need not be compared with each other; small ones share blocks
+    rest = space.table(sized.groupBy("g").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))).alias("rest")), "rest")
+    large = F.col("n") > BLOCK
+    own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    small = F.xxhash64("g", F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / BLOCK)), F.lit("small"))
+    placed = members.join(sized, ["g", "c"]).join(rest, "g").select("id", "g", "c", F.when(large, own).otherwise(small).alias("block"), F.when(large, F.col("c")).alias("only"))
+    placed = space.table(placed, "placed")
+    packed = space.table(placed.join(sets, "id").groupBy("g", "block").applyInArrow(_pack, f"g {kind}, block long, ids array<{kind}>, cs array<{kind}>, sets array<binary>"), "packed")
+    labels = placed.groupBy("g", "block").agg(F.first("only").alias("only"))
+    every = space.table(labels.groupBy("g").agg(F.collect_list(F.struct("block", "only")).alias("blocks")), "labels")
+    partners = labels.join(every, "g").select("g", "block", F.explode(F.filter("blocks", lambda o: ~F.coalesce(o["only"] == F.col("only"), F.lit(False)))).alias("o"))
+    pairs = packed.join(partners.select("g", "block", F.least("block", "o.block").alias("low"), F.greatest("block", "o.block").alias("high")), ["g", "block"])
+    arrow = pa.int64() if kind == "bigint" else pa.int32()
+    return space.table(pairs.select("g", "low", "high", "block", "ids", "cs", "sets").groupBy("g", "low", "high").applyInArrow(_bridges(percent, arrow), f"a {kind}, b {kind}"), "inside-links")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,21 +259,24 @@ def near_duplicates(docs: DataFrame, space: Workspace, n: int = 5, percent: int
     stars = space.table(keyed.join(shared, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "stars")
     alike = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     alike = space.table(alike.filter(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b"), "alike")
-    links = _confirm(space, source, alike, n, percent, kind, "first")
+    sets = _sets_of(space, source, alike, n, kind, "first")
+    links = _confirm(space, alike, sets, percent, kind, "first")
     found = space.table(connected(space, links, "first-components"), "first-found")
-
-    # all pairs between different components of a bucket
-    members = space.table(keyed.join(shared.select("key"), "key").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
-    mixed = space.table(members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key"), "mixed")
-    across = space.table(members.join(mixed, "key").join(sig, "id"), "across")
-    left, right = (across.select("key", *(F.col(c).alias(f"{c}{side}") for c in ("id", "c", "sig"))) for side in "ab")
-    apart = left.join(right, "key").filter((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & (estimate(F.col("siga"), F.col("sigb")) >= floor))
-    pairs = apart.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct().join(alike, ["a", "b"], "left_anti")
-    pairs = space.table(pairs, "pairs")
+    groups = space.table(connected(space, alike, "groups"), "groups-found")
+
+    # pairs between different groups of a bucket
+    grouped = keyed.join(shared.select("key"), "key").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    grouped = space.table(grouped, "grouped")
+    split = space.table(grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key"), "split")
+    across = space.table(grouped.join(split, "key").join(sig, "id"), "across")
+    left, right = (across.select("key", *(F.col(c).alias(f"{c}{side}") for c in ("id", "g", "sig"))) for side in "ab")
+    apart = left.join(right, "key").filter((F.col("ida") < F.col("idb")) & (F.col("ga") != F.col("gb")) & (estimate(F.col("siga"), F.col("sigb")) >= floor))
+    pairs = space.table(apart.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
+    more = _inside(space, groups, found, sets, percent, kind)
     if not pairs.isEmpty():
-        more = _confirm(space, source, pairs, n, percent, kind, "second")
-        if not more.isEmpty():
-            found = space.table(connected(space, found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "second-components"), "second-found")
+        more = more.unionByName(_confirm(space, pairs, _sets_of(space, source, pairs, n, kind, "second"), percent, kind, "second"))
+    if not more.isEmpty():
+        found = space.table(connected(space, found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "second-components"), "second-found")
 
     whole = signed.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
