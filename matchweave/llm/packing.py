@@ -12,50 +12,43 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.shared import no_cycles
-from matchweave.llm.token_count import splitter
+from matchweave.llm.pretokens import PieceTable
+from matchweave.llm.shared import no_cycles, text_groups
 
-#: Bound of each of the two generations of pieces that a worker remembers (and a batch's new ones).
-PIECES = 250_000
+class DocumentIds:
+    """Ids of whole texts by the tokenizers library.  Texts are split into the pattern's pieces by vector operations;
+    pieces that a table of a fixed size does not hold are encoded by the library, and so are whole texts with an added token's string."""
 
-
-class PieceIds:
-    """piece -> its ids as little-endian unsigned 32-bit bytes, by the tokenizers library; misses are encoded together."""
-
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = splitter(pattern, {t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(x) for x in texts]
-        if len(self.known) > PIECES:
-            self.old, self.known = self.known, {}
-        unknown = {p for s in split for p in s if p not in self.known}
-        self.known |= {p: self.old[p] for p in unknown if p in self.old}
-        new = [p for p in unknown if p not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = PieceTable(self._make)
+
+    def _make(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        ids, at, _, _ = self.table.lookup(texts)
+        out = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i, x in enumerate(texts):
+            if any(s in x for s in self.specials):
+                out[i] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
-def _ids(path: str, pattern: str) -> PieceIds:
-    return PieceIds(path, pattern)
+def _ids(path: str) -> DocumentIds:
+    return DocumentIds(path)
 
 
 def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -69,29 +62,29 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return pieces
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0), bucket (= length); ``with_ids`` adds the ids.
 
-    ``longest`` is a power of two.  A null or empty text is one piece of the end id alone.
+    ``vocabulary`` is a tokenizers .json with the byte-level pattern; ``longest`` is a power of two.  A null or empty text is one piece of the end id alone.
     ``sequence_id`` is unique over all rows, repeated or null ids included: it numbers
     the rows of each input split, so it is the same when a lost task runs again.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    tail = array("I", [end_id]).tobytes()
+    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         with no_cycles():
             yield from packed(batches)
 
     def packed(batches):
-        coder = _ids(vocabulary, pattern)
+        coder = _ids(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first in range(0, len(texts), 256):
+            first = 0
+            for group in text_groups(batch.column(1).to_pylist()):
                 ids, rows, blobs = [], [], []
-                for i, raw in enumerate(coder.batch([x or "" for x in texts[first : first + 256]]), first):
-                    raw += tail
+                for i, own in enumerate(coder.of(group), first):
+                    raw = own.astype("<u4").tobytes() + tail
                     n = len(raw) // 4
                     for start, length in binary_pieces(n, longest):
                         blob = raw[4 * start : 4 * (start + length)]
@@ -109,6 +102,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, longest: int = 2048, en
                         ends.append(ends[-1] + x)
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                     names.append("ids")
+                first += len(group)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()

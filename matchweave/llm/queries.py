@@ -45,7 +45,7 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), per_class=1000))
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), positive=1000, negative=3000))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, longest=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
 
 
 URL_SQL = r"""
