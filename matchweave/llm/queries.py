@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from matchweave.llm import bpe_fst, chat, embed_dedup, minhash, packing, quality, substring, token_count, toxicity, url_filter
+from matchweave.llm.oracles import oracle_sql
 from matchweave.llm.shared import Workspace, table
 
+__all__ = ["oracle_sql", "queries"]
+
 #: Fixed values of the contract: (verdict, host, path prefix).
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Fixed values of the contract: the extra conversation.
@@ -60,31 +63,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
 
 
-URL_SQL = r"""
-WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url FROM pages
-), parsed AS (
-  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM (SELECT page_id, url, coalesce(rest, '') AS rest FROM cut)
-), tracking AS (SELECT DISTINCT host FROM parsed WHERE contains(url, 'utm_source=') AND host <> ''),
-ruled AS (
-  SELECT page_id, host, path, host IN (SELECT host FROM tracking) AS listed_host,
-    CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-         WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM parsed
-)
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed_host THEN 'block' ELSE 'allow' END AS verdict, listed_host
-FROM ruled
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filter, op2_line_quality, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_chat_windows, op7_toxicity, op8_token_counts, op9_bpe_codec, op10_packing)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL}
