@@ -60,7 +60,7 @@ def max_matching(edges: DataFrame, group: list[str], left: str = "left_idx", rig
 
     def run(table: pa.Table) -> pa.Table:
         found = sorted(matching(zip(table.column(left).to_pylist(), table.column(right).to_pylist(), strict=True)).items())
-        head = {g: table.column(g).take([0] * len(found)) for g in group}
+        head = {g: table.column(g).take(pa.array([0] * len(found), pa.int64())) for g in group}
         kinds = table.schema.field(left).type, table.schema.field(right).type
         return pa.table(head | {left: pa.array([a for a, _ in found], kinds[0]), right: pa.array([b for _, b in found], kinds[1])})
 

@@ -42,8 +42,10 @@ def _ranks(a: np.ndarray, b: np.ndarray, k: int):
 
 def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     idx = table.column("idx").to_numpy()
+    if not len(idx):
+        return idx, np.zeros((0, 1))
     order = np.argsort(idx, kind="stable")
-    flat = table.column("v").combine_chunks().flatten().to_numpy() if len(idx) else np.zeros(0)
+    flat = table.column("v").combine_chunks().flatten().to_numpy()
     return idx[order], flat.reshape(len(idx), -1)[order]
 
 
@@ -62,7 +64,7 @@ def ranked_candidates(left: DataFrame, right: DataFrame, k: int, pair: str = "pa
             for j, i, s, n in zip(*(x.tolist() for x in _ranks(b, a, k)), strict=True):
                 found.setdefault((i, j), [s, None, None])[2] = n
         keys, values = list(found), list(found.values())
-        name = (l if len(l) else r).column(pair).take([0] * len(keys))
+        name = (l if len(l) else r).column(pair).take(pa.array([0] * len(keys), pa.int64()))
         return pa.table({pair: name, "left_idx": pa.array([int(li[i]) for i, _ in keys], pa.int64()), "right_idx": pa.array([int(ri[j]) for _, j in keys], pa.int64()), "similarity": pa.array([x[0] for x in values], pa.float64()), "rank_lr": pa.array([x[1] for x in values], pa.int32()), "rank_rl": pa.array([x[2] for x in values], pa.int32())})
 
     kind = left.schema[pair].dataType.simpleString()

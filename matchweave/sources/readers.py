@@ -25,7 +25,7 @@ def pair_list(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
 
 def associations(spark: SparkSession, path: str) -> DataFrame:
     """Association files with a header (``..._<pair number>.csv``): pair_idx, line, the columns of ASSOCIATION, and ``bad``, why a row is not valid."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.csv$", 1).cast("long").alias("pair_idx"), F.split(F.trim("value"), "\r?\n").alias("lines"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.csv$", 1).cast("long").alias("pair_idx"), F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n").alias("lines"))
     lines = lines.select("pair_idx", F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda x: F.trim(x)).alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("line", "text"))
     fields = F.split("text", ",", -1)
 
