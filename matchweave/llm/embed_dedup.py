@@ -116,8 +116,13 @@ def _best(rows: DataFrame, threshold: float) -> DataFrame:
 def _exact(threshold: float):
     def run(batches):
         for batch in batches:
-            a, b = _matrix(batch.column(2), np.float64), _matrix(batch.column(3), np.float64)
-            kept = batch.filter(pa.array(np.einsum("ij,ij->i", a, b) >= threshold) if len(batch) else pa.array([], pa.bool_()))
+            keep = np.zeros(len(batch), bool)
+            sizes = np.array([len(x.as_buffer()) for x in batch.column(2)], np.int64)
+            for size in np.unique(sizes):
+                here = np.flatnonzero(sizes == size)
+                a, b = (_matrix(batch.column(c).take(pa.array(here)), np.float64) for c in (2, 3))
+                keep[here] = np.einsum("ij,ij->i", a, b) >= threshold
+            kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return run
@@ -210,7 +215,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
         lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.first("close").alias("close"), F.min("s").alias("least"))
         full = F.col("held") >= F.greatest(F.lit(LIST), F.least(F.lit(LONGEST), 2 * F.col("close")))
         floor = F.when(full, F.col("least")).when(F.col("close") >= LIST, threshold - SLACK).otherwise(-2.0).cast("float")
-        state = space.table(points.select(F.col("id").alias("x"), "narrow").join(lists.select(F.col("u").alias("x"), floor.alias("floor")), "x"), f"state-{number}")
+        state = space.table(points.select(F.col("id").alias("x"), "dim", "narrow").join(lists.select(F.col("u").alias("x"), floor.alias("floor")), "x"), f"state-{number}")
         sides = graph.select(F.col("u").alias("w"), F.col("v").alias("x"), "fresh").unionByName(graph.select(F.col("v").alias("w"), F.col("u").alias("x"), "fresh"))
         around = sides.groupBy("w", "x").agg(F.max("fresh").alias("fresh"))
         # neighbourhoods of hubs are taken in parts, each time in another order
@@ -218,7 +223,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
         parts = space.table(around.withColumn("part", F.floor((place - 1) / (2 * LONGEST)).cast("long")), f"around-{number}")
         work = max(WORK, n // 500)
         near = parts.join(state, "x").withColumn("cell", F.pmod(F.xxhash64("w", "part"), F.lit(work)))
-        better = near.select("cell", "w", "part", "x", "floor", "fresh", "narrow").groupBy("cell").applyInArrow(_descend(kind), edge)
+        better = near.select("cell", "dim", "w", "part", "x", "floor", "fresh", "narrow").groupBy("cell", "dim").applyInArrow(_descend(kind), edge)
         merged = graph.select("u", "v", "s", F.lit(False).alias("fresh")).unionByName(better.withColumn("fresh", F.lit(True)))
         graph = space.table(_best(merged, threshold), f"graph-{number}")
         space.drop(f"state-{number}", f"around-{number}", f"graph-{number - 1}")
