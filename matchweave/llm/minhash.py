@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import connected
-from matchweave.llm.shared import Workspace, block_words, blocks, mix, pair
+from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, pair
 
 #: Bands and minima of a band (a pair of similarity 0.8 shares none with a probability of 3e-6), bits kept of each minimum.
 BANDS, ROWS, BITS = 32, 5, 2
-#: Ids that may be broadcast to fetch their texts; documents of a block; shingles that a matrix product takes at once.
-BROADCAST_IDS, BLOCK, COLUMNS = 200_000, 192, 8192
+#: Documents of a block; shingles that a matrix product takes at once.
+BLOCK, COLUMNS = 192, 8192
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +208,7 @@ def _bridges(percent: int, kind: pa.DataType):
 def _sets_of(space: Workspace, docs: DataFrame, pairs: DataFrame, n: int, kind: str, name: str) -> DataFrame:
     """(id, shingles) of all ends of the pairs, as a table."""
     ids = space.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return space.table(docs.join(some, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), f"id {kind}, shingles binary"), f"{name}-sets")
+    return space.table(docs.join(broadcast_if_small(ids), "id", "left_semi").select("id", "text").mapInArrow(_sets(n), f"id {kind}, shingles binary"), f"{name}-sets")
 
 
 def _confirm(space: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, kind: str, name: str) -> DataFrame:
@@ -280,4 +279,7 @@ def near_duplicates(docs: DataFrame, space: Workspace, n: int = 5, percent: int
 
     whole = signed.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return whole.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    answer = whole.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    answer = space.table(answer, "answer")
+    space.clear("answer")
+    return answer

@@ -89,7 +89,7 @@ class Hashes:
         base = 0xC2B2AE3D27D4EB4F
         with np.errstate(over="ignore"):
             if len(self.powers[0]) < len(codes):
-                steps = [np.full(max(len(codes), 1 << 20), b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+                steps = [np.full(max(len(codes), 1 << 18), b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
                 for x in steps:
                     x[0] = 1
                 self.powers = tuple(np.multiply.accumulate(x) for x in steps)
@@ -106,7 +106,7 @@ class PieceTable:
     A piece with more than ``WIDTH`` ids is made anew each time; a place that another piece needs is overwritten.
     """
 
-    BITS, WIDTH = 21, 6
+    BITS, WIDTH = 20, 6
 
     def __init__(self, make):
         self.make = make  # list of pieces -> list of arrays of ids

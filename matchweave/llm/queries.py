@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchweave.llm import bpe_fst, chat, embed_dedup, minhash, packing, quality, substring, token_count, toxicity, url_filter
 from matchweave.llm.oracles import oracle_sql
-from matchweave.llm.shared import Workspace, table
+from matchweave.llm.shared import Workspace, bounded_batches
+from matchweave.llm.shared import table as stored
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -19,6 +20,10 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 EXTRA_TURNS = "SELECT -1L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stored(bounded_batches(spark), sf_dir, name)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block list of hosts: those with at least one url that carries a tracking mark, wherever no rule fits."""
     pages = table(spark, sf_dir, "pages")

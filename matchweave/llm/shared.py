@@ -30,21 +30,41 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/matchweave-checkpoints"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.written: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read back with its own schema."""
         path = f"{self.root}/{name}"
+        self.written.append(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self, *keep: str) -> None:
+        """Deletes all tables written so far but those named."""
+        self.drop(*(n for n in self.written if n not in keep))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.written = [n for n in self.written if n != name]
         jvm.System.gc()  # lets Spark's cleaner remove the shuffle files that nothing refers to any more
 
 
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> SparkSession:
+    """Bounds the bytes of a batch that goes to Python in this session, so that a worker's memory depends neither on how many
+    rows fit a batch nor on how long their texts are (a single longer text is a batch by itself)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 32 << 20, each: int = 64, binary: str | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows, at ``each`` bytes and those of the column ``binary``, are within the limit; else as it is, for a shuffled join.  Counts it: give it a table."""
+    size = F.count("*") * each + (F.coalesce(F.sum(F.octet_length(binary)), F.lit(0)) if binary else F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,7 +140,7 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def blocks(texts, limit: int = 1 << 20):
+def blocks(texts, limit: int = 1 << 18):
     """(first row, list of UTF-8 texts) of consecutive rows, about ``limit`` bytes together, so that vector work stays small."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -134,7 +154,7 @@ def blocks(texts, limit: int = 1 << 20):
         yield first, held
 
 
-def text_groups(texts: list, limit: int = 1 << 19):
+def text_groups(texts: list, limit: int = 1 << 17):
     """Consecutive texts of about ``limit`` characters together; null counts as empty."""
     group, size = [], 0
     for x in texts:

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchweave.llm.shared import Workspace, block_words, blocks, mix, pair
+from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, pair
 
-#: Buckets at least; bytes of text for each further one (a bucket then holds at most about 8 million hashes).
-LEAST_BUCKETS, BYTES_PER_BUCKET = 256, 64 << 20
+#: Buckets at least; bytes of text for each further one (a bucket then holds at most about 8 million hashes); hashes of a block.
+LEAST_BUCKETS, BYTES_PER_BUCKET, BLOCK = 256, 64 << 20, 300_000
 
 # Rows between the levels.  kind 0: a document; 1: a block's hashes of one bucket; 2: a block's documents.
 ROWS = "kind int, block long, bucket int, data binary, {id}, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, text string, bits1 binary, extra string"
@@ -100,10 +100,11 @@ class Block:
     """The hashes of some documents, in order, with the bucket of each."""
 
     def __init__(self, n_buckets: int):
-        self.n_buckets, self.keys, self.counts, self.hashes, self.second = n_buckets, [], [], [], []
+        self.n_buckets, self.size, self.keys, self.counts, self.hashes, self.second = n_buckets, 0, [], [], [], []
 
     def add(self, key: tuple[int, int], hashes: np.ndarray, second: np.ndarray) -> None:
         if len(hashes):
+            self.size += len(hashes)
             self.keys.append(key)
             self.counts.append(len(hashes))
             self.hashes.append(hashes)
@@ -200,10 +201,15 @@ def _number(count: int) -> int:
 def _anchors(size: int, buckets: int):
     """Level 1: the anchors of all texts (k1, k2, text)."""
 
+    def send(block: Block, number: int) -> pa.RecordBatch:
+        made = list(block.rows(number))
+        kind, bucket, data = zip(*made, strict=True) if made else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number] * len(made), pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "bucket", "data"])
+
     def run(batches):
-        for count, batch in enumerate(batches):
+        block, count = Block(buckets), 0
+        for batch in batches:
             k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
-            block = Block(buckets)
             with np.errstate(over="ignore"):
                 for first, raws in blocks(batch.column(2).to_pylist()):
                     w = Windows(raws, size)
@@ -213,41 +219,39 @@ def _anchors(size: int, buckets: int):
                         for i in range(len(raws)):
                             a, b = parts[i], parts[i + 1]
                             block.add((k1[first + i], k2[first + i]), w.quarter[a:b], second[a:b])
-            number = _number(count)
-            made = list(block.rows(number))
-            kind, bucket, data = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number] * len(made), pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "bucket", "data"])
+            if block.size >= BLOCK:
+                yield send(block, _number(count))
+                block, count = Block(buckets), count + 1
+        yield send(block, _number(count))
 
     return run
 
 
-def _extend(size: int, buckets: int, id_type: pa.DataType, with_text: bool):
-    """Level 2: texts without a repeated anchor are done; the others' anchors are extended."""
+def _extend(size: int, buckets: int, id_type: pa.DataType):
+    """Level 2: the repeated anchors of each text that has one are extended."""
     schema = _schema(id_type)
 
     def run(batches):
-        for count, batch in enumerate(batches):
+        block, count = Block(buckets), 0
+        for batch in batches:
             ids, k1, k2, texts, bits, extra = (batch.column(i).to_pylist() for i in range(6))
-            rows, block = [], Block(buckets)
+            rows = []
             with np.errstate(over="ignore"):
                 for first, raws in blocks(texts):
-                    for i, raw in enumerate(raws, first):
-                        if bits[i] is None:
-                            kept = raw.split()
-                            rows.append((0, None, None, None, ids[i], k1[i], k2[i], len(kept), 0, hashlib.sha256(b" ".join(kept)).hexdigest(), texts[i] if with_text else None, None, extra[i]))
-                    open_ = [i for i in range(first, first + len(raws)) if bits[i] is not None]
-                    if not open_:
-                        continue
-                    w = Windows([raws[i - first] for i in open_], size)
+                    w = Windows(raws, size)
                     wide = window_hash(w.h, 2 * w.short)
                     parts = np.searchsorted(w.anchors, w.first)
-                    for j, i in enumerate(open_):
+                    for j, i in enumerate(range(first, first + len(raws))):
                         mine = w.anchors[parts[j] : parts[j + 1]]
                         starts = w.extensions(mine[_bits(bits[i], len(mine))])
                         hashes = wide[starts]
                         block.add((k1[i], k2[i]), hashes, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
                         rows.append((0, None, None, None, ids[i], k1[i], k2[i], int(w.first[j + 1] - w.first[j]), None, None, texts[i], bits[i], extra[i]))
-            yield _batch(rows, _hash_rows(block, _number(count), len(schema)), schema)
+            yield _batch(rows, [], schema)
+            if block.size >= BLOCK:
+                yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
+                block, count = Block(buckets), count + 1
+        yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
 
     return run
 
@@ -265,9 +269,10 @@ def _full_windows(size: int, buckets: int, id_type: pa.DataType):
     schema = _schema(id_type)
 
     def run(batches):
-        for count, batch in enumerate(batches):
+        block, count = Block(buckets), 0
+        for batch in batches:
             ids, k1, k2, words, texts, bits1, bits2, extra = (batch.column(i).to_pylist() for i in range(8))
-            rows, block = [], Block(buckets)
+            rows = []
             with np.errstate(over="ignore"):
                 for first, raws in blocks(texts):
                     w = Windows(raws, size)
@@ -281,7 +286,11 @@ def _full_windows(size: int, buckets: int, id_type: pa.DataType):
                         block.add((k1[i], k2[i]), full[mine], second[mine])
                         runs = (mine - w.first[j]).astype(np.int32)
                         rows.append((0, None, None, None, ids[i], k1[i], k2[i], words[i], None, None, texts[i], _runs(runs).tobytes(), extra[i]))
-            yield _batch(rows, _hash_rows(block, _number(count), len(schema)), schema)
+            yield _batch(rows, [], schema)
+            if block.size >= BLOCK:
+                yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
+                block, count = Block(buckets), count + 1
+        yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
 
     return run
 
@@ -332,6 +341,20 @@ def _cut(size: int, with_text: bool):
     return run
 
 
+def _whole(with_text: bool):
+    """Texts without a repeated anchor keep all their words."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+            n = pa.array([len(x) for x in split], pa.int64())
+            arrays = [batch.column(0), batch.column(1), n, pa.array([0] * len(split), pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in split], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(2)] * with_text, names=["id", "extra", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, space: Workspace, size: int = 35, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
@@ -353,19 +376,19 @@ def remove_repeats(docs: DataFrame, space: Workspace, size: int = 35, doc_id: st
     first = space.table(source.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), "kind int, block long, bucket int, data binary"), "anchors")
     alive = _compare(space, first, "anchors-alive")
     space.drop("anchors")
-    joined = source.join(alive, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "bits", "extra")
-    second = space.table(joined.mapInArrow(_extend(size, buckets, id_type, with_text), rows_schema), "extended")
+    some = broadcast_if_small(alive, binary="bits")
+    opened = source.join(some, ["k1", "k2"]).select("id", "k1", "k2", "text", "bits", "extra")
+    second = space.table(opened.mapInArrow(_extend(size, buckets, id_type), rows_schema), "extended")
     wider = _compare(space, second, "extended-alive")
-    space.drop("anchors-alive")
-    open_ = second.filter("kind = 0 AND bits1 IS NOT NULL").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(wider, ["k1", "k2"], "left")
+    open_ = second.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(broadcast_if_small(wider, binary="bits"), ["k1", "k2"], "left")
     third = space.table(open_.select("id", "k1", "k2", "n_words", "text", "bits1", F.col("bits").alias("bits2"), "extra").mapInArrow(_full_windows(size, buckets, id_type), rows_schema), "full")
     repeated = _compare(space, third, "full-alive")
-    space.drop("extended-alive")
-    last = third.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(repeated, ["k1", "k2"], "left").select("id", "n_words", "text", "bits1", "bits", "extra")
+    space.drop("extended", "extended-alive")
+    last = third.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(broadcast_if_small(repeated, binary="bits"), ["k1", "k2"], "left").select("id", "n_words", "text", "bits1", "bits", "extra")
     columns = ["id", "extra", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
-    cut = last.mapInArrow(_cut(size, with_text), f"id {kind}, extra string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    done = second.filter("kind = 0 AND bits1 IS NULL").withColumn("kept_text", F.col("text")).select(*columns)
-    out = done.unionByName(cut)
+    made = f"id {kind}, extra string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    whole = source.join(some, ["k1", "k2"], "left_anti").select("id", "extra", "text").mapInArrow(_whole(with_text), made)
+    out = whole.unionByName(last.mapInArrow(_cut(size, with_text), made))
     if keep:
         handed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
         out = out.select(*columns, F.from_json("extra", handed).alias("handed")).select(*columns, *(F.col(f"handed.`{c}`") for c in keep))
