@@ -37,7 +37,7 @@ cover AS (SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM (SELECT doc_id, l
 lines AS (SELECT doc_id, line, {_TRIM} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 marked AS (SELECT doc_id, line, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(t, '[|»›·•]| > ')) AS cells, len(regexp_extract_all(t, '[#*$%&|<>{{}}\\^~=]')) AS marks, len(regexp_extract_all(t, '[!?]{{2,}}')) AS cries FROM lines),
 judged AS (SELECT doc_id, line, length(line) AS chars, NOT (regexp_matches(lower(t), '{"|".join(BOILERPLATE)}') OR (cells >= 2 AND n <= 5 * (cells + 1)) OR marks > 0.1 * length(t) OR cries > greatest(1, 0.34 * n)
-  OR (n < 4 AND NOT regexp_matches(t, '[.!?…。！？।؟:;]["''”’»)\]]*$'))) AS good FROM marked),
+  OR (n < 4 AND NOT regexp_matches(t, '[.!?…。！？।؟:;]["''”“’‘»«)\]]*$'))) AS good FROM marked),
 per AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (NOT good) AS n_lines_failed, sum(chars) AS chars, coalesce(sum(chars) FILTER (good), 0) AS good_chars FROM judged GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_lines_failed, 0)::INT AS n_lines_failed, coalesce(chars, 0) AS chars, coalesce(good_chars, 0) AS good_chars
@@ -82,5 +82,25 @@ SELECT d.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.id = comp
 """
 
 
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')) + 4 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+  8 + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + 1 + length({_ESCAPED.format("text")}) + 8 AS size FROM t),
+s AS (SELECT *, place = 1 AND role = 'system' AS sys FROM c),
+p AS (SELECT *, coalesce(sum(CASE WHEN NOT sys THEN n END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  first_value(CASE WHEN sys THEN n END) OVER (PARTITION BY conv_id ORDER BY place) AS sys_n, first_value(CASE WHEN sys THEN size END) OVER (PARTITION BY conv_id ORDER BY place) AS sys_size FROM s),
+b AS (SELECT *, greatest(1, floor((512 - 96 - coalesce(sys_n, 0)) / 2)) AS span FROM p),
+w AS (SELECT *, CASE WHEN NOT sys THEN 2 * floor(start / span) + (n > span)::INT END AS body FROM b),
+x AS (SELECT *, coalesce(body, lead(body) OVER (PARTITION BY conv_id ORDER BY place), 0) AS win FROM w),
+l AS (SELECT *, lead(win, 1) OVER o AS w1, lead(win, 2) OVER o AS w2, lead(start, 1) OVER o AS s1, lead(start, 2) OVER o AS s2, coalesce(lag(win) OVER o <> win, false) AS begins FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+k AS (SELECT *, 1 + coalesce(NOT sys AND w1 <> win AND s1 - start <= 96, false)::INT + coalesce(NOT sys AND w2 <> w1 AND s2 - start <= 96, false)::INT AS copies, begins AND sys_n IS NOT NULL AS again FROM l)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(copies * size + CASE WHEN again THEN sys_size ELSE 0 END)::BIGINT AS formatted_chars,
+  count(DISTINCT win) AS n_windows, sum(copies * n + CASE WHEN again THEN sys_n ELSE 0 END)::BIGINT AS n_tokens FROM k GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL}
+    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL, "op6_chat_windows": CHAT_SQL}

@@ -36,10 +36,6 @@ def words(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.split(inner, r"[ \t\n\x0B\f\r]+", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-
-
 def repeated_words(tokens: Column, n: int = 5) -> Column:
     """Words inside n-word windows that the document holds twice or more, the first included; linear unless there is such a window, then one sort."""
 
@@ -71,7 +67,7 @@ def line_passes(line: Column, symbols: float = 0.1, shouting: float = 0.34, scra
     boilerplate = F.lower(text).rlike("|".join(BOILERPLATE))
     navigation = (cells >= 2) & (n_words <= 5 * (cells + 1))
     odd_marks = (marks > symbols * F.length(text)) | (cries > F.greatest(F.lit(1), shouting * n_words))
-    scraps = (n_words < scrap) & ~text.rlike(r"[.!?…。！？।؟:;][\"'”’»)\]]*$")
+    scraps = (n_words < scrap) & ~text.rlike(r"[.!?…。！？।؟:;][\"'”“’‘»«)\]]*$")
     return ~(boilerplate | navigation | odd_marks | scraps)
 
 
@@ -85,17 +81,26 @@ def judge(docs: DataFrame, most_lost: float = 0.5, doc_id: str = "doc_id", text:
     source = F.col(text)
     counted = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
 
-    def by_line(lines: Column) -> Column:
-        chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, line: a + F.length(line))
-        sums = lambda good: F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.size(lines).alias("n_lines"), (F.size(lines) - F.size(good)).alias("n_lines_failed"), chars(lines).alias("chars"), chars(good).alias("good_chars"))
-        return let(F.filter(lines, lambda x: line_passes(x)), sums)
-
-    columns = [F.col(doc_id).alias("doc_id"), let(words(source), counted).alias("w"), let(lines_with_words(source), by_line).alias("l"), F.coalesce(F.length(F.regexp_replace(source, r"[^#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols")]
+    def by_line(flagged: Column) -> Column:
+        pick = lambda test: F.transform(F.filter(flagged, test), lambda x: x["line"])
+        chars = lambda test: F.aggregate(flagged, F.lit(0).cast("long"), lambda a, x: a + F.when(test(x), F.length(x["line"])).otherwise(0))
+        count = lambda test: F.size(F.filter(flagged, test))
+        word, good, bad = (lambda x: x["word"]), (lambda x: x["word"] & x["good"]), (lambda x: x["word"] & ~x["good"])
+        fields = [(count(word) - F.size(F.array_distinct(pick(word)))).cast("long").alias("n_dup_lines"), count(word).alias("n_lines"), count(bad).alias("n_lines_failed"), chars(word).alias("chars"), chars(good).alias("good_chars")]
+        if with_text:
+            fields.append(F.array_join(pick(lambda x: ~x["word"] | x["good"]), "\n").alias("clean_text"))
+        return F.struct(*fields)
+
+    def flags(line: Column) -> Column:
+        word = F.length(F.btrim(line, F.lit(SPACES))) > 0
+        return F.struct(line.alias("line"), word.alias("word"), F.when(word, line_passes(line)).otherwise(False).alias("good"))
+
+    lines = F.transform(F.split(F.coalesce(source, F.lit("")), "\n", -1), flags)
+    columns = [F.col(doc_id).alias("doc_id"), let(words(source), counted).alias("w"), let(lines, by_line).alias("l"), F.coalesce(F.length(F.regexp_replace(source, r"[^#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols")]
     if with_text:
-        kept_line = lambda x: (F.length(F.btrim(x, F.lit(SPACES))) == 0) | line_passes(x)
-        columns.append(F.array_join(F.filter(F.split(source, "\n", -1), kept_line), "\n").alias("clean_text"))
+        columns.append(source.isNull().alias("no_text"))
     found = docs.select(*columns, *keep)
     failed = (F.col("w.n_words") < 10) | (100 * F.col("w.n_repeat_words") > 20 * F.col("w.n_words"))
     enough = F.col("l.chars") - F.col("l.good_chars") <= most_lost * F.col("l.chars")
-    out = found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "l.n_lines", "l.n_lines_failed", *["clean_text"] * with_text, *keep)
+    out = found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "l.n_lines", "l.n_lines_failed", *[F.when(~F.col("no_text"), F.col("l.clean_text")).alias("clean_text")] * with_text, *keep)
     return out.withColumnRenamed("doc_id", doc_id)
