@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.llm import minhash, packing, quality, substring, toxicity
-from matchweave.llm.shared import Workspace, table
+from matchweave.llm.shared import Workspace, bounded_batches, broadcast_if_small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the labels are learned on the documents of this stage."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), positive=1000, negative=3000)
+    model = toxicity.learn(docs, table(bounded_batches(spark), sf_dir, "labels"), positive=1000, negative=3000)
     return toxicity.score(docs, model, keep=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
 
@@ -38,21 +38,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows with one id the smallest stays; rows with a null id link with nothing and stay.
     """
-    found = minhash.near_duplicates(docs, Workspace(spark, "pipeline-minhash"), n=5, percent=80)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = named.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
-    return named.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    space = Workspace(bounded_batches(spark), "pipeline-minhash")
+    # the ids that go are few beside the texts: while they are small they are sent to these, which then need no shuffle
+    gone = space.table(minhash.near_duplicates(docs, space, n=5, percent=80).filter("NOT kept").select("doc_id").distinct(), "gone")
+    named = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return named
+    once = named.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return once.unionByName(named.filter("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the words of passages that occur elsewhere too; a document that has none is unchanged."""
-    return _documents(substring.remove_repeats(docs, Workspace(spark, "pipeline-substring"), size=35, with_text=True, keep=("lang", "source")), "kept_text")
+    return _documents(substring.remove_repeats(docs, Workspace(bounded_batches(spark), "pipeline-substring"), size=35, with_text=True, keep=("lang", "source")), "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each a sequence of a power of two of tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
 
 
