@@ -8,9 +8,13 @@ enlarged when saturated.  Rounds end when few lists change and an audit against
 a bounded sample of queries, finds enough of the links.
 
 The edges at or above the threshold are confirmed in double precision and give
-components.  Where a vector has more links than a plain list holds, links are
-counted for its whole component in blocks: tasks compare two blocks of bounded size and send
-counts, not pairs, so no cap loses a link and none of the group's pairs is written out.
+components.  Where a vector has more links than a plain list holds, its whole component
+is dense and its links are counted in blocks: tasks compare two blocks of bounded size and send
+counts, not pairs, so no cap loses a link and none of the group's pairs is written out.  Blocks of
+other dense components of the label are compared too, unless their centres are further apart than
+their radii and the threshold's angle together, so no link can lie between them; components that
+turn out to be linked become one.  A last audit, which takes dense queries too, fails the run
+if counts are short.
 
 Equal vectors of a label are one point with a weight.  Vectors with a null label, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing, as do null ids; of different vectors with one id, the
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from matchweave.llm.components import connected
 from matchweave.llm.shared import Workspace
 
-#: Random hyperplane trees, points in a cell, plain list length, longest list, rows of a counting block, cells of work at least.
-TREES, CELL, LIST, LONGEST, BLOCK, WORK = 4, 96, 10, 40, 160, 256
+#: Random hyperplane trees, points in a cell, plain list length, longest list, rows of a counting block, block centres in a tile, cells of work at least.
+TREES, CELL, LIST, LONGEST, BLOCK, TILE, WORK = 4, 96, 10, 40, 160, 1024, 256
 #: Single-precision similarities this far below the threshold still go to the exact check.
 SLACK = 1e-5
 #: Queries of the audit, recall that it asks for, rounds at most.
@@ -128,61 +132,97 @@ def _exact(threshold: float):
     return run
 
 
-def _audit(points: DataFrame, graph: DataFrame, threshold: float) -> float:
-    """The share of the sampled queries' links that the graph holds, by brute force; the sample is AUDIT points, whatever the table's size.
-
-    Queries whose list is full of links are left out: their links are counted exactly later.
-    """
-    sample = points.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(AUDIT).select("id", "label", "dim", "narrow").collect()
+def _truth(points: DataFrame, threshold: float) -> dict:
+    """Links of the sampled queries by brute force, id -> (linked points, their weight with the query's equals left out); the sample is AUDIT points."""
+    sample = points.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(AUDIT).select("id", "label", "dim", "w", "wide").collect()
     queries: dict = {}
     for r in sample:
-        queries.setdefault((r.label, r.dim), []).append((r.id, np.frombuffer(r.narrow, np.float32)))
-    queries = {k: ([i for i, _ in x], np.stack([v for _, v in x])) for k, x in queries.items()}
+        queries.setdefault((r.label, r.dim), []).append((r.id, r.w, np.frombuffer(r.wide, np.float64)))
+    queries = {k: ([i for i, _, _ in x], [w for _, w, _ in x], np.stack([v for _, _, v in x])) for k, x in queries.items()}
 
     def count(batches):
         for batch in batches:
             total: dict = {}
             rows: dict = {}
+            weight = batch.column(2).to_numpy()
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 rows.setdefault(key, []).append(i)
-            for key, (ids, q) in queries.items():
+            for key, (ids, _, q) in queries.items():
                 if key in rows:
-                    near = _matrix(batch.column(2).take(pa.array(rows[key])), np.float32) @ q.T >= threshold
-                    total |= dict(zip(ids, near.sum(0).tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+                    near = _matrix(batch.column(3).take(pa.array(rows[key])), np.float64) @ q.T >= threshold
+                    total |= dict(zip(ids, zip(near.sum(0).tolist(), (weight[rows[key]] @ near).tolist(), strict=True), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([w for _, w in total.values()], pa.int64())], names=["id", "n", "w"])
+
+    own = {i: w for ids, ws, _ in queries.values() for i, w in zip(ids, ws, strict=True)}
+    every = points.select("label", "dim", "w", "wide").mapInArrow(count, "id long, n long, w long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()
+    return {r.id: (r.n - 1, r.w - own[r.id]) for r in every}  # a vector is near itself
+
 
-    every = points.select("label", "dim", "narrow").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    true = {r.id: r.n - 1 for r in every}  # a vector is near itself
-    held = {r.u: r["count"] for r in graph.filter(F.col("u").isin(list(true)) & (F.col("s") >= threshold)).groupBy("u").count().collect()}
-    asked = [i for i in true if held.get(i, 0) < LIST]
-    wanted = sum(true[i] for i in asked)
-    return sum(held.get(i, 0) for i in asked) / wanted if wanted > 0 else 1.0
+def _recall(true: dict, held: dict) -> float:
+    """The share of the true links, id -> number, that is held; a tie at the threshold that rounds the other way counts for no other query."""
+    wanted = sum(true.values())
+    return sum(min(held.get(i, 0), n) for i, n in true.items()) / wanted if wanted > 0 else 1.0
+
+
+def _audit(truth: dict, graph: DataFrame, threshold: float) -> float:
+    """The share of the sampled queries' links that the graph holds.
+
+    Queries whose list is full of links are left out: their links are counted exactly later, and audited then.
+    """
+    held = {r.u: r["count"] for r in graph.filter(F.col("u").isin(list(truth)) & (F.col("s") >= threshold - SLACK)).groupBy("u").count().collect()}
+    return _recall({i: n for i, (n, _) in truth.items() if held.get(i, 0) < LIST}, held)
 
 
 def _pack(kind: pa.DataType):
+    """A block in one row, with its unit centre and its radius, the largest angle between the centre and a member."""
+
     def run(group: pa.Table) -> pa.Table:
-        first = {c: group.column(c).take([0]) for c in ("component", "blocks", "block")}
+        first = {c: group.column(c).take([0]) for c in ("label", "dim", "component", "block")}
         ids, w = group.column("id").to_numpy().astype(np.int64), group.column("w").to_numpy().astype(np.int64)
-        return pa.table({**first, "ids": pa.array([ids.tobytes()], pa.binary()), "ws": pa.array([w.tobytes()], pa.binary()), "vs": pa.array([b"".join(x.as_buffer() for x in group.column("wide"))], pa.binary())})
+        v = _matrix(group.column("wide"), np.float64)
+        centre = v.sum(0)
+        centre = centre / size if (size := np.sqrt(centre @ centre)) > 1e-9 else v[0]
+        radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max())
+        return pa.table({**first, "ids": pa.array([ids.tobytes()], pa.binary()), "ws": pa.array([w.tobytes()], pa.binary()), "vs": pa.array([v.tobytes()], pa.binary()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius], pa.float64())})
+
+    return run
+
+
+def _close(threshold: float):
+    """Two tiles of block centres (or one with itself): the pairs of blocks that a link can lie between, by the triangle inequality of angles."""
+    angle = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(group: pa.Table) -> pa.Table:
+        tile, low = group.column("tile").to_numpy(), group.column("low").to_numpy()[0]
+        key, r, c = group.column("key").to_numpy(), group.column("radius").to_numpy(), _matrix(group.column("centre"), np.float64)
+        x = np.flatnonzero(tile == low)
+        y = x if group.column("high").to_numpy()[0] == low else np.flatnonzero(tile != low)
+        i, j = np.nonzero(np.arccos(np.clip(c[x] @ c[y].T, -1, 1)) <= r[x][:, None] + r[y][None, :] + angle)
+        a, b = key[x[i]], key[y[j]]
+        if y is x:
+            a, b = a[a <= b], b[a <= b]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _count(threshold: float, kind: pa.DataType):
-    """Two blocks (or one with itself): the weight of each vector's links in the other."""
+    """Two blocks (or one with itself): the weight of each vector's links in the other, and both components."""
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("block").to_numpy())
-        read = lambda name, t: [np.frombuffer(group.column(name)[int(i)].as_buffer(), t) for i in order]
-        ids, ws = read("ids", np.int64), read("ws", np.int64)
+        read = lambda name, t: [np.frombuffer(x.as_buffer(), t) for x in group.column(name)]
+        ids, ws, c = read("ids", np.int64), read("ws", np.int64), group.column("component").to_numpy()
         vs = [x.reshape(len(i), -1) for x, i in zip(read("vs", np.float64), ids, strict=True)]
         near = vs[0] @ vs[-1].T >= threshold
         if len(ids) == 1:
             np.fill_diagonal(near, False)
             u, n = ids[0], near @ ws[0]
+            mine = other = np.repeat(c, len(u))
         else:
             u, n = np.concatenate(ids), np.concatenate((near @ ws[1], near.T @ ws[0]))
-        return pa.table({"id": pa.array(u, kind), "n": pa.array(n, pa.int64())})
+            mine, other = np.repeat(c, [len(i) for i in ids]), np.repeat(c[::-1], [len(i) for i in ids])
+        some = n > 0
+        return pa.table({"id": pa.array(u[some], kind), "n": pa.array(n[some], pa.int64()), "a": pa.array(mine[some], kind), "b": pa.array(other[some], kind)})
 
     return run
 
@@ -212,6 +252,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     begun = split.select("cell", "part", "label", "dim", "id", "narrow").groupBy("cell", "part", "label", "dim").applyInArrow(_cell(kind), edge)
     graph = space.table(_best(begun.withColumn("fresh", F.lit(True)), threshold), "graph-0")
 
+    truth = _truth(points, threshold)
     for number in range(1, ROUNDS + 1):
         lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.first("close").alias("close"), F.min("s").alias("least"))
         full = F.col("held") >= F.greatest(F.lit(LIST), F.least(F.lit(LONGEST), 2 * F.col("close")))
@@ -229,7 +270,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
         graph = space.table(_best(merged, threshold), f"graph-{number}")
         space.drop(f"state-{number}", f"around-{number}", f"graph-{number - 1}")
         changed = graph.agg(F.sum(F.col("fresh").cast("int"))).first()[0] or 0
-        if changed <= 0.02 * LIST * n and _audit(points, graph, threshold) >= RECALL:
+        if changed <= 0.02 * LIST * n and _audit(truth, graph, threshold) >= RECALL:
             break
 
     close = graph.filter(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
@@ -238,18 +279,29 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     links = space.table(both.select("a", "b", "x", "y").mapInArrow(_exact(threshold), f"a {id_type}, b {id_type}"), "links")
     found = space.table(connected(space, links), "found")
 
-    # components with a vector that has more links than a plain list holds are counted in blocks
+    # components with a vector that has more links than a plain list holds are counted in blocks, with each other where blocks are close
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = ends.groupBy("a").count().filter(F.col("count") >= LIST).select(F.col("a").alias("id"))
     dense = space.table(found.join(many, "id").select("component").distinct(), "dense")
     size = space.table(found.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "dense-sizes")
-    members = found.join(size, "component").join(points.select("id", "w", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = space.table(members.groupBy("component", "block").applyInArrow(_pack(kind), f"component {id_type}, blocks long, block long, ids binary, ws binary, vs binary"), "packed")
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ids", "ws", "vs")
-    counted = pairs.groupBy("component", "low", "high").applyInArrow(_count(threshold, kind), f"id {id_type}, n long")
+    members = found.join(size, "component").join(points.select("id", "label", "dim", "w", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = members.groupBy("component", "block").applyInArrow(_pack(kind), f"label {label_type}, dim int, component {id_type}, block long, ids binary, ws binary, vs binary, centre binary, radius double")
+    packed = space.table(packed.withColumn("key", F.monotonically_increasing_id()), "packed")
+    tiles = space.table(packed.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "tiles")
+    tiled = packed.select("label", "dim", "key", "centre", "radius").join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiled = tiled.select("label", "dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "centre", "radius")
+    pairs = space.table(tiled.groupBy("label", "dim", "low", "high").applyInArrow(_close(threshold), "a long, b long"), "block-pairs")
+    compared = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).join(packed.select("key", "component", "ids", "ws", "vs"), "key").select("a", "b", "component", "ids", "ws", "vs")
+    counted = compared.groupBy("a", "b").applyInArrow(_count(threshold, kind), f"id {id_type}, n long, a {id_type}, b {id_type}")
+    counted = space.table(counted.groupBy("id", "a", "b").agg(F.sum("n").alias("n")), "counted")
     listed = ends.join(points.select(F.col("id").alias("b"), "w"), "b").select(F.col("a").alias("id"), F.col("w").alias("n")).join(found, "id").join(dense, "component", "left_anti").select("id", "n")
-    total = space.table(counted.unionByName(listed).groupBy("id").agg(F.sum("n").alias("n")), "totals")
+    total = space.table(counted.select("id", "n").unionByName(listed).groupBy("id").agg(F.sum("n").alias("n")), "totals")
+    merged = connected(space, counted.filter("a != b").select("a", "b").distinct(), "merged").select(F.col("id").alias("component"), F.col("component").alias("least"))
+    found = space.table(found.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "found-merged")
+    recall = _recall({i: w for i, (_, w) in truth.items()}, {r.id: r.n for r in total.filter(F.col("id").isin(list(truth))).collect()})
+    if recall < RECALL:
+        raise RuntimeError(f"near_duplicates: the last audit finds {recall:.4f} of the sampled vectors' links, below {RECALL}")
 
     about = reps.select(F.col("id").alias("rep"), "label", "v", "w").join(total.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     about = space.table(about.select("rep", "label", "v", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "about")

@@ -179,3 +179,14 @@ def test_recall_of_the_graph_without_dense_counting(spark, space):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     true = {r[0]: int(n) - 1 for r, n in zip(rows, ((x @ x.T) >= 0.98).sum(1), strict=True)}
     assert sum(true.values()) > 400 and sum(got.values()) >= 0.98 * sum(true.values()) and all(got[i] <= true[i] for i in true)
+
+
+def test_links_between_versions_whose_lists_are_full(spark, space):
+    """Eight tight versions of one vector, each with more copies than the longest list: all pairs link, so there is one component."""
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal(64)
+    versions = [base + 0.05 * rng.standard_normal(64) for _ in range(8)]
+    rows = [(i, (versions[i % 8] + 0.002 * rng.standard_normal(64)).astype(np.float32).tolist(), 0) for i in range(480)]
+    rows += [(1000 + i, (rng.standard_normal(64)).astype(np.float32).tolist(), 0) for i in range(300)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), space).collect()}
+    assert got == {i: (479, 0, i == 0) if i < 480 else (0, i, True) for i, _, _ in rows}
