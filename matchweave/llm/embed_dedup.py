@@ -3,9 +3,10 @@
 A neighbour graph inside each label is refined in rounds: the neighbours of a
 vector, in both directions, are compared with each other where one of them is new,
 and each keeps the best it meets.  The first lists come from small cells of
-random hyperplanes.  A list grows with the links it holds, so that it is
-enlarged when saturated.  Rounds end when few lists change and an audit against brute force, on
-a bounded sample of queries, finds enough of the links.
+random hyperplanes, as many as the label's own size needs and more where a cell is full.  A list grows with
+the links it holds, so that it is enlarged when saturated.  Rounds end when few lists change and an audit against brute force, on
+a bounded sample of queries that grows until it holds enough links, finds enough of them; where it
+does not, cells of other hyperplanes are added each round, and the run fails if that does not help.
 
 The edges at or above the threshold are confirmed in double precision and give
 components.  Where a vector has more links than a plain list holds, its whole component
@@ -23,6 +24,9 @@ smallest (label, vector) is compared and the others link with nothing.  Vectors
 
 from __future__ import annotations
 
+import functools
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +39,10 @@ from matchweave.llm.shared import Workspace
 TREES, CELL, LIST, LONGEST, BLOCK, TILE, WORK = 4, 96, 10, 40, 160, 1024, 256
 #: Single-precision similarities this far below the threshold still go to the exact check.
 SLACK = 1e-5
-#: Queries of the audit, recall that it asks for, rounds at most.
-AUDIT, RECALL, ROUNDS = 256, 0.99, 8
+#: Queries of the audit, how often they become four times as many while they hold fewer links than enough, enough links; recall that it asks for; rounds before cells are added, rounds at most.
+AUDIT, GROWS, ENOUGH, RECALL, ROUNDS, MOST_ROUNDS = 256, 2, 200, 0.99, 8, 24
+#: Bits of a hyperplane code.
+BITS = 24
 
 
 def usable(vector: Column) -> Column:
@@ -50,19 +56,32 @@ def _matrix(column, kind) -> np.ndarray:
 
 
 def _units(batches):
-    """Unit vectors in double and single precision, and a hyperplane code for each tree."""
+    """Unit vectors in double and single precision."""
     for batch in batches:
-        wide, narrow, codes = [], [], []
+        wide, narrow = [], []
         for x in batch.column(3).to_pylist():
             v = np.array(x, np.float64)
             v /= np.abs(v).max()
             v /= np.sqrt(v @ v)
-            planes = np.random.default_rng(len(v)).standard_normal((TREES * 24, len(v)))
-            bits = (planes @ v > 0).reshape(TREES, 24)
             wide.append(v.tobytes())
             narrow.append(v.astype(np.float32).tobytes())
-            codes.append((bits @ (1 << np.arange(23, -1, -1))).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) // 8 for x in wide], pa.int32()), pa.array(wide, pa.binary()), pa.array(narrow, pa.binary()), pa.array(codes, pa.list_(pa.int32()))], names=["id", "label", "w", "dim", "wide", "narrow", "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) // 8 for x in wide], pa.int32()), pa.array(wide, pa.binary()), pa.array(narrow, pa.binary())], names=["id", "label", "w", "dim", "wide", "narrow"])
+
+
+def _codes(number: int):
+    """A hyperplane code for each tree; each ``number`` has its own hyperplanes."""
+
+    def run(batches):
+        for batch in batches:
+            dims, codes = batch.column(2).to_numpy(), np.zeros((len(batch), TREES), np.int32)
+            for dim in np.unique(dims):
+                here = np.flatnonzero(dims == dim)
+                planes = np.random.default_rng([int(dim), number]).standard_normal((TREES * BITS, dim))
+                bits = (_matrix(batch.column(3).take(pa.array(here)), np.float32) @ planes.T > 0).reshape(len(here), TREES, BITS)
+                codes[here] = bits @ (1 << np.arange(BITS - 1, -1, -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(codes), pa.list_(pa.int32()))], names=["id", "label", "dim", "codes"])
+
+    return run
 
 
 def _neighbours(ids: np.ndarray, near: np.ndarray, most: int):
@@ -83,6 +102,25 @@ def _cell(kind: pa.DataType):
     return run
 
 
+def _first(space: Workspace, points: DataFrame, number: int, id_type: str, label_type: str, kind: pa.DataType) -> DataFrame:
+    """Edges of all pairs inside small cells.  The bits of a cell follow the size of its label, and full cells take more; one that all bits leave full is split by chance."""
+    own = points.groupBy("label", "dim").agg(F.ceil(F.log2(F.count("*") / CELL)).alias("depth")).select("label", "dim", F.least(F.greatest("depth", F.lit(0)), F.lit(BITS)).cast("int").alias("depth"))
+    coded = points.select("id", "label", "dim", "narrow").mapInArrow(_codes(number), f"id {id_type}, label {label_type}, dim int, codes array<int>")
+    left = coded.join(own, ["label", "dim"]).select("id", "label", "dim", "depth", F.posexplode("codes").alias("tree", "code"))
+    left, done, step = space.table(left, f"codes-{number}"), [], 0
+    while step == 0 or not left.isEmpty():
+        keyed = left.withColumn("cell", F.xxhash64("label", "dim", "tree", "depth", F.expr(f"shiftright(code, {BITS} - depth)")))
+        sized = space.table(keyed.join(keyed.groupBy("cell").agg(F.count("*").alias("size")), "cell"), f"cells-{number}-{step}")
+        open_ = (F.col("size") > 2 * CELL) & (F.col("depth") < BITS)
+        done.append(sized.filter(~open_).select("id", "tree", "cell", "size"))
+        more = F.greatest(F.lit(2), F.ceil(F.log2(F.col("size") / CELL)))
+        left, step = sized.filter(open_).select("id", "label", "dim", F.least(F.lit(BITS), F.col("depth") + more).cast("int").alias("depth"), "tree", "code"), step + 1
+    cells = functools.reduce(DataFrame.unionByName, done)
+    split = cells.withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") / (2 * CELL)))).join(points.select("id", "label", "dim", "narrow"), "id")
+    edges = split.select("cell", "part", "label", "dim", "id", "narrow").groupBy("cell", "part", "label", "dim").applyInArrow(_cell(kind), f"u {id_type}, v {id_type}, s float")
+    return edges.withColumn("fresh", F.lit(True))
+
+
 def _descend(kind: pa.DataType):
     """One cell of work: for many neighbourhoods, the pairs with a new member that are better than what one of the two has."""
 
@@ -132,9 +170,21 @@ def _exact(threshold: float):
     return run
 
 
-def _truth(points: DataFrame, threshold: float) -> dict:
-    """Links of the sampled queries by brute force, id -> (linked points, their weight with the query's equals left out); the sample is AUDIT points."""
-    sample = points.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(AUDIT).select("id", "label", "dim", "w", "wide").collect()
+def _truth(points: DataFrame, threshold: float, n: int) -> dict:
+    """Links of the sampled queries by brute force, id -> (linked points, their weight with the query's equals left out).
+
+    The sample is AUDIT points, and four times as many, GROWS times at most, while it holds too few links and is not the whole table.
+    """
+    for step in range(GROWS + 1):
+        truth = _asked(points, threshold, AUDIT * 4**step)
+        if sum(x for x, _ in truth.values()) >= ENOUGH or len(truth) >= n:
+            return truth
+    warnings.warn(f"near_duplicates: {len(truth)} of {n} vectors hold {sum(x for x, _ in truth.values())} links, too few for a sure audit", stacklevel=3)
+    return truth
+
+
+def _asked(points: DataFrame, threshold: float, most: int) -> dict:
+    sample = points.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(most).select("id", "label", "dim", "w", "wide").collect()
     queries: dict = {}
     for r in sample:
         queries.setdefault((r.label, r.dim), []).append((r.id, r.w, np.frombuffer(r.wide, np.float64)))
@@ -147,10 +197,12 @@ def _truth(points: DataFrame, threshold: float) -> dict:
             weight = batch.column(2).to_numpy()
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 rows.setdefault(key, []).append(i)
-            for key, (ids, _, q) in queries.items():
-                if key in rows:
-                    near = _matrix(batch.column(3).take(pa.array(rows[key])), np.float64) @ q.T >= threshold
-                    total |= dict(zip(ids, zip(near.sum(0).tolist(), (weight[rows[key]] @ near).tolist(), strict=True), strict=True))
+            for key, here in rows.items():
+                if key in queries:
+                    (ids, _, q), v = queries[key], _matrix(batch.column(3).take(pa.array(here)), np.float64)
+                    for k in range(0, len(ids), AUDIT):  # so that the similarities stay small
+                        near = v @ q[k : k + AUDIT].T >= threshold
+                        total |= dict(zip(ids[k : k + AUDIT], zip(near.sum(0).tolist(), (weight[here] @ near).tolist(), strict=True), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([w for _, w in total.values()], pa.int64())], names=["id", "n", "w"])
 
     own = {i: w for ids, ws, _ in queries.values() for i, w in zip(ids, ws, strict=True)}
@@ -240,20 +292,14 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     distinct = fine.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("w"))
     chosen = distinct.groupBy("id").agg(F.min(F.struct("label", "v", "w")).alias("p")).select("id", "p.label", "p.w", "p.v")
     reps = space.table(chosen, "reps")
-    points = space.table(reps.select("id", "label", "w", "v").mapInArrow(_units, f"id {id_type}, label {label_type}, w long, dim int, wide binary, narrow binary, codes array<int>"), "points")
-
-    # first lists: all pairs inside small cells; a full cell is split by chance
-    n, spaces = points.agg(F.count("*"), F.countDistinct("label", "dim")).first()
-    bits = int(np.clip(np.ceil(np.log2(max(1, n / max(1, spaces) / CELL))), 0, 24))
-    coded = points.select("id", "label", "dim", "narrow", F.posexplode("codes").alias("tree", "code")).withColumn("cell", F.xxhash64("label", "dim", "tree", F.shiftright("code", 24 - bits)))
-    sizes = space.table(coded.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
-    split = coded.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") / (2 * CELL))))
+    points = space.table(reps.select("id", "label", "w", "v").mapInArrow(_units, f"id {id_type}, label {label_type}, w long, dim int, wide binary, narrow binary"), "points")
+
+    n = points.count()
     edge = f"u {id_type}, v {id_type}, s float"
-    begun = split.select("cell", "part", "label", "dim", "id", "narrow").groupBy("cell", "part", "label", "dim").applyInArrow(_cell(kind), edge)
-    graph = space.table(_best(begun.withColumn("fresh", F.lit(True)), threshold), "graph-0")
+    graph = space.table(_best(_first(space, points, 0, id_type, label_type, kind), threshold), "graph-0")
 
-    truth = _truth(points, threshold)
-    for number in range(1, ROUNDS + 1):
+    truth, short = _truth(points, threshold, n), False
+    for number in range(1, MOST_ROUNDS + 1):
         lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.first("close").alias("close"), F.min("s").alias("least"))
         full = F.col("held") >= F.greatest(F.lit(LIST), F.least(F.lit(LONGEST), 2 * F.col("close")))
         floor = F.when(full, F.col("least")).when(F.col("close") >= LIST, threshold - SLACK).otherwise(-2.0).cast("float")
@@ -267,11 +313,18 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
         near = parts.join(state, "x").withColumn("cell", F.pmod(F.xxhash64("w", "part"), F.lit(work)))
         better = near.select("cell", "dim", "w", "part", "x", "floor", "fresh", "narrow").groupBy("cell", "dim").applyInArrow(_descend(kind), edge)
         merged = graph.select("u", "v", "s", F.lit(False).alias("fresh")).unionByName(better.withColumn("fresh", F.lit(True)))
+        if short:
+            merged = merged.unionByName(_first(space, points, number, id_type, label_type, kind))
         graph = space.table(_best(merged, threshold), f"graph-{number}")
         space.drop(f"state-{number}", f"around-{number}", f"graph-{number - 1}")
         changed = graph.agg(F.sum(F.col("fresh").cast("int"))).first()[0] or 0
-        if changed <= 0.02 * LIST * n and _audit(truth, graph, threshold) >= RECALL:
-            break
+        if changed <= 0.02 * LIST * n or number >= ROUNDS:
+            recall = _audit(truth, graph, threshold)
+            if recall >= RECALL:
+                break
+            short = True
+    else:
+        raise RuntimeError(f"near_duplicates: after {MOST_ROUNDS} rounds the audit finds {recall:.4f} of the sampled vectors' links, below {RECALL}")
 
     close = graph.filter(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     wide = points.select("id", "wide")

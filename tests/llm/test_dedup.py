@@ -190,3 +190,17 @@ def test_links_between_versions_whose_lists_are_full(spark, space):
     rows += [(1000 + i, (rng.standard_normal(64)).astype(np.float32).tolist(), 0) for i in range(300)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), space).collect()}
     assert got == {i: (479, 0, i == 0) if i < 480 else (0, i, True) for i, _, _ in rows}
+
+
+def test_recall_in_a_large_label_beside_many_small_ones(spark, space):
+    """Planted pairs in one label; the mean size of a label is small."""
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal((8000, 64))
+    x = np.concatenate((base, base[:2000] + 0.05 * rng.standard_normal((2000, 64)))).astype(np.float32)
+    rows = [(i, v, 0) for i, v in enumerate(x.tolist())] + [(20000 + i, base[i].tolist(), 1 + i) for i in range(300)]
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), space).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.98).sum(1))}
+    found = sum(got[i] for i in true)
+    assert sum(true.values()) >= 4000 and found >= 0.98 * sum(true.values()), (found, sum(true.values()))
+    assert all(got[20000 + i] == 0 for i in range(300))
