@@ -267,7 +267,7 @@ def half_sizes(spark, sf_dir):
 
 def _objects(spark, sf_dir):
     """Edges between suppliers that deliver neighbouring parts of one brand."""
-    l = adapters.table(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 0").select("l_partkey", "l_suppkey").distinct()
+    l = adapters.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     brand = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("object"))
     e = l.join(brand, "l_partkey").select("object", (F.col("l_partkey") % 40).alias("low"), (F.col("l_suppkey") % 40 + 40).alias("high"))
     return e.distinct()
@@ -277,12 +277,12 @@ def _objects(spark, sf_dir):
 def partition_search(spark, sf_dir):
     e = _objects(spark, sf_dir)
     halves = sampling.half_sizes(e.select("object", F.explode(F.array("low", "high")).alias("i")).distinct().groupBy("object").agg(F.count("*").alias("size")))
-    return sampling.partition_score(e, sampling.partition_search(e, halves, trials=16))
+    return sampling.partition_score(e, sampling.partition_search(e, halves, trials=4096))
 
 
 @registered()
 def low_degree_edges(spark, sf_dir):
-    return sampling.low_degree_edges(_objects(spark, sf_dir), quota=12, trials=4)
+    return sampling.low_degree_edges(_objects(spark, sf_dir), quota=12, trials=192)
 
 
 @registered()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchweave.functions import geometry as g
 from matchweave.functions import text, vector
 from matchweave.operators import checks, frontier, graph, gridfilter, knn, metrics, ransac, sampling, scoring
+from matchweave.plans import reports
 
 
 def one(spark, *columns):
@@ -423,3 +424,16 @@ def test_sampling(spark):
     assert s.inside_0 + s.inside_1 + s.cut == 48 and s.common == min(s.inside_0, s.inside_1)
     shuffled = [r.i for r in sampling.ring_shuffle(spark.createDataFrame([(i,) for i in range(20)], "i int"), "s", ["i"]).orderBy("ordinal").collect()]
     assert sorted(shuffled) == list(range(20)) and shuffled != list(range(20))
+
+
+def test_partition_queries_take_every_edge(spark, tmp_path):
+    """Parts of every id enter, and each query runs the reference's number of trials."""
+    rows = [(p, s) for p in range(1, 41) for s in (p, p + 7)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "one") for p in range(1, 41)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(p % 40, s % 40 + 40) for p, s in rows}
+    scored = reports.partition_search(spark, str(tmp_path)).collect()
+    assert [r.inside_0 + r.inside_1 + r.cut for r in scored] == [len(want)]
+    chosen = {(r.low, r.high) for r in reports.low_degree_edges(spark, str(tmp_path)).collect()}
+    edges = spark.createDataFrame([("one", *e) for e in want], "object string, low long, high long")
+    assert chosen == {(r.low, r.high) for r in sampling.low_degree_edges(edges, quota=12, trials=192).collect()} and len(chosen) == 12
