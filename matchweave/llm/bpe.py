@@ -11,13 +11,17 @@ from __future__ import annotations
 import base64
 import json
 
+import ahocorasick
 
 #: No rank; bound of a worker's memory of pairs, which starts anew when full.
 NEVER, PAIRS = 1 << 40, 150_000
 
 
 class Remembered(dict):
-    """What ``make`` gives for a key, remembered in two generations of a bounded size: when the new one is full, the old one goes."""
+    """What ``make`` gives for a key, remembered in two generations of a bounded size: when the new one is full, the old one goes.
+    Keys longer than ``LONGEST`` are made anew each time, so the memory is bounded in bytes too."""
+
+    LONGEST = 64
 
     def __init__(self, size: int):
         super().__init__()
@@ -27,6 +31,8 @@ class Remembered(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -55,6 +61,12 @@ class Vocabulary:
         self.open = {t[:n] for t in ids for n in range(1, len(t))}
         self._edges: dict[bytes, tuple[list, list]] = {}
         self._stable: dict[tuple[bytes, bytes], bool] = {}
+        #: Finds all tokens that end at each byte of a text (in Latin-1), the longest first.
+        self.matches = ahocorasick.Automaton()
+        for token in ids:
+            if token:
+                self.matches.add_word(token.decode("latin-1"), token)
+        self.matches.make_automaton()
 
     @classmethod
     def from_tiktoken(cls, path: str) -> Vocabulary:
@@ -121,6 +133,19 @@ class Vocabulary:
             else:
                 j += 1
 
+    def fill(self, text: bytes, last: list[bytes]) -> None:
+        """Appends to ``last``, which has the last tokens of BPE of the shorter prefixes of ``text``, those of all others."""
+        known, end = self._stable.get, len(last)
+        for at, token in self.matches.iter(text.decode("latin-1")):
+            if at + 1 == end:
+                before = last[end - len(token)]
+                fits = known((before, token)) if before else bool(self.edges(token)[0])
+                if fits or (fits is None and self.stable(before, token)):
+                    last.append(token)
+                    end += 1
+        if end <= len(text):
+            raise ValueError(f"no token of the vocabulary ends {text[:end]!r}")
+
     def last_token(self, text: bytes, end: int, last: list[bytes]) -> bytes:
         """The last token of BPE of ``text[:end]``, given those of all shorter prefixes."""
         ids, known = self.ids, self._stable.get

@@ -9,19 +9,23 @@ can still start from, and emits the tokens that all of them share.  A token is
 thus emitted after a bounded lookahead: less than the longest token's bytes.
 States and arcs are made when a piece first needs them, one for each piece, so
 that frequent beginnings are found first; when the bounded table is full, or
-behind a piece's new arc, the same step is simulated without keeping states.
+behind a piece's new arc, the same step is simulated without keeping states, and
+the ids of whole short pieces are remembered in a bounded memory.
 
 **Decoder.**  ``Utf8Stream`` is the incremental UTF-8 machine: token bytes go
 in one token at a time, whole characters come out as soon as they are complete,
-and malformed bytes become U+FFFD by the maximal-subpart rule.
+and malformed bytes become U+FFFD by the maximal-subpart rule.  Each document's ids are
+decoded as one stream (``Codec.decode``).
 
-A null text counts as empty: no ids, both digests of no bytes.
+A null text counts as empty: no ids, both digests of no bytes.  An empty table gives an empty result; a text or
+a word of any length is taken whole, in memory that grows with it; columns that are not named are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -31,7 +35,7 @@ from matchweave.llm.bpe import Remembered, Vocabulary
 from matchweave.llm.shared import no_cycles, utf8
 
 #: Bounds of a worker's tables of arcs, and of each of two generations of whole pieces.
-ARCS, PIECES = 120_000, 350_000
+ARCS, PIECES = 120_000, 500_000
 
 
 class State:
@@ -90,8 +94,7 @@ class Transducer:
     def _simulate(self, state: State, rest: bytes) -> tuple[int, ...]:
         """All ids still to come for the ``rest`` of a piece, without making states."""
         text, last = state.pending + rest, list(state.last)
-        for end in range(len(last), len(text) + 1):
-            last.append(self.vocabulary.last_token(text, end, last))
+        self.vocabulary.fill(text, last)
         return self._ids(last, len(text))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -161,28 +164,47 @@ class Utf8Stream:
         return out
 
 
+def _whole(token: bytes) -> str | None:
+    """What a token is between characters, if it ends between characters too."""
+    stream = Utf8Stream()
+    text = stream.feed(token)
+    return text if not stream.state else None
+
+
 class Codec(Remembered):
-    """piece -> (the ids as text, what they decode to); each is made by the transducer and the decoder."""
+    """piece -> its ids, by the transducer; ``decode`` takes a stream of ids."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__(PIECES)
         self.transducer = Transducer(vocabulary)
         self.tokens = {i: t for t, i in vocabulary.ids.items()}
         self.digits = {i: b"%d" % i for i in self.tokens}
+        #: The arcs from state 0 back to it for whole tokens; None where a token leaves a character open.
+        self.whole = {i: _whole(t) for i, t in self.tokens.items()}
         self.pieces = regex.compile(pattern).findall
 
-    def make(self, piece: str) -> tuple[bytes, bytes]:
-        ids = self.transducer.encode(utf8(piece))
-        stream = Utf8Stream()
-        text = stream.feed(b"".join([self.tokens[i] for i in ids])) + stream.close()
-        return b",".join([self.digits[i] for i in ids]), utf8(text)
+    def make(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.transducer.encode(utf8(piece)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in self.transducer.encode(utf8(p))]
-
-    def decode(self, ids) -> str:
-        stream = Utf8Stream()
-        return "".join([stream.feed(self.tokens[i]) for i in ids]) + stream.close()
+        return list(chain.from_iterable(map(self.__getitem__, self.pieces(text))))
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of a stream of ids, token by token: by arcs for whole tokens while no character is open, byte by byte from
+        a token that leaves one open until it is closed."""
+        parts = list(map(self.whole.__getitem__, ids))
+        stream, at = Utf8Stream(), -1
+        while True:
+            try:
+                at = parts.index(None, at + 1)
+            except ValueError:
+                break
+            parts[at] = stream.feed(self.tokens[ids[at]])
+            while stream.state and at + 1 < len(parts):
+                at += 1
+                parts[at] = stream.feed(self.tokens[ids[at]])
+        parts.append(stream.close())
+        return "".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -203,16 +225,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
 
     def encoded(batches):
         coder = codec(vocabulary, pattern)
-        get = coder.__getitem__
+        digits = coder.digits.__getitem__
         for batch in batches:
             rows = []
             for x in batch.column(1).to_pylist():
-                made = list(map(get, coder.pieces(x or "")))
-                ids = b",".join([m[0] for m in made])
-                decoded = b"".join([m[1] for m in made])
-                rows.append((ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                ids = coder.encode(x or "")
+                decoded = coder.decode(ids)
+                rows.append((len(ids), hashlib.sha256(b",".join(map(digits, ids))).hexdigest(), hashlib.sha256(utf8(decoded)).hexdigest()))
                 if with_ids:
-                    rows[-1] += ([int(i) for i in ids.split(b",")] if ids else [], decoded.decode("utf-8"))
+                    rows[-1] += (ids, decoded)
             n, a, b, *more = zip(*rows, strict=True) if rows else ((), (), ()) + ((), ()) * with_ids
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]

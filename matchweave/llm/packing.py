@@ -5,7 +5,11 @@ largest length 2**k first, down the binary digits of its token count; what
 exceeds the longest sequence is cut into whole sequences of that length.  Every
 piece is a sequence by itself, in the bucket of its length, so no sequence
 crosses documents and none has padding.  Pieces never move between rows: no
-shuffle, and memory of one document at a time.
+shuffle, and memory of one document at a time.  ``write_buckets`` puts equal
+lengths together at rest, so that a batch of sequences needs no padding.
+
+A null text counts as empty: one piece, the end id.  Repeated rows and null ids are packed each by itself, an empty table gives
+an empty result, a text of any length is taken whole, and columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from matchweave.llm.pretokens import PieceTable
 from matchweave.llm.shared import no_cycles, text_groups
 
+
 class DocumentIds:
     """Ids of whole texts by the tokenizers library.  Texts are split into the pattern's pieces by vector operations;
     pieces that a table of a fixed size does not hold are encoded by the library, and so are whole texts with an added token's string."""
@@ -109,3 +114,8 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     pieces = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length")}).withColumnRenamed("id", doc_id)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Packed pieces as Parquet in one folder for each length (at most 2 + log2 of the longest of them)."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)

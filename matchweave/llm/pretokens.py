@@ -9,12 +9,13 @@ a regular expression; ``starts`` gives the same pieces as the pattern does.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-from matchweave.llm.shared import mix
+from matchweave.llm.shared import span_hashes, utf8
 
 LETTER, DIGIT, OTHER, SPACE, BORDER = range(5)
 #: Stands between texts of a block; no text can hold it, as it is no character.
@@ -25,13 +26,15 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of each code point, by the pattern's own character classes."""
+    """The class of each code point, by the pattern's own character classes.  Code points that are not assigned in
+    ``unicodedata`` are marks, as the tokenizers library takes them, though newer tables know letters and digits among them."""
     out = np.full(BETWEEN + 1, OTHER, np.uint8)
     every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, BETWEEN)))
     for kind, name in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(name, every):
             a, b = (x if x < 0xD800 else x + 0x800 for x in m.span())
             out[a:b] = kind
+    out[[c for c in np.flatnonzero(out != OTHER).tolist() if unicodedata.category(chr(c)) == "Cn"]] = OTHER
     out[BETWEEN] = BORDER
     return out
 
@@ -79,41 +82,26 @@ def starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Hashes:
-    """64-bit hashes of the pieces between given starts."""
-
-    def __init__(self):
-        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def of(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        base = 0xC2B2AE3D27D4EB4F
-        with np.errstate(over="ignore"):
-            if len(self.powers[0]) < len(codes):
-                steps = [np.full(max(len(codes), 1 << 18), b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-                for x in steps:
-                    x[0] = 1
-                self.powers = tuple(np.multiply.accumulate(x) for x in steps)
-            up, down = self.powers
-            prefix = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=prefix[1:])
-            return mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def pieces(text: str) -> list[str]:
+    """The pieces of one text."""
+    codes, _ = block_codes([text])
+    at = starts(codes).tolist()  # the first and the last are the borders
+    return [text[a - 1 : b - 1] for a, b in zip(at[1:-1], at[2:], strict=True)]
 
 
 class PieceTable:
     """What ``make`` gives for pieces, ids as unsigned 32-bit numbers, in a table of a fixed size with one place for each hash.
 
-    Two pieces are taken for equal if their 64-bit hashes are: for a pair of them that is a probability of 2**-64.
+    A piece is known again by two independent hashes of its bytes (``shared.span_hashes``), 64 and 32 bits of them, and in a
+    block of texts by two of 64 bits; two different pieces are taken for equal with a probability of 2**-96 for a pair of them.
     A piece with more than ``WIDTH`` ids is made anew each time; a place that another piece needs is overwritten.
     """
 
-    BITS, WIDTH = 20, 6
+    BITS, WIDTH = 21, 6
 
     def __init__(self, make):
         self.make = make  # list of pieces -> list of arrays of ids
-        self.key = np.zeros(1 << self.BITS, np.uint64)
-        self.size = np.zeros(1 << self.BITS, np.uint8)
-        self.ids = np.zeros((1 << self.BITS, self.WIDTH), np.uint32)
-        self.hashes = Hashes()
+        self.rows = np.zeros((1 << self.BITS, 4 + self.WIDTH), np.uint32)  # both halves of the first hash, the second, the number of ids (0: free), the ids
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text and in all, ids of each piece, first piece of each text and the end)."""
@@ -122,28 +110,33 @@ class PieceTable:
         end = np.append(begin[1:], len(codes))
         solid = codes[begin] != BETWEEN
         begin, end = begin[solid], end[solid]
-        h = self.hashes.of(codes, begin, end)
+        # the same places in UTF-8, where a border is one byte
+        data = np.frombuffer(b"\n" + b"".join([utf8(x) + b"\n" for x in texts]), np.uint8)
+        width = 1 + (codes >= 0x80).view(np.int8) + (codes >= 0x800).view(np.int8) + ((codes >= 0x10000) & (codes != BETWEEN)).view(np.int8)
+        width[codes == BETWEEN] = 1
+        place = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+        low, high = place[begin], place[end]
+        h, second = span_hashes(data, low, high), span_hashes(data, low, high, second=True)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
-        size, row = np.zeros(len(h), np.int64), np.zeros((len(h), self.WIDTH), np.uint32)
-        known = self.key[slot] == h
-        size[known], row[known] = self.size[slot[known]], self.ids[slot[known]]
+        row = self.rows[slot]
+        name = np.stack((h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), second & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)
+        known = (row[:, 0] == name[:, 0]) & (row[:, 1] == name[:, 1]) & (row[:, 2] == name[:, 2]) & (row[:, 3] > 0)
+        size = row[:, 3].astype(np.int64)
         missing = np.flatnonzero(~known)
         apart: dict[int, np.ndarray] = {}
         if len(missing):
-            unique, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            at = missing[first]
-            whole = codes.astype("<u4").tobytes()
-            pieces = [whole[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            made = self.make(pieces)
+            _, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            other = np.flatnonzero(second[missing] != second[missing[first]][back])  # pieces that share the first hash alone
+            at = missing[np.concatenate((first, other))]
+            made = self.make([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
+            back[other] = len(first) + np.arange(len(other))
             n = np.array([len(x) for x in made], np.int64)
             short = n <= self.WIDTH
             packed = np.zeros((len(made), self.WIDTH), np.uint32)
             flat = np.concatenate([x for x, s in zip(made, short.tolist(), strict=True) if s] or [np.zeros(0, np.uint32)])
             packed[short] = _spread(flat, n[short], self.WIDTH)
-            size[missing], row[missing] = n[back], packed[back]
-            keep = slot[at[short]]
-            self.key[keep], self.size[keep], self.ids[keep] = unique[short], n[short], packed[short]
-            # of two new pieces for one place the last stays: all three columns are written in the same order
+            size[missing], row[missing, 4:] = n[back], packed[back]
+            self.rows[slot[at[short]]] = np.concatenate((name[at[short]], n[short, None].astype(np.uint32), packed[short]), 1)
             for i in np.flatnonzero(~short[back]).tolist():
                 apart[int(missing[i])] = made[back[i]]
         first_piece = np.searchsorted(begin, ends)
@@ -152,7 +145,7 @@ class PieceTable:
         narrow = size <= self.WIDTH
         for k in range(self.WIDTH):
             has = np.flatnonzero(narrow & (size > k))
-            ids[total[has] + k] = row[has, k]
+            ids[total[has] + k] = row[has, 4 + k]
         for i, x in apart.items():
             ids[total[i] : total[i + 1]] = x
         return ids, total[first_piece], size, first_piece

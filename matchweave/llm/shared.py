@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -11,9 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: splitmix64's finaliser, and an odd base for prefix hashes.
+#: splitmix64's finaliser.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
@@ -84,33 +84,50 @@ def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b + np.uint64((0x632BE59BD9B4E019 + seed) & MASK)))
 
 
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as many as were asked for so far."""
-
-    def __init__(self):
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                    steps = np.full(m, base, np.uint64)
-                    steps[0] = 1
-                    setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
 #: White space is these six characters and no others.
 SPACE_CODES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _SPACE = np.zeros(256, bool)
 _SPACE[SPACE_CODES] = True
-with np.errstate(over="ignore"):
-    _CODES = mix(np.arange(1, 257, dtype=np.uint64))
-_FOLDED = _CODES.copy()
-_FOLDED[65:91] = _CODES[97:123]  # A-Z as a-z
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z as a-z
+#: Spans of up to so many bytes are hashed by 8-byte blocks, longer ones by BLAKE2b.
+SHORT = 64
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: The finaliser of another well-known hash, so that the two hashes of a span are independent.
+_OTHER = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mix_other(x: np.ndarray) -> np.ndarray:
+    """A second bijection of 64-bit values."""
+    x = (x ^ (x >> np.uint64(33))) * _OTHER[0]
+    x = (x ^ (x >> np.uint64(29))) * _OTHER[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; ``second`` gives another one, independent of it.
+
+    Each 8-byte block is mixed into the hash by a bijection that is not linear, so for spans of one length up to eight
+    bytes the hash is exact, and beyond it no structure of the bytes makes two spans equal; spans over ``SHORT`` bytes go through BLAKE2b.
+    """
+    blend, salt = (mix_other, 0x9FB21C651E98DF25) if second else (mix, 0xA24BAED4963EE407)
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        h = blend((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ ((size.astype(np.uint64) + np.uint64(1)) * np.uint64(salt)))
+        open_ = np.flatnonzero((size > 8) & (size <= SHORT))
+        at = 8
+        while len(open_):
+            left = size[open_] - at
+            h[open_] = blend((h[open_] + np.uint64(salt)) ^ (eight[starts[open_] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            at += 8
+            open_ = open_[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+    return h
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +136,10 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of UTF-8 bytes; ``lower`` folds A-Z before hashing.
-
-    The hash is a polynomial in the bytes taken from prefix sums, so it costs a
-    few vector operations for all words at once, and then mixed with the length.
-    """
+def word_hashes(data: np.ndarray, lower: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of UTF-8 bytes (``span_hashes``); ``lower`` folds A-Z before hashing."""
     starts, ends = word_spans(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    up, down = _POWERS.get(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_FOLDED if lower else _CODES)[data] * up[:-1], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+    return span_hashes(_FOLD[data] if lower else data, starts, ends, second), starts, ends
 
 
 def utf8(text: str | None) -> bytes:

@@ -12,15 +12,18 @@ neighbouring windows mostly share their anchor, about one position in fourteen i
 *Level 3.*  Full windows that hold their anchor's surviving extensions are compared.
 
 **How windows are compared.**  Tasks do not send rows for windows but, for each
-block of documents, one packed array of hashes for each of many buckets.  One
-task per bucket finds the hashes that occur twice and answers each block with one bit for each of its hashes.
-A window in thousands of documents weighs no more there than any other, and memory is one bucket's hashes.
-Levels 1 and 2 only choose candidates; the last level compares 64-bit hashes within a
-bucket chosen by a second hash, so two different candidates are taken for equal
-with a probability below 2**-70 for each pair of them.
+block of documents, one packed array of its distinct hashes for each of many buckets, with a
+mark on those that the block itself holds twice.  One task per bucket finds the hashes that occur
+twice and answers each block with one bit for each of its hashes.
+A window in any number of documents is sent once by each block, and memory is one bucket's hashes.
+Levels 1 and 2 only choose candidates; the last level compares two 64-bit hashes that go back to two independent
+hashes of the words (``shared.span_hashes``), so two different candidates are taken for equal
+with a probability of about 2**-128 for each pair of them.
 
 Documents are found again by a 128-bit hash of their text, so repeated rows, equal ids and null ids are
-fine: each row is a document, and copies repeat each other's windows.  Null and empty texts have no words.
+fine: each row is a document, and copies repeat each other's windows.  Null and empty texts have no words, an empty table
+gives an empty result, and columns that are not named are not read, whatever their names.  A text of any length is
+taken whole, in memory that grows with the text; a word of any length is one word.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, pair
+from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, pair, span_hashes
 
-#: Buckets at least; bytes of text for each further one (a bucket then holds at most about 8 million hashes); hashes of a block.
-LEAST_BUCKETS, BYTES_PER_BUCKET, BLOCK = 256, 64 << 20, 300_000
+#: Buckets at least; bytes of text for each further one (a bucket then holds at most about 8 million hashes); hashes of a block at least and at most, two a bucket between.
+LEAST_BUCKETS, BYTES_PER_BUCKET, BLOCK, MOST_BLOCK = 256, 64 << 20, 300_000, 4_000_000
 
 # Rows between the levels.  kind 0: a document; 1: a block's hashes of one bucket; 2: a block's documents.
 ROWS = "kind int, block long, bucket int, data binary, {id}, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, text string, bits1 binary, extra string"
@@ -76,6 +79,11 @@ class Windows:
             self.quarter = quarter[self.anchors]
         self.text_of = lambda p: np.searchsorted(self.first, p, "right") - 1
 
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each full window, from two independent hashes of the words."""
+        words = span_hashes(self.data, self.starts, self.ends, second=True)
+        return window_hash(self.h, self.size), window_hash(words, self.size, 1 << 20)
+
     def extensions(self, alive: np.ndarray) -> np.ndarray:
         """Starts of the doubled windows to both sides of the anchors that are alive."""
         text = self.text_of(alive)
@@ -97,10 +105,11 @@ class Windows:
 
 # ---------------------------------------------------------------- comparing hashes
 class Block:
-    """The hashes of some documents, in order, with the bucket of each."""
+    """The hashes of some documents, in order; the second one of each decides its bucket, and is compared too if ``wide``."""
 
-    def __init__(self, n_buckets: int):
-        self.n_buckets, self.size, self.keys, self.counts, self.hashes, self.second = n_buckets, 0, [], [], [], []
+    def __init__(self, n_buckets: int, wide: bool = False):
+        self.n_buckets, self.wide, self.size, self.keys, self.counts, self.hashes, self.second = n_buckets, wide, 0, [], [], [], []
+        self.full = min(max(BLOCK, 2 * n_buckets), MOST_BLOCK)
 
     def add(self, key: tuple[int, int], hashes: np.ndarray, second: np.ndarray) -> None:
         if len(hashes):
@@ -111,26 +120,46 @@ class Block:
             self.second.append(second)
 
     def rows(self, block: int):
-        """(kind, bucket, data) of the block's rows."""
+        """(kind, block, bucket, data) of the block's rows: for each bucket the distinct hashes and which of them occur here twice,
+        and for the block its documents with the places of their hashes among these."""
         if not self.keys:
             return
-        hashes = np.concatenate(self.hashes)
-        bucket = (np.concatenate(self.second) % np.uint64(self.n_buckets)).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        present, at = np.unique(bucket[order], return_index=True)
-        for b, part in zip(present.tolist(), np.split(hashes[order], at[1:]), strict=True):
-            yield 1, b, part.tobytes()
-        head = np.array([len(self.keys)], np.int64).tobytes() + np.array(self.keys, np.int64).tobytes() + np.array(self.counts, np.int64).tobytes()
-        yield 2, -1, head + bucket.tobytes()
+        hashes, second = np.concatenate(self.hashes), np.concatenate(self.second)
+        bucket = (second % np.uint64(self.n_buckets)).astype(np.uint32)
+        order = np.lexsort((second, hashes, bucket) if self.wide else (hashes, bucket))
+        h, s, b = hashes[order], second[order], bucket[order]
+        new = np.concatenate(([True], (b[1:] != b[:-1]) | (h[1:] != h[:-1]) | (self.wide & (s[1:] != s[:-1]))))
+        place = np.zeros(len(order), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        twice = np.diff(np.append(first, len(order))) > 1
+        distinct = np.stack((h, s) if self.wide else (h,), 1)[first]
+        present, cuts = np.unique(b[first], return_index=True)
+        for number, part, marks in zip(present.tolist(), np.split(distinct, cuts[1:]), np.split(twice, cuts[1:]), strict=True):
+            yield 1, block, number, np.int64(len(part)).tobytes() + part.tobytes() + np.packbits(marks).tobytes()
+        sizes = np.array([len(self.keys), len(present), len(first)], np.int64)
+        parts = (sizes, np.array(self.keys, np.int64), np.array(self.counts, np.int64), present.astype(np.int64), cuts.astype(np.int64), place)
+        yield 2, block, -1, b"".join(x.tobytes() for x in parts)
+
+
+def _sent(data: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's row the hashes (one or two columns) and whether each occurs twice in its block."""
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    tail = -(-n // 8)
+    hashes = np.frombuffer(data[8 : len(data) - tail], np.uint64).reshape(n, -1)
+    return hashes, np.unpackbits(np.frombuffer(data[len(data) - tail :], np.uint8), count=n).astype(bool)
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     """One bucket: which hashes of each block occur twice or more in it."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("data")]
-    every = np.concatenate(parts)
-    order = np.sort(every)
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
-    flags = twice[np.minimum(np.searchsorted(twice, every), len(twice) - 1)] == every if len(twice) else np.zeros(len(every), bool)
+    parts, marks = zip(*(_sent(memoryview(x.as_buffer())) for x in group.column("data")), strict=True)
+    every, again = np.concatenate(parts), np.concatenate(marks)
+    order = np.lexsort(every.T)
+    ordered = every[order]
+    new = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(1))))
+    sizes = np.diff(np.append(new, len(order)))
+    flags = np.zeros(len(order), bool)
+    flags[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(again[order], new), sizes)
     ends = np.cumsum([len(p) for p in parts])
     bits = [np.packbits(f).tobytes() if f.any() else None for f in np.split(flags, ends[:-1])]
     found = [i for i, x in enumerate(bits) if x is not None]
@@ -147,17 +176,15 @@ def _answers(group: pa.Table) -> pa.Table:
             answers[bucket] = data.as_py()
     keys, out = [], []
     if index is not None and answers:
-        n = int(np.frombuffer(index[:8], np.int64)[0])
-        names = np.frombuffer(index[8 : 8 + 16 * n], np.int64).reshape(n, 2)
-        counts = np.frombuffer(index[8 + 16 * n : 8 + 24 * n], np.int64)
-        bucket = np.frombuffer(index[8 + 24 * n :], np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        ordered = bucket[order]
-        flags = np.zeros(len(bucket), bool)
-        for b, bits in answers.items():
-            low, high = np.searchsorted(ordered, [b, b + 1])
-            flags[order[low:high]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low).astype(bool)
-        for name, part in zip(names, np.split(flags, np.cumsum(counts)[:-1]), strict=True):
+        n, n_present, n_distinct = np.frombuffer(index[:24], np.int64).tolist()
+        heads = np.frombuffer(index[24 : 24 + 8 * (3 * n + 2 * n_present)], np.int64)
+        names, counts, present, cuts = heads[: 2 * n].reshape(n, 2), heads[2 * n : 3 * n], heads[3 * n : 3 * n + n_present], heads[3 * n + n_present :]
+        place = np.frombuffer(index[24 + 8 * (3 * n + 2 * n_present) :], np.uint32)
+        flags, ends = np.zeros(n_distinct, bool), np.append(cuts[1:], n_distinct)
+        for bucket, bits in answers.items():
+            at = int(np.searchsorted(present, bucket))
+            flags[cuts[at] : ends[at]] = _bits(bits, ends[at] - cuts[at])
+        for name, part in zip(names, np.split(flags[place], np.cumsum(counts)[:-1]), strict=True):
             if part.any():
                 keys.append(name)
                 out.append(np.packbits(part).tobytes())
@@ -186,7 +213,7 @@ def _batch(rows: list[tuple], made: list[tuple], schema: pa.Schema) -> pa.Record
 
 
 def _hash_rows(block: Block, number: int, width: int) -> list[tuple]:
-    return [(kind, number, bucket, data, *[None] * (width - 4)) for kind, bucket, data in block.rows(number)]
+    return [(*row, *[None] * (width - 4)) for row in block.rows(number)]
 
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
@@ -202,9 +229,8 @@ def _anchors(size: int, buckets: int):
     """Level 1: the anchors of all texts (k1, k2, text)."""
 
     def send(block: Block, number: int) -> pa.RecordBatch:
-        made = list(block.rows(number))
-        kind, bucket, data = zip(*made, strict=True) if made else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number] * len(made), pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "bucket", "data"])
+        kind, numbers, bucket, data = zip(*made, strict=True) if (made := list(block.rows(number))) else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(numbers, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "bucket", "data"])
 
     def run(batches):
         block, count = Block(buckets), 0
@@ -219,7 +245,7 @@ def _anchors(size: int, buckets: int):
                         for i in range(len(raws)):
                             a, b = parts[i], parts[i + 1]
                             block.add((k1[first + i], k2[first + i]), w.quarter[a:b], second[a:b])
-            if block.size >= BLOCK:
+            if block.size >= block.full:
                 yield send(block, _number(count))
                 block, count = Block(buckets), count + 1
         yield send(block, _number(count))
@@ -248,7 +274,7 @@ def _extend(size: int, buckets: int, id_type: pa.DataType):
                         block.add((k1[i], k2[i]), hashes, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
                         rows.append((0, None, None, None, ids[i], k1[i], k2[i], int(w.first[j + 1] - w.first[j]), None, None, texts[i], bits[i], extra[i]))
             yield _batch(rows, [], schema)
-            if block.size >= BLOCK:
+            if block.size >= block.full:
                 yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
                 block, count = Block(buckets), count + 1
         yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
@@ -269,14 +295,14 @@ def _full_windows(size: int, buckets: int, id_type: pa.DataType):
     schema = _schema(id_type)
 
     def run(batches):
-        block, count = Block(buckets), 0
+        block, count = Block(buckets, wide=True), 0
         for batch in batches:
             ids, k1, k2, words, texts, bits1, bits2, extra = (batch.column(i).to_pylist() for i in range(8))
             rows = []
             with np.errstate(over="ignore"):
                 for first, raws in blocks(texts):
                     w = Windows(raws, size)
-                    full, second = window_hash(w.h, size), window_hash(w.h, size, 1 << 20)
+                    full, second = w.full()
                     parts = np.searchsorted(w.anchors, w.first)
                     living = [_alive(w, j, parts, bits1[first + j], bits2[first + j]) for j in range(len(raws))]
                     found = w.candidates(np.concatenate([a for a, _ in living]), np.concatenate([e for _, e in living]))
@@ -287,9 +313,9 @@ def _full_windows(size: int, buckets: int, id_type: pa.DataType):
                         runs = (mine - w.first[j]).astype(np.int32)
                         rows.append((0, None, None, None, ids[i], k1[i], k2[i], words[i], None, None, texts[i], _runs(runs).tobytes(), extra[i]))
             yield _batch(rows, [], schema)
-            if block.size >= BLOCK:
+            if block.size >= block.full:
                 yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
-                block, count = Block(buckets), count + 1
+                block, count = Block(buckets, wide=True), count + 1
         yield _batch([], _hash_rows(block, _number(count), len(schema)), schema)
 
     return run

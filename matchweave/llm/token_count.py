@@ -5,56 +5,95 @@ token that ends there and is stable after the last token of what precedes it.
 One pass from left to right therefore gives the exact count at *every* prefix,
 and questions about truncation or budgets are look-ups in these counts.
 
-Pieces (matches of the vocabulary's pattern) repeat, so their prefix counts are
-kept in a bounded memory in each worker.  A null text counts as empty: no bytes,
-no tokens.  Strings of added tokens (``specials``) inside a text are one token each, as
-the library does by default.  Other columns are not read.
+Pieces (matches of the vocabulary's pattern) repeat, so the arrays of their prefix counts are
+kept in a bounded memory in each worker, and a text's counts are these arrays in a row:
+``TextCounts`` answers how many tokens a prefix takes and which prefix fits a budget from them, without encoding anything again.
+
+A null text counts as empty: no bytes, no tokens.  Strings of added tokens (``specials``) inside a text are one token each, as
+the library does by default.  Other columns are not read, whatever their names; an empty table gives an empty result.  A
+text or a piece of any length is counted whole, in memory that grows with it; pieces too long to repeat are not remembered.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from array import array
+from bisect import bisect_right
+from functools import cached_property, lru_cache
 from itertools import accumulate, chain
+from operator import itemgetter
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from matchweave.llm.bpe import Remembered, Vocabulary
+from matchweave.llm.pretokens import pieces as class_pieces
 from matchweave.llm.shared import no_cycles, utf8
 
 #: Bound of each of the two generations of pieces that a worker remembers.
 PIECES = 700_000
+#: Fixed value: the pattern of byte-level vocabularies, whose character classes ``pretokens`` knows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class PrefixCounts(Remembered):
-    """piece -> exact token counts: ``counts[piece]`` of the whole, ``prefixes(piece)`` at every byte."""
+    """piece -> its exact token counts at every byte, ``counts[piece][n]`` of the first n bytes, as bytes where they fit."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(PIECES)
         self.vocabulary = vocabulary
 
-    def prefixes(self, piece: str) -> list[int]:
-        """``[0, n_1, ..., n_len]``: the tokens of the first 0, 1, ... bytes of a piece."""
+    def make(self, piece: str) -> bytes | array:
         raw = utf8(piece)
         if piece in self.vocabulary.specials:
-            return [0] * len(raw) + [1]
-        counts, last, token_after = [0], [b""], self.vocabulary.last_token
+            return bytes(len(raw)) + b"\1"
+        counts, last = [0], [b""]
+        self.vocabulary.fill(raw, last)
         for end in range(1, len(raw) + 1):
-            token = token_after(raw, end, last)
-            last.append(token)
-            counts.append(counts[end - len(token)] + 1)
-        return counts
+            counts.append(counts[end - len(last[end])] + 1)
+        return bytes(counts) if counts[-1] < 256 else array("I", counts)
+
+
+_LAST = itemgetter(-1)
+
+
+class TextCounts:
+    """The token counts of a text at every prefix: those of its pieces in a row."""
+
+    def __init__(self, parts: list[str], counts: PrefixCounts):
+        self.parts, self.each = parts, list(map(counts.__getitem__, parts))
+        self.n_tokens = sum(map(_LAST, self.each))
 
-    def make(self, piece: str) -> int:
-        return self.prefixes(piece)[-1]
+    @cached_property
+    def tokens(self) -> list[int]:
+        """Tokens before each piece, and of all."""
+        return [0, *accumulate(map(_LAST, self.each))]
+
+    @cached_property
+    def ends(self) -> list[int]:
+        """Bytes before each piece, and of all."""
+        return [0, *accumulate([len(c) - 1 for c in self.each])]
+
+    def at(self, size: int) -> int:
+        """Tokens of the first ``size`` bytes."""
+        piece = bisect_right(self.ends, size) - 1
+        return self.tokens[piece] + (self.each[piece][size - self.ends[piece]] if piece < len(self.each) else 0)
+
+    def longest_fit(self, budget: int) -> int:
+        """Bytes of the longest prefix of at most ``budget`` tokens: whole pieces, then the longest prefix of the next
+        that the budget allows and that ends between characters."""
+        piece = bisect_right(self.tokens, budget) - 1
+        size = sum(map(len, self.each[:piece])) - piece
+        if piece == len(self.each):
+            return size
+        raw, rest = utf8(self.parts[piece]), budget - self.tokens[piece]
+        return size + max((i for i, c in enumerate(self.each[piece]) if c <= rest and (i == len(raw) or raw[i] & 0xC0 != 0x80)), default=0)
 
 
 def splitter(pattern: str, specials) -> callable:
     """text -> its pieces; strings of added tokens are pieces of their own, the text between them is split by itself."""
-    find = regex.compile(pattern).findall
+    find = class_pieces if pattern == PATTERN else regex.compile(pattern).findall
     if not specials:
         return find
     apart = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")").split
@@ -73,20 +112,6 @@ def _counter(path: str, pattern: str):
     return PrefixCounts(vocabulary), splitter(pattern, vocabulary.specials)
 
 
-def longest_fit(text: str, budget: int, counts: PrefixCounts, pieces) -> int:
-    """Bytes of the longest prefix of ``text`` that takes at most ``budget`` tokens: whole pieces, then
-    the longest prefix of the next that the budget allows (and that ends between characters)."""
-    used = size = 0
-    for piece in pieces(text):
-        n = counts[piece]
-        if used + n > budget:
-            raw = utf8(piece)
-            at = [i for i, c in enumerate(counts.prefixes(piece)) if used + c <= budget and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
-            return size + max(at, default=0)
-        used, size = used + n, size + len(utf8(piece))
-    return size
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit) and fit_bytes, the bytes of its longest prefix within the limit.
 
@@ -100,23 +125,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
 
     def counted(batches):
         counts, pieces = _counter(vocabulary, pattern)
-        get = counts.__getitem__
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             n_bytes, n_tokens, fit = [], [], []
-            for x in texts:
-                parts = pieces(x)
-                each = list(map(get, parts))
-                n = sum(each)
+            for x in batch.column(1).to_pylist():
+                x = x or ""
+                found = TextCounts(pieces(x), counts)
                 n_bytes.append(len(utf8(x)))
-                n_tokens.append(n)
-                if n <= limit:
-                    fit.append(n_bytes[-1])
-                else:
-                    whole = int(np.searchsorted(np.fromiter(accumulate(each), np.int64, len(each)), limit, "right"))
-                    before = len(utf8("".join(parts[:whole])))
-                    rest = longest_fit(parts[whole], limit - sum(each[:whole]), counts, lambda p: [p])
-                    fit.append(before + rest)
+                n_tokens.append(found.n_tokens)
+                fit.append(n_bytes[-1] if found.n_tokens <= limit else found.longest_fit(limit))
             n_tokens = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), n_tokens, pc.greater(n_tokens, limit), pa.array(fit, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 

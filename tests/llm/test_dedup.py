@@ -10,6 +10,7 @@ import pytest
 from matchweave.llm import embed_dedup, minhash, substring
 from matchweave.llm.components import connected
 from tests.llm.conftest import prose
+from tests.llm.test_tokens import colliding
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -204,3 +205,30 @@ def test_recall_in_a_large_label_beside_many_small_ones(spark, space):
     found = sum(got[i] for i in true)
     assert sum(true.values()) >= 4000 and found >= 0.98 * sum(true.values()), (found, sum(true.values()))
     assert all(got[20000 + i] == 0 for i in range(300))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_collide_in_polynomial_hashes_are_different(spark, space, size):
+    a, b = colliding(size)
+    texts = [" ".join([x] * 3 + [f"{x}{i}" for i in range(40)]) for x in (a, b)] + [" ".join([a] * 2), " ".join([b] * 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df, space, size=35).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_substring(texts, 35))] and not any(r[2] for r in got)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, space, n=2).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_each_block_sends_a_hash_once(monkeypatch):
+    """However often a window occurs, a block sends one hash for it, and a bucket holds one for each block."""
+    block = substring.Block(4)
+    hot, rare = np.full(5000, 77, np.uint64), np.arange(10, dtype=np.uint64)
+    block.add((1, 1), np.concatenate((hot, rare)), np.concatenate((hot, rare)))
+    block.add((2, 2), rare + np.uint64(100), rare + np.uint64(100))
+    rows = list(block.rows(9))
+    sent = [substring._sent(memoryview(data)) for kind, _, _, data in rows if kind == 1]
+    assert sum(len(h) for h, _ in sent) == 21 and sum(t.sum() for _, t in sent) == 1
+    import pyarrow as pa
+
+    table = lambda rows: pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "block": [r[1] for r in rows], "bucket": pa.array([r[2] for r in rows], pa.int32()), "data": pa.array([r[3] for r in rows], pa.binary())})
+    said = [r for b in range(4) if (mine := [r for r in rows if r[0] == 1 and r[2] == b]) for r in map(tuple, (x.values() for x in substring._repeated(table(mine)).to_pylist()))]
+    found = substring._answers(table([*said, rows[-1]])).to_pylist()
+    assert [(r["k1"], int(substring._bits(r["bits"], 5010).sum())) for r in found] == [(1, 5000)]
