@@ -1,6 +1,5 @@
 """Scans, sinks, resuming and the registered queries' SQL."""
 
-import importlib.util
 import json
 import math
 
@@ -74,9 +73,7 @@ def test_resumed_stream(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(plans.SQL) >= 60
-    if importlib.util.find_spec("corpus_pipeline"):
-        assert "pipeline" in __spark_entry__.queries()
+    assert len(plans.SQL) >= 60 and set(plans.QUERIES) <= set(__spark_entry__.queries())
 
 
 def values(rows):
