@@ -77,7 +77,7 @@ def test_minhash_against_brute_force(spark, space, n):
     assert len(links) > 30
 
 
-def test_minhash_compares_components_in_blocks(spark, space):
+def test_minhash_compares_components_in_blocks(spark, space, monkeypatch):
     """A chain of copies whose ends are far from each other, with blocks of three documents."""
     rng = random.Random(11)
     words = prose(5, 120).split()
@@ -88,14 +88,37 @@ def test_minhash_compares_components_in_blocks(spark, space):
         texts.append((i, " ".join(words)))
     rng.shuffle(texts)
     texts = [(k, t) for k, (_, t) in enumerate(texts)]
-    size, minhash.BLOCK = minhash.BLOCK, 3
-    try:
+    for size, few in ((3, 1), (3, 6), (256, 32)):
+        monkeypatch.setattr(minhash, "BLOCK", size)
+        monkeypatch.setattr(minhash, "FEW", few)
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), space, n=2).collect()}
-    finally:
-        minhash.BLOCK = size
-    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in texts}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    assert got == roots(sets, links)
+        sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in texts}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert got == roots(sets, links)
+
+
+def test_minhash_rows_of_a_hot_key(spark, space, monkeypatch):
+    """A key whose members are alike but not near: pairs stay inside the tasks, rows grow with the members and the blocks."""
+    rng = random.Random(5)
+    common, n = prose(70, 200).split(), 60
+    texts = []
+    for i in range(n):
+        w = common[:]
+        for k in range(0, 200, 9):
+            w[k] = f"own{i}x{rng.random()}"
+        texts.append((i, " ".join(w)))
+    texts += [(100, texts[0][1] + " end"), (101, texts[59][1].replace("own59", "else", 1))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    written, table = {}, space.table
+    monkeypatch.setattr(space, "table", lambda d, name: written.setdefault(name, table(d, name)))
+    monkeypatch.setattr(space, "clear", lambda *keep: None)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, space, n=2).collect()}
+    assert got == {i: i for i in range(n)} | {100: 0, 101: 59}
+    members = written["many"].count()
+    blocks = written["labels"].count()
+    assert members > 100 and written["candidates"].count() <= 2 * members * -(-blocks // max(1, written["rest"].count())) and written["inside-links"].count() <= 2
 
 
 def brute_substring(texts, size):
