@@ -84,21 +84,31 @@ SELECT d.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.id = comp
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 CHAT_SQL = rf"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-c AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')) + 4 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
-  8 + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + 1 + length({_ESCAPED.format("text")}) + 8 AS size FROM t),
+e AS (SELECT *, {_ESCAPED.format("text")} AS esc FROM t),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+  len(regexp_extract_all(esc, '[A-Za-z]{{1,2}}|[0-9]{{1,2}}|[\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')) + len(regexp_extract_all(esc, ' ')) - len(regexp_extract_all(esc, ' +'))
+    + strlen(regexp_replace(esc, '[\x00-\x7F]+', '', 'g')) + 5 AS n,
+  8 + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + 1 + length(esc) + 8 AS size FROM e),
 s AS (SELECT *, place = 1 AND role = 'system' AS sys FROM c),
-p AS (SELECT *, coalesce(sum(CASE WHEN NOT sys THEN n END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  first_value(CASE WHEN sys THEN n END) OVER (PARTITION BY conv_id ORDER BY place) AS sys_n, first_value(CASE WHEN sys THEN size END) OVER (PARTITION BY conv_id ORDER BY place) AS sys_size FROM s),
-b AS (SELECT *, greatest(1, floor((512 - 96 - coalesce(sys_n, 0)) / 2)) AS span FROM p),
-w AS (SELECT *, CASE WHEN NOT sys THEN 2 * floor(start / span) + (n > span)::INT END AS body FROM b),
-x AS (SELECT *, coalesce(body, lead(body) OVER (PARTITION BY conv_id ORDER BY place), 0) AS win FROM w),
-l AS (SELECT *, lead(win, 1) OVER o AS w1, lead(win, 2) OVER o AS w2, lead(start, 1) OVER o AS s1, lead(start, 2) OVER o AS s2, coalesce(lag(win) OVER o <> win, false) AS begins FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
-k AS (SELECT *, 1 + coalesce(NOT sys AND w1 <> win AND s1 - start <= 96, false)::INT + coalesce(NOT sys AND w2 <> w1 AND s2 - start <= 96, false)::INT AS copies, begins AND sys_n IS NOT NULL AS again FROM l)
+h AS (SELECT *, 512 - coalesce(first_value(CASE WHEN sys THEN n END) OVER o, 0) AS rest,
+  greatest(0, CASE WHEN NOT lag(sys, 1) OVER o AND lag(n, 1) OVER o <= 96 THEN lag(n, 1) OVER o END, CASE WHEN NOT lag(sys, 2) OVER o AND lag(n, 1) OVER o + lag(n, 2) OVER o <= 96 THEN lag(n, 1) OVER o + lag(n, 2) OVER o END) AS history
+  FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+body AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS r, history > 0 AND history + n <= rest AS room FROM h WHERE NOT sys),
+fold(conv_id, r, win, used, repeats) AS (
+  SELECT conv_id, r, 0, n, false FROM body WHERE r = 1
+  UNION ALL SELECT b.conv_id, b.r, CASE WHEN f.used + b.n <= b.rest THEN f.win ELSE f.win + 1 END, CASE WHEN f.used + b.n <= b.rest THEN f.used + b.n WHEN b.room THEN b.history + b.n ELSE b.n END,
+    f.used + b.n > b.rest AND b.room FROM fold f JOIN body b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.r = f.r + 1),
+l AS (SELECT b.place, f.conv_id, f.win, b.n, lead(f.win, 1) OVER o AS w1, lead(f.win, 2) OVER o AS w2, lead(f.repeats, 1) OVER o AS r1, lead(f.repeats, 2) OVER o AS r2, lead(b.n, 1) OVER o AS n1
+  FROM fold f JOIN body b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.r = f.r WINDOW o AS (PARTITION BY f.conv_id ORDER BY b.place)),
+k AS (SELECT conv_id, place, 1 + coalesce(w1 <> win AND r1 AND n <= 96, false)::INT + coalesce(w2 <> w1 AND r2 AND n + n1 <= 96, false)::INT AS copies FROM l),
+m AS (SELECT conv_id, 1 + max(win) AS n_windows FROM fold GROUP BY conv_id),
+x AS (SELECT s.*, coalesce(m.n_windows, 1) AS n_windows, CASE WHEN s.sys THEN coalesce(m.n_windows, 1) ELSE k.copies END AS copies
+  FROM s LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.place = s.place LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(copies * size + CASE WHEN again THEN sys_size ELSE 0 END)::BIGINT AS formatted_chars,
-  count(DISTINCT win) AS n_windows, sum(copies * n + CASE WHEN again THEN sys_n ELSE 0 END)::BIGINT AS n_tokens FROM k GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(copies * size)::BIGINT AS formatted_chars,
+  max(n_windows)::BIGINT AS n_windows, sum(copies * n)::BIGINT AS n_tokens FROM x GROUP BY conv_id
 """
 
 
