@@ -4,7 +4,8 @@ Level 0 encodes the listed keys.  Level 1 encodes the keys of the corpus that
 are not listed and yet pass level 0, level 2 the listed ones that pass level 1,
 and so on until nothing passes wrongly.  As every key that will ever be asked
 for was in the universe, the first level that a key fails decides its
-membership exactly; pages are then judged where they lie, without a join.
+membership exactly; pages are then judged where they lie, without a join, or, where the
+cascades are too large to be everywhere, in the tasks that hold them.
 
 Keys are split into shards by their hash, and each shard's cascade is built by
 one task from at most about ``PER_SHARD`` distinct keys, so memory is bounded
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.shared import MASK, Workspace, mix
+from matchweave.llm.shared import MASK, Workspace, broadcast_if_small, mix
 
-#: Distinct keys of a shard; shards at least, so that their tasks are even; bytes of cascades that may be broadcast.
-PER_SHARD, LEAST_SHARDS, BROADCAST = 100_000, 256, 64 << 20
+#: Distinct keys of a shard; shards at least, so that their tasks are even; bytes of cascades that may be broadcast; keys that a task asks beyond.
+PER_SHARD, LEAST_SHARDS, BROADCAST, ASKED = 100_000, 256, 64 << 20, 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -102,8 +103,8 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
-def cascades(space: Workspace, keys: DataFrame) -> tuple[int, DataFrame, DataFrame]:
-    """(shards, cascade of each shard, universe h1, h2, shard, listed) of ``keys`` (key string, listed boolean); a key is listed if any of its rows is."""
+def cascades(space: Workspace, keys: DataFrame) -> tuple[int, DataFrame]:
+    """(shards, cascade of each shard) of ``keys`` (key string, listed boolean); a key is listed if any of its rows is."""
     h1, h2 = hashes(F.col("key"))
     distinct = keys.groupBy("key").agg(F.max("listed").alias("listed")).select("key", h1.alias("h1"), h2.alias("h2"), "listed")
     distinct = space.table(distinct, "keys")
@@ -111,20 +112,22 @@ def cascades(space: Workspace, keys: DataFrame) -> tuple[int, DataFrame, DataFra
         raise ValueError("two keys have equal hashes")
     shards = max(LEAST_SHARDS, -(-distinct.count() // PER_SHARD))
     universe = distinct.select("h1", "h2", F.pmod(F.col("h1"), F.lit(shards)).cast("long").alias("shard"), "listed")
-    return shards, space.table(universe.groupBy("shard").applyInPandas(_shard_cascade, CASCADE), "cascades"), universe
+    return shards, space.table(universe.groupBy("shard").applyInPandas(_shard_cascade, CASCADE), "cascades")
 
 
-def membership(space: Workspace, pages: DataFrame, keys: Column, universe: DataFrame, shards: int, built: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+def membership(space: Workspace, pages: DataFrame, keys: Column, shards: int, built: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """``pages`` with ``hits``: for each of the row's ``keys`` (array of strings of the universe) whether it is listed.
 
-    The cascades go to all executors while they are within ``broadcast`` bytes; beyond, each shard's
-    keys meet its cascade in one task, and the answers go back to the pages by key.
+    The cascades go to all executors while they are within ``broadcast`` bytes.  Beyond, the pages' keys go to the cascades: rows of
+    a shard are dealt to as many tasks as they need, so that a hot host fills no task, each task asks its shard's cascade, and what
+    is listed goes back by the row's number.  No key is ever joined with the listed ones.
     """
     spark = space.spark
     size = built.select(F.sum(F.expr("aggregate(levels, 0L, (a, x) -> a + octet_length(x.bits))"))).first()[0] or 0
     pages = pages.withColumn("keys", keys)
     if size <= broadcast:
         shared = spark.sparkContext.broadcast(Cascade(shards, built.collect()))
+        space.clear()
 
         @F.arrow_udf("array<boolean>")
         def ask(h1: pa.Array, h2: pa.Array) -> pa.Array:
@@ -134,16 +137,21 @@ def membership(space: Workspace, pages: DataFrame, keys: Column, universe: DataF
 
         return pages.withColumn("hits", ask(F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])))
 
-    def answer(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cascade = Cascade(shards, right.to_dict("records"))
-        a, b = (left[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        return left.assign(hit=cascade.listed(a, b))[["h1", "h2", "hit"]]
+    def answer(asked: pa.Table, cascade: pa.Table) -> pa.Table:
+        own = Cascade(1, [row | {"shard": 0} for row in cascade.to_pylist()])
+        a, b = (asked.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        return asked.filter(pa.array(own.listed(a, b))).select(["row", "at"])
 
-    answers = universe.drop("listed").groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(answer, "h1 long, h2 long, hit boolean")
     numbered = space.table(pages.withColumn("row", F.monotonically_increasing_id()), "numbered")
     asked = numbered.select("row", F.posexplode("keys").alias("at", "key")).select("row", "at", hashes(F.col("key"))[0].alias("h1"), hashes(F.col("key"))[1].alias("h2"))
-    hits = asked.join(answers, ["h1", "h2"]).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits"))
-    return numbered.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<boolean>"))).drop("row")
+    asked = asked.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("long"))
+    parts = space.table(asked.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).alias("parts")), "parts")
+    dealt = asked.join(broadcast_if_small(parts), "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    copies = built.join(broadcast_if_small(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "levels")
+    hits = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(answer, "row long, at int")
+    hits = hits.groupBy("row").agg(F.collect_set("at").alias("places"))  # at most one for each key of the row
+    found = numbered.join(hits, "row", "left")
+    return found.withColumn("hits", F.transform("keys", lambda k, i: F.coalesce(F.array_contains("places", i), F.lit(False)))).drop("row", "places")
 
 
 # ---------------------------------------------------------------- urls
@@ -178,8 +186,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], hosts: DataFr
     ruled = space.spark.createDataFrame([("r" + h + p, True) for _, h, p in rules], "key string, listed boolean")
     listed = hosts.filter("host != ''").select(F.concat(F.lit("h"), F.col("host")).alias("key"), F.lit(True).alias("listed"))
     asked = judged.select(F.explode(keys).alias("key"), F.lit(False).alias("listed"))
-    shards, built, universe = cascades(space, asked.unionByName(listed).unionByName(ruled))
-    found = membership(space, judged, keys, universe, shards, built, broadcast)
+    shards, built = cascades(space, asked.unionByName(listed).unionByName(ruled))
+    found = membership(space, judged, keys, shards, built, broadcast)
     size_of_host = F.create_map(*(F.lit(x) for _, h, p in rules for x in (h + p, len(h))))
     verdict_of = F.create_map(*(F.lit(x) for v, h, p in rules for x in (h + p, v)))
     hits = F.filter("keys", lambda k, i: F.get("hits", i))
