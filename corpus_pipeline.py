@@ -2,7 +2,10 @@
 
 Each stage gets what its predecessor kept and returns the columns of ``documents``
 (the last one returns packed pieces).  ``run`` writes each stage's result to the
-shared folder as Parquet and reads it again for the next.
+shared folder as Parquet, reads it again for the next, and deletes what no later stage reads.
+
+In all stages rows are judged as rows, also where ids repeat or are null; columns beside those of ``documents`` are
+dropped, whatever their names; an empty table gives an empty one; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.llm import minhash, packing, quality, substring, toxicity
-from matchweave.llm.shared import Workspace, bounded_batches, broadcast_if_small, table
+from matchweave.llm.shared import Workspace, bounded_batches, broadcast_if_small, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,12 +26,18 @@ def _documents(found: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that fail."""
-    return _documents(quality.judge(docs, with_text=True, keep=("lang", "source")).filter("kept"), "clean_text")
+    """Documents that the rules keep, without the lines that fail.  A null text has no words, so it goes.
+
+    The verdict goes through a generator, as the optimiser would otherwise judge each text twice: once for the filter, once for the columns.
+    """
+    judged = quality.judge(docs, with_text=True, keep=("lang", "source"))
+    once = judged.select(F.inline_outer(F.array(F.struct("doc_id", "clean_text", "lang", "source", "kept"))))
+    return _documents(once.filter("kept"), "clean_text")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the labels are learned on the documents of this stage."""
+    """Documents that are not predicted toxic; the labels are learned on the documents of this stage.  Null and empty texts get the score
+    of the bias.  Rows with one id share its label; a label without a document is not used."""
     model = toxicity.learn(docs, table(bounded_batches(spark), sf_dir, "labels"), positive=1000, negative=3000)
     return toxicity.score(docs, model, keep=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
@@ -36,25 +45,28 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Of rows with one id the smallest stays; rows with a null id link with nothing and stay.
+    Where ids repeat or are null, rows are numbered first and the smallest number of a group stays, so that different texts with one id all stay.
+    Null and empty texts are no duplicates of anything.
     """
     space = Workspace(bounded_batches(spark), "pipeline-minhash")
+    name = "doc_id"
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        name = "row"
+        docs = space.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     # the ids that go are few beside the texts: while they are small they are sent to these, which then need no shuffle
-    gone = space.table(minhash.near_duplicates(docs, space, n=5, percent=80).filter("NOT kept").select("doc_id").distinct(), "gone")
-    named = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*COLUMNS)
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return named
-    once = named.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
-    return once.unionByName(named.filter("doc_id IS NULL"))
+    scope = Workspace(spark, "pipeline-minhash-links")
+    gone = space.table(minhash.near_duplicates(docs, scope, n=5, percent=80, doc_id=name).filter("NOT kept").select(name), "gone")
+    scope.clear()
+    return docs.join(broadcast_if_small(gone), name, "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the words of passages that occur elsewhere too; a document that has none is unchanged."""
+    """Every document without the words of passages that occur elsewhere too; a document that has none is unchanged.  A null text becomes an empty one."""
     return _documents(substring.remove_repeats(docs, Workspace(bounded_batches(spark), "pipeline-substring"), size=35, with_text=True, keep=("lang", "source")), "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each a sequence of a power of two of tokens."""
+    """The pieces of all documents, each a sequence of a power of two of tokens; an empty or null text is one piece, the end id."""
     bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
 
@@ -69,5 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = space.table(stage(spark, docs, sf_dir), f"stage-{number}")
+        with scratch():
+            docs = space.table(stage(spark, docs, sf_dir), f"stage-{number}")
+        if number:
+            space.drop(f"stage-{number - 1}")
     return docs

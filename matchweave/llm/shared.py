@@ -18,19 +18,41 @@ MASK = (1 << 64) - 1
 
 
 # ---------------------------------------------------------------- shared tables
+_SCOPES: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end the tables of all workspaces that were made inside it; what is kept must have been written elsewhere."""
+    made: list[Workspace] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for space in made:
+            space.clear()
+
+
 class Workspace:
     """Tables in the folder that the cluster shares, to cut lineage and to survive lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a local temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a local temporary folder takes its
+    place if the session is local too (tests, a laptop); a session on a cluster without it is refused.
     ``drop`` deletes a table that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/matchweave-checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.gettempdir() + "/matchweave-checkpoints"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.written: list[str] = []
+        for scope in _SCOPES:
+            scope.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read back with its own schema."""
@@ -41,7 +63,9 @@ class Workspace:
 
     def clear(self, *keep: str) -> None:
         """Deletes all tables written so far but those named."""
-        self.drop(*(n for n in self.written if n not in keep))
+        names = dict.fromkeys(n for n in self.written if n not in keep)
+        if names:
+            self.drop(*names)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
@@ -174,10 +198,10 @@ def text_groups(texts: list, limit: int = 1 << 17):
         yield group
 
 
-def block_words(raws: list[bytes], lower: bool = False):
+def block_words(raws: list[bytes], lower: bool = False, second: bool = False):
     """Words of several texts at once: (hashes, starts, ends, bytes, first word of each text and the end)."""
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    h, starts, ends = word_hashes(data, lower)
+    h, starts, ends = word_hashes(data, lower, second)
     offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
     return h, starts, ends, data, np.searchsorted(starts, offsets)
 

@@ -8,6 +8,7 @@ import corpus_pipeline as c
 from matchweave.llm import queries
 from tests.llm.conftest import prose
 from tests.llm.test_texts import toxic_texts
+from tests.llm.test_tokens import colliding
 
 
 @pytest.fixture(scope="module")
@@ -50,9 +51,51 @@ def test_stages(spark, folder, tmp_path):
     assert kept[4] == kept[3]
 
 
-def test_run_equals_its_stages(spark, folder):
+def test_run_equals_its_stages(spark, folder, tmp_path):
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for number, (_, stage) in enumerate(c.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
     out = c.run(spark, folder)
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
+    rows = lambda d: sorted(map(tuple, d.select(*columns).collect()))
+    assert rows(out) == rows(docs) and out.count() > 50 and out.select("sequence_id").distinct().count() == out.count()
+
+
+def test_the_pipeline_is_registered():
+    import __spark_entry__
+
+    assert "pipeline" in __spark_entry__.queries()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, extra string, kept boolean, id long, row long"
+
+
+def odd_rows():
+    """Repeated and null ids, repeated rows, null and empty texts, a long text, a very long word, and columns whose names the stages use."""
+    text = lambda s, n=6: ". ".join(prose(s + k, 14) for k in range(n)) + "."
+    rows = [(1, text(100)), (1, text(200)), (2, text(300)), (2, text(300)), (None, text(400)), (None, text(500)), (3, None), (4, ""), (5, text(5000, 400)), (6, text(700) + " " + "x" * 30000 + " end.")]
+    a, b = colliding(4096)
+    rows += [(7, text(800) + f" {a} end."), (8, text(900) + f" {b} end.")]
+    return [(i, t, "en", "s", len(t or ""), "e", False, 9, 9) for i, t in rows]
+
+
+def test_stages_on_odd_rows(spark, folder):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    names = lambda d: sorted(-1 if r.doc_id is None else r.doc_id for r in d.select("doc_id").collect())
+    quality, toxic, near, repeated, packed = (stage(spark, docs, folder) for _, stage in c.STAGES)
+    assert all(d.columns == columns for d in (quality, toxic, near, repeated))
+    assert names(quality) == [-1, -1, 1, 1, 2, 2, 5, 6, 7, 8]  # nulls and empty texts have no words
+    assert names(near) == [-1, -1, 1, 1, 2, 3, 4, 5, 6, 7, 8]  # of the repeated row one stays, different texts with one id all do
+    assert names(repeated) == names(docs) and {r.doc_id: r.text for r in repeated.collect()}[8] == docs.filter("doc_id = 8").first().text
+    assert [r.text for r in repeated.filter("doc_id = 2").collect()] == ["", ""]  # they repeat each other
+    assert set(names(toxic)) <= set(names(docs)) and sorted(set(names(packed))) == sorted(set(names(docs)))
+
+
+def test_the_quality_verdict_is_computed_once(spark, folder):
+    plan = c.quality_rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("alle rechte vorbehalten") == 1
 
 
 def test_an_empty_table(spark, folder, tmp_path):

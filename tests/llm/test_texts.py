@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from matchweave.llm import chat, quality, queries, toxicity, url_filter
 from tests.llm.conftest import prose
@@ -110,12 +112,21 @@ def test_chat_round_trip(spark, budget):
     assert len(windows) > len(by) + 20
     for w in windows:
         parts = w.formatted.split(chat.OPEN)[1:]
-        if w.n_tokens > budget:  # only a turn that is longer than a span by itself may do that
-            assert sum(not p.startswith("system\n") for p in parts[w.n_repeated :]) <= 1
+        if w.n_tokens > budget:  # only a turn that does not fit by itself may do that
+            assert sum(not p.startswith("system\n") for p in parts) <= 1
         for forbidden in ("</s>", "[INST]"):
             assert forbidden not in w.formatted
     for c in (0, 3, 6):  # a system turn is in every window
         assert all(w.formatted.startswith(chat.OPEN + "system\n") for w in windows if w.conv_id == c)
+    # windows are full: the next window's first own turn would not have fitted
+    sizes = {(r.conv_id, r.at): r.n for r in df.selectExpr("conv_id", "turn", "coalesce(role, '') AS role", "coalesce(text, '') AS text").withColumns({"n": chat.bound_tokens(chat.escape(F.col("text"))), "at": F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))}).collect()}
+    own = {}
+    for w in sorted(windows, key=lambda w: (w.conv_id is not None, w.conv_id or 0, w.window_id)):
+        first = own.get(w.conv_id, 0)
+        if first:
+            assert last_tokens + sizes[w.conv_id, first + 1] > budget
+        own[w.conv_id] = first + w.formatted.count(chat.OPEN) - w.n_repeated
+        last_tokens = w.n_tokens
     assert any(w.n_repeated > 1 for w in windows) and chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
@@ -164,3 +175,24 @@ def test_mean_weights_are_those_of_single_texts():
     texts = ["", "a", "Hello  there\nWorld", "  ", "ß日本 x", prose(1, 40)]
     together = toxicity.mean_weights(texts, weights)
     assert np.allclose(together, [toxicity.mean_weights([t], weights)[0] for t in texts])
+
+
+def test_the_token_bound_against_the_library(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["日本語のテキスト" * 80, "x" * 20000, "The quick brown fox. It isn't 2024-11-26!\n\n  Done", "Größe, naïve, señor", "русский текст", "a  b\t\tc   ", "😀😁", "", "{}[]<>&"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("i", "text", chat.bound_tokens(F.col("text")).alias("n")).collect():
+        assert len(library.encode(r.text, add_special_tokens=False).ids) <= r.n - 4, r.text[:20]
+
+
+def test_a_long_conversation_in_chunks(spark, monkeypatch):
+    rows = [(1, i, "user" if i % 2 else "assistant", "word " * (i % 7)) for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    some = []
+    for size in (3, 256, 1000):
+        monkeypatch.setattr(chat, "CHUNK", size)
+        some.append(sorted((r.window_id, r.formatted) for r in chat.windows(df, budget=100).collect()))
+    assert some[0] == some[1] == some[2] and len(some[0]) > 50
