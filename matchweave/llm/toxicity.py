@@ -12,7 +12,10 @@ over its n-grams, a few vector operations for many texts at once.
 
 Labels are learned from at most ``positive`` and ``negative`` labelled rows of the two classes, a documented bound: those
 with the smallest hash of their id.  Null and empty texts have no n-grams and get the score of the bias
-alone.  Conflicting labels of one id count as the larger; null labels are not used.
+alone.  Conflicting labels of one id count as the larger; null labels and labels of null ids are not used; of rows with one id the
+text with the smallest hash is learned.  Rows are scored one by one, repeated and null ids too; an empty table gives an empty result, and
+without two classes to learn from all texts get the share of class 1.  Texts of any length are taken whole, in memory that grows with
+one text; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -128,6 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: in
     chosen = known.filter("label = 1").orderBy(*order).limit(positive).unionByName(known.filter("label = 0").orderBy(*order).limit(negative))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(doc_id, "id")), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "r.text", "label")
     rows = rows.mapInArrow(_features, f"id {kind}, buckets array<int>, counts array<int>, label int").toArrow()
     rows = rows.sort_by("id")
     target = np.asarray(rows.column("label"), np.int64) if len(rows) else np.zeros(0, np.int64)

@@ -196,3 +196,64 @@ def test_a_long_conversation_in_chunks(spark, monkeypatch):
         monkeypatch.setattr(chat, "CHUNK", size)
         some.append(sorted((r.window_id, r.formatted) for r in chat.windows(df, budget=100).collect()))
     assert some[0] == some[1] == some[2] and len(some[0]) > 50
+
+
+def dense_fit(rows, labels, epochs, steps, batch, rate, start, seed):
+    """``toxicity.fit`` with dense matrices: a bag matrix times all embeddings, and full gradients."""
+    random, n = np.random.default_rng(seed), 1 << toxicity.BITS
+    embedding = random.uniform(-1, 1, (n, toxicity.DIM)) / toxicity.DIM
+    out = random.uniform(-1, 1, (toxicity.DIM, 2)) / toxicity.DIM
+    bias = np.log(np.maximum(np.bincount(labels, minlength=2), 1) / len(labels)) * start
+    seen_e, seen_o, seen_b = np.full(n, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
+    bags = np.zeros((len(rows), n), np.float32)
+    for i, (bucket, count) in enumerate(rows):
+        bags[i, bucket] = toxicity.GAIN * count / (count.sum() + toxicity.PRIOR)
+    for _ in range(max(epochs, -(-steps * batch // len(rows)))):
+        order = random.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            bag = bags[part].astype(np.float64)
+            average = bag @ embedding
+            logits = average @ out + bias
+            p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+            wrong = (p - np.eye(2)[labels[part]]) / len(part)
+            g_e, g_o, g_b = bag.T @ (wrong @ out.T), average.T @ wrong, wrong.sum(0)
+            used = bag.any(0)
+            seen_e[used] += (g_e[used] ** 2).mean(1)
+            embedding[used] -= rate * g_e[used] / np.sqrt(seen_e[used])[:, None]
+            seen_o += g_o**2
+            out -= 0.3 * rate * g_o / np.sqrt(seen_o)
+            seen_b += g_b**2
+            bias -= rate * g_b / np.sqrt(seen_b)
+    return toxicity.GAIN * embedding @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]
+
+
+def bags(texts):
+    counted = (np.unique(np.concatenate([b for b, _ in toxicity.ngram_buckets([t])]), return_counts=True) for t in texts)
+    return [(b, n.astype(np.float32)) for b, n in counted]
+
+
+def test_fit_equals_a_dense_reference():
+    rows = toxic_texts(40, 5)
+    some, labels = bags([t for _, t, _ in rows]), np.array([y for _, _, y in rows])
+    model = toxicity.fit(some, labels, epochs=2, steps=6, batch=16)
+    weights, bias = dense_fit(some, labels, 2, 6, 16, 0.3, 2.0, 7)
+    assert np.allclose(model.weights, weights, rtol=1e-3, atol=1e-3) and np.isclose(model.bias, bias, rtol=1e-4)
+
+
+def test_an_unseen_misspelling_scores_near_its_word():
+    rows = [(i, t, y) for i, t, y in toxic_texts(300, 6)]
+    model = toxicity.fit(bags([t for _, t, _ in rows]), np.array([y for _, _, y in rows]))
+    frame = prose(1, 20)
+    score = lambda *words: model.score([f"{frame} {w} {w} {w}" for w in words])
+    assert not any("wortthless" in t or "patthetic" in t for _, t, _ in rows)
+    known, new, other = score("worthless", "pathetic"), score("wortthless", "patthetic"), score("windowsill", "parallels")
+    assert (new > other).all() and (new - other > 0.5 * (known - other)).all()
+
+
+def test_one_text_of_an_id_is_learned(spark):
+    rows = toxic_texts(120, 8)
+    df = spark.createDataFrame([(i % 40, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows[:40]], "doc_id long, toxic int")
+    models = [toxicity.learn(d, labels) for d in (df, df.repartition(7).orderBy("text"))]
+    assert (models[0].weights == models[1].weights).all()
