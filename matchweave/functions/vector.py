@@ -40,6 +40,29 @@ def project_out(v: Column, basis: Sequence[Sequence[float]], rank: int | None =
     return let(out, normalize)
 
 
+def residual_prefixes(v: Column, basis: Sequence[Sequence[float]], ranks: Sequence[int]) -> Column:
+    """array<struct<rank, v>>: what is left of ``v`` without the first ``rank`` columns of an orthonormal basis, for each rank in ascending order.
+
+    Each prefix goes on from the one before it, so all ranks together cost as much as the largest.
+    """
+    steps = sorted(set(ranks))
+    if steps and steps[-1] > len(basis):
+        raise ValueError("a rank is larger than the basis")
+
+    def without(now: Column, at: int) -> Column:
+        unit = F.array(*(F.lit(float(x)) for x in basis[at]))
+        return let(dot(now, unit), lambda c: F.zip_with(now, unit, lambda a, b: a - c * b))
+
+    def grown(done: int, now: Column, left: list[int]) -> Column:
+        """The prefixes still to come, from the residual of the first ``done`` columns."""
+        if done < left[0]:
+            return let(without(now, done), lambda x: grown(done + 1, x, left))
+        one = F.array(F.struct(F.lit(done).alias("rank"), now.alias("v")))
+        return F.concat(one, grown(done, now, left[1:])) if left[1:] else one
+
+    return grown(0, v, steps)
+
+
 def cosine_basis(dim: int, rank: int) -> list[list[float]]:
     """Orthonormal columns of the discrete cosine transform: a basis that needs no fitting."""
     import math

@@ -1,8 +1,8 @@
 """Similarity joins and mutual nearest neighbours between the two sides of each pair.
 
-The kernel meets each pair's two sides in one task, multiplies them in blocks
-of rows and returns only ranked candidates: rows out grow with K and the number of
-vectors, not with the product of the sides.
+The kernel meets two blocks of bounded size of a pair's sides in one task, multiplies them
+and returns only ranked candidates: rows out grow with K, the number of
+vectors and of blocks, not with the product of the sides.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from matchweave.functions.vector import dot
 
-BLOCK = 512
+#: Rows of a matrix product; rows of a side that one task takes.
+BLOCK, SIDE = 512, 16_384
 
 
 def similarity_join(left: DataFrame, right: DataFrame, pair: str = "pair_idx") -> DataFrame:
@@ -49,10 +50,26 @@ def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return idx[order], flat.reshape(len(idx), -1)[order]
 
 
-def ranked_candidates(left: DataFrame, right: DataFrame, k: int, pair: str = "pair_idx") -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, pair: str, most: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides of each pair in blocks of about ``most`` rows, each block of one side once for each block of the other: columns ``bl`` and ``br``
+    name a cell.  The last value tells whether any pair has several cells; if none has, the sides come back as they are, in one cell each."""
+    sizes = [x.groupBy(pair).agg(F.ceil(F.count("*") / most).alias(n)) for x, n in ((left, "nl"), (right, "nr"))]
+    whole = sizes[0].join(sizes[1], pair)
+    largest = whole.agg(F.greatest(F.max("nl"), F.max("nr"))).first()[0] or 1
+    if largest <= 1:
+        return *(x.withColumns({"bl": F.lit(0).cast("long"), "br": F.lit(0).cast("long")}) for x in (left, right)), False
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    block = lambda n: F.pmod(F.xxhash64("idx"), F.coalesce(F.col(n), F.lit(1)))
+    l = left.join(whole, pair, "left").withColumn("bl", block("nl")).withColumn("br", every("nr")).drop("nl", "nr")
+    r = right.join(whole, pair, "left").withColumn("br", block("nr")).withColumn("bl", every("nl")).drop("nl", "nr")
+    return l, r, True
+
+
+def ranked_candidates(left: DataFrame, right: DataFrame, k: int, pair: str = "pair_idx", most: int = SIDE) -> DataFrame:
     """(pair, left_idx, right_idx, similarity, rank_lr, rank_rl): the k best of each vector in both directions; a rank is null beyond k.
 
-    ``left`` and ``right``: (pair, idx long, v array<double>), all vectors of a pair of one length.
+    ``left`` and ``right``: (pair, idx long, v array<double>), all vectors of a pair of one length.  A pair whose sides are within ``most`` rows is one
+    task; larger ones are cut into cells of two blocks, whose own best k are ranked again over all cells.
     """
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
@@ -69,9 +86,17 @@ def ranked_candidates(left: DataFrame, right: DataFrame, k: int, pair: str = "pa
 
     kind = left.schema[pair].dataType.simpleString()
     # both sides may come from one table: aliases give each its own columns
-    sides = (x.select(F.col(pair).alias(pair), F.col("idx").cast("long").alias("idx"), F.col("v").alias("v")) for x in (left, right))
-    l, r = (x.groupBy(pair) for x in sides)
-    return l.cogroup(r).applyInArrow(run, f"{pair} {kind}, left_idx long, right_idx long, similarity double, rank_lr int, rank_rl int")
+    sides = [x.select(F.col(pair).alias(pair), F.col("idx").cast("long").alias("idx"), F.col("v").alias("v")) for x in (left, right)]
+    l, r, several = dealt(*sides, pair, most)
+    cell = [pair, "bl", "br"]
+    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, left_idx long, right_idx long, similarity double, rank_lr int, rank_rl int")
+    if not several:
+        return found
+    # of each cell's best the best of all: a pair that is among a vector's k best is among them in its cell too
+    again = lambda own, other, has: F.when(F.col(has).isNotNull(), F.row_number().over(Window.partitionBy(pair, own).orderBy(F.col(has).isNull(), F.desc("similarity"), other)))
+    ranks = found.withColumns({"_lr": again("left_idx", "right_idx", "rank_lr"), "_rl": again("right_idx", "left_idx", "rank_rl")})
+    within = ranks.select(pair, "left_idx", "right_idx", "similarity", *(F.when(F.col(f"_{n}") <= k, F.col(f"_{n}")).cast("int").alias(f"rank_{n}") for n in ("lr", "rl")))
+    return within.filter("rank_lr IS NOT NULL OR rank_rl IS NOT NULL")
 
 
 def topk(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -124,8 +149,25 @@ def bilinear_rows(x: Column, y: Column, patch: int, columns: int, rows: int) ->
     return inside, F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
 
 
-def nearest_error(left: DataFrame, right: DataFrame, pair: str = "pair_idx") -> DataFrame:
-    """Per left point the distance to the nearest right point (x, y, z); infinite if the pair has none."""
-    d2 = sum(((F.col(f"l.{c}") - F.col(f"r.{c}")) * (F.col(f"l.{c}") - F.col(f"r.{c}")) for c in "yz"), (F.col("l.x") - F.col("r.x")) * (F.col("l.x") - F.col("r.x")))
-    joined = left.alias("l").join(right.alias("r"), pair, "left")
-    return joined.groupBy(pair, F.col("l.idx").alias("idx")).agg(F.coalesce(F.sqrt(F.min(d2)), F.lit(float("inf"))).alias("min_error"))
+def nearest_error(left: DataFrame, right: DataFrame, pair: str = "pair_idx", most: int = SIDE) -> DataFrame:
+    """Per left point (idx, x, y, z; one row for each idx) the distance to the nearest right point; infinite if the pair has none.
+
+    Tasks hold two blocks of at most ``most`` rows and return one row for each left point, never the pairs.
+    """
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        a, b = (np.stack([np.asarray(t.column(c), np.float64) for c in "xyz"], 1) for t in (l, r))
+        best = np.full(len(a), np.inf)
+        if len(b):
+            step = max(1, (1 << 20) // len(b))
+            for low in range(0, len(a), step):
+                d = a[low : low + step, None, :] - b[None, :, :]
+                best[low : low + step] = np.sqrt((d * d).sum(2).min(1))
+        return pa.table({pair: l.column(pair), "idx": l.column("idx"), "min_error": pa.array(best, pa.float64())})
+
+    kind, idx = (left.schema[c].dataType.simpleString() for c in (pair, "idx"))
+    sides = [x.select(F.col(pair).alias(pair), F.col("idx").alias("idx"), *(F.col(c).cast("double").alias(c) for c in "xyz")) for x in (left, right)]
+    l, r, several = dealt(*sides, pair, most)
+    cell = [pair, "bl", "br"]
+    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, idx {idx}, min_error double")
+    return found.groupBy(pair, "idx").agg(F.min("min_error").alias("min_error")) if several else found
