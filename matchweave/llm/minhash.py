@@ -36,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import connected
-from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, mix_other, pair
+from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, lean, mix, mix_other, pair
 
 #: Bands and minima of a band (a pair of similarity 0.8 shares none with a probability of 3e-6), bits kept of each minimum.
 BANDS, ROWS, BITS = 32, 5, 2
 #: Members of a key that are still compared one by one; documents of a block, shingles of a block; shingles that a matrix product takes at once.
-FEW, BLOCK, SHINGLES, COLUMNS = 32, 256, 1 << 20, 8192
+FEW, BLOCK, SHINGLES, COLUMNS = 32, 192, 1 << 19, 4096
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _pack(group: pa.Table) -> pa.Table:
     """A block in one row."""
-    first = {c: group.column(c).take([0]) for c in ("key", "block")}
+    first = {c: group.column(c).take([0]) for c in ("key", "block", "only")}
     flat = lambda c: pa.array([np.asarray(group.column(c).combine_chunks().flatten()).astype(np.int64).tobytes()], pa.binary())
     plain = lambda c: pa.array([group.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary())
     return pa.table({**first, "ids": plain("id"), "cs": plain("c"), "sigs": flat("sig"), "bands": flat("bands")})
@@ -274,35 +274,33 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _sets_of(space: Workspace, docs: DataFrame, ids: DataFrame, n: int, kind: str, name: str) -> DataFrame:
     """(id, shingles) of the ids, as a table."""
     ids = space.table(ids.distinct(), f"{name}-ids")
-    return space.table(docs.join(broadcast_if_small(ids), "id", "left_semi").select("id", "text").mapInArrow(_sets(n), f"id {kind}, shingles binary"), f"{name}-sets")
+    return space.table(docs.join(broadcast_if_small(ids), "id", "left_semi").select("id", "text").mapInArrow(lean(_sets(n)), f"id {kind}, shingles binary"), f"{name}-sets")
 
 
 def _confirm(space: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, kind: str, name: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return space.table(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), f"a {kind}, b {kind}"), f"{name}-links")
+    return space.table(both.select("a", "b", "x", "y").mapInArrow(lean(_compare(percent)), f"a {kind}, b {kind}"), f"{name}-links")
 
 
 def _inside(space: Workspace, members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
-    """Links between different components ``c`` of the ``members`` (key, id, c) of keys with many of them, as a table; enough of them to join what any link joins."""
+    """Links between different components ``c`` of the ``members`` (key, id, n_shingles, c) of keys with many of them, as a table; enough of them to join what any link joins."""
     arrow = pa.int64() if kind == "bigint" else pa.int32()
-    members = space.table(members.join(reps.select("id", "n_shingles"), "id"), "many")
     sized = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / SHINGLES))
     sized = space.table(sized.withColumn("parts", parts), "sized")
     # a large component has blocks of its own, so that they need not be compared with each other; small ones share blocks
-    rest = space.table(sized.groupBy("key").agg(F.greatest(*(F.ceil(F.sum(F.when(F.col("parts") == 1, F.col(c))) / most) for c, most in (("n", BLOCK), ("s", SHINGLES)))).alias("rest")), "rest")
+    rest = sized.groupBy("key").agg(F.greatest(*(F.ceil(F.sum(F.when(F.col("parts") == 1, F.col(c))) / most) for c, most in (("n", BLOCK), ("s", SHINGLES)))).alias("rest"))
     large = F.col("parts") > 1
     own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.col("parts")))
     small = F.xxhash64(F.pmod(F.xxhash64("c"), F.col("rest")), F.lit("small"))
-    placed = members.join(broadcast_if_small(sized).select("key", "c", "parts"), ["key", "c"]).join(broadcast_if_small(rest), "key")
-    placed = space.table(placed.select("id", "key", "c", F.when(large, own).otherwise(small).alias("block"), F.when(large, F.col("c")).alias("only")), "placed")
-    packed = placed.join(reps.select("id", "sig", "bands"), "id").groupBy("key", "block").applyInArrow(_pack, "key long, block long, ids binary, cs binary, sigs binary, bands binary")
+    placed = members.join(broadcast_if_small(sized).select("key", "c", "parts"), ["key", "c"]).join(rest, "key")
+    placed = placed.select("id", "key", "c", F.when(large, own).otherwise(small).alias("block"), F.when(large, F.col("c")).alias("only"))
+    packed = placed.join(reps.select("id", "sig", "bands"), "id").groupBy("key", "block").applyInArrow(_pack, f"key long, block long, only {kind}, ids binary, cs binary, sigs binary, bands binary")
     packed = space.table(packed, "packed")
-    labels = space.table(placed.groupBy("key", "block").agg(F.first("only").alias("only")), "labels")
-    low, high = (labels.select("key", F.col("block").alias(name), F.col("only").alias(f"{name}_only")) for name in ("low", "high"))
+    low, high = (packed.select("key", F.col("block").alias(name), F.col("only").alias(f"{name}_only")) for name in ("low", "high"))
     cells = low.join(high, "key").filter((F.col("low") <= F.col("high")) & ~F.coalesce(F.col("low_only") == F.col("high_only"), F.lit(False)))
-    sides = cells.select("key", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(packed, ["key", "block"])
+    sides = cells.select("key", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(packed.drop("only"), ["key", "block"])
     some = sides.groupBy("key", "low", "high").applyInArrow(_candidates(most_unequal(least_estimate(percent / 100)), arrow), f"key long, low long, high long, id {kind}, c {kind}")
     some = space.table(some, "candidates")
     sets = _sets_of(space, docs, some.select("id"), n, kind, "inside")
@@ -316,11 +314,11 @@ def near_duplicates(docs: DataFrame, space: Workspace, n: int = 5, percent: int
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = space.table(source.mapInArrow(_signatures(n), f"id {kind}, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"), "signed")
+    signed = space.table(source.mapInArrow(lean(_signatures(n)), f"id {kind}, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"), "signed")
     usable = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = space.table(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     reps = space.table(usable.join(classes.withColumnRenamed("rep", "id"), ["id", "s1", "s2", "n_shingles"], "left_semi").dropDuplicates(["id", "s1", "s2", "n_shingles"]).select("id", "n_shingles", "bands", "sig"), "reps")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = space.table(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a"), "shared")
     sig = reps.select("id", "sig")
     floor = least_estimate(percent / 100)
@@ -334,7 +332,7 @@ def near_duplicates(docs: DataFrame, space: Workspace, n: int = 5, percent: int
     found = space.table(connected(space, links, "first-components"), "first-found")
 
     # what is left: pairs of different components that share a key
-    members = keyed.join(shared.select("key"), "key").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    members = keyed.join(shared.select("key"), "key").join(found, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
     members = space.table(members, "members")
     split = space.table(members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m"), "split")
     few = space.table(members.join(split.filter(F.col("m") <= FEW).select("key"), "key").join(sig, "id"), "few")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.pretokens import PieceTable
-from matchweave.llm.shared import no_cycles, text_groups
+from matchweave.llm.shared import lean, no_cycles, text_groups
 
 
 class DocumentIds:
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    pieces = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
+    pieces = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).mapInArrow(lean(run), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length")}).withColumnRenamed("id", doc_id)
 
 

@@ -92,16 +92,16 @@ def pieces(text: str) -> list[str]:
 class PieceTable:
     """What ``make`` gives for pieces, ids as unsigned 32-bit numbers, in a table of a fixed size with one place for each hash.
 
-    A piece is known again by two independent hashes of its bytes (``shared.span_hashes``), 64 and 32 bits of them, and in a
-    block of texts by two of 64 bits; two different pieces are taken for equal with a probability of 2**-96 for a pair of them.
-    A piece with more than ``WIDTH`` ids is made anew each time; a place that another piece needs is overwritten.
+    A piece is known again by its place and two independent hashes of its bytes (``shared.span_hashes``), 85 bits in all, and in a
+    block of texts by two hashes of 64 bits; two different pieces are taken for equal with a probability of 2**-85 for a pair of them.
+    A piece with more than ``WIDTH`` ids, or with one beyond 16 bits, is made anew each time; a place that another piece needs is overwritten.
     """
 
     BITS, WIDTH = 21, 6
 
     def __init__(self, make):
         self.make = make  # list of pieces -> list of arrays of ids
-        self.rows = np.zeros((1 << self.BITS, 4 + self.WIDTH), np.uint32)  # both halves of the first hash, the second, the number of ids (0: free), the ids
+        self.rows = np.zeros((1 << self.BITS, 5 + self.WIDTH), np.uint16)  # 32 bits of both hashes, the number of ids (0: free), the ids
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text and in all, ids of each piece, first piece of each text and the end)."""
@@ -119,9 +119,10 @@ class PieceTable:
         h, second = span_hashes(data, low, high), span_hashes(data, low, high, second=True)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         row = self.rows[slot]
-        name = np.stack((h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), second & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)
-        known = (row[:, 0] == name[:, 0]) & (row[:, 1] == name[:, 1]) & (row[:, 2] == name[:, 2]) & (row[:, 3] > 0)
-        size = row[:, 3].astype(np.int64)
+        name = np.stack((h.astype(np.uint32), second.astype(np.uint32)), 1).view(np.uint16)
+        known = (row[:, :4] == name).all(1) & (row[:, 4] > 0)
+        size = row[:, 4].astype(np.int64)
+        row = row[:, 5:]
         missing = np.flatnonzero(~known)
         apart: dict[int, np.ndarray] = {}
         if len(missing):
@@ -131,21 +132,22 @@ class PieceTable:
             made = self.make([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
             back[other] = len(first) + np.arange(len(other))
             n = np.array([len(x) for x in made], np.int64)
-            short = n <= self.WIDTH
-            packed = np.zeros((len(made), self.WIDTH), np.uint32)
+            short = (n <= self.WIDTH) & np.array([not len(x) or x.max() < 1 << 16 for x in made])
+            packed = np.zeros((len(made), self.WIDTH), np.uint16)
             flat = np.concatenate([x for x, s in zip(made, short.tolist(), strict=True) if s] or [np.zeros(0, np.uint32)])
             packed[short] = _spread(flat, n[short], self.WIDTH)
-            size[missing], row[missing, 4:] = n[back], packed[back]
-            self.rows[slot[at[short]]] = np.concatenate((name[at[short]], n[short, None].astype(np.uint32), packed[short]), 1)
+            size[missing], row[missing] = n[back], packed[back]
+            self.rows[slot[at[short]]] = np.concatenate((name[at[short]], n[short, None].astype(np.uint16), packed[short]), 1)
             for i in np.flatnonzero(~short[back]).tolist():
                 apart[int(missing[i])] = made[back[i]]
         first_piece = np.searchsorted(begin, ends)
         total = np.concatenate(([0], np.cumsum(size)))
         ids = np.zeros(total[-1], np.uint32)
         narrow = size <= self.WIDTH
+        narrow[list(apart)] = False
         for k in range(self.WIDTH):
             has = np.flatnonzero(narrow & (size > k))
-            ids[total[has] + k] = row[has, 4 + k]
+            ids[total[has] + k] = row[has, k]
         for i, x in apart.items():
             ids[total[i] : total[i + 1]] = x
         return ids, total[first_piece], size, first_piece
@@ -153,6 +155,6 @@ class PieceTable:
 
 def _spread(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """Rows of up to ``width`` numbers, padded with zeros, from all their numbers in a row."""
-    out = np.zeros((len(sizes), width), np.uint32)
+    out = np.zeros((len(sizes), width), np.uint16)
     out[np.arange(width) < sizes[:, None]] = flat
     return out

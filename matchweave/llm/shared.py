@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import hashlib
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,6 +208,20 @@ def block_words(raws: list[bytes], lower: bool = False, second: bool = False):
     return h, starts, ends, data, np.searchsorted(starts, offsets)
 
 
+def lean(run):
+    """A function of batches that gives memory back to the system when a task ends, so that an idle worker keeps little beside those that work."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def no_cycles():
     """Pauses the search for reference cycles, which is slow beside large tables of small objects; only for code that leaves no cycles."""

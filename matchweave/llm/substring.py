@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, mix, pair, span_hashes
+from matchweave.llm.shared import Workspace, block_words, blocks, broadcast_if_small, lean, mix, pair, span_hashes
 
 #: Buckets at least; bytes of text for each further one (a bucket then holds at most about 8 million hashes); hashes of a block at least and at most, two a bucket between.
 LEAST_BUCKETS, BYTES_PER_BUCKET, BLOCK, MOST_BLOCK = 256, 64 << 20, 300_000, 4_000_000
@@ -399,22 +399,22 @@ def remove_repeats(docs: DataFrame, space: Workspace, size: int = 35, doc_id: st
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = LEAST_BUCKETS + int(total // BYTES_PER_BUCKET)
 
-    first = space.table(source.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), "kind int, block long, bucket int, data binary"), "anchors")
+    first = space.table(source.select("k1", "k2", "text").mapInArrow(lean(_anchors(size, buckets)), "kind int, block long, bucket int, data binary"), "anchors")
     alive = _compare(space, first, "anchors-alive")
     space.drop("anchors")
     some = broadcast_if_small(alive, binary="bits")
     opened = source.join(some, ["k1", "k2"]).select("id", "k1", "k2", "text", "bits", "extra")
-    second = space.table(opened.mapInArrow(_extend(size, buckets, id_type), rows_schema), "extended")
+    second = space.table(opened.mapInArrow(lean(_extend(size, buckets, id_type)), rows_schema), "extended")
     wider = _compare(space, second, "extended-alive")
     open_ = second.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(broadcast_if_small(wider, binary="bits"), ["k1", "k2"], "left")
-    third = space.table(open_.select("id", "k1", "k2", "n_words", "text", "bits1", F.col("bits").alias("bits2"), "extra").mapInArrow(_full_windows(size, buckets, id_type), rows_schema), "full")
+    third = space.table(open_.select("id", "k1", "k2", "n_words", "text", "bits1", F.col("bits").alias("bits2"), "extra").mapInArrow(lean(_full_windows(size, buckets, id_type)), rows_schema), "full")
     repeated = _compare(space, third, "full-alive")
     space.drop("extended", "extended-alive")
     last = third.filter("kind = 0").select("id", "k1", "k2", "n_words", "text", "bits1", "extra").join(broadcast_if_small(repeated, binary="bits"), ["k1", "k2"], "left").select("id", "n_words", "text", "bits1", "bits", "extra")
     columns = ["id", "extra", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     made = f"id {kind}, extra string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    whole = source.join(some, ["k1", "k2"], "left_anti").select("id", "extra", "text").mapInArrow(_whole(with_text), made)
-    out = whole.unionByName(last.mapInArrow(_cut(size, with_text), made))
+    whole = source.join(some, ["k1", "k2"], "left_anti").select("id", "extra", "text").mapInArrow(lean(_whole(with_text)), made)
+    out = whole.unionByName(last.mapInArrow(lean(_cut(size, with_text)), made))
     if keep:
         handed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
         out = out.select(*columns, F.from_json("extra", handed).alias("handed")).select(*columns, *(F.col(f"handed.`{c}`") for c in keep))

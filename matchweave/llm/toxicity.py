@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.shared import SPACE_CODES, text_groups
+from matchweave.llm.shared import SPACE_CODES, lean, text_groups
 
 #: n-gram lengths, log2 of the buckets, embedding size, the gain of the average (it keeps gradients of long texts from vanishing),
 #: and n-grams of weight 0 that every text has besides its own (they keep a few words from deciding).
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: in
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(doc_id, "id")), "id")
     rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "r.text", "label")
-    rows = rows.mapInArrow(_features, f"id {kind}, buckets array<int>, counts array<int>, label int").toArrow()
+    rows = rows.mapInArrow(lean(_features), f"id {kind}, buckets array<int>, counts array<int>, label int").toArrow()
     rows = rows.sort_by("id")
     target = np.asarray(rows.column("label"), np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(np.unique(target)) < 2:  # nothing to tell apart: the share of class 1, for every text
