@@ -1,13 +1,16 @@
-"""Stratified selection with stable hashes: quotas, orientations, partitions."""
+"""Stratified selection with stable hashes: quotas, orientations, partitions.
+
+Objects (the strata of a split) are few, some tens to thousands: tables with one row for each of them may be ordered as a whole.  Tables of edges never are.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions.text import stable_hash
@@ -41,75 +44,184 @@ def half_sizes(objects: DataFrame, size: str = "size", name: str = "object") ->
     return keyed.withColumns({"_p": place, "_m": missing}).select(name, size, (F.floor(F.col(size) / 2) + (odd & (F.col("_p") <= F.col("_m"))).cast("int")).cast("long").alias("half"))
 
 
-def sub_quotas(bins: DataFrame, target: int) -> DataFrame:
-    """(object, bin, sub_bin, raw) with ``allocated``: one unit at a time goes to the sub-bin that is furthest behind its share."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sub_bin")
-        raw = pdf["raw"].tolist()
-        got, total = [0] * len(raw), sum(raw)
-        for _ in range(min(target, total)):
-            open_ = [i for i in range(len(raw)) if got[i] < raw[i]]
-            got[min(open_, key=lambda i: (got[i] * total - target * raw[i], i))] += 1
-        return pdf.assign(allocated=got)
-
-    return bins.groupBy("object", "bin").applyInPandas(run, "object string, bin string, sub_bin long, raw long, allocated long")
+def sub_quotas(bins: DataFrame, target: Column | int, strict: bool = True) -> DataFrame:
+    """(object, bin, sub_bin, raw, capacity, allocated): ``target`` units of each (object, bin) in proportion to raw, within what both sides hold.
+
+    ``bins``: object, bin, sub_bin, raw, and the edges that either side offers, left and right.  A sub-bin's unit number j (from 0) is due at
+    ``j * total - target * raw``, where total is the raw count of the bin; the units that are due first are given, of equal ones the lowest
+    sub-bin's.  As a sub-bin's own units follow each other in this order, nothing is dealt one by one.  With ``strict`` a bin that cannot hold
+    its target is an error, else it gets what it holds.
+    """
+    keys, target = ["object", "bin"], F.lit(target) if isinstance(target, int) else target
+    per = Window.partitionBy(*keys)
+    rows = bins.withColumn("capacity", F.least("left", "right")).withColumns({"_total": F.sum("raw").over(per), "_room": F.sum("capacity").over(per), "_target": target.cast("long")})
+    if strict:
+        problem = F.format_string("%s/%s: %d edges for a quota of %d", *(F.col(c).cast("string") for c in keys), "_room", "_target")
+        rows = rows.withColumn("_target", F.when(F.col("_room") < F.col("_target"), F.raise_error(problem).cast("long")).otherwise(F.col("_target")))
+    numbers = F.sequence(F.lit(0).cast("long"), F.least("capacity", "_target") - 1)
+    units = rows.filter(F.least("capacity", "_target") > 0).select(*keys, "sub_bin", "raw", "_total", "_target", F.explode(numbers).alias("unit"))
+    due = F.row_number().over(per.orderBy(F.col("unit") * F.col("_total") - F.col("_target") * F.col("raw"), "sub_bin"))
+    given = units.withColumn("_n", due).filter(F.col("_n") <= F.col("_target")).groupBy(*keys, "sub_bin").agg(F.count("*").alias("allocated"))
+    return rows.select(*keys, "sub_bin", "raw", "capacity", "_target").join(given, [*keys, "sub_bin"], "left").select(*keys, "sub_bin", "raw", "capacity", F.when(F.col("_target") >= 0, F.coalesce("allocated", F.lit(0))).cast("long").alias("allocated"))
+
+
+def capacity_report(edges: DataFrame, sides: DataFrame, quotas: DataFrame, allocated: DataFrame) -> DataFrame:
+    """Per object and bin: quota, raw edges, edges inside each side, images of each side, and the sub-bins' quotas in order, joined by ``;``.
+
+    edges: object, bin, low, high.  sides: object, image, side (0 or 1).  quotas: object, bin, quota.  allocated: object, bin, sub_bin, allocated.
+    """
+    a, b = (sides.select("object", F.col("image").alias(c), F.col("side").alias(f"{c}_side")) for c in ("low", "high"))
+    inside = lambda s: F.sum(((F.col("low_side") == s) & (F.col("high_side") == s)).cast("long"))
+    counts = edges.join(a, ["object", "low"]).join(b, ["object", "high"]).groupBy("object", "bin").agg(F.count("*").alias("raw_edges"), inside(0).alias("edges_0"), inside(1).alias("edges_1"))
+    images = sides.groupBy("object").agg(*(F.sum((F.col("side") == s).cast("long")).alias(f"images_{s}") for s in (0, 1)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sub_bin", "allocated"))), lambda x: x["allocated"].cast("string"))  # as many as a bin has sub-bins
+    parts = allocated.groupBy("object", "bin").agg(F.array_join(ordered, ";").alias("sub_bin_quotas"))
+    return quotas.join(counts, ["object", "bin"], "left").join(images, "object", "left").join(parts, ["object", "bin"], "left").fillna(0, ["raw_edges", "edges_0", "edges_1", "images_0", "images_1"])
 
 
 def _seed(*tokens) -> int:
     return int.from_bytes(hashlib.sha256(":".join(map(str, tokens)).encode()).digest()[:8], "big")
 
 
-def low_degree_edges(edges: DataFrame, quota: int, trials: int = 16, caps: Sequence[int] = (4, 6), seed: str = "edges") -> DataFrame:
-    """Per object ``quota`` edges (object, low, high) of small degree: in several seeded trials the edge with the least used ends
-    is taken next; the trial with the smallest greatest degree, then the smallest sum of squares, wins."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        every = sorted(set(zip(pdf["low"], pdf["high"], strict=True)))
-        best = None
-        for cap in caps:
-            for trial in range(trials):
-                order = every[:]
-                random.Random(_seed(seed, key[0], cap, trial)).shuffle(order)
-                degree: dict = {}
-                chosen = []
-                while len(chosen) < quota:
-                    free = [(max(degree.get(a, 0), degree.get(b, 0)), degree.get(a, 0) + degree.get(b, 0), i) for i, (a, b) in enumerate(order) if max(degree.get(a, 0), degree.get(b, 0)) < cap]
-                    if not free:
-                        break
-                    a, b = order.pop(min(free)[2])
-                    chosen.append((a, b))
-                    degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-                rank = (-len(chosen), max(degree.values(), default=0), sum(d * d for d in degree.values()), sorted(chosen))
-                best = min(best, rank) if best else rank
-            if best and -best[0] == quota:
-                break
-        return pd.DataFrame([(key[0], a, b) for a, b in best[3]], columns=["object", "low", "high"])
-
-    return edges.groupBy("object").applyInPandas(run, edges.select("object", "low", "high").schema)
-
-
-def partition_search(edges: DataFrame, halves: DataFrame, trials: int = 64, seed: str = "partition") -> DataFrame:
-    """(object, image, side): of several seeded partitions of each object's images into ``half`` and the rest, the one that keeps
-    most edges on the poorer side, then most in all, then by hash."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        images = sorted(set(pdf["low"]) | set(pdf["high"]))
-        pairs = list(zip(pdf["low"], pdf["high"], strict=True))
-        half = int(pdf["half"].iloc[0])
-        best = None
+def _own(rows: DataFrame, *names: str) -> DataFrame:
+    """Columns of a side by aliases of their own, as both sides may come from one table."""
+    return rows.select(*(F.col(n).alias(n) for n in names))
+
+
+class Unfeasible(ValueError):
+    pass
+
+
+def _take(low: np.ndarray, high: np.ndarray, target: int, own: np.ndarray, total: np.ndarray, rng: np.random.Generator) -> list[int]:
+    """``target`` of some edges, one after the other the one whose ends are used least: by the larger degree in the bin (``own``), the larger
+    in all bins (``total``), then the squares of both, then by chance.  Both counts are updated."""
+    open_, chosen = np.ones(len(low), bool), []
+    for _ in range(target):
+        at = np.flatnonzero(open_)
+        (a, b), (c, d) = ((x[low[at]] + 1, x[high[at]] + 1) for x in (own, total))
+        keys = np.stack((np.maximum(a, b), np.maximum(c, d), a * a + b * b, c * c + d * d))
+        for n in range(len(keys)):
+            best = keys[n] == keys[n].min()
+            at, keys = at[best], keys[:, best]
+        pick = int(at[rng.integers(len(at))])
+        open_[pick] = False
+        chosen.append(pick)
+        for x in (own, total):
+            x[low[pick]] += 1
+            x[high[pick]] += 1
+    return chosen
+
+
+def low_degree_edges(edges: DataFrame, quotas: DataFrame, trials: int = 192, most_in_bin: int = 4, most: int = 6, seed: str = "edges", every: bool = False) -> DataFrame:
+    """Selections of edges of small degree: (object, candidate, bin, sub_bin, low, high, max_bin_degree, max_degree, bin_squares, squares, unused).
+
+    edges: object, bin, sub_bin, low, high.  quotas: object, bin, sub_bin, target.  In each seeded trial the sub-bins take their edges in
+    turn, scarce ones first.  Selections that use an image more than ``most_in_bin`` times in a bin or ``most`` times in all
+    are not feasible; ``every`` returns all feasible ones (equal ones once), else the one with the smallest degrees.  A sub-bin
+    with fewer edges than its target, and an object without a feasible selection, are errors.  An object's edges are one task's work.
+    """
+
+    def run(key, pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["bin", "sub_bin", "low", "high"]).sort_values(["bin", "sub_bin", "low", "high"], ignore_index=True)
+        images = pd.Index(pd.unique(pd.concat([pdf["low"], pdf["high"]]))).sort_values()
+        low, high = images.get_indexer(pdf["low"]), images.get_indexer(pdf["high"])
+        bins = {b: i for i, b in enumerate(sorted(set(pdf["bin"]) | set(wanted["bin"])))}
+        groups = []
+        for b, s, target in sorted(zip(wanted["bin"], wanted["sub_bin"], wanted["target"], strict=True)):
+            here = np.flatnonzero((pdf["bin"] == b) & (pdf["sub_bin"] == s))
+            if len(here) < target:
+                raise Unfeasible(f"{key[0]}/{b}/{s}: {len(here)} edges for a quota of {target}")
+            if target:
+                groups.append((len(here) / target, bins[b], int(target), here))
+        found = {}
         for trial in range(trials):
-            order = images[:]
-            random.Random(_seed(seed, key[0], trial)).shuffle(order)
-            side = set(order[:half])
-            kept = [sum(a in side and b in side for a, b in pairs), sum(a not in side and b not in side for a, b in pairs)]
-            rank = (-min(kept), -sum(kept), _seed(seed, key[0], trial), sorted(side))
-            best = min(best, rank) if best else rank
-        chosen = set(best[3])
-        return pd.DataFrame([(key[0], i, int(i in chosen)) for i in images], columns=["object", "image", "side"])
-
-    image = edges.schema["low"].dataType.simpleString()
-    return edges.join(halves.select("object", "half"), "object").groupBy("object").applyInPandas(run, f"object string, image {image}, side int")
+            rng = np.random.default_rng(_seed(seed, key[0], trial))
+            own, total, chosen = np.zeros((len(bins), len(images)), np.int64), np.zeros(len(images), np.int64), []
+            for i in np.lexsort((rng.random(len(groups)), [g[0] for g in groups])).tolist():
+                _, b, target, here = groups[i]
+                chosen += here[_take(low[here], high[here], target, own[b], total, rng)].tolist()
+            name = tuple(sorted(chosen))
+            found.setdefault(name, (int(own.max(initial=0)), int(total.max(initial=0)), int((own * own).sum()), int((total * total).sum()), int((total == 0).sum())))
+        ranked = sorted(found, key=lambda n: (*found[n], _seed(seed, "tie", key[0], *n)))
+        fine = [n for n in ranked if found[n][0] <= most_in_bin and found[n][1] <= most]
+        if not fine:
+            raise Unfeasible(f"{key[0]}: no selection within the degree bounds; the best has {found[ranked[0]]}")
+        parts = []
+        for number, n in enumerate(fine if every else fine[:1]):
+            part = pdf.loc[list(n), ["bin", "sub_bin", "low", "high"]].assign(object=key[0], candidate=number)
+            parts.append(part.assign(**dict(zip(_DEGREES, found[n], strict=True))))
+        return pd.concat(parts)[["object", "candidate", "bin", "sub_bin", "low", "high", *_DEGREES]]
+
+    kinds = {c: edges.schema[c].dataType.simpleString() for c in ("object", "bin", "sub_bin", "low", "high")}
+    schema = f"object {kinds['object']}, candidate long, bin {kinds['bin']}, sub_bin {kinds['sub_bin']}, low {kinds['low']}, high {kinds['high']}, " + ", ".join(f"{d} long" for d in _DEGREES)
+    sides = _own(edges, "object", "bin", "sub_bin", "low", "high").groupBy("object"), _own(quotas, "object", "bin", "sub_bin", "target").groupBy("object")
+    return sides[0].cogroup(sides[1]).applyInPandas(run, schema)
+
+
+_DEGREES = ("max_bin_degree", "max_degree", "bin_squares", "squares", "unused")
+#: Terms of a partition's score, in the order in which they count; all are integers, smaller is better.
+SCORE = ("deficit", "support_deficit", "shortfall", "split_imbalance", "size_imbalance", "camera_imbalance", "imbalance", "deviation")
+
+
+def partition_scores(side: np.ndarray, low: np.ndarray, high: np.ndarray, cell: np.ndarray, bin_of_cell: np.ndarray, quota: np.ndarray, strata: Sequence[np.ndarray], slack: int = 4) -> np.ndarray:
+    """SCORE of many partitions at once: ``side`` is (trials, images) with True for the first side.
+
+    low, high: image numbers of the edges; cell: their number of (bin, sub-bin); bin_of_cell: each cell's bin; quota: of each bin;
+    strata: for each of the three attributes the images' class numbers.
+    """
+    n_cells, n_bins, million = len(bin_of_cell), len(quota), 1_000_000
+    to_cell, to_bin = np.eye(n_cells, dtype=np.int64)[cell].reshape(-1, n_cells), np.eye(n_bins, dtype=np.int64)[bin_of_cell].reshape(-1, n_bins)
+    first, second = ((x[:, low] & x[:, high]).astype(np.int64) @ to_cell for x in (side, ~side))
+    a, b, common = first @ to_bin, second @ to_bin, np.minimum(first, second) @ to_bin
+    total = to_cell.sum(0) @ to_bin
+    short = lambda want, have: np.maximum(0, want - have).sum(1)
+    support = short(quota, common)
+    part = lambda x: x * million // np.maximum(total, 1)
+    balance = [np.abs((2 * side.astype(np.int64) - 1) @ np.eye(s.max(initial=-1) + 1, dtype=np.int64)[s]).sum(1) for s in strata]
+    terms = [
+        short(quota + slack, a) + short(quota + slack, b) + support, support, short(quota + slack + 1, a) + short(quota + slack + 1, b), *balance,
+        part(np.abs(a - b)).sum(1), part(np.abs(4 * a - total) + np.abs(4 * b - total)).sum(1),
+    ]
+    return np.stack(terms, 1)
+
+
+def partition_search(edges: DataFrame, halves: DataFrame, quotas: DataFrame, images: DataFrame, trials: int = 4096, slack: int = 4, seed: str = "partition", strict: bool = True) -> DataFrame:
+    """(object, image, side, SCORE): of many seeded partitions of each object's images into ``half`` and the rest, the one with the smallest score, then hash.
+
+    edges: object, bin, sub_bin, low, high.  halves: object, half.  quotas: object, bin, quota.  images: object, image, split, height,
+    width, camera.  The first partition takes the first images by name.  With ``strict`` an object whose best deficit is not 0 is an error.
+    An object is one task's work; its partitions are scored in blocks.
+    """
+
+    def run(key, pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        about = about.sort_values("image", ignore_index=True)
+        names = pd.Index(about["image"])
+        low, high = names.get_indexer(pdf["low"]), names.get_indexer(pdf["high"])
+        cells = pd.MultiIndex.from_frame(pdf[["bin", "sub_bin"]])
+        cell, kinds = cells.factorize()
+        bins = pdf[["bin", "quota"]].drop_duplicates().sort_values("bin", ignore_index=True)
+        bin_of_cell = pd.Index(bins["bin"]).get_indexer([b for b, _ in kinds])
+        strata = [pd.MultiIndex.from_frame(about[list(c)]).factorize()[0] for c in (("split",), ("height", "width"), ("camera",))]
+        half, rng, best = int(pdf["half"].iloc[0]), np.random.default_rng(_seed(seed, key[0])), None
+        for at in range(0, trials, 256):
+            side = np.zeros((min(256, trials - at), len(names)), bool)
+            for t in range(len(side)):
+                side[t, np.arange(half) if at + t == 0 else rng.permutation(len(names))[:half]] = True
+            scores = partition_scores(side, low, high, cell, bin_of_cell, bins["quota"].to_numpy(np.int64), strata, slack)
+            least = min(map(tuple, scores.tolist()))
+            for t in np.flatnonzero((scores == least).all(1)).tolist():
+                rank = (*least, _seed(seed, "tie", key[0], *names[side[t]]))
+                if best is None or rank < best[0]:
+                    best = rank, side[t].copy()
+        if strict and best[0][0]:
+            raise Unfeasible(f"{key[0]}: the best partition has the score {best[0][:-1]}")
+        return pd.DataFrame({"object": key[0], "image": names, "side": best[1].astype(np.int32)}).assign(**dict(zip(SCORE, best[0], strict=False)))
+
+    name, image = (images.schema[c].dataType.simpleString() for c in ("object", "image"))
+    whole = edges.select("object", "bin", "sub_bin", "low", "high").join(halves.select("object", "half"), "object").join(quotas.select("object", "bin", "quota"), ["object", "bin"])
+    schema = f"object {name}, image {image}, side int, " + ", ".join(f"{t} long" for t in SCORE)
+    whole = _own(whole, "object", "bin", "sub_bin", "low", "high", "half", "quota")
+    return whole.groupBy("object").cogroup(_own(images, "object", "image", "split", "height", "width", "camera").groupBy("object")).applyInPandas(run, schema)
 
 
 def partition_score(edges: DataFrame, sides: DataFrame) -> DataFrame:
@@ -129,6 +241,15 @@ def joint_choice(left: DataFrame, right: DataFrame, score: Sequence[str], name:
     return joined.groupBy(name).agg(F.min(key).alias("best")).select(name, "best.*")
 
 
-def ring_shuffle(rows: DataFrame, seed: str, tokens: Sequence[str]) -> DataFrame:
-    """Rows with a number from 1 in an order that only the seed decides."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(stable_hash(seed, *(F.col(t) for t in tokens)), *tokens)))
+def ring_shuffle(rows: DataFrame, seed: str, tokens: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """Rows with a number from 1 in an order that only the seed decides.
+
+    The hash's leading part deals the rows to buckets, which are ordered each by itself; a bucket's first number is the count of the rows in
+    those before it, so no task sees all rows.
+    """
+    keyed = rows.withColumn("_h", stable_hash(seed, *(F.col(t) for t in tokens)))
+    keyed = keyed.withColumn("_b", F.floor(F.col("_h").cast("double") / 2.0**64 * buckets).cast("int"))
+    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    ahead = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_ahead"))  # one row for each bucket
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *tokens))
+    return keyed.withColumn("_place", place).join(F.broadcast(ahead), "_b").withColumn("ordinal", F.col("_ahead") + F.col("_place")).drop("_h", "_b", "_place", "_ahead")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchweave.functions import geometry as g
 from matchweave.functions import text
-from matchweave.operators import checks, frontier, graph, metrics, sampling
+from matchweave.operators import checks, frontier, graph, metrics, sampling, splits
 from matchweave.plans.registry import r6, registered
 from matchweave.sources import adapters, readers
 
@@ -265,30 +266,134 @@ def half_sizes(spark, sf_dir):
     return sampling.half_sizes(adapters.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("object")).agg(F.count("*").alias("size")))
 
 
+BINS = {"near": (0.0, 15.0), "mid": (15.0, 30.0), "far": (30.0, 45.0)}
+
+
 def _objects(spark, sf_dir):
-    """Edges between suppliers that deliver neighbouring parts of one brand."""
+    """Edges between images: parts of a brand in 40 groups, suppliers in 40 groups; bin and sub-bin follow the part's and supplier's keys."""
     l = adapters.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     brand = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("object"))
-    e = l.join(brand, "l_partkey").select("object", (F.col("l_partkey") % 40).alias("low"), (F.col("l_suppkey") % 40 + 40).alias("high"))
-    return e.distinct()
+    low, high = F.col("l_partkey") % 40, F.col("l_suppkey") % 40 + 40
+    e = l.join(brand, "l_partkey").select("object", low.alias("low"), high.alias("high"))
+    return e.distinct().withColumns({"bin": F.concat(F.lit("b"), ((F.col("low") + F.col("high")) % 2).cast("string")), "sub_bin": F.floor(F.col("high") / 2) % 2})
+
+
+def _quotas(edges, share=40):
+    """A quota for each bin of an object, and its parts by sub-bin, in proportion to the edges."""
+    raw = edges.groupBy("object", "bin", "sub_bin").agg(F.count("*").alias("raw")).withColumns({"left": F.col("raw"), "right": F.col("raw")})
+    allocated = sampling.sub_quotas(raw, F.greatest(F.lit(1), F.floor(F.sum("raw").over(Window.partitionBy("object", "bin")) / share)))
+    return allocated.groupBy("object", "bin").agg(F.sum("allocated").alias("quota")), allocated
 
 
 @registered()
 def partition_search(spark, sf_dir):
+    """Each object's images in two halves, with the score of the best of 4,096 partitions."""
     e = _objects(spark, sf_dir)
-    halves = sampling.half_sizes(e.select("object", F.explode(F.array("low", "high")).alias("i")).distinct().groupBy("object").agg(F.count("*").alias("size")))
-    return sampling.partition_score(e, sampling.partition_search(e, halves, trials=4096))
+    images = e.select("object", F.explode(F.array("low", "high")).alias("image")).distinct()
+    halves = sampling.half_sizes(images.groupBy("object").agg(F.count("*").alias("size")))
+    about = images.withColumns({"split": F.col("image") % 2, "height": 480 + F.col("image") % 3, "width": F.lit(640), "camera": F.col("image") % 5})
+    found = sampling.partition_search(e, halves, _quotas(e)[0], about, trials=4096, strict=False)
+    return found.select("object", F.col("image").cast("long").alias("image"), "side", *sampling.SCORE)
 
 
 @registered()
 def low_degree_edges(spark, sf_dir):
-    return sampling.low_degree_edges(_objects(spark, sf_dir), quota=12, trials=192)
+    """Each object's selection of the smallest degrees, of 192 trials."""
+    e = _objects(spark, sf_dir)
+    wanted = _quotas(e)[1].select("object", "bin", "sub_bin", F.col("allocated").alias("target"))
+    return sampling.low_degree_edges(e, wanted, trials=192, most_in_bin=8, most=12)
 
 
-@registered()
+UNITS = """raw AS (SELECT o_orderpriority AS object, CASE WHEN d < 15 THEN 'near' WHEN d < 30 THEN 'mid' ELSE 'far' END AS bin, floor((d - CASE WHEN d < 15 THEN 0 WHEN d < 30 THEN 15 ELSE 30 END) / 5)::BIGINT AS sub_bin, count(*) AS raw,
+  count(*) FILTER (o_custkey % 2 = 0) AS l, count(*) FILTER (o_custkey % 2 = 1) AS r FROM (SELECT *, (cast(round(o_totalprice * 100) AS BIGINT) % 4500)::DOUBLE / 100 AS d FROM orders) GROUP BY ALL),
+cap AS (SELECT *, least(l, r) AS capacity, sum(raw) OVER (PARTITION BY object, bin) AS total FROM raw),
+unit AS (SELECT *, row_number() OVER (PARTITION BY object, bin ORDER BY j * total - 40 * raw, sub_bin) AS due FROM (SELECT *, unnest(range(0, capacity)) AS j FROM cap)),
+given AS (SELECT c.object, c.bin, c.sub_bin, c.raw, c.capacity, (SELECT count(*) FROM unit u WHERE u.object = c.object AND u.bin = c.bin AND u.sub_bin = c.sub_bin AND u.due <= 40) AS allocated FROM cap c)"""
+
+
+def _sided(spark, sf_dir):
+    """Results as edges of an object, of both sides of a split: an edge's distance gives its bin."""
+    e = splits.object_bins(adapters.results(spark, sf_dir).select(F.col("dataset").alias("object"), "custkey", "pair_idx", F.col("err").alias("distance")), BINS)
+    return e.withColumn("side", F.col("custkey") % 2)
+
+
+def _allocated(spark, sf_dir):
+    rows = _sided(spark, sf_dir).groupBy("object", "bin", "sub_bin").agg(F.count("*").alias("raw"), *(F.sum((F.col("side") == s).cast("long")).alias(n) for s, n in ((0, "left"), (1, "right"))))
+    return sampling.sub_quotas(rows, 40)
+
+
+@registered(f"WITH {UNITS} SELECT object, bin, sub_bin, raw, capacity, allocated FROM given")
 def sub_bin_quotas(spark, sf_dir):
-    o = adapters.results(spark, sf_dir).select(F.col("dataset").alias("object"), F.lit("all").alias("bin"), F.floor(F.col("err") / 5).alias("sub_bin"))
-    return sampling.sub_quotas(o.groupBy("object", "bin", "sub_bin").agg(F.count("*").alias("raw")), 100)
+    return _allocated(spark, sf_dir).select("object", "bin", F.col("sub_bin").cast("long").alias("sub_bin"), "raw", "capacity", "allocated")
+
+
+@registered(
+    f"""WITH {UNITS}, e AS (SELECT DISTINCT o_orderpriority AS object, o_custkey AS low, o_custkey + 2 * (o_orderkey % 3) - 2 AS high, o_orderkey % 2 AS b FROM orders),
+i AS (SELECT DISTINCT object, image, image % 2 AS side FROM (SELECT object, low AS image FROM e UNION ALL SELECT object, high FROM e)),
+c AS (SELECT object, b, count(*) AS raw_edges, count(*) FILTER (low % 2 = 0 AND high % 2 = 0) AS edges_0, count(*) FILTER (low % 2 = 1 AND high % 2 = 1) AS edges_1 FROM e GROUP BY ALL),
+n AS (SELECT object, count(*) FILTER (side = 0) AS images_0, count(*) FILTER (side = 1) AS images_1 FROM i GROUP BY ALL),
+q AS (SELECT object, bin, string_agg(allocated::VARCHAR, ';' ORDER BY sub_bin) AS sub_bin_quotas FROM given GROUP BY ALL)
+SELECT q.object, q.bin, 40::BIGINT AS quota, coalesce(raw_edges, 0) AS raw_edges, coalesce(edges_0, 0) AS edges_0, coalesce(edges_1, 0) AS edges_1, images_0, images_1, sub_bin_quotas
+FROM q LEFT JOIN c ON c.object = q.object AND q.bin = CASE c.b WHEN 0 THEN 'near' ELSE 'mid' END JOIN n ON n.object = q.object"""
+)
+def split_capacity_report(spark, sf_dir):
+    o = adapters.results(spark, sf_dir)
+    e = o.select(F.col("dataset").alias("object"), F.col("custkey").alias("low"), (F.col("custkey") + 2 * (F.col("pair_idx") % 3) - 2).alias("high"), F.when(F.col("pair_idx") % 2 == 0, "near").otherwise("mid").alias("bin")).distinct()
+    sides = e.select("object", F.explode(F.array("low", "high")).alias("image")).distinct().withColumn("side", (F.col("image") % 2).cast("int"))
+    allocated = _allocated(spark, sf_dir)
+    quotas = allocated.select("object", "bin").distinct().withColumn("quota", F.lit(40).cast("long"))
+    return sampling.capacity_report(e, sides, quotas, allocated)
+
+
+# a split in which some promises are broken
+SPLIT = """e AS (SELECT CASE o_custkey % 2 WHEN 0 THEN 'est' ELSE 'cor' END AS family, CASE WHEN d < 15 THEN 'near' WHEN d < 30 THEN 'mid' ELSE 'far' END AS bin, o_orderpriority AS object, o_custkey AS image_1, o_custkey + 2 * (o_orderkey % 4) + 1 AS image_2, d::VARCHAR AS distance, o_orderkey
+  FROM (SELECT *, (cast(round(o_totalprice * 100) AS BIGINT) % 4500) // 100 AS d FROM orders)),
+sel AS (SELECT family, CASE WHEN o_orderkey % 29 = 0 THEN 'near' ELSE bin END AS bin, object, CASE WHEN o_orderkey % 4 = 0 THEN image_2 ELSE image_1 END AS image_1, CASE WHEN o_orderkey % 4 = 0 THEN image_1 ELSE image_2 END AS image_2, distance FROM e),
+src AS (SELECT DISTINCT object, image_1, image_2, distance FROM e WHERE o_orderkey % 31 <> 0), side AS (SELECT DISTINCT image, CASE image % 2 WHEN 0 THEN 'est' ELSE 'cor' END AS family FROM (SELECT image_1 AS image FROM e UNION ALL SELECT image_2 FROM e)),
+quota AS (SELECT o_orderpriority AS object, b.bin, 100::BIGINT AS quota FROM (SELECT DISTINCT o_orderpriority FROM orders), (VALUES ('near'), ('mid'), ('far')) b(bin)), fam(family) AS (VALUES ('est'), ('cor')),
+ends AS (SELECT family, bin, image_1 AS image FROM sel UNION ALL SELECT family, bin, image_2 FROM sel)"""
+
+
+def _split(spark, sf_dir):
+    o = adapters.results(spark, sf_dir)
+    e = o.select(F.when(F.col("custkey") % 2 == 0, "est").otherwise("cor").alias("family"), F.col("dataset").alias("object"), F.col("custkey").alias("image_1"), (F.col("custkey") + 2 * (F.col("pair_idx") % 4) + 1).alias("image_2"), F.floor("err").cast("string").alias("distance"), "pair_idx")
+    e = splits.object_bins(e, BINS)
+    turned = F.col("pair_idx") % 4 == 0
+    selected = e.select("family", F.when(F.col("pair_idx") % 29 == 0, "near").otherwise(F.col("bin")).alias("bin"), "object", F.when(turned, F.col("image_2")).otherwise(F.col("image_1")).alias("image_1"), F.when(turned, F.col("image_1")).otherwise(F.col("image_2")).alias("image_2"), "distance")
+    source = e.filter("pair_idx % 31 <> 0").select("object", "image_1", "image_2", "distance").distinct()
+    sides = e.select(F.explode(F.array("image_1", "image_2")).alias("image")).distinct().withColumn("family", F.when(F.col("image") % 2 == 0, "est").otherwise("cor"))
+    quotas = e.select("object").distinct().select("object", F.explode(F.array(*map(F.lit, BINS))).alias("bin")).withColumn("quota", F.lit(100))
+    images = sides.select("image", (F.col("image") % 3).cast("string").alias("camera"))
+    return selected, source, sides, quotas, images
+
+
+@registered(
+    f"""WITH {SPLIT}, per AS (SELECT family, bin, image, count(*) AS n FROM ends GROUP BY ALL), turned AS (SELECT s.family, s.bin, count(*) FILTER (q.distance IS NULL) AS n FROM sel s LEFT JOIN (SELECT DISTINCT image_1, image_2, distance FROM src) q ON q.image_1 = s.image_1 AND q.image_2 = s.image_2 AND q.distance = s.distance GROUP BY ALL),
+fine AS (SELECT object, bin, floor((distance::DOUBLE - CASE bin WHEN 'near' THEN 0 WHEN 'mid' THEN 15 ELSE 30 END) / 5) AS sub, count(*) FILTER (family = 'est') AS a, count(*) FILTER (family = 'cor') AS b FROM sel GROUP BY ALL)
+SELECT 'images in several families' AS "check", 0::BIGINT AS violations
+UNION ALL SELECT 'pairs of a bin', count(*) FILTER (n <> 500) FROM (SELECT f.family, b.bin, (SELECT count(*) FROM sel s WHERE s.family = f.family AND s.bin = b.bin) AS n FROM fam f, (VALUES ('near'), ('mid'), ('far')) b(bin))
+UNION ALL SELECT 'quotas', count(*) FILTER (n <> 100) FROM (SELECT f.family, q.object, q.bin, (SELECT count(*) FROM sel s WHERE s.family = f.family AND s.bin = q.bin AND s.object = q.object) AS n FROM fam f, quota q)
+UNION ALL SELECT 'duplicate edges', count(*) FROM (SELECT 1 FROM sel GROUP BY family, bin, image_1, image_2 HAVING count(*) > 1)
+UNION ALL SELECT 'edges outside the source', count(*) FROM sel s WHERE NOT EXISTS (SELECT 1 FROM src q WHERE least(q.image_1, q.image_2) = least(s.image_1, s.image_2) AND greatest(q.image_1, q.image_2) = greatest(s.image_1, s.image_2) AND q.distance = s.distance)
+UNION ALL SELECT 'distance outside the bin', count(*) FILTER (bin <> CASE WHEN distance::DOUBLE < 15 THEN 'near' WHEN distance::DOUBLE < 30 THEN 'mid' ELSE 'far' END) FROM sel
+UNION ALL SELECT 'ends in another family', count(*) FROM ends JOIN side ON side.image = ends.image AND side.family <> ends.family
+UNION ALL SELECT 'roles out of balance', count(*) FILTER (n <> 250) FROM turned
+UNION ALL SELECT 'degree in a bin', count(*) FILTER (n > 4) FROM per
+UNION ALL SELECT 'degree in a family', count(*) FROM (SELECT 1 FROM ends GROUP BY family, image HAVING count(*) > 6)
+UNION ALL SELECT 'distance histograms differ', count(*) FILTER (a <> b) FROM fine"""
+)
+def split_validation(spark, sf_dir):
+    return splits.split_problems(*_split(spark, sf_dir), bins=BINS, pairs=500)
+
+
+@registered(
+    f"""WITH {SPLIT}, p AS (SELECT family, bin, object, least(image_1 % 3, image_2 % 3) AS c, greatest(image_1 % 3, image_2 % 3) AS d FROM sel), h AS (SELECT bin, object, c, d, count(*) FILTER (family = 'est') AS a, count(*) FILTER (family = 'cor') AS b FROM p GROUP BY ALL),
+o AS (SELECT bin, object, sum(abs(a - b)) AS l1, coalesce(sum(a) FILTER (c = d), 0) AS sa, coalesce(sum(b) FILTER (c = d), 0) AS sb FROM h GROUP BY ALL)
+SELECT bin, sum(sa)::BIGINT AS same_a, sum(sb)::BIGINT AS same_b, sum(abs(sa - sb))::BIGINT AS same_sum, max(abs(sa - sb))::BIGINT AS same_max, arg_max(object, (abs(sa - sb), object)) AS same_object, sum(l1)::BIGINT AS l1_sum, max(l1)::BIGINT AS l1_max, arg_max(object, (l1, object)) AS l1_object FROM o GROUP BY bin"""
+)
+def split_camera_balance(spark, sf_dir):
+    selected, _, _, _, images = _split(spark, sf_dir)
+    return splits.camera_balance(selected, images, ("est", "cor"))
 
 
 @registered(

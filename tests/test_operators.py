@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions import geometry as g
 from matchweave.functions import text, vector
-from matchweave.operators import checks, frontier, graph, gridfilter, knn, metrics, ransac, sampling, scoring
+from matchweave.operators import checks, frontier, graph, gridfilter, knn, metrics, ransac, sampling, scoring, splits
 from matchweave.plans import reports
 
 
@@ -412,28 +412,125 @@ def test_sampling(spark):
     assert sum(r.half for r in h) == 14 and all(r.half - r.size // 2 in (0, 1) for r in h)
     flips = sampling.balanced_flip(spark.createDataFrame([(i % 2, i) for i in range(11)], "s int, i int"), ["s"], "x", ["i"], bonus=1)
     assert {r.s: r.n for r in flips.filter("flip").groupBy("s").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 3}
-    b = spark.createDataFrame([("o", "b", i, n) for i, n in enumerate([10, 20, 70])], "object string, bin string, sub_bin long, raw long")
+    b = spark.createDataFrame([("o", "b", i, n, n, n + 1) for i, n in enumerate([10, 20, 70])], "object string, bin string, sub_bin long, raw long, left long, right long")
     assert [r.allocated for r in sampling.sub_quotas(b, 10).orderBy("sub_bin").collect()] == [1, 2, 7]
-    e = spark.createDataFrame([("o", i, j) for i in range(8) for j in range(8, 14)], "object string, low long, high long")
-    chosen = sampling.low_degree_edges(e, 12, trials=3).collect()
-    degree = [sum(x in (r.low, r.high) for r in chosen) for x in range(14)]
-    assert len(chosen) == 12 and max(degree) <= 2
-    sides = sampling.partition_search(e, spark.createDataFrame([("o", 7)], "object string, half long"), trials=8)
-    assert sides.groupBy("side").count().collect()[0]["count"] == 7
-    s = sampling.partition_score(e, sides).first()
-    assert s.inside_0 + s.inside_1 + s.cut == 48 and s.common == min(s.inside_0, s.inside_1)
     shuffled = [r.i for r in sampling.ring_shuffle(spark.createDataFrame([(i,) for i in range(20)], "i int"), "s", ["i"]).orderBy("ordinal").collect()]
     assert sorted(shuffled) == list(range(20)) and shuffled != list(range(20))
 
 
+def unit_by_unit(raw, capacity, target):
+    """Sub-bin quotas by dealing one unit after the other."""
+    given = [0] * len(raw)
+    for _ in range(target):
+        free = [i for i in range(len(raw)) if given[i] < capacity[i]]
+        given[min(free, key=lambda i: (given[i] * sum(raw) - target * raw[i], i))] += 1
+    return given
+
+
+def test_sub_quotas_against_dealing_one_by_one(spark):
+    rng = random.Random(3)
+    cases, rows = {}, []
+    for o in range(40):
+        n = rng.randint(1, 8)
+        raw, left, right = ([rng.randint(0, 30) for _ in range(n)] for _ in range(3))
+        raw = [max(x) for x in zip(raw, left, right)]
+        capacity = [min(x) for x in zip(left, right)]
+        cases[f"o{o}"] = raw, capacity, rng.randint(0, sum(capacity))
+        rows += [(f"o{o}", "b", i, *x, cases[f"o{o}"][2]) for i, x in enumerate(zip(raw, left, right))]
+    df = spark.createDataFrame(rows, "object string, bin string, sub_bin long, raw long, left long, right long, target long")
+    got = {}
+    for r in sampling.sub_quotas(df, F.col("target")).orderBy("sub_bin").collect():
+        got.setdefault(r.object, []).append(r.allocated)
+    assert got == {o: unit_by_unit(*c) for o, c in cases.items()}
+    with pytest.raises(Exception, match="edges for a quota of 99"):
+        sampling.sub_quotas(df.filter("object = 'o1'"), 99).collect()
+    assert all(r.allocated == r.capacity for r in sampling.sub_quotas(df.filter("object = 'o1'"), 99, strict=False).collect())
+
+
+def brute_partition_score(side, edges, quota, about, slack=4):
+    """The score of one partition, from its definition; ``side``: images of the first side."""
+    from collections import Counter
+
+    others = set(about) - side
+    deficit = support = shortfall = imbalance = deviation = 0
+    for b, q in quota.items():
+        mine = [e for e in edges if e[0] == b]
+        first, second = ([e for e in mine if e[2] in s and e[3] in s] for s in (side, others))
+        h, k = Counter(e[1] for e in first), Counter(e[1] for e in second)
+        support += max(0, q - sum((h & k).values()))
+        for n in (len(first), len(second)):
+            deficit += max(0, q + slack - n)
+            shortfall += max(0, q + slack + 1 - n)
+        imbalance += abs(len(first) - len(second)) * 1_000_000 // max(len(mine), 1)
+        deviation += sum(abs(4 * len(x) - len(mine)) for x in (first, second)) * 1_000_000 // max(len(mine), 1)
+    strata = []
+    for pick in (lambda a: a[0], lambda a: a[1:3], lambda a: a[3]):
+        h, k = (Counter(pick(about[i]) for i in s) for s in (side, others))
+        strata.append(sum(abs(h[v] - k[v]) for v in h | k))
+    return deficit + support, support, shortfall, *strata, imbalance, deviation
+
+
+def test_partition_search(spark):
+    rng = random.Random(8)
+    about = {i: (rng.choice("ab"), rng.choice([1, 2]), rng.choice([3, 4]), rng.choice("xyz")) for i in range(12)}
+    edges = sorted({(rng.choice("pq"), rng.randint(0, 2), *sorted(rng.sample(range(12), 2))) for _ in range(50)})
+    quota = {"p": 2, "q": 3}
+    e = spark.createDataFrame([("o", *x) for x in edges], "object string, bin string, sub_bin int, low long, high long")
+    images = spark.createDataFrame([("o", i, *a) for i, a in about.items()], "object string, image long, split string, height int, width int, camera string")
+    found = sampling.partition_search(e, spark.createDataFrame([("o", 6)], "object string, half long"), spark.createDataFrame([("o", b, q) for b, q in quota.items()], "object string, bin string, quota long"), images, trials=300, strict=False).collect()
+    side = {r.image for r in found if r.side}
+    assert len(found) == 12 and len(side) == 6
+    best = tuple(found[0][c] for c in sampling.SCORE)
+    assert best == brute_partition_score(side, edges, quota, about)
+    assert best <= min(brute_partition_score(set(rng.sample(range(12), 6)), edges, quota, about) for _ in range(60))
+    with pytest.raises(Exception, match="best partition has the score"):
+        sampling.partition_search(e, spark.createDataFrame([("o", 6)], "object string, half long"), spark.createDataFrame([("o", "p", 99), ("o", "q", 1)], "object string, bin string, quota long"), images, trials=3).collect()
+
+
+def test_low_degree_edges(spark):
+    rows = [("o", f"b{b}", s, i, j) for b in range(2) for s in range(2) for i in range(6) for j in range(6 + s, 12, 2)]
+    e = spark.createDataFrame(rows, "object string, bin string, sub_bin int, low long, high long")
+    wanted = spark.createDataFrame([("o", f"b{b}", s, 3 - s) for b in range(2) for s in range(2)], "object string, bin string, sub_bin int, target long")
+    every = sampling.low_degree_edges(e, wanted, trials=20, every=True).collect()
+    for number in {r.candidate for r in every}:
+        chosen = [r for r in every if r.candidate == number]
+        assert {(b, s): sum(r.bin == f"b{b}" and r.sub_bin == s for r in chosen) for b in range(2) for s in range(2)} == {(b, s): 3 - s for b in range(2) for s in range(2)}
+        degree = [sum(x in (r.low, r.high) for r in chosen) for x in range(12)]
+        own = [sum(x in (r.low, r.high) and r.bin == f"b{b}" for r in chosen) for x in range(12) for b in range(2)]
+        assert (max(own), max(degree), sum(d * d for d in own), sum(d * d for d in degree), degree.count(0)) == tuple(chosen[0][c] for c in sampling._DEGREES)
+        assert max(own) <= 4 and max(degree) <= 6 and len({(r.bin, r.sub_bin, r.low, r.high) for r in chosen}) == 10
+    best = sampling.low_degree_edges(e, wanted, trials=20).collect()
+    assert tuple(best[0][c] for c in sampling._DEGREES) == min(tuple(r[c] for c in sampling._DEGREES) for r in every)
+    for bad, message in (({"most": 0}, "no selection within"), ({}, "edges for a quota")):
+        more = wanted if bad else wanted.withColumn("target", F.lit(99).cast("long"))
+        with pytest.raises(Exception, match=message):
+            sampling.low_degree_edges(e, more, trials=2, **bad).collect()
+
+
+def test_split_of_a_sound_selection(spark):
+    """All promises hold for a small sound split, and each break is found."""
+    bins = {"a": (0.0, 10.0)}
+    source = spark.createDataFrame([("o", 1, 2, "1"), ("o", 3, 4, "2"), ("o", 11, 12, "1"), ("o", 13, 14, "3")], "object string, image_1 long, image_2 long, distance string")
+    rows = [("f", "a", "o", 1, 2, "1"), ("f", "a", "o", 4, 3, "2"), ("g", "a", "o", 11, 12, "1"), ("g", "a", "o", 14, 13, "3")]
+    schema = "family string, bin string, object string, image_1 long, image_2 long, distance string"
+    sides = spark.createDataFrame([(i, "f" if i < 10 else "g") for i in (1, 2, 3, 4, 11, 12, 13, 14)], "image long, family string")
+    quotas, images = spark.createDataFrame([("o", "a", 2)], "object string, bin string, quota long"), sides.selectExpr("image", "'c' AS camera")
+    check = lambda r, s=sides: {x.check for x in splits.split_problems(spark.createDataFrame(r, schema), source, s, quotas, images, bins, 2).collect() if x.violations}
+    assert check(rows) == set()
+    assert check(rows[:3]) == {"pairs of a bin", "quotas", "roles out of balance", "distance histograms differ"}
+    assert check([*rows[:3], ("g", "a", "o", 13, 14, "3")]) == {"roles out of balance"}
+    assert check([*rows[:3], ("g", "a", "o", 14, 13, "8")]) == {"edges outside the source", "distance histograms differ"}
+    assert check([*rows[:3], ("g", "a", "o", 14, 1, "3")]) >= {"edges outside the source", "ends in another family"}
+    assert check(rows, sides.unionByName(spark.createDataFrame([(1, "g")], "image long, family string"))) >= {"images in several families"}
+
+
 def test_partition_queries_take_every_edge(spark, tmp_path):
-    """Parts of every id enter, and each query runs the reference's number of trials."""
+    """Parts of every id enter."""
     rows = [(p, s) for p in range(1, 41) for s in (p, p + 7)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(p, "one") for p in range(1, 41)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     want = {(p % 40, s % 40 + 40) for p, s in rows}
     scored = reports.partition_search(spark, str(tmp_path)).collect()
-    assert [r.inside_0 + r.inside_1 + r.cut for r in scored] == [len(want)]
-    chosen = {(r.low, r.high) for r in reports.low_degree_edges(spark, str(tmp_path)).collect()}
-    edges = spark.createDataFrame([("one", *e) for e in want], "object string, low long, high long")
-    assert chosen == {(r.low, r.high) for r in sampling.low_degree_edges(edges, quota=12, trials=192).collect()} and len(chosen) == 12
+    assert {r.image for r in scored} == {i for e in want for i in e} and sum(r.side for r in scored) == len(scored) // 2
+    chosen = reports.low_degree_edges(spark, str(tmp_path)).collect()
+    assert {(r.low, r.high) for r in chosen} <= want and len(chosen) == 2
