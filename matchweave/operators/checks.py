@@ -90,12 +90,50 @@ def isolate(rows: DataFrame, bad: Column, key: str = "pair_idx") -> DataFrame:
     return rows.withColumn("status", F.when(broken == 1, "skipped").otherwise("success"))
 
 
-def skip_reasons(pairs: DataFrame, edges: DataFrame, least: int = 5) -> DataFrame:
-    """A row for every pair of the list: edges, and why it cannot be estimated, null if it can."""
-    degree = edges.groupBy("pair_idx").agg(F.count("*").alias("n"), F.least(F.countDistinct("left_idx"), F.countDistinct("right_idx")).alias("o2o"), F.max(((F.col("left_idx") < 0) | (F.col("right_idx") < 0)).cast("int")).alias("negative"))
-    joined = pairs.select("pair_idx").join(degree, "pair_idx", "left")
-    reason = F.when(F.col("n").isNull(), "missing_match_file").when(F.col("negative") == 1, "invalid_feature_ids").when(F.col("n") < least, "not_enough_matches").when(F.col("o2o") < least, "proposal_graph_not_enough_o2o")
-    return joined.select("pair_idx", F.coalesce("n", F.lit(0)).alias("n"), reason.alias("reason"))
+def skip_reasons(pairs: DataFrame, edges: DataFrame, least: int = 5, poses: DataFrame | None = None, least_o2o: int | None = None, threshold: float = 0.0, proposal_k: int = 0, failed: DataFrame | None = None) -> DataFrame:
+    """A row for every pair of the list: edges, and why it cannot be estimated, null if it can.
+
+    edges: pair_idx, left_idx, right_idx and, where the file has them, similarity, k and ``bad`` (why a row is not valid).  poses: the pairs with
+    pose and intrinsics.  ``threshold`` above 0 keeps edges of that similarity, ``proposal_k`` above 0 draws samples from edges up to that k only.
+    One-to-one edges are bounded by distinct ends here; the search itself counts them.  failed: pairs whose search ended without a pose.
+    """
+    has = lambda c: c in edges.columns
+    ends = F.col("left_idx").isNull() | F.col("right_idx").isNull()
+    kept = (F.col("similarity") >= threshold) if threshold > 0 and has("similarity") else F.lit(True)
+    offered = kept & (F.col("k") <= proposal_k) if proposal_k and has("k") else kept
+    distinct = lambda c: F.countDistinct(F.when(offered, F.col(c)))
+    some = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    measured = edges.groupBy("pair_idx").agg(
+        F.count("*").alias("n"), F.sum(kept.cast("long")).alias("_kept"), F.least(distinct("left_idx"), distinct("right_idx")).alias("_o2o"), F.count(F.when(~ends, 1)).alias("_whole"), some((F.col("left_idx") < 0) | (F.col("right_idx") < 0)).alias("_negative"),
+        (F.max("bad") if has("bad") else F.lit(None).cast("string")).alias("_bad"), (F.count("similarity") if has("similarity") else F.lit(0)).alias("_similar"), (F.count("k") if has("k") else F.lit(0)).alias("_ranked"),
+    )
+    joined = pairs.select("pair_idx").join(measured, "pair_idx", "left")
+    posed = joined.join(poses.select("pair_idx").distinct().withColumn("_posed", F.lit(True)), "pair_idx", "left") if poses is not None else joined.withColumn("_posed", F.lit(True))
+    ended = posed.join(failed.select("pair_idx").distinct().withColumn("_failed", F.lit(True)), "pair_idx", "left") if failed is not None else posed.withColumn("_failed", F.lit(None).cast("boolean"))
+    reason = (
+        F.when(F.col("n").isNull(), "missing_match_file")
+        .when(F.col("_posed").isNull(), "missing_pose_intrinsics")
+        .when(F.col("_bad").isNotNull(), F.concat(F.lit("invalid_match_csv: "), "_bad"))
+        .when(F.col("_whole") == 0, "missing_m2m_metadata")
+        .when(F.col("_negative"), "invalid_feature_ids")
+        .when(F.lit(threshold > 0) & (F.col("_similar") == 0), "similarity_threshold_requires_similarity")
+        .when(F.col("_whole") < F.col("n"), "column_size_mismatch")
+        .when(F.lit(proposal_k > 0) & (F.col("_ranked") < F.col("n")), "proposal_rank_size_mismatch")
+        .when(F.col("_kept") < least, "not_enough_matches")
+        .when(F.col("_o2o") < (least if least_o2o is None else least_o2o), "proposal_graph_not_enough_o2o")
+        .when(F.col("_failed"), "ransac_failed")
+    )
+    return ended.select("pair_idx", F.coalesce("n", F.lit(0)).alias("n"), reason.alias("reason"))
+
+
+def complete(results: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(problem, count) of results against the rows that there must be: missing, unexpected, twice; then the broken rules of ``result_rules``."""
+    have, want = results.select(*keys), expected.select(*keys).distinct()
+    found = [("missing", want.join(have.distinct(), list(keys), "left_anti")), ("unexpected", have.distinct().join(want, list(keys), "left_anti")), ("duplicate", duplicates(results, keys).select(*keys))]
+    counts = [rows.agg(F.count("*").alias("count")).select(F.lit(name).alias("problem"), "count") for name, rows in found]
+    rules = violation_counts(results, result_rules())
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("problem"), F.col(n).cast("long").alias("count")) for n in rules.columns))).alias("r")
+    return reduce(DataFrame.unionByName, counts).unionByName(rules.select(listed).select("r.problem", "r.count")).select("problem", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def pending(expected: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

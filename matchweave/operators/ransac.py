@@ -1,50 +1,111 @@
-"""A robust pose search for each pair: seeded five-edge samples, a linear essential-matrix solver, scoring, pool and rerank.
+"""A robust pose search for each pair: seeded samples, a linear essential-matrix solver, scoring, local optimisation, pool and rerank.
 
-Each pair is one group, seeded by its own id, so pairs run anywhere in any order with the same result.
+Each pair is one group, seeded by its own id, so pairs run anywhere in any order with the same result.  A pair holds a
+few thousand edges at most (the caps of ``knn``); its work is one task's.
+
+A sample takes ``Options.sample`` edges of distinct lefts and rights from the proposal graph (all edges, or those with k up to ``proposal_k``);
+every pose is scored on all edges.  The modes differ in what counts as better:
+
+* ``cm``: more inliers, then the lower truncated cost
+* ``hcm``: the lower score of ``scoring.hcm``
+* ``mcm``: more one-to-one inliers
+* ``hcm_mc``: seeds are pooled by hcm; at the end each is refined and the one with most one-to-one inliers wins, of equal ones the better seed
 """
 
 from __future__ import annotations
 
+import math
+import time
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from matchweave.operators.graph import matching
 
-SCHEMA = "pair_idx long, status string, message string, n_edges long, iterations long, n_inliers long, cardinality long, hcm double, qw double, qx double, qy double, qz double, tx double, ty double, tz double"
+MODES = ("cm", "hcm", "mcm", "hcm_mc")
+POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+TIMES = ("solve_ms", "score_ms", "refine_ms", "rank_ms", "total_ms")
+_TRACE = "rank int, hcm double, cardinality long, n_inliers long, msac double, seed_pose array<double>, refined_pose array<double>, polished_pose array<double>"
+SCHEMA = (
+    "pair_idx long, status string, message string, n_edges long, iterations long, refinements long, n_inliers long, inlier_ratio double, cardinality long, hcm double, model_score double, "
+    + ", ".join(f"{c} double" for c in POSE)
+    + ", pool_size long, pool_full boolean, pool_cutoff double, pool_attempts long, pool_duplicates long, pool_basins long, run long, "
+    + ", ".join(f"{c} double" for c in TIMES)
+    + f", trace array<struct<{_TRACE.replace(' array', ':array').replace(' int', ':int').replace(' double', ':double').replace(' long', ':long')}>>"
+)
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a search does.  Thresholds are in calibrated units; ``dedup_deg`` above 0 keeps one pool entry for poses that close."""
+
+    mode: str = "hcm_mc"
+    threshold: float = 0.01
+    sample: int = 8
+    least_iterations: int = 100
+    most_iterations: int = 500
+    success: float = 0.9999
+    capacity: int = 20
+    dedup_deg: float = 0.0
+    proposal_k: int = 0
+    runs: int = 1
+    seed: int = 0
+    local: bool = True
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise ValueError(f"mode must be one of {MODES}")
+        if self.proposal_k and self.least_iterations != self.most_iterations:
+            raise ValueError("a restricted proposal graph needs a fixed number of iterations")
+        if self.sample < 8:
+            raise ValueError("the linear solver needs eight edges")
 
 
-def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Essential matrix of eight or more calibrated points by least squares, with two equal singular values."""
+# ---------------------------------------------------------------- poses
+def _essential(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Essential matrix of eight or more calibrated points by (weighted) least squares, with two equal singular values."""
     one = np.ones(len(a))
     rows = np.stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], one], 1)
+    if weight is not None:
+        rows = rows * np.sqrt(weight)[:, None]
     e = np.linalg.svd(rows)[2][-1].reshape(3, 3)
     u, s, v = np.linalg.svd(e)
     return u @ np.diag([1.0, 1.0, 0.0]) @ v
 
 
-def _residual(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared residuals, infinite where the denominator vanishes, and the denominators."""
     x, y = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
     line, back = x @ e.T, y @ e
     below = (line[:, :2] ** 2).sum(1) + (back[:, :2] ** 2).sum(1)
-    return np.where(below > 1e-12, (y * line).sum(1) ** 2 / np.maximum(below, 1e-12), np.inf)
+    return np.where(below > 1e-12, (y * line).sum(1) ** 2 / np.maximum(below, 1e-12), np.inf), below
+
+
+def _residual(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _sampson(e, a, b)[0]
+
+
+def _front(r: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which points lie in front of both cameras."""
+    p, q = np.c_[a, np.ones(len(a))] @ r.T, np.c_[b, np.ones(len(b))]
+    pp, pq, qq, pt, qt = (p * p).sum(1), (p * q).sum(1), (q * q).sum(1), p @ t, q @ t
+    det = np.where(abs(d := pp * qq - pq * pq) > 1e-15, d, np.nan)
+    return ((pq * qt - qq * pt) / det > 0.01) & ((pp * qt - pq * pt) / det > 0.01)
 
 
-def _pose(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(R, t, points in front of both cameras) of the best of the four factorisations."""
+def _pose(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(R, t) of the factorisation that has most points in front of both cameras."""
     u, _, v = np.linalg.svd(e)
     w = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
-    best = None
-    for r in (u @ w @ v, u @ w.T @ v):
-        r = r * np.sign(np.linalg.det(r))
-        for t in (u[:, 2], -u[:, 2]):
-            p, q = np.c_[a, np.ones(len(a))] @ r.T, np.c_[b, np.ones(len(b))]
-            pp, pq, qq, pt, qt = (p * p).sum(1), (p * q).sum(1), (q * q).sum(1), p @ t, q @ t
-            det = np.where(abs(d := pp * qq - pq * pq) > 1e-15, d, np.nan)
-            front = ((pq * qt - qq * pt) / det > 0.01) & ((pp * qt - pq * pt) / det > 0.01)
-            if best is None or front.sum() > best[2].sum():
-                best = r, t, front
-    return best
+    every = [(r * np.sign(np.linalg.det(r)), t) for r in (u @ w @ v, u @ w.T @ v) for t in (u[:, 2], -u[:, 2])]
+    return max(every, key=lambda x: _front(*x, a, b).sum())
+
+
+def _cross(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
 
 
 def _quaternion(r: np.ndarray) -> np.ndarray:
@@ -54,77 +115,266 @@ def _quaternion(r: np.ndarray) -> np.ndarray:
     return q * np.sign(q[np.flatnonzero(abs(q) > 1e-15)[0]])
 
 
-def _hcm(left, right, p, cl, cr, inlier) -> float:
-    total = 0.0
-    for side, c in ((left, cl), (right, cr)):
-        mass = np.bincount(side[inlier], p[inlier], minlength=side.max() + 1)
-        weight = np.zeros(side.max() + 1)
-        weight[side] = c
-        total -= np.log1p(weight * mass).sum()
-    return total
+def similar(p, q, degrees: float) -> bool:
+    """Whether two poses (quaternion, translation) agree within an angle: either sign of a quaternion is the same rotation, either
+    sign of a translation the same direction; without a translation the rotation decides."""
+    (q1, t1), (q2, t2) = p, q
+    if abs(np.dot(q1, q2)) < math.cos(math.radians(degrees) / 2):
+        return False
+    size = np.linalg.norm(t1) * np.linalg.norm(t2)
+    return size < 1e-18 or abs(np.dot(t1, t2)) / size >= math.cos(math.radians(degrees))
+
+
+def dynamic_iterations(inliers: int, edges: int, options: Options) -> int:
+    """Iterations until a sample of inliers alone is drawn with the wanted probability, drawn without putting back."""
+    n = np.arange(options.sample)
+    p = float(np.prod(np.maximum(0, inliers - n) / np.maximum(1, edges - n))) if min(inliers, edges) >= options.sample else 0.0
+    if p >= 1 - 1e-7:
+        return options.least_iterations
+    if p <= 1e-7:
+        return options.most_iterations
+    return max(options.least_iterations, min(options.most_iterations, math.ceil(math.log(1 - options.success) / math.log(1 - p))))
+
+
+# ---------------------------------------------------------------- one pair
+@dataclass
+class Seed:
+    """A pose with what it was scored."""
+
+    pose: tuple
+    hcm: float
+    inliers: int
+    cardinality: int = 0
+    cost: float = math.inf
+
+
+@dataclass
+class Pool:
+    """The best seeds by hcm, at most ``capacity``; a full pool takes a strictly better one for its worst."""
+
+    capacity: int
+    dedup_deg: float = 0.0
+    entries: list = field(default_factory=list)
+    attempts: int = 0
+    duplicates: int = 0
+
+    def cutoff(self) -> float:
+        return max(s.hcm for s in self.entries) if len(self.entries) >= self.capacity else math.inf
+
+    def offer(self, seed: Seed) -> None:
+        if not seed.hcm < self.cutoff():
+            return
+        self.attempts += 1
+        twin = next((i for i, s in enumerate(self.entries) if similar(s.pose, seed.pose, self.dedup_deg or 1.0)), None)
+        self.duplicates += twin is not None
+        if twin is not None and self.dedup_deg > 0:
+            if seed.hcm < self.entries[twin].hcm:
+                self.entries[twin] = seed
+        elif len(self.entries) < self.capacity:
+            self.entries.append(seed)
+        else:
+            self.entries[max(range(len(self.entries)), key=lambda i: self.entries[i].hcm)] = seed
+
+    def basins(self) -> int:
+        """Entries that agree with none before them."""
+        poses = [s.pose for s in self.entries]
+        return sum(not any(similar(p, o, self.dedup_deg or 1.0) for o in poses[:i]) for i, p in enumerate(poses))
 
 
-def estimate(edges: DataFrame, iterations: int = 500, threshold: float = 0.01, capacity: int = 20, sample: int = 8, seed: int = 0) -> DataFrame:
-    """One row per pair of ``edges`` (pair_idx, left_idx, right_idx, x1, y1, x2, y2, p, left_c, right_c): status and the pose of the winner.
+class Pair:
+    """The edges of one pair, and what a pose is worth on them."""
 
-    Samples take distinct lefts and rights; candidates are pooled by hcm and the
-    pool is ranked by one-to-one inliers after a refit on the inliers.
+    def __init__(self, pdf: pd.DataFrame, options: Options):
+        self.options, self.spent = options, dict.fromkeys(TIMES, 0.0)
+        self.left, self.right = (pd.factorize(pdf[c])[0] for c in ("left_idx", "right_idx"))
+        self.a, self.b = pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()
+        self.p, self.c = pdf["p"].to_numpy(), (pdf["left_c"].to_numpy(), pdf["right_c"].to_numpy())
+        proposal = np.arange(len(pdf)) if not options.proposal_k else np.flatnonzero(pdf["k"].to_numpy() <= options.proposal_k)
+        self.room = len(matching(zip(self.left[proposal].tolist(), self.right[proposal].tolist(), strict=True)))
+        self.by_left: dict[int, list[int]] = {}
+        for i in proposal.tolist():
+            self.by_left.setdefault(int(self.left[i]), []).append(i)
+        self.lefts = np.array(sorted(self.by_left))
+
+    def timed(self, what: str, work, *arguments):
+        began = time.perf_counter()
+        try:
+            return work(*arguments)
+        finally:
+            self.spent[what] += 1000 * (time.perf_counter() - began)
+
+    def draw(self, random: np.random.Generator) -> list[int] | None:
+        """Edges of distinct lefts in a shuffled order, each with a right that is still free; some attempts, then none."""
+        for _ in range(max(50, 10 * len(self.lefts)) if len(self.lefts) >= self.options.sample else 0):
+            chosen, used = [], set()
+            for l in random.permutation(self.lefts).tolist():
+                mine = self.by_left[l]
+                start = int(random.integers(len(mine)))
+                edge = next((i for i in mine[start:] + mine[:start] if self.right[i] not in used), None)
+                if edge is not None:
+                    chosen.append(edge)
+                    used.add(self.right[edge])
+                if len(chosen) == self.options.sample:
+                    return chosen
+        return None
+
+    def mask(self, r: np.ndarray, t: np.ndarray, widen: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(inliers, squared residuals) under ``widen`` times the squared threshold."""
+        r2 = _residual(_cross(r, t), self.a, self.b)
+        near = r2 < widen * self.options.threshold**2
+        near[near] = _front(r, t, self.a[near], self.b[near])
+        return near, r2
+
+    def hcm(self, inlier: np.ndarray) -> float:
+        total = 0.0
+        for side, c in zip((self.left, self.right), self.c, strict=True):
+            mass, weight = np.bincount(side[inlier], self.p[inlier], minlength=side.max() + 1), np.zeros(side.max() + 1)
+            weight[side] = c
+            total -= np.log1p(weight * mass).sum()
+        return total
+
+    def one_to_one(self, inlier: np.ndarray) -> int:
+        return len(matching(zip(self.left[inlier].tolist(), self.right[inlier].tolist(), strict=True)))
+
+    def score(self, r: np.ndarray, t: np.ndarray) -> Seed:
+        inlier, r2 = self.mask(r, t)
+        cost = float(np.where(inlier, r2 / self.options.threshold**2, 1.0).mean())
+        cardinality = self.one_to_one(inlier) if self.options.mode == "mcm" else 0
+        return Seed((r, t), self.hcm(inlier), int(inlier.sum()), cardinality, cost)
+
+    def value(self, seed: Seed):
+        """What the mode minimises."""
+        return {"cm": (-seed.inliers, seed.cost), "mcm": (-seed.cardinality, seed.hcm)}.get(self.options.mode, (seed.hcm,))
+
+    def refine(self, r: np.ndarray, t: np.ndarray, widen: float = 5.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+        """A pose drawn to its inliers by reweighted least squares: edges of nodes with many inliers count less, those beyond the (widened) threshold nothing."""
+        cost = math.inf
+        for _ in range(steps):
+            inlier, r2 = self.mask(r, t, widen)
+            bound = widen * self.options.threshold**2
+            now = float(np.where(inlier, r2, bound).sum())
+            if inlier.sum() < self.options.sample or now > cost * (1 - 1e-6):
+                break
+            cost, best = now, (r, t)
+            degree = [1 / np.bincount(s[inlier])[s[inlier]] for s in (self.left, self.right)]
+            below = _sampson(_cross(r, t), self.a[inlier], self.b[inlier])[1]
+            r, t = _pose(_essential(self.a[inlier], self.b[inlier], (degree[0] + degree[1]) / np.maximum(below, 1e-12)), self.a[inlier], self.b[inlier])
+        return best if cost < math.inf else (r, t)
+
+
+def _named(pose) -> tuple:
+    return _quaternion(pose[0]), pose[1]
+
+
+def search(pair: Pair, random: np.random.Generator) -> tuple[dict, list]:
+    """One run over a pair: (fields of the result, trace of the pool)."""
+    o, pool = pair.options, Pool(pair.options.capacity, pair.options.dedup_deg)
+    best = gate = None
+    limit, iterations, refinements, n = o.most_iterations, 0, 0, len(pair.a)
+    while iterations < o.most_iterations and (iterations <= o.least_iterations or iterations <= limit):
+        iterations += 1
+        chosen = pair.draw(random)
+        if chosen is None:
+            continue
+        r, t = pair.timed("solve_ms", lambda c=chosen: _pose(_essential(pair.a[c], pair.b[c]), pair.a[c], pair.b[c]))
+        seed = pair.timed("score_ms", pair.score, r, t)
+        if not seed.inliers:
+            continue
+        if best is None or pair.value(seed) < pair.value(best):
+            best, limit = seed, dynamic_iterations(seed.inliers, n, o)
+        if o.mode == "hcm_mc":
+            pool.offer(Seed(_named(seed.pose), seed.hcm, seed.inliers) if seed.hcm < pool.cutoff() else seed)
+        # local optimisation where the seed is better than all before it in what the mode looks at
+        larger = gate is None or (seed.cardinality >= gate[1] if o.mode == "mcm" else seed.inliers > gate[0] or seed.hcm < gate[2])
+        if o.local and larger:
+            gate = (max(seed.inliers, gate[0]), max(seed.cardinality, gate[1]), min(seed.hcm, gate[2])) if gate else (seed.inliers, seed.cardinality, seed.hcm)
+            refinements += 1
+            again = pair.timed("score_ms", pair.score, *pair.timed("refine_ms", pair.refine, r, t))
+            if pair.value(again) < pair.value(best):
+                best, limit = again, dynamic_iterations(again.inliers, n, o)
+    about = {"iterations": iterations, "pool_size": len(pool.entries), "pool_full": len(pool.entries) >= o.capacity, "pool_cutoff": pool.cutoff(), "pool_attempts": pool.attempts, "pool_duplicates": pool.duplicates, "pool_basins": pool.basins()}
+    trace = []
+    if pool.entries:  # the pool alone decides: refined seeds by one-to-one inliers, then by the seed's own score
+        winner = None
+        for place, seed in enumerate(sorted(pool.entries, key=lambda s: s.hcm), 1):
+            r, t = _matrix(seed.pose[0]), seed.pose[1]
+            refined = pair.timed("refine_ms", pair.refine, r, t)
+            refinements += 1
+            inlier, r2 = pair.mask(*refined)
+            cardinality = pair.timed("rank_ms", pair.one_to_one, inlier)
+            cost = float(np.where(inlier, r2 / o.threshold**2, 1.0).mean())
+            flat = lambda x: [*_quaternion(x[0]).tolist(), *x[1].tolist()]
+            trace.append((place, seed.hcm, cardinality, int(inlier.sum()), cost, [*seed.pose[0].tolist(), *seed.pose[1].tolist()], flat(refined), flat(pair.refine(*refined, widen=1.0))))
+            if winner is None or (-cardinality, seed.hcm) < winner[0]:
+                winner = (-cardinality, seed.hcm), refined, inlier
+        (negative, hcm), pose, inlier = winner
+        found = {"cardinality": -negative, "hcm": hcm, "n_inliers": int(inlier.sum()), "model_score": float(negative)}
+    elif best is not None:
+        pose = best.pose
+        inlier = pair.mask(*pose)[0]
+        found = {"cardinality": pair.timed("rank_ms", pair.one_to_one, inlier), "hcm": best.hcm, "n_inliers": int(inlier.sum()), "model_score": float(pair.value(best)[0])}
+    else:
+        return about | {"refinements": refinements}, []
+    fields = dict(zip(POSE, [*_quaternion(pose[0]).tolist(), *pose[1].tolist()], strict=True))
+    return about | found | fields | {"refinements": refinements, "inlier_ratio": found["n_inliers"] / n}, trace
+
+
+def _matrix(q: np.ndarray) -> np.ndarray:
+    w, v = q[0], q[1:]
+    skew = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + 2 * w * skew + 2 * skew @ skew
+
+
+def estimate(edges: DataFrame, options: Options | None = None, **changes) -> DataFrame:
+    """One row per pair of ``edges`` (pair_idx, left_idx, right_idx, x1, y1, x2, y2, p, left_c, right_c, and k for a proposal graph): SCHEMA.
+
+    A pair that cannot be estimated is skipped with a message: ``invalid_feature_ids``, ``not_enough_matches``,
+    ``proposal_graph_not_enough_o2o``, ``ransac_failed``.  Of several runs the one with the lowest model_score counts.
     """
+    o = options or Options(**changes)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"pair_idx": int(key[0]), "status": "skipped", "message": None, "n_edges": len(pdf), "iterations": 0, "n_inliers": 0, "cardinality": 0}
+        row = dict.fromkeys(columns) | {"trace": [], "pair_idx": int(key[0]), "status": "skipped", "message": None, "n_edges": len(pdf), "iterations": 0, "refinements": 0, "n_inliers": 0, "cardinality": 0}
         pdf = pdf.sort_values(["left_idx", "right_idx"], kind="stable")
         if (pdf[["left_idx", "right_idx"]] < 0).any(axis=None):
             return pd.DataFrame([row | {"message": "invalid_feature_ids"}])
-        if len(pdf) < sample:
+        if len(pdf) < o.sample:
             return pd.DataFrame([row | {"message": "not_enough_matches"}])
-        left, right = (pd.factorize(pdf[c])[0] for c in ("left_idx", "right_idx"))
-        pairs = list(zip(left.tolist(), right.tolist(), strict=True))
-        if len(matching(pairs)) < sample:
+        pair = Pair(pdf, o)
+        if pair.room < o.sample:
             return pd.DataFrame([row | {"message": "proposal_graph_not_enough_o2o"}])
-        a, b = pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()
-        p, cl, cr = (pdf[c].to_numpy() for c in ("p", "left_c", "right_c"))
-        random = np.random.default_rng([seed, int(key[0])])
-        by_left: dict[int, list[int]] = {}
-        for i, l in enumerate(left.tolist()):
-            by_left.setdefault(l, []).append(i)
-        lefts, held = np.array(sorted(by_left)), []
-
-        def judge(e):
-            inlier = _residual(e, a, b) < threshold * threshold
-            if inlier.sum() < sample:
-                return None
-            r, t, front = _pose(e, a[inlier], b[inlier])
-            inlier[np.flatnonzero(inlier)[~front]] = False
-            return (_hcm(left, right, p, cl, cr, inlier), r, t, inlier)
-
-        for n in range(iterations):
-            chosen, used = [], set()
-            for l in random.permutation(lefts).tolist():
-                free = [i for i in by_left[l] if right[i] not in used]
-                if free:
-                    chosen.append(free[random.integers(len(free))])
-                    used.add(right[chosen[-1]])
-                if len(chosen) == sample:
-                    break
-            if len(chosen) < sample:
-                continue
-            scored = judge(_essential(a[chosen], b[chosen]))
-            if scored and (len(held) < capacity or scored[0] < held[-1][0]):
-                held = sorted([*held, (scored[0], n, *scored[1:])], key=lambda x: x[:2])[:capacity]
-        best = None
-        for hcm, n, r, t, inlier in held:
-            again = judge(_essential(a[inlier], b[inlier])) if inlier.sum() >= sample else None
-            if again:
-                r, t, inlier = again[1:]
-            size = len(matching([pairs[i] for i in np.flatnonzero(inlier)]))
-            if best is None or (-size, hcm, n) < best[0]:
-                best = (-size, hcm, n), r, t, inlier
+        began, best, tried = time.perf_counter(), None, 0
+        for n in range(o.runs):
+            found, trace = search(pair, np.random.default_rng([o.seed, int(key[0]), n]))
+            tried += found["iterations"]
+            if "model_score" in found and (best is None or found["model_score"] < best[0]["model_score"]):
+                best = found, trace, n
         if best is None:
-            return pd.DataFrame([row | {"message": "no_model", "iterations": iterations}])
-        (size, hcm, _), r, t, inlier = best
-        pose = dict(zip(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), [*_quaternion(r), *t], strict=True))
-        return pd.DataFrame([row | {"status": "success", "iterations": iterations, "n_inliers": int(inlier.sum()), "cardinality": -size, "hcm": hcm} | pose])
+            return pd.DataFrame([row | {"message": "ransac_failed", "iterations": tried}])
+        pair.spent["total_ms"] = 1000 * (time.perf_counter() - began)
+        names = [c.split()[0] for c in _TRACE.split(", ")]
+        trace = [dict(zip(names, x, strict=True)) for x in best[1]]
+        return pd.DataFrame([row | {"status": "success", "run": best[2], "trace": trace} | best[0] | pair.spent])
+
+    columns = edges.sparkSession.createDataFrame([], SCHEMA).columns
+    chosen = ["pair_idx", "left_idx", "right_idx", "x1", "y1", "x2", "y2", "p", "left_c", "right_c", *["k"] * bool(o.proposal_k)]
+    return edges.select(*chosen).groupBy("pair_idx").applyInPandas(run, SCHEMA)
+
+
+def traces(results: DataFrame) -> DataFrame:
+    """One row for each pool entry of each pair: the sidecar table beside the results."""
+    return results.select("pair_idx", F.explode("trace").alias("t")).select("pair_idx", "t.*")
+
+
+def probes(results: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per pair whether a reference score (pair_idx, hcm) would have entered the pool as it was at the end: there was room, or it is strictly better than the worst."""
+    held = results.filter("status = 'success'").select("pair_idx", "pool_size", "pool_full", "pool_cutoff")
+    return reference.join(held, "pair_idx", "left").withColumn("admitted", ~F.coalesce("pool_full", F.lit(False)) | (F.col("hcm") < F.col("pool_cutoff")))
+
 
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return edges.groupBy("pair_idx").applyInPandas(lambda key, pdf: run(key, pdf).reindex(columns=columns), SCHEMA)
+def write_results(results: DataFrame, path: str, *labels: tuple[str, object]) -> None:
+    """Results and their traces, each in folders named by the labels (mode, proposal, seed, ...): partition columns take the place of file names."""
+    names = [n for n, _ in labels]
+    named = results.withColumns({n: F.lit(v) for n, v in labels})
+    for part, rows in (("results", named.drop("trace")), ("traces", named.select(*names, "pair_idx", F.explode("trace").alias("t")).select(*names, "pair_idx", "t.*"))):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(f"{path}/{part}")

@@ -15,15 +15,36 @@ from matchweave.operators.graph import max_matching, node_mass
 POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
 
 
-def residuals(edges: DataFrame, hypotheses: DataFrame, threshold: float, cheirality: bool = True) -> DataFrame:
-    """Every edge under every hypothesis of its pair: squared residual r2 and inlier (below the threshold's square, in front of both cameras)."""
-    joined = edges.join(hypotheses, "pair_idx")
-    c = {n: F.col(n) for n in (*POSE, "x1", "y1", "x2", "y2")}
-    r, t = g.rotation(g.unit_quaternion([c[n] for n in POSE[:4]])), [c[n] for n in POSE[4:]]
-    points = [c[n] for n in ("x1", "y1", "x2", "y2")]
-    scored = joined.withColumn("r2", g.sampson(*points, r, t))
-    good = g.finite(F.col("r2")) & (F.col("r2") < threshold * threshold)
-    return scored.withColumn("inlier", good & g.in_front(*points, r, t) if cheirality else good)
+def residuals(edges: DataFrame, hypotheses: DataFrame, threshold: float, cheirality: bool = True, nearest: float = 0.01) -> DataFrame:
+    """Every edge under every hypothesis of its pair: squared residual r2 and inlier (below the threshold's square, in front of both cameras).
+
+    A pose's matrices are columns of the hypotheses before these meet the edges, and each step is columns of the step before, so
+    that no expression is written out twice.
+    """
+    q = g.unit_quaternion([F.col(n) for n in POSE[:4]])
+    posed = hypotheses.withColumns(dict(zip(("_w", "_x", "_y", "_z"), q, strict=True)))
+    r = g.rotation([F.col(c) for c in ("_w", "_x", "_y", "_z")])
+    posed = posed.withColumns({f"_r{i}{j}": r[i][j] for i in range(3) for j in range(3)})
+    t = [F.col(n) for n in POSE[4:]]
+    entry = lambda i, j: {0: t[1] * F.col(f"_r2{j}") - t[2] * F.col(f"_r1{j}"), 1: t[2] * F.col(f"_r0{j}") - t[0] * F.col(f"_r2{j}"), 2: t[0] * F.col(f"_r1{j}") - t[1] * F.col(f"_r0{j}")}[i]
+    posed = posed.withColumns({f"_e{i}{j}": entry(i, j) for i in range(3) for j in range(3)})
+    joined = edges.join(posed, "pair_idx")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    row = lambda m, i: F.col(f"_{m}{i}0") * x1 + F.col(f"_{m}{i}1") * y1 + F.col(f"_{m}{i}2")
+    back = {f"_b{j}": F.col(f"_e0{j}") * x2 + F.col(f"_e1{j}") * y2 + F.col(f"_e2{j}") for j in range(2)}
+    joined = joined.withColumns({f"_l{i}": row("e", i) for i in range(3)} | back | {f"_a{i}": row("r", i) for i in range(3)})
+    l, a, b = [F.col(f"_l{i}") for i in range(3)], [F.col(f"_a{i}") for i in range(3)], [x2, y2, F.lit(1.0)]
+    joined = joined.withColumns({
+        "_top": g.dot3(b, l), "_below": l[0] * l[0] + l[1] * l[1] + F.col("_b0") * F.col("_b0") + F.col("_b1") * F.col("_b1"),
+        "_aa": g.dot3(a, a), "_ab": g.dot3(a, b), "_bb": g.dot3(b, b), "_at": g.dot3(a, t), "_bt": g.dot3(b, t),
+    })
+    det = F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab")
+    depths = [F.try_divide(F.col("_ab") * F.col("_bt") - F.col("_bb") * F.col("_at"), det), F.try_divide(F.col("_aa") * F.col("_bt") - F.col("_ab") * F.col("_at"), det)]
+    front = F.coalesce((depths[0] > nearest) & (depths[1] > nearest), F.lit(False))
+    below = F.greatest(F.col("_below"), F.lit(1e-12))
+    scored = joined.withColumns({"r2": F.when(F.col("_below") > 1e-12, F.col("_top") * F.col("_top") / below).otherwise(F.lit(float("inf"))), "_front": front if cheirality else F.lit(True)})
+    inlier = g.finite(F.col("r2")) & (F.col("r2") < threshold * threshold) & F.col("_front")
+    return scored.withColumn("inlier", inlier).drop(*(c for c in scored.columns if c.startswith("_")))
 
 
 def hcm(scored: DataFrame, masses: DataFrame) -> DataFrame:

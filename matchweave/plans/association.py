@@ -22,19 +22,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_idx, left_idx ORDER BY
 )
 EDGES = RANKED + f""", edges AS (SELECT pair_idx, left_idx, right_idx, similarity, greatest(rank_lr, rank_rl) AS k FROM ranked WHERE rank_lr <= {K} AND rank_rl <= {K}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY k, similarity DESC, left_idx, right_idx) AS place FROM edges)"""
-NEAR = (
-    RAW
-    + """, near AS (SELECT l.pair_idx, l.idx AS left_idx, r.idx AS right_idx, 0.64::DOUBLE * l.v0[1] AS x1, 0.64::DOUBLE * l.v0[2] AS y1, 0.64::DOUBLE * r.v0[1] AS x2, 0.64::DOUBLE * r.v0[2] AS y2
-  FROM raw l JOIN raw r USING (pair_idx) WHERE l.side = 0 AND r.side = 1 AND abs(l.idx - r.idx) < 60),
+#: Poses that the scores are compared on: quaternion (any length) and translation.
+POSES = ((1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, 1.0, 0.05, 0.0, 0.0, 0.0, 1.0, 0.1), (3, 2.0, 0.0, 0.1, 0.04, 0.1, 0.1, 1.0), (4, 1.0, -0.03, 0.06, 0.2, 0.6, 0.8, -0.2))
+_ROT = "1-2*(y*y+z*z) AS r00, 2*(x*y-w*z) AS r01, 2*(x*z+w*y) AS r02, 2*(x*y+w*z) AS r10, 1-2*(x*x+z*z) AS r11, 2*(y*z-w*x) AS r12, 2*(x*z-w*y) AS r20, 2*(y*z+w*x) AS r21, 1-2*(x*x+y*y) AS r22"
+_ESSENTIAL = ", ".join(f"-tz*r1{j}+ty*r2{j} AS e0{j}, tz*r0{j}-tx*r2{j} AS e1{j}, -ty*r0{j}+tx*r1{j} AS e2{j}" for j in range(3))
+GRAPH = (
+    RANKED
+    + f""", near AS (SELECT pair_idx, left_idx, right_idx, 0.64::DOUBLE * lv0[1] AS x1, 0.64::DOUBLE * lv0[2] AS y1, 0.64::DOUBLE * rv0[1] AS x2, 0.64::DOUBLE * rv0[2] AS y2 FROM ranked WHERE rank_lr <= {K} AND rank_rl <= {K}),
 prior AS (SELECT *, 0.5::DOUBLE * (0.3::DOUBLE / count(*) OVER (PARTITION BY pair_idx, left_idx) + 0.3::DOUBLE / count(*) OVER (PARTITION BY pair_idx, right_idx)) AS p FROM near),
 mass AS (SELECT *, sum(p) OVER (PARTITION BY pair_idx, left_idx) AS left_mass, sum(p) OVER (PARTITION BY pair_idx, right_idx) AS right_mass FROM prior),
 graph AS (SELECT *, 1 / (greatest(1 - left_mass, 1e-9) * 0.01::DOUBLE) AS left_c, 1 / (greatest(1 - right_mass, 1e-9) * 0.01::DOUBLE) AS right_c FROM mass),
-hyp(hid, tx, ty, tz) AS (VALUES (1, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE), (2, 0, 1, 0), (3, 0, 0, 1), (4, 0.6, 0.8, 0)),
-essential AS (SELECT g.*, h.hid, -tz * y1 + ty AS l0, tz * x1 - tx AS l1, -ty * x1 + tx * y1 AS l2, tz * y2 - ty AS b0, -tz * x2 + tx AS b1 FROM graph g, hyp h),
-scored AS (SELECT *, CASE WHEN l0 * l0 + l1 * l1 + b0 * b0 + b1 * b1 > 1e-12 THEN (x2 * l0 + y2 * l1 + l2) * (x2 * l0 + y2 * l1 + l2) / (l0 * l0 + l1 * l1 + b0 * b0 + b1 * b1) ELSE 'inf'::DOUBLE END AS r2 FROM essential),
-hcm AS (SELECT pair_idx, hid, -sum(ln(1 + c * m)) AS hcm FROM (
-  SELECT pair_idx, hid, left_idx AS n, 0 AS s, sum(CASE WHEN r2 < 0.0001::DOUBLE THEN p ELSE 0 END) AS m, min(left_c) AS c FROM scored GROUP BY ALL
-  UNION ALL SELECT pair_idx, hid, right_idx, 1, sum(CASE WHEN r2 < 0.0001::DOUBLE THEN p ELSE 0 END), min(right_c) FROM scored GROUP BY ALL) GROUP BY pair_idx, hid)"""
+pose(hid, w, x, y, z, tx, ty, tz) AS (VALUES {", ".join("(" + ", ".join(f"{v}::DOUBLE" if i else str(v) for i, v in enumerate(p)) + ")" for p in POSES)}),
+hyp AS (SELECT hid, tx, ty, tz, {_ROT} FROM (SELECT hid, w/n AS w, x/n AS x, y/n AS y, z/n AS z, tx, ty, tz FROM (SELECT *, sqrt(w*w+x*x+y*y+z*z) AS n FROM pose))),
+lines AS (SELECT g.*, h.*, e00*x1+e01*y1+e02 AS l0, e10*x1+e11*y1+e12 AS l1, e20*x1+e21*y1+e22 AS l2, e00*x2+e10*y2+e20 AS b0, e01*x2+e11*y2+e21 AS b1, r00*x1+r01*y1+r02 AS a0, r10*x1+r11*y1+r12 AS a1, r20*x1+r21*y1+r22 AS a2 FROM graph g, (SELECT *, {_ESSENTIAL} FROM hyp) h),
+rays AS (SELECT *, a0*a0+a1*a1+a2*a2 AS aa, a0*x2+a1*y2+a2 AS ab, x2*x2+y2*y2+1 AS bb, a0*tx+a1*ty+a2*tz AS at_, x2*tx+y2*ty+tz AS bt, l0*l0+l1*l1+b0*b0+b1*b1 AS below FROM lines),
+scored AS (SELECT *, r2 < 0.0001::DOUBLE AND coalesce((ab*bt-bb*at_) / nullif(aa*bb-ab*ab, 0) > 0.01 AND (aa*bt-ab*at_) / nullif(aa*bb-ab*ab, 0) > 0.01, false) AS inlier FROM
+  (SELECT *, CASE WHEN below > 1e-12 THEN (x2*l0+y2*l1+l2) * (x2*l0+y2*l1+l2) / below ELSE 'inf'::DOUBLE END AS r2 FROM rays)),
+hcm AS (SELECT pair_idx, hid, 0 - sum(ln(1 + c * m)) AS hcm FROM (
+  SELECT pair_idx, hid, left_idx AS n, 0 AS s, sum(CASE WHEN inlier THEN p ELSE 0 END) AS m, min(left_c) AS c FROM scored GROUP BY ALL
+  UNION ALL SELECT pair_idx, hid, right_idx, 1, sum(CASE WHEN inlier THEN p ELSE 0 END), min(right_c) FROM scored GROUP BY ALL) GROUP BY pair_idx, hid)"""
 )
 
 
@@ -42,10 +48,17 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.mutual_knn(*adapters.sides(spark, sf_dir), K)
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The association graph of all vectors with calibrated coordinates."""
+    left, right = adapters.sides(spark, sf_dir)
+    at = lambda side, name, n: side.select("pair_idx", F.col("idx").alias(name), F.col("cx").alias(f"x{n}"), F.col("cy").alias(f"y{n}"))
+    return knn.mutual_knn(left, right, K).join(at(left, "left_idx", 1), ["pair_idx", "left_idx"]).join(at(right, "right_idx", 2), ["pair_idx", "right_idx"])
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Edges with prior and weights, and their residuals under the constant hypotheses (without the depth test, as in the SQL)."""
-    edges = scoring.with_prior(adapters.near_edges(spark, sf_dir))
-    return edges, scoring.residuals(edges, adapters.hypotheses(edges), 0.01, cheirality=False)
+    """Edges with prior and weights, and their residuals under the constant hypotheses."""
+    edges = scoring.with_prior(_graph(spark, sf_dir))
+    return edges, scoring.residuals(edges, adapters.hypotheses(edges, POSES), 0.01)
 
 
 @registered(f"WITH {EDGES} SELECT pair_idx, left_idx, right_idx, round(similarity, 6) AS similarity, k FROM edges")
@@ -86,7 +99,10 @@ def match_count_report(spark, sf_dir):
     return metrics.match_counts(metrics.cumulative_edges(_edges(spark, sf_dir), K)).select(F.col("k").cast("long").alias("k"), r6("mean"), r6("median"), r6("p90"))
 
 
-@registered(f"""WITH {CUMULATIVE} SELECT k::BIGINT AS target_k, sum(edges)::BIGINT AS edges, 0::BIGINT AS not_nested FROM cum GROUP BY k""")
+@registered(
+    f"""WITH {CUMULATIVE}, family AS (SELECT e.pair_idx, e.left_idx, e.right_idx, ks.k AS target_k FROM edges e, ks WHERE e.k <= ks.k)
+SELECT target_k::BIGINT AS target_k, count(*) AS edges, (SELECT count(*) FROM family s WHERE s.target_k = f.target_k - 1 AND NOT EXISTS (SELECT 1 FROM family l WHERE l.target_k = f.target_k AND l.pair_idx = s.pair_idx AND l.left_idx = s.left_idx AND l.right_idx = s.right_idx)) AS not_nested FROM family f GROUP BY f.target_k"""
+)
 def nested_graph_audit(spark, sf_dir):
     family = graph.nested(_edges(spark, sf_dir), K)
     keys = ["pair_idx", "left_idx", "right_idx"]
@@ -115,9 +131,9 @@ def similarity_threshold_filter(spark, sf_dir):
     return _edges(spark, sf_dir).filter((F.col("similarity") >= 0.3) & (F.col("k") <= 3)).groupBy("pair_idx").agg(F.count("*").alias("edges"), r6(F.min("similarity"), "least"))
 
 
-@registered(f"WITH {NEAR} SELECT pair_idx, left_idx, right_idx, round(p, 6) AS p, round(left_mass, 6) AS left_mass, round(right_mass, 6) AS right_mass, round(left_c, 6) AS left_c FROM graph")
+@registered(f"WITH {GRAPH} SELECT pair_idx, left_idx, right_idx, round(p, 6) AS p, round(left_mass, 6) AS left_mass, round(right_mass, 6) AS right_mass, round(left_c, 6) AS left_c FROM graph")
 def degree_prior_probability(spark, sf_dir):
-    return scoring.with_prior(adapters.near_edges(spark, sf_dir)).select("pair_idx", "left_idx", "right_idx", r6("p"), r6("left_mass"), r6("right_mass"), r6("left_c"))
+    return scoring.with_prior(_graph(spark, sf_dir)).select("pair_idx", "left_idx", "right_idx", r6("p"), r6("left_mass"), r6("right_mass"), r6("left_c"))
 
 
 @registered(f"WITH {EDGES} SELECT pair_idx, left_idx, right_idx, round(1::DOUBLE / count(*) OVER (PARTITION BY pair_idx, left_idx) + 1::DOUBLE / count(*) OVER (PARTITION BY pair_idx, right_idx), 6) AS weight FROM edges")
@@ -233,24 +249,24 @@ def grid_filter_exact(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scores
-@registered(f"WITH {NEAR} SELECT pair_idx, hid, left_idx, right_idx, round(r2, 6) AS r2 FROM scored")
+@registered(f"WITH {GRAPH} SELECT pair_idx, hid, left_idx, right_idx, round(r2, 6) AS r2, inlier FROM scored")
 def sampson_residual(spark, sf_dir):
-    return _scored(spark, sf_dir)[1].select("pair_idx", "hid", "left_idx", "right_idx", r6("r2"))
+    return _scored(spark, sf_dir)[1].select("pair_idx", "hid", "left_idx", "right_idx", r6("r2"), "inlier")
 
 
-@registered(f"WITH {NEAR} SELECT pair_idx, hid, round(hcm, 6) AS hcm FROM hcm")
+@registered(f"WITH {GRAPH} SELECT pair_idx, hid, round(hcm, 6) AS hcm FROM hcm")
 def hcm_score(spark, sf_dir):
     edges, scored = _scored(spark, sf_dir)
     return scoring.hcm(scored, edges).select("pair_idx", "hid", r6("hcm"))
 
 
-@registered(f"WITH {NEAR} SELECT pair_idx, hid, round(avg(CASE WHEN r2 < 0.0001::DOUBLE THEN r2 / 0.0001::DOUBLE ELSE 1 END), 6) AS msac FROM scored GROUP BY ALL")
+@registered(f"WITH {GRAPH} SELECT pair_idx, hid, round(avg(CASE WHEN inlier THEN r2 / 0.0001::DOUBLE ELSE 1 END), 6) AS msac FROM scored GROUP BY ALL")
 def msac_cost(spark, sf_dir):
     return scoring.msac(_scored(spark, sf_dir)[1], 0.01).select("pair_idx", "hid", r6("msac"))
 
 
 @registered(
-    f"""WITH {NEAR}, pool AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY round(hcm, 9), hid) AS place FROM hcm QUALIFY place <= 2), cut AS (SELECT pair_idx, max(hcm) AS cutoff FROM pool GROUP BY ALL)
+    f"""WITH {GRAPH}, pool AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY round(hcm, 9), hid) AS place FROM hcm QUALIFY place <= 2), cut AS (SELECT pair_idx, max(hcm) AS cutoff FROM pool GROUP BY ALL)
 SELECT pair_idx, h.hid, round(round(h.hcm, 9), 6) AS hcm, p.place, round(h.hcm, 9) < round(c.cutoff, 9) AS admitted FROM hcm h LEFT JOIN pool p USING (pair_idx, hid) JOIN cut c USING (pair_idx)"""
 )
 def hypothesis_pool_topn(spark, sf_dir):
@@ -271,15 +287,16 @@ def mcm_rerank(spark, sf_dir):
 
 @registered()
 def ransac_pose(spark, sf_dir):
-    edges = scoring.with_prior(adapters.near_edges(spark, sf_dir, within=20))
-    return ransac.estimate(edges.select("pair_idx", "left_idx", "right_idx", "x1", "y1", "x2", "y2", "p", "left_c", "right_c").withColumn("pair_idx", F.col("pair_idx").cast("long")), iterations=60)
+    """The search on each pair's whole association graph: status, counts and the winner's pose and score."""
+    edges = scoring.with_prior(_graph(spark, sf_dir)).withColumn("pair_idx", F.col("pair_idx").cast("long"))
+    found = ransac.estimate(edges, least_iterations=100, most_iterations=1000)
+    return found.drop("trace", *ransac.TIMES)
 
 
 @registered()
 def bipartite_max_matching(spark, sf_dir):
-    """Maximum matchings of (part, supplier) edges in 64 blocks of parts."""
-    e = adapters.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 64).alias("block"), F.col("l_partkey").alias("left_idx"), F.col("l_suppkey").alias("right_idx")).distinct()
-    return graph.max_matching(e, ["block"])
+    """A maximum matching of each pair's association graph."""
+    return graph.max_matching(_edges(spark, sf_dir), ["pair_idx"])
 
 
 @registered()
@@ -294,8 +311,14 @@ def head_in_order(spark, sf_dir):
     return edges.select("pair_idx", "left_idx", "right_idx", F.col("k").cast("long").alias("k"), F.col("place").cast("long").alias("place"))
 
 
-@registered(f"""WITH {EDGES} SELECT pair_idx, n, CASE WHEN n = 0 THEN 'missing_match_file' WHEN n < 90 THEN 'not_enough_matches' END AS reason FROM (SELECT l.label AS pair_idx, count(e.left_idx) AS n FROM (SELECT DISTINCT label FROM embeddings UNION SELECT 999) l LEFT JOIN edges e ON e.pair_idx = l.label GROUP BY ALL)""")
+@registered(
+    f"""WITH {EDGES}, l AS (SELECT DISTINCT label AS pair_idx FROM embeddings UNION SELECT unnest([997, 998, 999])), m AS (SELECT pair_idx, left_idx, right_idx, k FROM edges UNION ALL SELECT 998, -1, 1, 1 UNION ALL SELECT 997, NULL, 1, 1),
+n AS (SELECT l.pair_idx, count(m.pair_idx) AS n, bool_or(m.left_idx IS NULL AND m.pair_idx IS NOT NULL) AS short, coalesce(bool_or(m.left_idx < 0), false) AS negative, least(count(DISTINCT CASE WHEN k <= 2 THEN left_idx END), count(DISTINCT CASE WHEN k <= 2 THEN right_idx END)) AS o2o FROM l LEFT JOIN m USING (pair_idx) GROUP BY l.pair_idx)
+SELECT pair_idx, n, CASE WHEN n = 0 THEN 'missing_match_file' WHEN pair_idx % 5 = 4 THEN 'missing_pose_intrinsics' WHEN short THEN 'missing_m2m_metadata' WHEN negative THEN 'invalid_feature_ids' WHEN n < 60 THEN 'not_enough_matches' WHEN o2o < 17 THEN 'proposal_graph_not_enough_o2o' END AS reason FROM n"""
+)
 def skip_reasons(spark, sf_dir):
-    pairs = adapters.keypoints(spark, sf_dir).select("pair_idx").union(spark.range(999, 1000).select(F.col("id").cast("int"))).distinct()
-    found = checks.skip_reasons(pairs, _edges(spark, sf_dir), 90)
-    return found.select("pair_idx", "n", F.when(F.col("reason") != "proposal_graph_not_enough_o2o", F.col("reason")).alias("reason"))
+    """Why pairs are skipped: by pose file, ids and sizes, and by the distinct ends of the graph that samples come from."""
+    pairs = adapters.keypoints(spark, sf_dir).select("pair_idx").union(spark.range(997, 1000).select(F.col("id").cast("int"))).distinct()
+    broken = spark.createDataFrame([(998, -1, 1, 1), (997, None, 1, 1)], "pair_idx int, left_idx long, right_idx long, k int")
+    edges = _edges(spark, sf_dir).select("pair_idx", "left_idx", "right_idx", "k").unionByName(broken)
+    return checks.skip_reasons(pairs, edges, 60, poses=pairs.filter("pair_idx % 5 <> 4"), least_o2o=17, proposal_k=2)

@@ -31,16 +31,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("method"), (F.col("o_orderkey") % 5).alias("seed"), F.col("o_orderkey").alias("pair_idx"), F.col("o_custkey").alias("custkey"), ((cents % 4500).cast("double") / 100).alias("err"), ((cents % 360).cast("double")).alias("tr"))
 
 
-def hypotheses(pairs: DataFrame) -> DataFrame:
-    """A small constant table of poses with the identity rotation, for each pair."""
-    poses = [(1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0), (4, 0.6, 0.8, 0.0)]
-    rows = F.explode(F.array(*(F.struct(F.lit(h).alias("hid"), *(F.lit(v).alias(n) for n, v in zip(("tx", "ty", "tz"), t, strict=True))) for h, *t in poses))).alias("h")
-    return pairs.select("pair_idx").distinct().select("pair_idx", rows).select("pair_idx", "h.hid", F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")), "h.tx", "h.ty", "h.tz")
-
-
-def near_edges(spark: SparkSession, sf_dir: str, within: int = 60) -> DataFrame:
-    """Edges between left and right vectors of a pair whose ids are close, with calibrated coordinates."""
-    l, r = sides(spark, sf_dir)
-    l = l.select("pair_idx", F.col("idx").alias("left_idx"), F.col("cx").alias("x1"), F.col("cy").alias("y1"))
-    r = r.select("pair_idx", F.col("idx").alias("right_idx"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-    return l.join(r, "pair_idx").filter(F.abs(F.col("left_idx") - F.col("right_idx")) < within)
+def hypotheses(pairs: DataFrame, poses) -> DataFrame:
+    """A small constant table of poses (hid, quaternion, translation) for each pair."""
+    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    rows = F.explode(F.array(*(F.struct(F.lit(h).alias("hid"), *(F.lit(float(v)).alias(n) for n, v in zip(names, pose, strict=True))) for h, *pose in poses))).alias("h")
+    return pairs.select("pair_idx").distinct().select("pair_idx", rows).select("pair_idx", "h.*")

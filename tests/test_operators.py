@@ -372,16 +372,92 @@ def test_ransac_recovers_a_pose(spark):
     y = x @ r.T + [0.5, 0.1, 0.0]
     rows = [(1, i, i, *(x[i, :2] / x[i, 2]), *(y[i, :2] / y[i, 2])) for i in range(40)] + [(1, i, 40 + i, *rng.uniform(-0.3, 0.3, 4)) for i in range(15)] + [(2, 0, j, 0.0, 0.0, 0.1, 0.1) for j in range(9)] + [(3, 0, 0, 0.0, 0.0, 0.0, 0.0)] + [(4, -1, j, 0.0, 0.0, 0.0, 0.0) for j in range(9)]
     e = spark.createDataFrame([(p, a, b, *map(float, c)) for p, a, b, *c in rows], "pair_idx long, left_idx long, right_idx long, x1 double, y1 double, x2 double, y2 double")
-    got = {r.pair_idx: r for r in ransac.estimate(scoring.with_prior(e), iterations=150, threshold=0.002).collect()}
+    got = {r.pair_idx: r for r in ransac.estimate(scoring.with_prior(e), most_iterations=150, threshold=0.002).collect()}
     best = got[1]
     q, t = np.array([best.qw, best.qx, best.qy, best.qz]), np.array([best.tx, best.ty, best.tz])
     assert best.status == "success" and best.cardinality >= 38
     assert abs(q @ [math.cos(angle / 2), 0, math.sin(angle / 2), 0]) > 0.9999 and abs(t @ [0.5, 0.1, 0]) / np.linalg.norm([0.5, 0.1, 0]) > 0.995
     assert {p: got[p].message for p in (2, 3, 4)} == {2: "proposal_graph_not_enough_o2o", 3: "not_enough_matches", 4: "invalid_feature_ids"}
-    again = ransac.estimate(scoring.with_prior(e.repartition(5)), iterations=150, threshold=0.002).filter("pair_idx = 1").first()
+    again = ransac.estimate(scoring.with_prior(e.repartition(5)), most_iterations=150, threshold=0.002).filter("pair_idx = 1").first()
     assert again.qw == best.qw
 
 
+def turned_pair(pair: int, n: int = 40, wrong: int = 20, seed: int = 6):
+    """True edges of a known pose, then wrong ones with k = 2."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-1, 1, (n, 3)) + [0, 0, 4]
+    r = np.array([[math.cos(0.1), 0, math.sin(0.1)], [0, 1, 0], [-math.sin(0.1), 0, math.cos(0.1)]])
+    y = x @ r.T + [0.5, 0.1, 0.0]
+    true = [(pair, i, i, *(x[i, :2] / x[i, 2]), *(y[i, :2] / y[i, 2]), 1) for i in range(n)]
+    return [(p, a, b, *map(float, c), k) for p, a, b, *c, k in true + [(pair, i % n, n + i, *rng.uniform(-0.3, 0.3, 4), 2) for i in range(wrong)]]
+
+
+EDGE = "pair_idx long, left_idx long, right_idx long, x1 double, y1 double, x2 double, y2 double, k int"
+
+
+@pytest.mark.parametrize("mode", ransac.MODES)
+def test_modes_of_the_search(spark, mode):
+    e = scoring.with_prior(spark.createDataFrame(turned_pair(1), EDGE))
+    best = ransac.estimate(e, mode=mode, most_iterations=200, threshold=0.002).first()
+    assert best.status == "success" and best.cardinality >= 38 and best.refinements > 0
+    assert abs(np.dot([best.qw, best.qx, best.qy, best.qz], [math.cos(0.05), 0, math.sin(0.05), 0])) > 0.9999
+    assert best.iterations <= 200 and best.total_ms >= best.solve_ms > 0 and best.score_ms > 0 and best.refine_ms > 0
+    assert (best.pool_size > 0) == (mode == "hcm_mc") == bool(best.trace)
+
+
+def test_iterations_follow_the_inliers(spark):
+    """A pair of inliers alone ends at the least number, one with few of them at the most."""
+    rows = turned_pair(1, 40, 0) + turned_pair(2, 12, 60)
+    e = scoring.with_prior(spark.createDataFrame(rows, EDGE))
+    got = {r.pair_idx: r.iterations for r in ransac.estimate(e, least_iterations=10, most_iterations=120, threshold=0.002).collect()}
+    assert got[1] <= 12 and got[2] == 120
+    o = ransac.Options(least_iterations=10, most_iterations=1000)
+    assert ransac.dynamic_iterations(40, 40, o) == 10 and ransac.dynamic_iterations(7, 40, o) == 1000
+    p = math.prod((30 - i) / (40 - i) for i in range(8))
+    assert ransac.dynamic_iterations(30, 40, o) == math.ceil(math.log(1 - o.success) / math.log(1 - p))
+
+
+def test_samples_come_from_the_proposal_graph(spark):
+    """Restricted to k = 1 only true edges are drawn, and all edges are scored."""
+    rows = turned_pair(1, 20, 60)
+    e = scoring.with_prior(spark.createDataFrame(rows, EDGE))
+    free, bound = (ransac.estimate(e, least_iterations=30, most_iterations=30, threshold=0.002, proposal_k=k).first() for k in (0, 1))
+    assert bound.cardinality >= 19 and bound.n_edges == 80 and bound.hcm <= free.hcm
+    few = scoring.with_prior(spark.createDataFrame([(*r[:-1], 1 if i < 5 else 2) for i, r in enumerate(rows)], EDGE))
+    assert ransac.estimate(few, least_iterations=9, most_iterations=9, proposal_k=1).first().message == "proposal_graph_not_enough_o2o"
+    with pytest.raises(ValueError):
+        ransac.Options(proposal_k=1)
+    with pytest.raises(ValueError):
+        ransac.Options(mode="best")
+
+
+def test_pool_of_poses():
+    unit = lambda angle: (np.array([math.cos(angle / 2), 0, math.sin(angle / 2), 0]), np.array([1.0, 0, 0]))
+    assert ransac.similar(unit(0), (-unit(0)[0], -unit(0)[1]), 0.5) and not ransac.similar(unit(0), unit(0.05), 1.0)
+    assert not ransac.similar(unit(0), (unit(0)[0], np.array([0, 1.0, 0])), 1.0) and ransac.similar(unit(0), (unit(0)[0], np.zeros(3)), 1.0)
+    plain, apart = ransac.Pool(2), ransac.Pool(2, dedup_deg=2.0)
+    for pool in (plain, apart):
+        for angle, hcm in ((0.0, -5.0), (0.001, -7.0), (0.5, -6.0), (1.0, -6.0), (1.5, -4.0)):
+            pool.offer(ransac.Seed(unit(angle), hcm, 10))
+    assert sorted(s.hcm for s in plain.entries) == [-7.0, -6.0] and plain.duplicates == 1 and plain.cutoff() == -6.0 and plain.basins() == 2
+    assert sorted(s.hcm for s in apart.entries) == [-7.0, -6.0] and apart.duplicates == 1 and apart.attempts == 3
+    assert ransac.Pool(3).cutoff() == math.inf
+
+
+def test_runs_and_sidecars(spark, tmp_path):
+    e = scoring.with_prior(spark.createDataFrame(turned_pair(1) + turned_pair(2, seed=9), EDGE))
+    once, thrice = (ransac.estimate(e, least_iterations=5, most_iterations=5, threshold=0.002, runs=n, capacity=2) for n in (1, 3))
+    by = lambda d: {r.pair_idx: r.model_score for r in d.collect()}
+    assert all(by(thrice)[p] <= s for p, s in by(once).items()) and {r.run for r in thrice.collect()} <= {0, 1, 2}
+    ransac.write_results(thrice, str(tmp_path), ("mode", "hcm_mc"), ("seed", 0))
+    trace = spark.read.parquet(f"{tmp_path}/traces")
+    assert {(r.mode, r.seed) for r in trace.collect()} == {("hcm_mc", 0)} and spark.read.parquet(f"{tmp_path}/results").count() == 2
+    rows = sorted(trace.filter("pair_idx = 1").collect(), key=lambda r: r.rank)
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and [r.hcm for r in rows] == sorted(r.hcm for r in rows) and len(rows[0].polished_pose) == 7
+    asked = spark.createDataFrame([(1, -1e9), (2, 1e9), (3, 0.0)], "pair_idx long, hcm double")
+    assert {r.pair_idx: r.admitted for r in ransac.probes(thrice, asked).collect()} == {1: True, 2: False, 3: True}
+
+
 # ---------------------------------------------------------------- checks and sampling
 def test_checks(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a")], "x int, y string")
