@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchweave.llm import embed_dedup, minhash, substring
 from matchweave.llm.components import connected
@@ -116,9 +117,8 @@ def test_minhash_rows_of_a_hot_key(spark, space, monkeypatch):
     monkeypatch.setattr(space, "clear", lambda *keep: None)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, space, n=2).collect()}
     assert got == {i: i for i in range(n)} | {100: 0, 101: 59}
-    members = written["many"].count()
-    blocks = written["labels"].count()
-    assert members > 100 and written["candidates"].count() <= 2 * members * -(-blocks // max(1, written["rest"].count())) and written["inside-links"].count() <= 2
+    members, blocks, keys = written["sized"].agg(F.sum("n")).first()[0], written["packed"].count(), written["sized"].select("key").distinct().count()
+    assert members > 100 and written["candidates"].count() <= 2 * members * -(-blocks // keys) and written["inside-links"].count() <= 2
 
 
 def brute_substring(texts, size):
