@@ -20,6 +20,22 @@ def first_segment(path: Column) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(1))
 
 
+def same_object(first: Column, second: Column) -> Column:
+    """The object of two paths; an error when it is read if they have none or two."""
+    a, b = first_segment(first), first_segment(second)
+    return F.when((a != "") & (a == b), a).otherwise(F.raise_error(F.concat_ws(" ", F.lit("not one object:"), first, second)).cast("string"))
+
+
+def number_label(x: Column) -> Column:
+    """A threshold as text: whole numbers without a fraction, others as short as they are."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def setting_label(stage: str, **settings) -> str:
+    """A label of a stage and its settings in their order."""
+    return ":".join([stage, *(f"{k}={v:g}" if isinstance(v, float) else f"{k}={v}" for k, v in settings.items())])
+
+
 def stable_hash(seed: int | str, *tokens: Column) -> Column:
     """The first 8 bytes of SHA-256 of ``seed:token:...`` as an unsigned number, decimal(20,0)."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *(t.cast("string") for t in tokens)), 256), 1, 16), 16, 10).cast("decimal(20,0)")

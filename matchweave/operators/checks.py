@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,13 @@ def unexpected(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) ->
     return a.join(b, list(keys), "left_anti").withColumn("problem", F.lit("unexpected")).unionByName(b.join(a, list(keys), "left_anti").withColumn("problem", F.lit("missing")))
 
 
-def rectangle(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combinations of the keys' own values that no row has; the domains are small by nature (report keys)."""
+def rectangle(rows: DataFrame, keys: Sequence[str], most: int = 50_000_000) -> DataFrame:
+    """Combinations of the keys' own values that no row has.  Keys are those of reports, with few values each; a rectangle of
+    more than ``most`` cells is refused before it is written out."""
     domains = [rows.select(k).distinct() for k in keys]
+    sizes = rows.agg(*(F.countDistinct(k) for k in keys)).first()
+    if prod(sizes) > most:
+        raise CheckFailed(f"a rectangle of {' x '.join(map(str, sizes))} cells")
     return reduce(lambda a, b: a.crossJoin(b), domains).join(rows.select(*keys).distinct(), list(keys), "left_anti")
 
 

@@ -16,8 +16,11 @@ def frontier(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
 
 
 def select_layer(points: DataFrame, keys: Sequence[str], layer: str, x: str, y: str) -> DataFrame:
-    """Layers by mean regret, then greatest regret, then number: the first is the choice."""
-    return frontier(points, keys, x, y).groupBy(layer).agg(F.avg("regret").alias("mean_regret"), F.max("regret").alias("max_regret")).orderBy("mean_regret", "max_regret", layer)
+    """Layers by mean regret, then the worst key's mean regret, then the greatest regret, then number: the first is the choice."""
+    points = frontier(points, keys, x, y)
+    by_key = points.groupBy(layer, *keys).agg(F.avg("regret").alias("mean"), F.max("regret").alias("max"), F.sum("regret").alias("sum"), F.count("regret").alias("n"))
+    by_layer = by_key.groupBy(layer).agg((F.sum("sum") / F.sum("n")).alias("mean_regret"), F.max("mean").alias("worst_mean_regret"), F.max("max").alias("max_regret"))
+    return by_layer.orderBy("mean_regret", "worst_mean_regret", "max_regret", layer)
 
 
 def step_lookup(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

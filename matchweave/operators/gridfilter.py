@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.functions.geometry import finite
 from matchweave.operators.graph import matching
+from matchweave.operators.knn import ordinal, renumbered
 
 #: Ratio of the right grid to the left one, in the order in which they are tried.
 SCALES = (1.0, 1.0 / 2, 1.0 / math.sqrt(2.0), math.sqrt(2.0), 2.0)
@@ -140,3 +142,37 @@ def filter_exact(edges: DataFrame, grid: int = 20, factor: float = 6.0, with_sca
         return table.filter(pa.array(best))
 
     return edges.groupBy("pair_idx").applyInArrow(run, edges.schema)
+
+
+def first_seen(edges: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Edges with the coordinates of each point's first row: a point that is named with several places keeps the one it came with first."""
+    out = edges
+    for side, s in (("left", "1"), ("right", "2")):
+        first = out.groupBy("pair_idx", f"{side}_idx").agg(F.min_by(F.struct(F.col(f"x{s}").cast("float").alias("x"), F.col(f"y{s}").cast("float").alias("y")), order).alias("_p"))
+        out = out.drop(f"x{s}", f"y{s}").join(first, ["pair_idx", f"{side}_idx"]).withColumns({f"x{s}": F.col("_p.x").cast("double"), f"y{s}": F.col("_p.y").cast("double")}).drop("_p")
+    return out
+
+
+def in_frame(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Whether a point is a place in an image at all (finite, not negative), and whether it lies on its pixels."""
+    valid = finite(x) & finite(y) & (x >= 0) & (y >= 0)
+    return F.coalesce(valid, F.lit(False)), F.coalesce(valid & (x <= width - 1) & (y <= height - 1), F.lit(False))
+
+
+def filter_files(edges: DataFrame, grid: int = 20, factor: float = 6.0, with_scale: bool = False, with_rotation: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """The whole filter on association rows (pair_idx, left_idx, right_idx, x1, y1, x2, y2 in pixels, k, similarity): places of first rows, points in
+    the unit square of each side's area (``sizes``: pair_idx, w1, h1, w2, h2; else the area that the points take), the exact filter, and ids
+    renumbered in the order of the rows that are left.  Rows with a coordinate that is no place are dropped with their edge."""
+    valid = in_frame(F.col("x1"), F.col("y1"), F.lit(float("inf")), F.lit(float("inf")))[0] & in_frame(F.col("x2"), F.col("y2"), F.lit(float("inf")), F.lit(float("inf")))[0]
+    placed = first_seen(edges.filter(valid).withColumn("ordinal", ordinal()))
+    if sizes is None:
+        area = bounds(placed, grid)
+        unit = {f"u{c}{s}": (F.col(f"{c}{s}") - F.col(f"{c}{s}_from")) / F.greatest(F.col(f"{c}{s}_size"), F.lit(1e-9)) for c in "xy" for s in "12"}
+    else:
+        area = sizes
+        unit = {f"u{c}{s}": F.col(f"{c}{s}") / F.col(f"{'w' if c == 'x' else 'h'}{s}") for c in "xy" for s in "12"}
+    square = placed.join(area, "pair_idx").withColumns(unit)
+    names = {f"u{c}{s}": f"{c}{s}" for c in "xy" for s in "12"}
+    kept = filter_exact(square.select("pair_idx", "left_idx", "right_idx", *(F.col(u).alias(c) for u, c in names.items())), grid, factor, with_scale, with_rotation).select("pair_idx", "left_idx", "right_idx")
+    left = placed.join(kept, ["pair_idx", "left_idx", "right_idx"], "left_semi")
+    return renumbered(left, "ordinal")

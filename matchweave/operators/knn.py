@@ -140,6 +140,15 @@ def compact_by_appearance(edges: DataFrame) -> DataFrame:
     return placed.select("pair_idx", *(F.struct(F.col(c).alias("was"), number(c).alias("now")).alias(c) for c in ("left_idx", "right_idx")), "k")
 
 
+def renumbered(edges: DataFrame, order: str) -> DataFrame:
+    """Edges with both ids numbered from 0 in the order in which the rows that are left name them."""
+    out = edges
+    for c in ("left_idx", "right_idx"):
+        out = out.withColumn(f"_{c}", F.min(order).over(Window.partitionBy("pair_idx", c)))
+        out = out.withColumn(c, (F.dense_rank().over(Window.partitionBy("pair_idx").orderBy(f"_{c}")) - 1).cast("long")).drop(f"_{c}")
+    return out
+
+
 def bilinear_rows(x: Column, y: Column, patch: int, columns: int, rows: int) -> tuple[Column, Column]:
     """(inside, four corners (gx, gy, weight)) of a point on a grid of patch centres."""
     gx, gy = x / patch - 0.5, y / patch - 0.5

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.functions.geometry import finite, pose_error
+from matchweave.functions.geometry import finite, pose_error, rotation_error, translation_error, unit_quaternion
 
 FAILED = 180.0
 
@@ -49,15 +50,20 @@ def align_by_position(results: DataFrame, total: int) -> DataFrame:
 
 
 def paired_delta(table: DataFrame, keys: Sequence[str], by: str, baseline, value: str) -> DataFrame:
-    """Each row's value less the baseline's with the same keys."""
-    base = table.filter(F.col(by) == baseline).select(*keys, F.col(value).alias("baseline"))
+    """Each row's value less the baseline's with the same keys; two baselines for one key are an error when it is read."""
+    base = table.filter(F.col(by) == baseline).groupBy(*keys).agg(F.max(value).alias("baseline"), F.count("*").alias("_n"))
+    base = base.select(*keys, F.when(F.col("_n") > 1, F.raise_error(F.lit("several baselines for one key")).cast("double")).otherwise(F.col("baseline")).alias("baseline"))
     return table.join(base, list(keys)).withColumn("delta", F.col(value) - F.col("baseline"))
 
 
-def pivot_delta(table: DataFrame, keys: Sequence[str], by: str, proposed, baseline, value: str) -> DataFrame:
-    """Proposed less baseline side by side, for keys that have both."""
+def pivot_delta(table: DataFrame, keys: Sequence[str], by: str, proposed, baseline, value: str, pairs: str | None = None) -> DataFrame:
+    """Proposed less baseline side by side, for keys that have both; where the column ``pairs`` is named, both must have the same number."""
     wide = table.groupBy(*keys).pivot(by, [proposed, baseline]).agg(F.first(value))
     p, b = F.col(f"`{proposed}`"), F.col(f"`{baseline}`")
+    if pairs:
+        counts = table.filter(F.col(by).isin(proposed, baseline)).groupBy(*keys).agg(F.countDistinct(pairs).alias("_n"))
+        wide = wide.join(counts, list(keys))
+        p = F.when(F.col("_n") > 1, F.raise_error(F.lit("the two were measured on different numbers of pairs")).cast("double")).otherwise(p)
     return wide.filter(p.isNotNull() & b.isNotNull()).select(*keys, p.alias("proposed"), b.alias("baseline"), (p - b).alias("delta"))
 
 
@@ -141,7 +147,64 @@ def histogram_distance(left: DataFrame, right: DataFrame, keys: Sequence[str], v
     return both.groupBy(*keys).agg(F.sum(F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0)))).alias("l1"))
 
 
-def content_hash(rows: DataFrame, keys: Sequence[str], order: Column, line: Column) -> DataFrame:
-    """SHA-256 of each key's lines in order."""
-    joined = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"])
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(joined, "\n"), 256).alias("digest"))
+def content_hash(rows: DataFrame, keys: Sequence[str], chunk: Column, order: Column, line: Column) -> DataFrame:
+    """SHA-256 of each key's lines in order: the digest of its chunks' digests, one a line.  ``chunk`` rises with ``order`` and bounds what one task holds of a key."""
+    joined = lambda o, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), x.alias("x")))), lambda y: y["x"]), "\n")
+    parts = rows.groupBy(*keys, chunk.alias("_chunk")).agg(F.sha2(joined(order, line), 256).alias("_digest"))
+    return parts.groupBy(*keys).agg(F.sha2(joined(F.col("_chunk"), F.col("_digest")), 256).alias("digest"))
+
+
+def errors_against_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Results (pair_idx, qw..tz) with rotation and translation error against the true poses; NaN where a pair has none."""
+    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    joined = results.join(truth.select("pair_idx", *(F.col(c).alias(f"_{c}") for c in names)), "pair_idx", "left")
+    q, p = ([F.col(f"{u}{c}") for c in names] for u in ("", "_"))
+    nan = F.lit(float("nan"))
+    rotated = rotation_error(unit_quaternion(q[:4]), unit_quaternion(p[:4]))
+    moved = translation_error(q[4:], p[4:])
+    known = F.col("_qw").isNotNull()
+    return joined.withColumns({"rotation_error_deg": F.when(known, F.coalesce(rotated, nan)).otherwise(nan), "translation_error_deg": F.when(known, F.coalesce(moved, nan)).otherwise(nan)}).drop(*(f"_{c}" for c in names))
+
+
+def strict_errors(expected: DataFrame, results: DataFrame, key: str = "pair_idx") -> DataFrame:
+    """Errors of exactly the expected ids: one that is missing, unexpected or there twice is an error when it is read."""
+    have = results.groupBy(key).agg(F.count("*").alias("_n"), F.first("rotation_error_deg").alias("_r"), F.first("translation_error_deg").alias("_t"))
+    both = expected.select(key).distinct().withColumn("_want", F.lit(True)).join(have, key, "full")
+    wrong = F.when(F.col("_want").isNull(), "unexpected").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "twice")
+    error = pose_error(F.col("_r"), F.col("_t"), FAILED)
+    return both.select(key, F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(" id "), F.col(key).cast("string"))).cast("double")).otherwise(error).alias("err"))
+
+
+def dataset_report(results: DataFrame, keys: Sequence[str], subset: str, thresholds: Sequence[float], costs: Sequence[str]) -> DataFrame:
+    """Per key the AUC over all pairs of its subsets together, and each cost as the plain mean of the subsets' means; texts that are no numbers do not count."""
+    auc_ = auc_table(results, keys, thresholds)
+    number = lambda c: F.col(c).try_cast("double") if results.schema[c].dataType.simpleString() == "string" else F.col(c).cast("double")
+    means = results.groupBy(*keys, subset).agg(*(finite_mean(number(c)).alias(c) for c in costs))
+    return auc_.join(means.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in costs)), list(keys))
+
+
+def nested_summary(table: DataFrame, keys: Sequence[str], value: str, delta: str, pairs: str) -> DataFrame:
+    """Over seeds: mean and sample deviation (null for one seed) of a value, mean and range of its delta, seeds, and the pairs of the first seed."""
+    return table.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg(delta).alias("delta_mean"), F.min(delta).alias("delta_min"), F.max(delta).alias("delta_max"), F.count("*").alias("seeds"), F.min_by(pairs, "seed").alias("pairs"))
+
+
+def five_seeds(summary: DataFrame, seeds: int = 5) -> DataFrame:
+    """A summary whose rows must all be over the same number of seeds; another number is an error when it is read."""
+    return summary.withColumn("seeds", F.when(F.col("seeds") == seeds, F.col("seeds")).otherwise(F.raise_error(F.concat(F.lit("seeds: "), F.col("seeds").cast("string"))).cast("long")))
+
+
+def worst(table: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Each key's largest value with its name, of equal values the last by name."""
+    return table.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("value"), F.col(name).alias("name"))).alias("w")).select(*keys, F.col("w.value").alias(value), F.col("w.name").alias(name))
+
+
+def support(table: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
+    """Distinct values of some columns for each key."""
+    return table.groupBy(*keys).agg(*(F.countDistinct(c).alias(n) for n, c in columns.items()))
+
+
+def in_dataset_order(tables: Sequence[DataFrame], names: Sequence[str], dataset: str = "dataset") -> DataFrame:
+    """Tables one after the other, sorted by a given order of datasets; others follow by name."""
+    whole = reduce(lambda a, b: a.unionByName(b), tables)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(dataset))
+    return whole.withColumn("place", F.when(place > 0, place).otherwise(len(names) + 1)).orderBy("place", dataset)

@@ -304,8 +304,11 @@ def test_runtime(spark):
 def test_content_hash_follows_the_order(spark):
     import hashlib
 
-    t = spark.createDataFrame([(2, "b"), (1, "a")], "o int, l string")
-    assert metrics.content_hash(t.withColumn("k", F.lit(0)), ["k"], F.col("o"), F.col("l")).first().digest == hashlib.sha256(b"a\nb").hexdigest()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    t = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b"), (11, "z")], "o int, l string").withColumn("k", F.lit(0))
+    whole = metrics.content_hash(t, ["k"], F.floor(F.col("o") / 10), F.col("o"), F.col("l")).first().digest
+    assert whole == sha(sha("a\nb\nc") + "\n" + sha("z"))
+    assert whole != metrics.content_hash(t.withColumn("o", -F.col("o")), ["k"], F.floor(F.col("o") / 10), F.col("o"), F.col("l")).first().digest
 
 
 # ---------------------------------------------------------------- curves
