@@ -15,6 +15,7 @@ an empty result, a text of any length is taken whole, and columns that are not n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.pretokens import PieceTable
-from matchweave.llm.shared import lean, no_cycles, text_groups
+from matchweave.llm.pretokens import PieceTable, classes
+from matchweave.llm.shared import give_back, lean, no_cycles, text_groups
 
 
 class DocumentIds:
@@ -38,11 +39,27 @@ class DocumentIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = PieceTable(self._make)
+        classes()
+        give_back()  # what was needed to read the vocabulary and the character classes
 
     def _make(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        # a few pieces at a time: what the library returns for each is a hundred times its ids
+        some = (pieces[at : at + 1024] for at in range(0, len(pieces), 1024))
+        return [np.array(e.ids, np.uint32) for x in some for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text.  Long texts go through the table part by part, so that its vectors stay small."""
+        out = []
+        for x in texts:
+            if len(x) > PART and not any(s in x for s in self.specials):
+                out.append(np.concatenate([self._ids([part])[0] for part in parts(x)]))
+            else:
+                out.append(None)
+        short = [x for x, done in zip(texts, out, strict=True) if done is None]
+        rest = iter(self._ids(short) if short else [])
+        return [next(rest) if done is None else done for done in out]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         ids, at, _, _ = self.table.lookup(texts)
         out = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         for i, x in enumerate(texts):
@@ -51,6 +68,19 @@ class DocumentIds:
         return out
 
 
+#: Characters of a part, about, and where a text can be cut: a single space between other characters always begins a piece.
+PART, _CUT = 1 << 16, re.compile(r"(?<=[^\s]) (?=[^\s])")
+
+
+def parts(text: str):
+    """The text in parts of about ``PART`` characters whose pieces are those of the whole text; longer where it has no single space."""
+    at = 0
+    while len(text) - at > 2 * PART and (cut := _CUT.search(text, at + PART)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 @lru_cache(maxsize=2)
 def _ids(path: str) -> DocumentIds:
     return DocumentIds(path)

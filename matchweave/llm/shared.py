@@ -208,16 +208,21 @@ def block_words(raws: list[bytes], lower: bool = False, second: bool = False):
     return h, starts, ends, data, np.searchsorted(starts, offsets)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
-    """A function of batches that gives memory back to the system when a task ends, so that an idle worker keeps little beside those that work."""
+    """A function of batches that gives memory back when a task ends, so that an idle worker keeps little beside those that work."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

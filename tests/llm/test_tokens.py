@@ -182,3 +182,12 @@ def test_packed_pieces_by_bucket(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/packed")
     assert {(r.bucket, r.length) for r in back.collect()} == {(1 << k, 1 << k) for k in range(6)}
     assert back.count() == packing.pack(docs, JSON, longest=32).count()
+
+
+def test_long_texts_are_split_at_pieces(library, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 40)
+    coder = packing.DocumentIds(JSON)
+    rng = random.Random(12)
+    long = [" ".join(t for t in rng.sample(texts(300), 60)) for _ in range(12)] + ["x" * 500, " " * 500, "a \u00a0b \x1c c  d " * 60, "don't 's " * 40]
+    assert max(len(list(packing.parts(t))) for t in long) > 5 and all("".join(packing.parts(t)) == t for t in long)
+    assert [x.tolist() for x in coder.of(long)] == [library.encode(t, add_special_tokens=False).ids for t in long]
