@@ -19,11 +19,32 @@ BLOCK, SIDE = 512, 16_384
 
 
 def similarity_join(left: DataFrame, right: DataFrame, pair: str = "pair_idx") -> DataFrame:
-    """All (left_idx, right_idx, similarity) inside a pair, relationally; for small sides and further joins."""
+    """All (left_idx, right_idx, similarity) inside a pair, relationally: as many rows as the product of the sides, so for small ones and
+    further joins.  ``similarity_summary`` and ``ranked_candidates`` do without these rows."""
     l, r = left.select(pair, F.col("idx").alias("left_idx"), F.col("v").alias("lv")), right.select(pair, F.col("idx").alias("right_idx"), F.col("v").alias("rv"))
     return l.join(r, pair).select(pair, "left_idx", "right_idx", dot(F.col("lv"), F.col("rv")).alias("similarity"))
 
 
+def similarity_summary(left: DataFrame, right: DataFrame, pair: str = "pair_idx", most: int = 16_384) -> DataFrame:
+    """(pair, left_idx, n, best, mean) of each left vector's similarities to all right ones of its pair, in cells of two blocks."""
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        (li, a), (_, b) = _side(l), _side(r)
+        best, total = np.zeros(len(li)), np.zeros(len(li))
+        for low in range(0, len(li), BLOCK) if len(b) else ():
+            s = a[low : low + BLOCK] @ b.T
+            best[low : low + BLOCK], total[low : low + BLOCK] = s.max(1), s.sum(1)
+        keep = len(li) if len(b) else 0
+        name = l.column(pair).take(pa.array([0] * keep, pa.int64()))
+        return pa.table({pair: name, "left_idx": pa.array(li[:keep], pa.int64()), "n": pa.array([len(b)] * keep, pa.int64()), "best": pa.array(best[:keep], pa.float64()), "total": pa.array(total[:keep], pa.float64())})
+
+    kind = left.schema[pair].dataType.simpleString()
+    l, r, _ = dealt(*(x.select(F.col(pair).alias(pair), F.col("idx").cast("long").alias("idx"), F.col("v").alias("v")) for x in (left, right)), pair, most)
+    cell = [pair, "bl", "br"]
+    parts = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, left_idx long, n long, best double, total double")
+    return parts.groupBy(pair, "left_idx").agg(F.sum("n").alias("n"), F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def _ranks(a: np.ndarray, b: np.ndarray, k: int):
     """(row, column, similarity, rank) of each row's k best columns: similarity descending, then column ascending."""
     k = min(k, len(b))

@@ -67,10 +67,36 @@ def pivot_delta(table: DataFrame, keys: Sequence[str], by: str, proposed, baseli
     return wide.filter(p.isNotNull() & b.isNotNull()).select(*keys, p.alias("proposed"), b.alias("baseline"), (p - b).alias("delta"))
 
 
+def percentiles(table: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], buckets: int = 256) -> DataFrame:
+    """(keys, share, value): exact percentiles with linear interpolation, of values that are not null.
+
+    A sketch of each key cuts its values into ``buckets`` of about one size; counts of the buckets tell in which the wanted ranks
+    lie, and only these are ordered, each by itself.  So no task holds a key's values, however few keys there are.
+    """
+    rows = table.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"), F.count("*").alias("_n"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("share"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at")) for p in shares)))
+    wanted = cuts.select(*keys, ranks.alias("r")).select(*keys, "r.share", "r.at", F.floor("r.at").alias("low"), F.ceil("r.at").alias("high"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(cuts, list(keys)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_n")
+    sizes = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    ahead = sizes.withColumn("_ahead", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s"))  # as many rows as buckets
+    asked = wanted.select(*keys, F.explode(F.array_distinct(F.array("low", "high"))).alias("rank")).distinct()
+    hit = asked.join(ahead, list(keys)).filter((F.col("rank") >= F.col("_ahead")) & (F.col("rank") < F.col("_ahead") + F.col("_s"))).select(*keys, "_b", "_ahead", "rank")
+    inside = counted.join(hit.select(*keys, "_b", "_ahead").distinct(), [*keys, "_b"])
+    placed = inside.withColumn("_end", F.col("_ahead") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
+    found = hit.drop("_ahead").join(placed.select(*keys, "_b", "_v", "_c", "_end"), [*keys, "_b"]).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))).select(*keys, "rank", "_v")
+    ends = [found.select(*keys, F.col("rank").alias(name), F.col("_v").alias(f"_{name}")) for name in ("low", "high")]
+    both = wanted.join(ends[0], [*keys, "low"]).join(ends[1], [*keys, "high"])
+    return both.select(*keys, "share", (F.col("_low") + (F.col("at") - F.col("low")) * (F.col("_high") - F.col("_low"))).alias("value"))
+
+
 def runtime(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, median and 95th percentile (linear interpolation) of finite values, with coverage."""
     x = F.when(finite(F.col(value)), F.col(value))
-    return table.groupBy(*keys).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.95).alias("p95"), F.count(x).alias("covered"), F.count("*").alias("rows"))
+    fine = table.withColumn(value, x)
+    means = fine.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("covered"), F.count("*").alias("rows"))
+    at = percentiles(fine, keys, value, (0.5, 0.95)).groupBy(*keys).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for p, n in ((0.5, "median"), (0.95, "p95"))))
+    return means.join(at, list(keys), "left").select(*keys, "mean", "median", "p95", "covered", "rows")
 
 
 def runtime_wide(table: DataFrame, keys: Sequence[str], by: str, variants: Sequence[str], value: str, factor: float = 1000.0) -> DataFrame:

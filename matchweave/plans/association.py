@@ -83,7 +83,7 @@ def mutual_entry_rank_sentinel(spark, sf_dir):
 
 @registered(f"WITH {UNIT} SELECT l.pair_idx, l.idx AS left_idx, count(*) AS n, round(max(list_dot_product(l.v, r.v)), 6) AS best, round(avg(list_dot_product(l.v, r.v)), 6) AS mean FROM unit l JOIN unit r USING (pair_idx) WHERE l.side = 0 AND r.side = 1 GROUP BY ALL")
 def similarity_join(spark, sf_dir):
-    return knn.similarity_join(*adapters.sides(spark, sf_dir)).groupBy("pair_idx", "left_idx").agg(F.count("*").alias("n"), r6(F.max("similarity"), "best"), r6(F.avg("similarity"), "mean"))
+    return knn.similarity_summary(*adapters.sides(spark, sf_dir)).select("pair_idx", "left_idx", "n", r6("best"), r6("mean"))
 
 
 CUMULATIVE = EDGES + f", ks AS (SELECT unnest(generate_series(1, {K})) AS k), cum AS (SELECT e.pair_idx, ks.k, count(*) FILTER (e.k <= ks.k) AS edges FROM edges e, ks GROUP BY ALL)"
@@ -196,7 +196,8 @@ def recall_at_k_cdf(spark, sf_dir):
     at = lambda side, c: side.select("pair_idx", F.col("idx").alias(f"{c}_idx"), F.get("raw", F.lit(0)).alias(f"{c}0"))
     l, r = at(left, "left"), at(right, "right")
     candidates = knn.mutual_entry(left, right, K).join(l, ["pair_idx", "left_idx"]).join(r, ["pair_idx", "right_idx"]).withColumn("error", F.abs(F.col("left0") - F.col("right0")))
-    sources = l.join(r, "pair_idx").groupBy("pair_idx", "left_idx").agg(F.min(F.abs(F.col("left0") - F.col("right0"))).alias("min_error"))
+    point = lambda side, c: side.select("pair_idx", F.col(f"{c}_idx").alias("idx"), F.col(f"{c}0").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    sources = knn.nearest_error(point(l, "left"), point(r, "right")).select("pair_idx", F.col("idx").alias("left_idx"), "min_error")
     return metrics.recall_at_k(candidates, sources, (0.05, 0.1, 0.2), (1, 2, 5)).select("pair_idx", "threshold", F.col("k").cast("long").alias("k"), "n_source", F.col("n_gt").cast("long").alias("n_gt"), r6("direct_cdf"), r6("mutual_cdf"))
 
 

@@ -301,6 +301,30 @@ def test_runtime(spark):
     assert (r["mean"], r["median"], round(r.p95, 9), r.covered, r.rows) == (2.5, 2.5, 3.85, 4, 6)
 
 
+def test_percentiles_of_many_shapes(spark):
+    rng = np.random.default_rng(2)
+    groups = {"same": [3.0] * 50, "one": [7.0], "ties": rng.integers(0, 4, 500).astype(float).tolist(), "wide": rng.standard_normal(3000).tolist(), "two": [1.0, 2.0]}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("none", None), ("same", None)]
+    got = {(r.k, r.share): r.value for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", (0.0, 0.5, 0.9, 0.95, 1.0), buckets=16).collect()}
+    assert set(got) == {(k, p) for k in groups for p in (0.0, 0.5, 0.9, 0.95, 1.0)}
+    assert all(np.isclose(v, np.percentile(groups[k], 100 * p)) for (k, p), v in got.items())
+
+
+def test_neighbours_in_cells(spark):
+    """Cut into many cells, lists, nearest points and summaries are those of whole sides."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((60, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    left = spark.createDataFrame([(p, i, x.tolist()) for p in (0, 1) for i, x in enumerate(v[: 30 + p])], "pair_idx int, idx long, v array<double>")
+    right = spark.createDataFrame([(p, i, x.tolist()) for p in (0, 2) for i, x in enumerate(v[30:])], "pair_idx int, idx long, v array<double>")
+    rows = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.fillna(-1).collect())
+    assert rows(knn.ranked_candidates(left, right, 4, most=7)) == rows(knn.ranked_candidates(left, right, 4)) and knn.ranked_candidates(left, right, 4, most=7).count() > 120
+    assert rows(knn.similarity_summary(left, right, most=7)) == rows(knn.similarity_join(left, right).groupBy("pair_idx", "left_idx").agg(F.count("*").alias("n"), F.max("similarity").alias("best"), F.avg("similarity").alias("mean")))
+    at = lambda d: d.select("pair_idx", "idx", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
+    near = rows(knn.nearest_error(at(left), at(right), most=7))
+    assert near == rows(knn.nearest_error(at(left), at(right))) and sum(math.isinf(e) for _, _, e in near) == 31
+
+
 def test_content_hash_follows_the_order(spark):
     import hashlib
 
