@@ -20,6 +20,7 @@ if counts are short.
 Equal vectors of a label are one point with a weight.  Vectors with a null label, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing, as do null ids; of different vectors with one id, the
 smallest (label, vector) is compared and the others link with nothing.  Vectors of different lengths do not link.
+An empty table gives an empty result; columns that are not named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from matchweave.llm.components import connected
 from matchweave.llm.shared import Workspace
 
-#: Random hyperplane trees, points in a cell, plain list length, longest list, rows of a counting block, block centres in a tile, cells of work at least.
-TREES, CELL, LIST, LONGEST, BLOCK, TILE, WORK = 4, 96, 10, 40, 160, 1024, 256
+#: Random hyperplane trees, points in a cell, plain list length, longest list, rows of a counting block at least and at most, block centres in a tile, cells of work at least.
+TREES, CELL, LIST, LONGEST, BLOCK, MOST_BLOCK, TILE, WORK = 4, 96, 10, 40, 160, 2048, 1024, 256
 #: Single-precision similarities this far below the threshold still go to the exact check.
 SLACK = 1e-5
 #: Queries of the audit, how often they become four times as many while they hold fewer links than enough, enough links; recall that it asks for; rounds before cells are added, rounds at most.
@@ -336,7 +337,9 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = ends.groupBy("a").count().filter(F.col("count") >= LIST).select(F.col("a").alias("id"))
     dense = space.table(found.join(many, "id").select("component").distinct(), "dense")
-    size = space.table(found.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "dense-sizes")
+    # each block is sent once for each block it is compared with, so blocks grow with the component
+    rows_of_block = F.least(F.lit(float(MOST_BLOCK)), F.greatest(F.lit(float(BLOCK)), 8 * F.sqrt(F.count("*"))))
+    size = space.table(found.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / rows_of_block).alias("blocks")), "dense-sizes")
     members = found.join(size, "component").join(points.select("id", "label", "dim", "w", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     packed = members.groupBy("component", "block").applyInArrow(_pack(kind), f"label {label_type}, dim int, component {id_type}, block long, ids binary, ws binary, vs binary, centre binary, radius double")
     packed = space.table(packed.withColumn("key", F.monotonically_increasing_id()), "packed")

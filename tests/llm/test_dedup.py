@@ -216,6 +216,29 @@ def test_links_between_versions_whose_lists_are_full(spark, space):
     assert got == {i: (479, 0, i == 0) if i < 480 else (0, i, True) for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("groups", [2, 5])
+def test_links_between_neighbouring_dense_groups(spark, space, groups):
+    """Tight groups whose centres are neighbours (cosine 0.985), each larger than the longest list, beside random vectors."""
+    rng = np.random.default_rng(groups)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    centres = [centre]
+    for _ in range(groups - 1):
+        side = rng.standard_normal(64)
+        side -= side @ centre * centre
+        centres.append(0.985 * centre + (1 - 0.985**2) ** 0.5 * side / np.linalg.norm(side))
+    rows = [(200 * g + i, (c + 0.002 * rng.standard_normal(64)).astype(np.float32).tolist(), 0) for g, c in enumerate(centres) for i in range(200)]
+    rows += [(5000 + i, rng.standard_normal(64).astype(np.float32).tolist(), 0) for i in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), space).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    ids = [i for i, _, _ in rows]
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    want = roots(ids, links)
+    assert got == {i: (int(n) - 1, want[i]) for i, n in zip(ids, near.sum(1), strict=True)} and len({want[i] for i in ids[: 200 * groups]}) == 1
+
+
 def test_recall_in_a_large_label_beside_many_small_ones(spark, space):
     """Planted pairs in one label; the mean size of a label is small."""
     rng = np.random.default_rng(31)
