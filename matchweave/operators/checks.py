@@ -144,3 +144,53 @@ def complete(results: DataFrame, expected: DataFrame, keys: Sequence[str]) -> Da
 def pending(expected: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return expected.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+POLICIES = ("skip", "overwrite", "error", "validate", "repair")
+
+
+def to_do(expected: DataFrame, stored: DataFrame, keys: Sequence[str], policy: str = "skip", broken: DataFrame | None = None) -> DataFrame:
+    """The expected rows that a run has to make, given what is stored and which stored keys are ``broken``.
+
+    ``skip``: those that are missing; ``overwrite``: all; ``error``: all, if nothing is stored yet; ``validate``: none, if all are
+    stored and sound; ``repair``: the missing and the broken ones.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}")
+    if policy == "overwrite":
+        return expected
+    if policy == "error":
+        require_none(expected.join(stored.select(*keys).distinct(), list(keys), "left_semi"), "there are results already")
+        return expected
+    sound = stored.select(*keys).distinct()
+    if policy in ("validate", "repair") and broken is not None:
+        sound = sound.join(broken.select(*keys).distinct(), list(keys), "left_anti")
+    missing = pending(expected, sound, keys)
+    if policy == "validate":
+        require_none(missing, "results are missing or broken")
+    return missing
+
+
+def plot_inputs(rows: DataFrame, keys: Sequence[str], values: Sequence[str], seeds: int | None = 5) -> DataFrame:
+    """(problem, count) of a table that is to be drawn: keys twice, cells of the keys' rectangle that are missing, values that are not finite, other numbers of seeds (column ``seeds``)."""
+    bad = reduce(lambda a, b: a | b, (~finite(F.col(v)) for v in values))
+    found = [("duplicate", duplicates(rows, keys)), ("missing cell", rectangle(rows, keys)), ("not finite", rows.filter(bad))]
+    if seeds is not None:
+        found.append(("seeds", rows.filter(~F.col("seeds").eqNullSafe(F.lit(seeds).cast("long")))))
+    return reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("count")).select(F.lit(name).alias("problem"), "count") for name, d in found))
+
+
+def denominators(poses: DataFrame, bound: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Per key how many pairs there are to be scored, from its pose table, and the digest of their ids; ``problem`` where the digest or the
+    number is not the one that ``bound`` (keys, pairs, sha256) holds it to.
+
+    Ids are hashed in chunks of a thousand, then the chunks' digests, so no task holds all of a key's.
+    """
+    from matchweave.operators.metrics import content_hash
+
+    number = F.col("pair_idx").cast("long")
+    digest = content_hash(poses, keys, F.floor(number / 1000), number, number.cast("string"))
+    counted = poses.groupBy(*keys).agg(F.count("*").alias("pairs"), F.countDistinct("pair_idx").alias("_ids")).join(digest, list(keys))
+    held = bound.select(*keys, F.col("pairs").alias("_pairs"), F.col("sha256").alias("_sha256"))
+    problem = F.when(F.col("_ids") != F.col("pairs"), "an id twice").when(F.col("_pairs").isNull(), "not bound").when(F.col("_pairs") != F.col("pairs"), "another number of pairs").when(F.col("_sha256") != F.col("digest"), "other ids")
+    return counted.join(held, list(keys), "left").select(*keys, "pairs", "digest", problem.alias("problem"))

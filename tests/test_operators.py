@@ -301,6 +301,39 @@ def test_runtime(spark):
     assert (r["mean"], r["median"], round(r.p95, 9), r.covered, r.rows) == (2.5, 2.5, 3.85, 4, 6)
 
 
+def test_policies_of_a_second_run(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "pair_idx long")
+    do = lambda policy, stored=(1, 2), broken=(2,): {r.pair_idx for r in checks.to_do(ids(1, 2, 3), ids(*stored), ["pair_idx"], policy, ids(*broken)).collect()}
+    assert (do("skip"), do("overwrite"), do("repair"), do("error", (9,))) == ({3}, {1, 2, 3}, {2, 3}, {1, 2, 3}) and do("validate", (1, 2, 3), (9,)) == set()
+    for policy, stored, broken in (("error", (1,), (9,)), ("validate", (1, 2), (9,)), ("validate", (1, 2, 3), (2,))):
+        with pytest.raises(checks.CheckFailed):
+            do(policy, stored, broken)
+    with pytest.raises(ValueError):
+        do("again")
+
+
+def test_plot_inputs_and_denominators(spark):
+    rows = [(d, k, 0.5, 5) for d in "ab" for k in (1, 2)]
+    count = lambda x: {r.problem: r["count"] for r in checks.plot_inputs(spark.createDataFrame(x, "d string, k int, v double, seeds long"), ["d", "k"], ["v"]).collect()}
+    assert set(count(rows).values()) == {0}
+    assert count([*rows[:3], rows[0], ("c", 1, float("nan"), 4)]) == {"duplicate": 1, "missing cell": 2, "not finite": 1, "seeds": 1}
+    poses = spark.createDataFrame([("x", i) for i in range(2500)] + [("y", 1), ("y", 1), ("z", 3)], "dataset string, pair_idx long")
+    first = checks.denominators(poses, spark.createDataFrame([], "dataset string, pairs long, sha256 string"))
+    digest = {r.dataset: r.digest for r in first.collect()}
+    bound = spark.createDataFrame([("x", 2500, digest["x"]), ("y", 2, digest["y"]), ("z", 1, "0")], "dataset string, pairs long, sha256 string")
+    assert {r.dataset: (r.pairs, r.problem) for r in checks.denominators(poses, bound).collect()} == {"x": (2500, None), "y": (2, "an id twice"), "z": (1, "other ids")}
+
+
+def test_all_skip_reasons(spark):
+    """One pair for each reason, as rows of association files."""
+    fine = [(i, i, 0.5, 1, None) for i in range(6)]
+    files = {1: fine, 2: fine, 3: [(*fine[0][:4], "bad row"), *fine[1:]], 4: [(None, None, 0.5, 1, None)] * 6, 5: [(-1, 0, 0.5, 1, None), *fine], 6: [(i, i, None, 1, None) for i in range(6)], 7: [*fine, (None, 3, 0.5, 1, None)], 8: [*fine, (9, 9, 0.5, None, None)], 9: [*fine[:4], *((20 + i, 20 + i, 0.1, 1, None) for i in range(3))], 10: [(i, 0, 0.5, 1, None) for i in range(9)], 11: fine}
+    edges = spark.createDataFrame([(p, *r) for p, rows in files.items() for r in rows], "pair_idx long, left_idx long, right_idx long, similarity double, k int, bad string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "pair_idx long")
+    got = {r.pair_idx: r.reason for r in checks.skip_reasons(ids(*range(12)), edges, 5, poses=ids(*(i for i in range(12) if i != 2)), threshold=0.3, proposal_k=2, failed=ids(11)).collect()}
+    assert got == {0: "missing_match_file", 1: None, 2: "missing_pose_intrinsics", 3: "invalid_match_csv: bad row", 4: "missing_m2m_metadata", 5: "invalid_feature_ids", 6: "similarity_threshold_requires_similarity", 7: "column_size_mismatch", 8: "proposal_rank_size_mismatch", 9: "not_enough_matches", 10: "proposal_graph_not_enough_o2o", 11: "ransac_failed"}
+
+
 def test_percentiles_of_many_shapes(spark):
     rng = np.random.default_rng(2)
     groups = {"same": [3.0] * 50, "one": [7.0], "ties": rng.integers(0, 4, 500).astype(float).tolist(), "wide": rng.standard_normal(3000).tolist(), "two": [1.0, 2.0]}
