@@ -305,11 +305,13 @@ def low_degree_edges(spark, sf_dir):
     return sampling.low_degree_edges(e, wanted, trials=192, most_in_bin=8, most=12)
 
 
-UNITS = """raw AS (SELECT o_orderpriority AS object, CASE WHEN d < 15 THEN 'near' WHEN d < 30 THEN 'mid' ELSE 'far' END AS bin, floor((d - CASE WHEN d < 15 THEN 0 WHEN d < 30 THEN 15 ELSE 30 END) / 5)::BIGINT AS sub_bin, count(*) AS raw,
+#: Pairs of each object and bin.
+QUOTA = 30
+UNITS = f"""raw AS (SELECT o_orderpriority AS object, CASE WHEN d < 15 THEN 'near' WHEN d < 30 THEN 'mid' ELSE 'far' END AS bin, floor((d - CASE WHEN d < 15 THEN 0 WHEN d < 30 THEN 15 ELSE 30 END) / 5)::BIGINT AS sub_bin, count(*) AS raw,
   count(*) FILTER (o_custkey % 2 = 0) AS l, count(*) FILTER (o_custkey % 2 = 1) AS r FROM (SELECT *, (cast(round(o_totalprice * 100) AS BIGINT) % 4500)::DOUBLE / 100 AS d FROM orders) GROUP BY ALL),
 cap AS (SELECT *, least(l, r) AS capacity, sum(raw) OVER (PARTITION BY object, bin) AS total FROM raw),
-unit AS (SELECT *, row_number() OVER (PARTITION BY object, bin ORDER BY j * total - 40 * raw, sub_bin) AS due FROM (SELECT *, unnest(range(0, capacity)) AS j FROM cap)),
-given AS (SELECT c.object, c.bin, c.sub_bin, c.raw, c.capacity, (SELECT count(*) FROM unit u WHERE u.object = c.object AND u.bin = c.bin AND u.sub_bin = c.sub_bin AND u.due <= 40) AS allocated FROM cap c)"""
+unit AS (SELECT *, row_number() OVER (PARTITION BY object, bin ORDER BY j * total - {QUOTA} * raw, sub_bin) AS due FROM (SELECT *, unnest(range(0, capacity)) AS j FROM cap)),
+given AS (SELECT c.object, c.bin, c.sub_bin, c.raw, c.capacity, (SELECT count(*) FROM unit u WHERE u.object = c.object AND u.bin = c.bin AND u.sub_bin = c.sub_bin AND u.due <= {QUOTA}) AS allocated FROM cap c)"""
 
 
 def _sided(spark, sf_dir):
@@ -320,7 +322,7 @@ def _sided(spark, sf_dir):
 
 def _allocated(spark, sf_dir):
     rows = _sided(spark, sf_dir).groupBy("object", "bin", "sub_bin").agg(F.count("*").alias("raw"), *(F.sum((F.col("side") == s).cast("long")).alias(n) for s, n in ((0, "left"), (1, "right"))))
-    return sampling.sub_quotas(rows, 40)
+    return sampling.sub_quotas(rows, QUOTA)
 
 
 @registered(f"WITH {UNITS} SELECT object, bin, sub_bin, raw, capacity, allocated FROM given")
@@ -334,7 +336,7 @@ i AS (SELECT DISTINCT object, image, image % 2 AS side FROM (SELECT object, low
 c AS (SELECT object, b, count(*) AS raw_edges, count(*) FILTER (low % 2 = 0 AND high % 2 = 0) AS edges_0, count(*) FILTER (low % 2 = 1 AND high % 2 = 1) AS edges_1 FROM e GROUP BY ALL),
 n AS (SELECT object, count(*) FILTER (side = 0) AS images_0, count(*) FILTER (side = 1) AS images_1 FROM i GROUP BY ALL),
 q AS (SELECT object, bin, string_agg(allocated::VARCHAR, ';' ORDER BY sub_bin) AS sub_bin_quotas FROM given GROUP BY ALL)
-SELECT q.object, q.bin, 40::BIGINT AS quota, coalesce(raw_edges, 0) AS raw_edges, coalesce(edges_0, 0) AS edges_0, coalesce(edges_1, 0) AS edges_1, images_0, images_1, sub_bin_quotas
+SELECT q.object, q.bin, {QUOTA}::BIGINT AS quota, coalesce(raw_edges, 0) AS raw_edges, coalesce(edges_0, 0) AS edges_0, coalesce(edges_1, 0) AS edges_1, images_0, images_1, sub_bin_quotas
 FROM q LEFT JOIN c ON c.object = q.object AND q.bin = CASE c.b WHEN 0 THEN 'near' ELSE 'mid' END JOIN n ON n.object = q.object"""
 )
 def split_capacity_report(spark, sf_dir):
@@ -342,7 +344,7 @@ def split_capacity_report(spark, sf_dir):
     e = o.select(F.col("dataset").alias("object"), F.col("custkey").alias("low"), (F.col("custkey") + 2 * (F.col("pair_idx") % 3) - 2).alias("high"), F.when(F.col("pair_idx") % 2 == 0, "near").otherwise("mid").alias("bin")).distinct()
     sides = e.select("object", F.explode(F.array("low", "high")).alias("image")).distinct().withColumn("side", (F.col("image") % 2).cast("int"))
     allocated = _allocated(spark, sf_dir)
-    quotas = allocated.select("object", "bin").distinct().withColumn("quota", F.lit(40).cast("long"))
+    quotas = allocated.select("object", "bin").distinct().withColumn("quota", F.lit(QUOTA).cast("long"))
     return sampling.capacity_report(e, sides, quotas, allocated)
 
 
