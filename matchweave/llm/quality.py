@@ -10,7 +10,8 @@ inside repeated five-word windows.  Windows are compared by 64-bit hashes of
 their words within one document; two different windows of a document of n words
 have equal hashes with a probability below n**2 / 2**65.
 
-A null text has no words: it fails the base check, all counts are 0.  Repeated rows and null ids are judged row by row.
+A null text has no words: it fails the base check, all counts are 0.  Repeated rows and null ids are judged row by row.  An empty table
+gives an empty result, texts and lines of any length are judged whole in the memory of one row, and columns that are not named are not read.
 """
 
 from __future__ import annotations
