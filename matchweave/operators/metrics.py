@@ -67,7 +67,7 @@ def pivot_delta(table: DataFrame, keys: Sequence[str], by: str, proposed, baseli
     return wide.filter(p.isNotNull() & b.isNotNull()).select(*keys, p.alias("proposed"), b.alias("baseline"), (p - b).alias("delta"))
 
 
-def percentiles(table: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], buckets: int = 256) -> DataFrame:
+def percentiles(table: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], buckets: int = 64) -> DataFrame:
     """(keys, share, value): exact percentiles with linear interpolation, of values that are not null.
 
     A sketch of each key cuts its values into ``buckets`` of about one size; counts of the buckets tell in which the wanted ranks
