@@ -361,6 +361,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
 
     about = reps.select(F.col("id").alias("rep"), "label", "v", "w").join(total.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     about = space.table(about.select("rep", "label", "v", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "about")
+    space.clear("about")
     whole = rows.withColumn("label", F.when(usable(F.col("v")) & F.col("id").isNotNull(), F.col("label"))).join(about, ["label", "v"], "left")
     component = F.coalesce("c", "id")
     return whole.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
