@@ -112,5 +112,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 
+#: CRC-32 of a text of digits, bit by bit.
+CRC_MACRO = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+
+ENCODING_SQL = f"""
+WITH f AS (SELECT sale_id, sold_at AS moment, coalesce(client_id, -1) AS client_id, {CRC_MACRO.format("sale_id::VARCHAR")} % 5 AS fold FROM sales WHERE sold_at IS NOT NULL),
+b AS (SELECT f.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, f.client_id, f.moment, f.fold, i.kind, v.nation_id, c.segment, count(*) AS n, count(*) FILTER (l.flag = 'returned') AS s
+  FROM sale_lines l JOIN f USING (sale_id) LEFT JOIN items i ON i.item_id = coalesce(l.item_id, -1) LEFT JOIN vendors v ON v.vendor_id = l.vendor_id LEFT JOIN clients c ON c.client_id = f.client_id GROUP BY ALL),
+x AS (SELECT moment, fold, n, s, unnest(['all', 'kind', 'nation', 'segment', 'item', 'vendor', 'client']) AS col,
+  unnest(['', coalesce(kind, '?'), coalesce(nation_id::VARCHAR, '?'), coalesce(segment, '?'), item_id::VARCHAR, coalesce(vendor_id::VARCHAR, '?'), client_id::VARCHAR]) AS key FROM b),
+k AS (SELECT col, key, moment, sum(sum(n)) OVER w AS n, sum(sum(s)) OVER w AS s FROM x GROUP BY col, key, moment WINDOW w AS (PARTITION BY col, key ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT col, key, fold, moment, sum(sum(n)) OVER w AS n, sum(sum(s)) OVER w AS s FROM x GROUP BY col, key, fold, moment WINDOW w AS (PARTITION BY col, key, fold ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT o.col, o.key, o.fold, o.moment, (coalesce(k.n, 0) - coalesce(o.n, 0))::BIGINT AS n, (coalesce(k.s, 0) - coalesce(o.s, 0))::BIGINT AS s FROM o JOIN k USING (col, key, moment)),
+g AS (SELECT moment, fold, CASE WHEN n < 1 THEN 500000 ELSE (1000000 * s + 50 * 500000) // (n + 50) END AS p FROM h WHERE col = 'all'),
+r AS (SELECT col, key, moment, fold, CASE WHEN n < 1 THEN p ELSE (1000000 * s + 50 * p) // (n + 50) END AS p FROM h JOIN g USING (moment, fold) WHERE col IN ('kind', 'nation', 'segment'))
+SELECT b.sale_id, b.item_id, b.vendor_id, b.n AS n_lines, b.s AS n_returned,
+  hi.n AS item_n, (CASE WHEN hi.n < 1 THEN ri.p ELSE (1000000 * hi.s + 50 * ri.p) // (hi.n + 50) END)::BIGINT AS item_rate,
+  hv.n AS vendor_n, (CASE WHEN hv.n < 1 THEN rv.p ELSE (1000000 * hv.s + 50 * rv.p) // (hv.n + 50) END)::BIGINT AS vendor_rate,
+  hc.n AS client_n, (CASE WHEN hc.n < 1 THEN rc.p ELSE (1000000 * hc.s + 50 * rc.p) // (hc.n + 50) END)::BIGINT AS client_rate
+FROM b JOIN h hi ON hi.col = 'item' AND hi.key = b.item_id::VARCHAR AND hi.moment = b.moment AND hi.fold = b.fold JOIN r ri ON ri.col = 'kind' AND ri.key = coalesce(b.kind, '?') AND ri.moment = b.moment AND ri.fold = b.fold
+JOIN h hv ON hv.col = 'vendor' AND hv.key = coalesce(b.vendor_id::VARCHAR, '?') AND hv.moment = b.moment AND hv.fold = b.fold JOIN r rv ON rv.col = 'nation' AND rv.key = coalesce(b.nation_id::VARCHAR, '?') AND rv.moment = b.moment AND rv.fold = b.fold
+JOIN h hc ON hc.col = 'client' AND hc.key = b.client_id::VARCHAR AND hc.moment = b.moment AND hc.fold = b.fold JOIN r rc ON rc.col = 'segment' AND rc.key = coalesce(b.segment, '?') AND rc.moment = b.moment AND rc.fold = b.fold
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL, "op6_chat_windows": CHAT_SQL}
+    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL, "op6_chat_windows": CHAT_SQL, "op12_target_encoding": ENCODING_SQL}
