@@ -136,5 +136,25 @@ JOIN h hc ON hc.col = 'client' AND hc.key = b.client_id::VARCHAR AND hc.moment =
 """
 
 
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC_MACRO.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, t.i, t.turn_hash, t.chars FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.turn_hash, t.chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+n AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(turn_hash, '') OVER w AS path, chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+m AS (SELECT conv_id, depth, path, chars FROM n UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+z AS (SELECT conv_id, max(depth) AS size FROM m GROUP BY conv_id),
+v AS (SELECT m.path, min(m.depth) AS depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, max(m.chars) AS chars,
+    sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (m.depth = z.size), '')) AS ends_sha256 FROM m JOIN z USING (conv_id) GROUP BY m.path),
+k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(k.n_children, 0) AS n_children, (n_convs - 1) * chars AS own_saved FROM v LEFT JOIN k USING (path)),
+s AS (SELECT DISTINCT a.path, b.path AS below FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+u AS (SELECT s.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.own_saved)::BIGINT AS saved_tokens FROM s JOIN w b ON b.path = s.below GROUP BY s.path)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, w.ends_sha256
+FROM w JOIN u USING (path) LEFT JOIN v p ON w.depth > 0 AND p.path = left(w.path, length(w.path) - 64)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL, "op6_chat_windows": CHAT_SQL, "op12_target_encoding": ENCODING_SQL}
+    return {"op1_url_filter": URL_SQL, "op2_line_quality": QUALITY_SQL, "op3_embedding_dedup": EMBEDDING_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op5_minhash_dedup": MINHASH_SQL, "op6_chat_windows": CHAT_SQL, "op11_prefix_trie": TRIE_SQL, "op12_target_encoding": ENCODING_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import bpe_fst, chat, embed_dedup, minhash, packing, quality, substring, target_encoding, token_count, toxicity, url_filter
+from matchweave.llm import best_fit, bpe_fst, chat, embed_dedup, minhash, packing, prefix_trie, quality, substring, target_encoding, token_count, toxicity, url_filter
 from matchweave.llm.oracles import oracle_sql
 from matchweave.llm.shared import Workspace, bounded_batches
 from matchweave.llm.shared import table as stored
@@ -68,10 +68,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), Workspace(spark, "op11"))
+
+
 def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, sales, items, vendors, clients = (table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients"))
     return target_encoding.sale_rates(lines, sales, items, vendors, clients, Workspace(spark, "op12"))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Workspace(spark, "op13"), tokens=1024, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_line_quality, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_chat_windows, op7_toxicity, op8_token_counts, op9_bpe_codec, op10_packing, op12_target_encoding)}
+    return {f.__name__: f for f in (op1_url_filter, op2_line_quality, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_chat_windows, op7_toxicity, op8_token_counts, op9_bpe_codec, op10_packing, op11_prefix_trie, op12_target_encoding, op13_best_fit)}
