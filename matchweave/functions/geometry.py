@@ -175,6 +175,84 @@ def threshold_scale(f1: Column, f2: Column) -> Column:
     return 0.5 * (1 / f1 + 1 / f2)
 
 
+# ---------------------------------------------------------------- lenses
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _lens(p: Column, k: Column) -> Column:
+    """Struct (x, y, xx, xy, yx, yy): where a lens with eight coefficients takes a calibrated point, and the derivatives there."""
+    c = lambda i: F.element_at(k, i + 1)  # noqa: E731  k1, k2, p1, p2, k3, k4, k5, k6
+    x, y = p["x"], p["y"]
+
+    def bent(s: Column) -> Column:
+        radial, slope, r2 = s["top"] / s["below"], (s["dtop"] - s["top"] / s["below"] * s["dbelow"]) / s["below"], s["r2"]
+        cross = 2 * x * y * slope + 2 * c(2) * x + 2 * c(3) * y
+        return F.struct(
+            (x * radial + 2 * c(2) * x * y + c(3) * (r2 + 2 * x * x)).alias("x"),
+            (y * radial + c(2) * (r2 + 2 * y * y) + 2 * c(3) * x * y).alias("y"),
+            (radial + 2 * x * x * slope + 2 * c(2) * y + 6 * c(3) * x).alias("xx"),
+            cross.alias("xy"),
+            cross.alias("yx"),
+            (radial + 2 * y * y * slope + 6 * c(2) * y + 2 * c(3) * x).alias("yy"),
+        )
+
+    def parts(r2: Column) -> Column:
+        """Numerator and denominator of the radial factor, and their derivatives by the squared radius."""
+        return F.struct(
+            r2.alias("r2"),
+            (1 + r2 * (c(0) + r2 * (c(1) + r2 * c(4)))).alias("top"),
+            (1 + r2 * (c(5) + r2 * (c(6) + r2 * c(7)))).alias("below"),
+            (c(0) + r2 * (2 * c(1) + 3 * r2 * c(4))).alias("dtop"),
+            (c(5) + r2 * (2 * c(6) + 3 * r2 * c(7))).alias("dbelow"),
+        )
+
+    return _let(_let(x * x + y * y, parts), bent)
+
+
+def _coefficients(distortion: Column) -> Column:
+    """Eight coefficients: those of a model with none or four are filled up with zeros."""
+    zero = F.lit(0.0)
+    have = F.transform(F.coalesce(distortion, F.array().cast("array<double>")), lambda x: x.cast("double"))
+    return F.concat(have, F.slice(F.array(*[zero] * 8), 1, F.greatest(F.lit(0), 8 - F.size(have))))
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def project(x: Column, y: Column, fx: Column, fy: Column, cx: Column, cy: Column, distortion: Column | None = None) -> Column:
+    """Struct (x, y): the pixel of a calibrated point under a camera with none, four (k1, k2, p1, p2) or eight (k3 to k6 too) coefficients."""
+    if distortion is None:
+        return _point(fx * x + cx, fy * y + cy)
+    seen = _let(_coefficients(distortion), lambda k: _let(_point(x, y), lambda p: _lens(p, k)))
+    return F.when(F.coalesce(F.size(distortion), F.lit(0)) <= 0, _point(fx * x + cx, fy * y + cy)).otherwise(_let(seen, lambda s: _point(fx * s["x"] + cx, fy * s["y"] + cy)))
+
+
+def unproject(x: Column, y: Column, fx: Column, fy: Column, cx: Column, cy: Column, distortion: Column | None = None, steps: int = 12) -> Column:
+    """Struct (x, y): the calibrated point of a pixel, the inverse of ``project``.
+
+    A distorted point is the fixed point of Newton's step on the lens equation, from the undistorted place on; a few steps reach the last digits where the lens does not fold.
+    Null where the camera is null or has another number of coefficients.
+    """
+    plain = _point((x - cx) / fx, (y - cy) / fy)
+    if distortion is None:
+        return plain
+
+    def step(p: Column, seen: Column, k: Column) -> Column:
+        def moved(s: Column) -> Column:
+            ex, ey, det = s["x"] - seen["x"], s["y"] - seen["y"], s["xx"] * s["yy"] - s["xy"] * s["yx"]
+            return F.when(F.abs(det) > 1e-12, _point(p["x"] - (s["yy"] * ex - s["xy"] * ey) / det, p["y"] - (s["xx"] * ey - s["yx"] * ex) / det)).otherwise(p)
+
+        return _let(_lens(p, k), moved)
+
+    def solved(k: Column) -> Column:
+        return _let(plain, lambda seen: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), seen, lambda p, _: step(p, seen, k)))
+
+    n = F.coalesce(F.size(distortion), F.lit(0))
+    return F.when(n <= 0, plain).when(n.isin(4, 8), _let(_coefficients(distortion), solved))
+
+
 def adaptive_iterations(ratios: Sequence[Column], confidence: float, least: int, most: int) -> Column:
     """Iterations until an all-inlier sample is drawn with the given confidence."""
     p = F.lit(1.0)

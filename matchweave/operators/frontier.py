@@ -1,4 +1,7 @@
-"""Curves: frontier and regret, step lookup, resampling, adjacent differences."""
+"""Curves: frontier and regret, step lookup, resampling, adjacent differences.
+
+Curves of a key may be long, so what runs along their points is a scan in two levels (``scan``).  Ranks and k of a curve are few.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.operators import scan
+
 
 def frontier(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Each point with the best y at its x or before (all points of equal x included) and its regret in percentage points."""
-    so_far = Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    best = points.withColumn("best", F.max(y).over(so_far))
+    best = scan.running_max(points, keys, x, y)
     return best.withColumn("regret", 100.0 * (F.col("best") - F.col(y)))
 
 
@@ -24,18 +28,17 @@ def select_layer(points: DataFrame, keys: Sequence[str], layer: str, x: str, y:
 
 
 def step_lookup(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """The y of the last point at or before each query's x (an as-of lookup by one sorted window); null before the first."""
+    """The y of the last point at or before each query's x (an as-of lookup by one scan); null before the first.  A point's y may be null; points of one x have no order."""
     tagged = points.select(*keys, F.col(x).alias("x"), F.lit(0).alias("query"), F.struct(F.col(y).alias("y")).alias("p")).unionByName(queries.select(*keys, F.col(x).alias("x"), F.lit(1).alias("query"), F.lit(None).cast(f"struct<y:{points.schema[y].dataType.simpleString()}>").alias("p")))
-    last = F.last("p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("x", "query").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return tagged.withColumn("at", last).filter("query = 1").select(*keys, F.col("x").alias(x), F.col("at.y").alias(y))
+    found = scan.last_known(tagged, keys, ["x", "query"], "p", "at")
+    return found.filter("query = 1").select(*keys, F.col("x").alias(x), F.col("at.y").alias(y))
 
 
 def resample(points: DataFrame, keys: Sequence[str], x: str, y: str, steps: int = 201) -> DataFrame:
     """Linear interpolation on an even grid over the common support of all keys; points of one x are averaged first."""
     once = points.groupBy(*keys, x).agg(F.avg(y).alias(y))
     span = once.groupBy(*keys).agg(F.min(x).alias("low"), F.max(x).alias("high")).agg(F.max("low").alias("low"), F.min("high").alias("high"))
-    ahead = Window.partitionBy(*keys).orderBy(x)
-    pieces = once.select(*keys, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(ahead).alias("x1"), F.lead(y).over(ahead).alias("y1"))
+    pieces = scan.following(once, keys, x, [x, y]).select(*keys, F.col(x).alias("x0"), F.col(y).alias("y0"), F.col(f"next_{x}").alias("x1"), F.col(f"next_{y}").alias("y1"))
     step = (F.col("high") - F.col("low")) / (steps - 1)
     # each piece makes the grid points in [x0, x1) itself, so nothing is joined by range
     first, last = F.ceil((F.greatest("x0", "low") - F.col("low")) / step), F.least(F.floor((F.coalesce("x1", "x0") - F.col("low")) / step), F.lit(steps - 1))

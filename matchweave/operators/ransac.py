@@ -1,19 +1,21 @@
-"""A robust pose search for each pair: seeded samples, a linear essential-matrix solver, scoring, local optimisation, pool and rerank.
+"""A robust pose search for each pair: seeded samples, the five-point solver, scoring, local optimisation, pool, rerank and polish.
 
 Each pair is one group, seeded by its own id, so pairs run anywhere in any order with the same result.  A pair holds a
-few thousand edges at most (the caps of ``knn``); its work is one task's.
+few thousand edges at most (the caps of ``knn``); its work is one task's.  Samples are drawn, solved and scored ``BATCH`` at a
+time as arrays, and then looked at one by one in their order, so that a search stops at the sample that ends it.
 
 A sample takes ``Options.sample`` edges of distinct lefts and rights from the proposal graph (all edges, or those with k up to ``proposal_k``);
-every pose is scored on all edges.  The modes differ in what counts as better:
+every pose that its five points allow is scored on all edges.  The modes differ in what counts as better:
 
 * ``cm``: more inliers, then the lower truncated cost
 * ``hcm``: the lower score of ``scoring.hcm``
-* ``mcm``: more one-to-one inliers
+* ``mcm``: more one-to-one inliers, then the lower score
 * ``hcm_mc``: seeds are pooled by hcm; at the end each is refined and the one with most one-to-one inliers wins, of equal ones the better seed
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import time
 from dataclasses import dataclass, field
@@ -23,11 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchweave.functions import geometry as g
+from matchweave.operators import relpose
 from matchweave.operators.graph import matching
 
+#: Samples of a batch, at most; cells (poses times edges) of one array.
+BATCH, CELLS = 256, 1 << 20
 MODES = ("cm", "hcm", "mcm", "hcm_mc")
 POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
-TIMES = ("solve_ms", "score_ms", "refine_ms", "rank_ms", "total_ms")
+TIMES = ("draw_ms", "solve_ms", "score_ms", "refine_ms", "rank_ms", "total_ms")
 _TRACE = "rank int, hcm double, cardinality long, n_inliers long, msac double, seed_pose array<double>, refined_pose array<double>, polished_pose array<double>"
 SCHEMA = (
     "pair_idx long, status string, message string, n_edges long, iterations long, refinements long, n_inliers long, inlier_ratio double, cardinality long, hcm double, model_score double, "
@@ -44,7 +50,7 @@ class Options:
 
     mode: str = "hcm_mc"
     threshold: float = 0.01
-    sample: int = 8
+    sample: int = 5
     least_iterations: int = 100
     most_iterations: int = 500
     success: float = 0.9999
@@ -60,54 +66,11 @@ class Options:
             raise ValueError(f"mode must be one of {MODES}")
         if self.proposal_k and self.least_iterations != self.most_iterations:
             raise ValueError("a restricted proposal graph needs a fixed number of iterations")
-        if self.sample < 8:
-            raise ValueError("the linear solver needs eight edges")
+        if self.sample != 5:
+            raise ValueError("the solver takes five edges")
 
 
 # ---------------------------------------------------------------- poses
-def _essential(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """Essential matrix of eight or more calibrated points by (weighted) least squares, with two equal singular values."""
-    one = np.ones(len(a))
-    rows = np.stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], one], 1)
-    if weight is not None:
-        rows = rows * np.sqrt(weight)[:, None]
-    e = np.linalg.svd(rows)[2][-1].reshape(3, 3)
-    u, s, v = np.linalg.svd(e)
-    return u @ np.diag([1.0, 1.0, 0.0]) @ v
-
-
-def _sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared residuals, infinite where the denominator vanishes, and the denominators."""
-    x, y = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-    line, back = x @ e.T, y @ e
-    below = (line[:, :2] ** 2).sum(1) + (back[:, :2] ** 2).sum(1)
-    return np.where(below > 1e-12, (y * line).sum(1) ** 2 / np.maximum(below, 1e-12), np.inf), below
-
-
-def _residual(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _sampson(e, a, b)[0]
-
-
-def _front(r: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which points lie in front of both cameras."""
-    p, q = np.c_[a, np.ones(len(a))] @ r.T, np.c_[b, np.ones(len(b))]
-    pp, pq, qq, pt, qt = (p * p).sum(1), (p * q).sum(1), (q * q).sum(1), p @ t, q @ t
-    det = np.where(abs(d := pp * qq - pq * pq) > 1e-15, d, np.nan)
-    return ((pq * qt - qq * pt) / det > 0.01) & ((pp * qt - pq * pt) / det > 0.01)
-
-
-def _pose(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(R, t) of the factorisation that has most points in front of both cameras."""
-    u, _, v = np.linalg.svd(e)
-    w = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
-    every = [(r * np.sign(np.linalg.det(r)), t) for r in (u @ w @ v, u @ w.T @ v) for t in (u[:, 2], -u[:, 2])]
-    return max(every, key=lambda x: _front(*x, a, b).sum())
-
-
-def _cross(r: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
-
-
 def _quaternion(r: np.ndarray) -> np.ndarray:
     k = np.array([[r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0], [r[0, 1] + r[1, 0], r[1, 1] - r[0, 0] - r[2, 2], 0, 0], [r[0, 2] + r[2, 0], r[1, 2] + r[2, 1], r[2, 2] - r[0, 0] - r[1, 1], 0], [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)]])
     x, y, z, w = np.linalg.eigh(k / 3)[1][:, -1]
@@ -150,7 +113,8 @@ class Seed:
 
 @dataclass
 class Pool:
-    """The best seeds by hcm, at most ``capacity``; a full pool takes a strictly better one for its worst."""
+    """The best seeds by hcm, in order, at most ``capacity``.  A full pool takes only what is strictly better than its last entry; with
+    ``dedup_deg`` a seed that agrees with an entry takes that one's place if it is better, and is left out if not."""
 
     capacity: int
     dedup_deg: float = 0.0
@@ -159,21 +123,25 @@ class Pool:
     duplicates: int = 0
 
     def cutoff(self) -> float:
-        return max(s.hcm for s in self.entries) if len(self.entries) >= self.capacity else math.inf
+        return self.entries[-1].hcm if len(self.entries) >= self.capacity else math.inf
+
+    def twin(self, seed: Seed) -> int | None:
+        """The best entry that agrees with a seed."""
+        return next((i for i, s in enumerate(self.entries) if similar(s.pose, seed.pose, self.dedup_deg or 1.0)), None)
 
     def offer(self, seed: Seed) -> None:
-        if not seed.hcm < self.cutoff():
+        if seed.hcm >= self.cutoff():
             return
         self.attempts += 1
-        twin = next((i for i, s in enumerate(self.entries) if similar(s.pose, seed.pose, self.dedup_deg or 1.0)), None)
-        self.duplicates += twin is not None
-        if twin is not None and self.dedup_deg > 0:
-            if seed.hcm < self.entries[twin].hcm:
-                self.entries[twin] = seed
-        elif len(self.entries) < self.capacity:
-            self.entries.append(seed)
-        else:
-            self.entries[max(range(len(self.entries)), key=lambda i: self.entries[i].hcm)] = seed
+        twin = self.twin(seed)
+        if twin is not None:
+            self.duplicates += 1
+            if self.dedup_deg > 0:
+                if self.entries[twin].hcm <= seed.hcm:
+                    return
+                del self.entries[twin]
+        bisect.insort(self.entries, seed, key=lambda s: s.hcm)
+        del self.entries[self.capacity :]
 
     def basins(self) -> int:
         """Entries that agree with none before them."""
@@ -181,20 +149,40 @@ class Pool:
         return sum(not any(similar(p, o, self.dedup_deg or 1.0) for o in poses[:i]) for i, p in enumerate(poses))
 
 
+@dataclass
+class Scored:
+    """Many poses of a pair with what they were scored; ``most`` bounds the one-to-one inliers from above."""
+
+    r: np.ndarray
+    t: np.ndarray
+    sample: np.ndarray
+    inlier: np.ndarray
+    inliers: np.ndarray
+    hcm: np.ndarray
+    cost: np.ndarray
+    most: np.ndarray
+
+
 class Pair:
-    """The edges of one pair, and what a pose is worth on them."""
+    """The edges of one pair, and what poses are worth on them."""
 
-    def __init__(self, pdf: pd.DataFrame, options: Options):
+    def __init__(self, pdf: pd.DataFrame, options: Options, scale: float = 1.0):
         self.options, self.spent = options, dict.fromkeys(TIMES, 0.0)
+        self.threshold = options.threshold * scale
         self.left, self.right = (pd.factorize(pdf[c])[0] for c in ("left_idx", "right_idx"))
-        self.a, self.b = pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()
-        self.p, self.c = pdf["p"].to_numpy(), (pdf["left_c"].to_numpy(), pdf["right_c"].to_numpy())
+        self.a, self.b = pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float)
+        self.x, self.y = relpose.homogeneous(self.a), relpose.homogeneous(self.b)
+        self.p = pdf["p"].to_numpy(float)
+        self.c = []
+        for side, name in ((self.left, "left_c"), (self.right, "right_c")):
+            weight = np.zeros(side.max() + 1)
+            weight[side] = pdf[name].to_numpy(float)
+            self.c.append(weight)
         proposal = np.arange(len(pdf)) if not options.proposal_k else np.flatnonzero(pdf["k"].to_numpy() <= options.proposal_k)
         self.room = len(matching(zip(self.left[proposal].tolist(), self.right[proposal].tolist(), strict=True)))
-        self.by_left: dict[int, list[int]] = {}
-        for i in proposal.tolist():
-            self.by_left.setdefault(int(self.left[i]), []).append(i)
-        self.lefts = np.array(sorted(self.by_left))
+        # the proposal's edges by left: edges of the i-th left are order[first[i] : first[i] + degree[i]]
+        self.order = proposal[np.argsort(self.left[proposal], kind="stable")]
+        _, self.first, self.degree = np.unique(self.left[self.order], return_index=True, return_counts=True)
 
     def timed(self, what: str, work, *arguments):
         began = time.perf_counter()
@@ -203,63 +191,106 @@ class Pair:
         finally:
             self.spent[what] += 1000 * (time.perf_counter() - began)
 
-    def draw(self, random: np.random.Generator) -> list[int] | None:
-        """Edges of distinct lefts in a shuffled order, each with a right that is still free; some attempts, then none."""
-        for _ in range(max(50, 10 * len(self.lefts)) if len(self.lefts) >= self.options.sample else 0):
-            chosen, used = [], set()
-            for l in random.permutation(self.lefts).tolist():
-                mine = self.by_left[l]
-                start = int(random.integers(len(mine)))
-                edge = next((i for i in mine[start:] + mine[:start] if self.right[i] not in used), None)
-                if edge is not None:
-                    chosen.append(edge)
-                    used.add(self.right[edge])
-                if len(chosen) == self.options.sample:
-                    return chosen
-        return None
-
-    def mask(self, r: np.ndarray, t: np.ndarray, widen: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(inliers, squared residuals) under ``widen`` times the squared threshold."""
-        r2 = _residual(_cross(r, t), self.a, self.b)
-        near = r2 < widen * self.options.threshold**2
-        near[near] = _front(r, t, self.a[near], self.b[near])
+    def draw(self, random: np.random.Generator, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, whole) of ``count`` samples: lefts one after another without putting back, each with the first edge from a random place on whose
+        right is free; a left that has none is passed over.  A sample that cannot be filled is drawn again, some times; ``whole`` tells which succeeded."""
+        size, lefts = self.options.sample, len(self.first)
+        edges, whole = np.zeros((count, size), np.int64), np.zeros(count, bool)
+        if lefts < size:
+            return edges, whole
+        for _ in range(max(50, 10 * lefts)):
+            open_ = np.flatnonzero(~whole)
+            if not len(open_):
+                break
+            edges[open_], whole[open_] = self._attempt(random, len(open_))
+        return edges, whole
+
+    def _attempt(self, random: np.random.Generator, count: int) -> tuple[np.ndarray, np.ndarray]:
+        size, lefts = self.options.sample, len(self.first)
+        edges, rights, got = np.zeros((count, size), np.int64), np.full((count, size), -1), np.zeros(count, np.int64)
+        tried = np.zeros((count, lefts), bool)
+        rows, left_over = np.arange(count), np.full(count, lefts)
+        while len(rows := rows[(got[rows] < size) & (left_over[rows] > 0)]):
+            # a left that this sample has not tried: drawn at random until it is new, at once where few are left
+            some = random.integers(lefts, size=len(rows))
+            again = np.flatnonzero(tried[rows, some])
+            for _ in range(8):
+                if not len(again):
+                    break
+                some[again] = random.integers(lefts, size=len(again))
+                again = again[tried[rows[again], some[again]]]
+            if len(again):
+                some[again] = np.where(tried[rows[again]], -1.0, random.random((len(again), lefts))).argmax(1)
+            tried[rows, some] = True
+            left_over[rows] -= 1
+            degree, start = self.degree[some], random.integers(1 << 30, size=len(rows)) % self.degree[some]
+            found = np.full(len(rows), -1)
+            for turn in range(int(degree.max())):
+                asks = np.flatnonzero((found < 0) & (turn < degree))
+                if not len(asks):
+                    break
+                edge = self.order[self.first[some[asks]] + (start[asks] + turn) % degree[asks]]
+                free = (rights[rows[asks]] != self.right[edge][:, None]).all(1)
+                found[asks[free]] = edge[free]
+            hit = found >= 0
+            into = rows[hit]
+            edges[into, got[into]], rights[into, got[into]] = found[hit], self.right[found[hit]]
+            got[into] += 1
+        return edges, got == size
+
+    def masks(self, r: np.ndarray, t: np.ndarray, widen: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(inliers, squared residuals) of poses, each poses x edges, under ``widen`` times the squared threshold."""
+        r2 = relpose.sampson(relpose.skew(t) @ r, self.x, self.y)
+        near = r2 < widen * self.threshold**2
+        k, at = np.nonzero(near)
+        near[k, at] = relpose.in_front(r[k], t[k], self.x[at], self.y[at])
         return near, r2
 
-    def hcm(self, inlier: np.ndarray) -> float:
-        total = 0.0
-        for side, c in zip((self.left, self.right), self.c, strict=True):
-            mass, weight = np.bincount(side[inlier], self.p[inlier], minlength=side.max() + 1), np.zeros(side.max() + 1)
-            weight[side] = c
-            total -= np.log1p(weight * mass).sum()
-        return total
+    def mask(self, r: np.ndarray, t: np.ndarray, widen: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        near, r2 = self.masks(r[None], t[None], widen)
+        return near[0], r2[0]
+
+    def score(self, r: np.ndarray, t: np.ndarray, sample: np.ndarray | None = None) -> Scored:
+        """Poses (m x 3 x 3, m x 3) on all edges, some at a time."""
+        parts, step = [], max(1, CELLS // max(1, len(self.p)))
+        for at in range(0, len(r), step):
+            inlier, r2 = self.masks(r[at : at + step], t[at : at + step])
+            k, edge = np.nonzero(inlier)
+            m, hcm, most = len(inlier), 0.0, []
+            for side, weight in zip((self.left, self.right), self.c, strict=True):
+                cell = k * len(weight) + side[edge]
+                mass = np.bincount(cell, self.p[edge], minlength=m * len(weight)).reshape(m, -1)
+                hcm = hcm - np.log1p(weight * mass).sum(1)
+                most.append((np.bincount(cell, minlength=m * len(weight)).reshape(m, -1) > 0).sum(1))
+            parts.append((inlier, inlier.sum(1), hcm, np.where(inlier, r2 / self.threshold**2, 1.0).mean(1), np.minimum(*most)))
+        inlier, inliers, hcm, cost, most = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(self.p)), bool), *(np.zeros(0) for _ in range(4)))
+        return Scored(r, t, np.zeros(len(r), np.int64) if sample is None else sample, inlier, inliers, hcm, cost, most)
 
     def one_to_one(self, inlier: np.ndarray) -> int:
         return len(matching(zip(self.left[inlier].tolist(), self.right[inlier].tolist(), strict=True)))
 
-    def score(self, r: np.ndarray, t: np.ndarray) -> Seed:
-        inlier, r2 = self.mask(r, t)
-        cost = float(np.where(inlier, r2 / self.options.threshold**2, 1.0).mean())
-        cardinality = self.one_to_one(inlier) if self.options.mode == "mcm" else 0
-        return Seed((r, t), self.hcm(inlier), int(inlier.sum()), cardinality, cost)
+    def seed(self, scored: Scored, i: int, best: Seed | None = None) -> Seed:
+        """The i-th pose; its one-to-one inliers are counted where the mode needs them and their bound does not rule it out already."""
+        found = Seed((scored.r[i], scored.t[i]), float(scored.hcm[i]), int(scored.inliers[i]), 0, float(scored.cost[i]))
+        if self.options.mode == "mcm" and (best is None or scored.most[i] >= best.cardinality):
+            found.cardinality = self.timed("rank_ms", self.one_to_one, scored.inlier[i])
+        return found
 
     def value(self, seed: Seed):
         """What the mode minimises."""
         return {"cm": (-seed.inliers, seed.cost), "mcm": (-seed.cardinality, seed.hcm)}.get(self.options.mode, (seed.hcm,))
 
     def refine(self, r: np.ndarray, t: np.ndarray, widen: float = 5.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
-        """A pose drawn to its inliers by reweighted least squares: edges of nodes with many inliers count less, those beyond the (widened) threshold nothing."""
-        cost = math.inf
-        for _ in range(steps):
-            inlier, r2 = self.mask(r, t, widen)
-            bound = widen * self.options.threshold**2
-            now = float(np.where(inlier, r2, bound).sum())
-            if inlier.sum() < self.options.sample or now > cost * (1 - 1e-6):
-                break
-            cost, best = now, (r, t)
-            degree = [1 / np.bincount(s[inlier])[s[inlier]] for s in (self.left, self.right)]
-            below = _sampson(_cross(r, t), self.a[inlier], self.b[inlier])[1]
-            r, t = _pose(_essential(self.a[inlier], self.b[inlier], (degree[0] + degree[1]) / np.maximum(below, 1e-12)), self.a[inlier], self.b[inlier])
-        return best if cost < math.inf else (r, t)
+        """A pose drawn to the edges within the (widened) squared threshold by ``relpose.refine``: edges of nodes with many such edges count less, and
+        beyond the threshold itself an edge counts no more.  Unchanged where no more edges than a sample are left."""
+        near = self.mask(r, t, widen)[0]
+        if near.sum() <= self.options.sample:
+            return r, t
+        weight = sum(1 / np.bincount(side[near])[side[near]] for side in (self.left, self.right))
+        return relpose.refine(r, t, self.x[near], self.y[near], weight, self.threshold, steps)
+
+    def polish(self, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.refine(r, t, 1.0, 100)
 
 
 def _named(pose) -> tuple:
@@ -270,49 +301,59 @@ def search(pair: Pair, random: np.random.Generator) -> tuple[dict, list]:
     """One run over a pair: (fields of the result, trace of the pool)."""
     o, pool = pair.options, Pool(pair.options.capacity, pair.options.dedup_deg)
     best = gate = None
-    limit, iterations, refinements, n = o.most_iterations, 0, 0, len(pair.a)
-    while iterations < o.most_iterations and (iterations <= o.least_iterations or iterations <= limit):
-        iterations += 1
-        chosen = pair.draw(random)
-        if chosen is None:
-            continue
-        r, t = pair.timed("solve_ms", lambda c=chosen: _pose(_essential(pair.a[c], pair.b[c]), pair.a[c], pair.b[c]))
-        seed = pair.timed("score_ms", pair.score, r, t)
-        if not seed.inliers:
-            continue
-        if best is None or pair.value(seed) < pair.value(best):
-            best, limit = seed, dynamic_iterations(seed.inliers, n, o)
-        if o.mode == "hcm_mc":
-            pool.offer(Seed(_named(seed.pose), seed.hcm, seed.inliers) if seed.hcm < pool.cutoff() else seed)
-        # local optimisation where the seed is better than all before it in what the mode looks at
-        larger = gate is None or (seed.cardinality >= gate[1] if o.mode == "mcm" else seed.inliers > gate[0] or seed.hcm < gate[2])
-        if o.local and larger:
-            gate = (max(seed.inliers, gate[0]), max(seed.cardinality, gate[1]), min(seed.hcm, gate[2])) if gate else (seed.inliers, seed.cardinality, seed.hcm)
-            refinements += 1
-            again = pair.timed("score_ms", pair.score, *pair.timed("refine_ms", pair.refine, r, t))
-            if pair.value(again) < pair.value(best):
-                best, limit = again, dynamic_iterations(again.inliers, n, o)
+    limit, iterations, refinements, n = o.most_iterations, 0, 0, len(pair.p)
+    ends = lambda: iterations >= o.most_iterations or iterations > max(o.least_iterations, limit)
+    batch = 32
+    while not ends():
+        count, batch = min(batch, o.most_iterations - iterations), min(2 * batch, BATCH)
+        edges, whole = pair.timed("draw_ms", pair.draw, random, count)
+        at = np.flatnonzero(whole)
+        r, t, k = pair.timed("solve_ms", relpose.sample_poses, pair.a[edges[at]], pair.b[edges[at]])
+        scored = pair.timed("score_ms", pair.score, r, t, at[k])
+        of = np.searchsorted(scored.sample, np.arange(count + 1))
+        for sample in range(count):
+            if ends():
+                break
+            iterations += 1
+            for i in range(of[sample], of[sample + 1]):
+                if not scored.inliers[i]:
+                    continue
+                seed = pair.seed(scored, i, best)
+                if best is None or pair.value(seed) < pair.value(best):
+                    best, limit = seed, dynamic_iterations(seed.inliers, n, o)
+                if o.mode == "hcm_mc" and seed.hcm < pool.cutoff():
+                    pool.offer(Seed(_named(seed.pose), seed.hcm, seed.inliers))
+                # local optimisation where the seed is better than all before it in what the mode looks at
+                larger = gate is None or (seed.cardinality > gate[1] if o.mode == "mcm" else seed.inliers > gate[0] or seed.hcm < gate[2])
+                if o.local and larger:
+                    gate = (max(seed.inliers, gate[0]), max(seed.cardinality, gate[1]), min(seed.hcm, gate[2])) if gate else (seed.inliers, seed.cardinality, seed.hcm)
+                    refinements += 1
+                    refined = pair.timed("refine_ms", pair.refine, *seed.pose)
+                    again = pair.seed(pair.timed("score_ms", pair.score, refined[0][None], refined[1][None]), 0, best)
+                    if pair.value(again) < pair.value(best):
+                        best, limit = again, dynamic_iterations(again.inliers, n, o)
     about = {"iterations": iterations, "pool_size": len(pool.entries), "pool_full": len(pool.entries) >= o.capacity, "pool_cutoff": pool.cutoff(), "pool_attempts": pool.attempts, "pool_duplicates": pool.duplicates, "pool_basins": pool.basins()}
     trace = []
     if pool.entries:  # the pool alone decides: refined seeds by one-to-one inliers, then by the seed's own score
         winner = None
-        for place, seed in enumerate(sorted(pool.entries, key=lambda s: s.hcm), 1):
-            r, t = _matrix(seed.pose[0]), seed.pose[1]
-            refined = pair.timed("refine_ms", pair.refine, r, t)
+        for place, seed in enumerate(pool.entries, 1):
+            refined = pair.timed("refine_ms", pair.refine, _matrix(seed.pose[0]), seed.pose[1])
             refinements += 1
             inlier, r2 = pair.mask(*refined)
             cardinality = pair.timed("rank_ms", pair.one_to_one, inlier)
-            cost = float(np.where(inlier, r2 / o.threshold**2, 1.0).mean())
+            cost = float(np.where(inlier, r2 / pair.threshold**2, 1.0).mean())
             flat = lambda x: [*_quaternion(x[0]).tolist(), *x[1].tolist()]
-            trace.append((place, seed.hcm, cardinality, int(inlier.sum()), cost, [*seed.pose[0].tolist(), *seed.pose[1].tolist()], flat(refined), flat(pair.refine(*refined, widen=1.0))))
+            polished = pair.timed("refine_ms", pair.polish, *refined)
+            trace.append((place, seed.hcm, cardinality, int(inlier.sum()), cost, [*seed.pose[0].tolist(), *seed.pose[1].tolist()], flat(refined), flat(polished)))
             if winner is None or (-cardinality, seed.hcm) < winner[0]:
-                winner = (-cardinality, seed.hcm), refined, inlier
+                winner = (-cardinality, seed.hcm), polished, inlier
         (negative, hcm), pose, inlier = winner
         found = {"cardinality": -negative, "hcm": hcm, "n_inliers": int(inlier.sum()), "model_score": float(negative)}
     elif best is not None:
-        pose = best.pose
-        inlier = pair.mask(*pose)[0]
+        inlier = pair.mask(*best.pose)[0]
         found = {"cardinality": pair.timed("rank_ms", pair.one_to_one, inlier), "hcm": best.hcm, "n_inliers": int(inlier.sum()), "model_score": float(pair.value(best)[0])}
+        pose = pair.timed("refine_ms", pair.polish, *best.pose)
+        refinements += 1
     else:
         return about | {"refinements": refinements}, []
     fields = dict(zip(POSE, [*_quaternion(pose[0]).tolist(), *pose[1].tolist()], strict=True))
@@ -325,11 +366,13 @@ def _matrix(q: np.ndarray) -> np.ndarray:
     return np.eye(3) + 2 * w * skew + 2 * skew @ skew
 
 
-def estimate(edges: DataFrame, options: Options | None = None, **changes) -> DataFrame:
+def estimate(edges: DataFrame, options: Options | None = None, cameras: DataFrame | None = None, **changes) -> DataFrame:
     """One row per pair of ``edges`` (pair_idx, left_idx, right_idx, x1, y1, x2, y2, p, left_c, right_c, and k for a proposal graph): SCHEMA.
 
+    Points are calibrated and the threshold is in their units; with ``cameras`` (pair_idx, fx1, fy1, cx1, cy1, distortion1, and the same for 2)
+    they are pixels, and so is the threshold: points are un-projected (``geometry.unproject``), the threshold is scaled by the mean inverse focal length.
     A pair that cannot be estimated is skipped with a message: ``invalid_feature_ids``, ``not_enough_matches``,
-    ``proposal_graph_not_enough_o2o``, ``ransac_failed``.  Of several runs the one with the lowest model_score counts.
+    ``proposal_graph_not_enough_o2o``, ``ransac_failed``; one without a camera with ``no_camera``.  Of several runs the one with the lowest model_score counts.
     """
     o = options or Options(**changes)
 
@@ -340,7 +383,9 @@ def estimate(edges: DataFrame, options: Options | None = None, **changes) -> Dat
             return pd.DataFrame([row | {"message": "invalid_feature_ids"}])
         if len(pdf) < o.sample:
             return pd.DataFrame([row | {"message": "not_enough_matches"}])
-        pair = Pair(pdf, o)
+        if pdf["scale"].isna().any():
+            return pd.DataFrame([row | {"message": "no_camera"}])
+        pair = Pair(pdf, o, float(pdf["scale"].iloc[0]))
         if pair.room < o.sample:
             return pd.DataFrame([row | {"message": "proposal_graph_not_enough_o2o"}])
         began, best, tried = time.perf_counter(), None, 0
@@ -358,7 +403,19 @@ def estimate(edges: DataFrame, options: Options | None = None, **changes) -> Dat
 
     columns = edges.sparkSession.createDataFrame([], SCHEMA).columns
     chosen = ["pair_idx", "left_idx", "right_idx", "x1", "y1", "x2", "y2", "p", "left_c", "right_c", *["k"] * bool(o.proposal_k)]
-    return edges.select(*chosen).groupBy("pair_idx").applyInPandas(run, SCHEMA)
+    ready = edges.select(*chosen, F.lit(1.0).alias("scale")) if cameras is None else calibrated(edges.select(*chosen), cameras)
+    return ready.groupBy("pair_idx").applyInPandas(run, SCHEMA)
+
+
+def calibrated(edges: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Edges in pixels as edges in calibrated units, with ``scale``, the pair's pixels in these units; both are null where a pair has no camera."""
+    held = cameras.select("pair_idx", *(f"{c}{s}" for s in "12" for c in ("fx", "fy", "cx", "cy", "distortion")))
+    focal = lambda s: (F.col(f"fx{s}") + F.col(f"fy{s}")) / 2
+    for s in "12":
+        point = g.unproject(F.col(f"x{s}"), F.col(f"y{s}"), *(F.col(f"{c}{s}") for c in ("fx", "fy", "cx", "cy", "distortion")))
+        edges = (edges.join(held, "pair_idx", "left") if s == "1" else edges).withColumn(f"_{s}", point)
+    moved = {f"{c}{s}": F.col(f"_{s}.{c}") for s in "12" for c in "xy"}
+    return edges.withColumn("scale", g.threshold_scale(focal("1"), focal("2"))).withColumns(moved).drop("_1", "_2", *(c for c in held.columns if c != "pair_idx"))
 
 
 def traces(results: DataFrame) -> DataFrame:

@@ -16,12 +16,31 @@ from pyspark.sql import functions as F
 from matchweave.functions.text import stable_hash
 
 
+#: Bits of a hash by which rows are counted before any are ordered.
+PREFIX = 16
+
+
 def balanced_flip(rows: DataFrame, stratum: Sequence[str], seed: str, tokens: Sequence[str], bonus: int = 0) -> DataFrame:
-    """``flip`` for the first half of each stratum in hash order (with ``bonus`` more in odd ones)."""
-    keyed = rows.withColumn("_h", stable_hash(seed, *(F.col(t) for t in tokens)))
-    place = F.row_number().over(Window.partitionBy(*stratum).orderBy("_h", *tokens))
-    n = F.count("*").over(Window.partitionBy(*stratum))
-    return keyed.withColumn("flip", place <= F.floor(n / 2) + F.when(n % 2 == 1, bonus).otherwise(0)).drop("_h")
+    """``flip`` for the first half of each stratum in hash order (with ``bonus`` more in odd ones).
+
+    A stratum is not ordered: rows are counted by the first bits of their hash, the counts tell in which of these buckets the half ends, and only that
+    bucket's rows are ordered.
+    """
+    keyed = rows.withColumn("_h", stable_hash(seed, *(F.col(t) for t in tokens))).withColumn("_p", F.floor(F.col("_h") / F.lit(1 << (64 - PREFIX)).cast("decimal(20,0)")).cast("int"))
+    whole = Window.partitionBy(*stratum)
+    counts = keyed.groupBy(*stratum, "_p").agg(F.count("*").alias("_c"))
+    up_to = F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"_n": F.sum("_c").over(whole), "_before": F.coalesce(up_to, F.lit(0))}).withColumn("_half", F.floor(F.col("_n") / 2) + F.when(F.col("_n") % 2 == 1, bonus).otherwise(0))
+    # buckets that lie within the half, the one that it ends in, and all others
+    split = (F.col("_before") < F.col("_half")) & (F.col("_before") + F.col("_c") > F.col("_half"))
+    known = counts.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(stratum)), F.col("_p").alias("_q"), split.alias("_split"), (F.col("_before") + F.col("_c") <= F.col("_half")).alias("_in"), (F.col("_half") - F.col("_before")).alias("_left"))
+    on = keyed["_p"] == known["_q"]
+    for i, c in enumerate(stratum):
+        on = on & keyed[c].eqNullSafe(known[f"_s{i}"])
+    placed = keyed.join(known, on)
+    place = F.row_number().over(Window.partitionBy(*stratum, "_p").orderBy("_h", *tokens))
+    ordered = placed.filter("_split").withColumn("flip", place <= F.col("_left"))
+    return placed.filter("NOT _split").withColumn("flip", F.col("_in")).unionByName(ordered).select(*rows.columns, "flip")
 
 
 def quotas(objects: DataFrame, bins: Sequence[str], total: int, name: str = "object") -> DataFrame:

@@ -290,7 +290,7 @@ def mcm_rerank(spark, sf_dir):
 def ransac_pose(spark, sf_dir):
     """The search on each pair's whole association graph: status, counts and the winner's pose and score."""
     edges = scoring.with_prior(_graph(spark, sf_dir)).withColumn("pair_idx", F.col("pair_idx").cast("long"))
-    found = ransac.estimate(edges, least_iterations=100, most_iterations=1000)
+    found = ransac.estimate(edges, least_iterations=1000, most_iterations=10_000)
     return found.drop("trace", *ransac.TIMES)
 
 

@@ -472,8 +472,8 @@ def test_iterations_follow_the_inliers(spark):
     got = {r.pair_idx: r.iterations for r in ransac.estimate(e, least_iterations=10, most_iterations=120, threshold=0.002).collect()}
     assert got[1] <= 12 and got[2] == 120
     o = ransac.Options(least_iterations=10, most_iterations=1000)
-    assert ransac.dynamic_iterations(40, 40, o) == 10 and ransac.dynamic_iterations(7, 40, o) == 1000
-    p = math.prod((30 - i) / (40 - i) for i in range(8))
+    assert ransac.dynamic_iterations(40, 40, o) == 10 and ransac.dynamic_iterations(4, 40, o) == 1000
+    p = math.prod((30 - i) / (40 - i) for i in range(5))
     assert ransac.dynamic_iterations(30, 40, o) == math.ceil(math.log(1 - o.success) / math.log(1 - p))
 
 
@@ -483,7 +483,7 @@ def test_samples_come_from_the_proposal_graph(spark):
     e = scoring.with_prior(spark.createDataFrame(rows, EDGE))
     free, bound = (ransac.estimate(e, least_iterations=30, most_iterations=30, threshold=0.002, proposal_k=k).first() for k in (0, 1))
     assert bound.cardinality >= 19 and bound.n_edges == 80 and bound.hcm <= free.hcm
-    few = scoring.with_prior(spark.createDataFrame([(*r[:-1], 1 if i < 5 else 2) for i, r in enumerate(rows)], EDGE))
+    few = scoring.with_prior(spark.createDataFrame([(*r[:-1], 1 if i < 4 else 2) for i, r in enumerate(rows)], EDGE))
     assert ransac.estimate(few, least_iterations=9, most_iterations=9, proposal_k=1).first().message == "proposal_graph_not_enough_o2o"
     with pytest.raises(ValueError):
         ransac.Options(proposal_k=1)
