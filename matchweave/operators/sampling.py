@@ -131,50 +131,77 @@ def _take(low: np.ndarray, high: np.ndarray, target: int, own: np.ndarray, total
     return chosen
 
 
-def low_degree_edges(edges: DataFrame, quotas: DataFrame, trials: int = 192, most_in_bin: int = 4, most: int = 6, seed: str = "edges", every: bool = False) -> DataFrame:
+#: Trials of a block, one task's work.
+BLOCK = 256
+
+
+def _in_blocks(rows: DataFrame, trials: int, size: int) -> DataFrame:
+    """Every object's rows once for each block of its trials."""
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // size))))
+
+
+def _tie(*tokens) -> bytes:
+    """A hash whose bytes are in the order of its number."""
+    return _seed(*tokens).to_bytes(8, "big")
+
+
+def low_degree_edges(edges: DataFrame, quotas: DataFrame, trials: int = 192, most_in_bin: int = 4, most: int = 6, seed: str = "edges", every: bool = False, size: int = 24) -> DataFrame:
     """Selections of edges of small degree: (object, candidate, bin, sub_bin, low, high, max_bin_degree, max_degree, bin_squares, squares, unused).
 
     edges: object, bin, sub_bin, low, high.  quotas: object, bin, sub_bin, target.  In each seeded trial the sub-bins take their edges in
     turn, scarce ones first.  Selections that use an image more than ``most_in_bin`` times in a bin or ``most`` times in all
-    are not feasible; ``every`` returns all feasible ones (equal ones once), else the one with the smallest degrees.  A sub-bin
-    with fewer edges than its target, and an object without a feasible selection, are errors.  An object's edges are one task's work.
+    are not feasible; ``every`` returns all feasible ones (equal ones once), else the one with the smallest degrees, then hash.  A sub-bin
+    with fewer edges than its target, and an object without a feasible selection, are errors.
+
+    A task makes ``size`` trials of one object, each from its own seed; what they find meets as rows (score, hash, edges by number).
     """
 
-    def run(key, pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def prepared(pdf: pd.DataFrame, wanted: pd.DataFrame, name) -> tuple:
         pdf = pdf.drop_duplicates(["bin", "sub_bin", "low", "high"]).sort_values(["bin", "sub_bin", "low", "high"], ignore_index=True)
         images = pd.Index(pd.unique(pd.concat([pdf["low"], pdf["high"]]))).sort_values()
-        low, high = images.get_indexer(pdf["low"]), images.get_indexer(pdf["high"])
         bins = {b: i for i, b in enumerate(sorted(set(pdf["bin"]) | set(wanted["bin"])))}
+        cells = pdf.groupby(["bin", "sub_bin"]).indices
         groups = []
-        for b, s, target in sorted(zip(wanted["bin"], wanted["sub_bin"], wanted["target"], strict=True)):
-            here = np.flatnonzero((pdf["bin"] == b) & (pdf["sub_bin"] == s))
+        for b, s, target in wanted.sort_values(["bin", "sub_bin"])[["bin", "sub_bin", "target"]].itertuples(index=False):
+            here = np.sort(cells.get((b, s), np.zeros(0, np.int64)))
             if len(here) < target:
-                raise Unfeasible(f"{key[0]}/{b}/{s}: {len(here)} edges for a quota of {target}")
+                raise Unfeasible(f"{name}, bin {b}, sub-bin {s}: the quota is {target}, edges are {len(here)}")
             if target:
                 groups.append((len(here) / target, bins[b], int(target), here))
+        return pdf, images.get_indexer(pdf["low"]), images.get_indexer(pdf["high"]), len(bins), len(images), groups
+
+    def tried(key, pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        _, low, high, n_bins, n_images, groups = prepared(pdf, wanted, key[0])
         found = {}
-        for trial in range(trials):
+        for trial in range(int(key[1]) * size, min(trials, (int(key[1]) + 1) * size)):
             rng = np.random.default_rng(_seed(seed, key[0], trial))
-            own, total, chosen = np.zeros((len(bins), len(images)), np.int64), np.zeros(len(images), np.int64), []
+            own, total, chosen = np.zeros((n_bins, n_images), np.int64), np.zeros(n_images, np.int64), []
             for i in np.lexsort((rng.random(len(groups)), [g[0] for g in groups])).tolist():
                 _, b, target, here = groups[i]
                 chosen += here[_take(low[here], high[here], target, own[b], total, rng)].tolist()
-            name = tuple(sorted(chosen))
-            found.setdefault(name, (int(own.max(initial=0)), int(total.max(initial=0)), int((own * own).sum()), int((total * total).sum()), int((total == 0).sum())))
-        ranked = sorted(found, key=lambda n: (*found[n], _seed(seed, "tie", key[0], *n)))
-        fine = [n for n in ranked if found[n][0] <= most_in_bin and found[n][1] <= most]
-        if not fine:
-            raise Unfeasible(f"{key[0]}: no selection within the degree bounds; the best has {found[ranked[0]]}")
-        parts = []
-        for number, n in enumerate(fine if every else fine[:1]):
-            part = pdf.loc[list(n), ["bin", "sub_bin", "low", "high"]].assign(object=key[0], candidate=number)
-            parts.append(part.assign(**dict(zip(_DEGREES, found[n], strict=True))))
-        return pd.concat(parts)[["object", "candidate", "bin", "sub_bin", "low", "high", *_DEGREES]]
+            degrees = own.max(initial=0), total.max(initial=0), (own * own).sum(), (total * total).sum(), (total == 0).sum()
+            found[tuple(sorted(chosen))] = tuple(map(int, degrees))
+        rows = [(key[0], *degrees, _tie(seed, "tie", key[0], *chosen), list(chosen)) for chosen, degrees in found.items()]
+        return pd.DataFrame(rows, columns=["object", *_DEGREES, "tie", "chosen"])
 
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("object", "bin", "sub_bin", "low", "high")}
-    schema = f"object {kinds['object']}, candidate long, bin {kinds['bin']}, sub_bin {kinds['sub_bin']}, low {kinds['low']}, high {kinds['high']}, " + ", ".join(f"{d} long" for d in _DEGREES)
-    sides = _own(edges, "object", "bin", "sub_bin", "low", "high").groupBy("object"), _own(quotas, "object", "bin", "sub_bin", "target").groupBy("object")
-    return sides[0].cogroup(sides[1]).applyInPandas(run, schema)
+    own_edges, own_quotas = _own(edges, "object", "bin", "sub_bin", "low", "high"), _own(quotas, "object", "bin", "sub_bin", "target")
+    sides = (_in_blocks(x, trials, size).groupBy("object", "block") for x in (own_edges, own_quotas))
+    degrees = ", ".join(f"{d} long" for d in _DEGREES)
+    found = next(sides).cogroup(next(sides)).applyInPandas(tried, f"object {kinds['object']}, {degrees}, tie binary, chosen array<long>").distinct()
+    fine = (F.col("max_bin_degree") <= most_in_bin) & (F.col("max_degree") <= most)
+    score = F.struct(*_DEGREES, "tie", "chosen")
+    if every:
+        kept = found.filter(fine).withColumn("candidate", F.row_number().over(Window.partitionBy("object").orderBy(*_DEGREES, "tie")) - 1)
+    else:
+        best = found.groupBy("object").agg(F.min(F.when(fine, score)).alias("best"), F.min(score).alias("any"))
+        none = F.raise_error(F.concat(F.col("object").cast("string"), F.lit(": no selection within the degree bounds; the best has "), F.to_json(F.struct(*(f"any.{d}" for d in _DEGREES)))))
+        kept = best.select("object", F.when(F.col("best").isNull(), none.cast(found.select(score).schema[0].dataType)).otherwise(F.col("best")).alias("best")).select("object", "best.*", F.lit(0).alias("candidate"))
+    # edges by the numbers that the trials gave them
+    number = F.row_number().over(Window.partitionBy("object").orderBy("bin", "sub_bin", "low", "high")) - 1
+    numbered = own_edges.distinct().withColumn("number", number.cast("long"))
+    rows = kept.select("object", F.col("candidate").cast("long").alias("candidate"), *_DEGREES, F.explode("chosen").alias("number"))
+    return rows.join(numbered, ["object", "number"]).select("object", "candidate", "bin", "sub_bin", "low", "high", *_DEGREES)
 
 
 _DEGREES = ("max_bin_degree", "max_degree", "bin_squares", "squares", "unused")
@@ -209,7 +236,7 @@ def partition_search(edges: DataFrame, halves: DataFrame, quotas: DataFrame, ima
 
     edges: object, bin, sub_bin, low, high.  halves: object, half.  quotas: object, bin, quota.  images: object, image, split, height,
     width, camera.  The first partition takes the first images by name.  With ``strict`` an object whose best deficit is not 0 is an error.
-    An object is one task's work; its partitions are scored in blocks.
+    A task scores a block of an object's partitions, whose random orders follow one seed of the object; the best of the blocks meet as rows.
     """
 
     def run(key, pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
@@ -221,26 +248,31 @@ def partition_search(edges: DataFrame, halves: DataFrame, quotas: DataFrame, ima
         bins = pdf[["bin", "quota"]].drop_duplicates().sort_values("bin", ignore_index=True)
         bin_of_cell = pd.Index(bins["bin"]).get_indexer([b for b, _ in kinds])
         strata = [pd.MultiIndex.from_frame(about[list(c)]).factorize()[0] for c in (("split",), ("height", "width"), ("camera",))]
-        half, rng, best = int(pdf["half"].iloc[0]), np.random.default_rng(_seed(seed, key[0])), None
-        for at in range(0, trials, 256):
-            side = np.zeros((min(256, trials - at), len(names)), bool)
-            for t in range(len(side)):
-                side[t, np.arange(half) if at + t == 0 else rng.permutation(len(names))[:half]] = True
-            scores = partition_scores(side, low, high, cell, bin_of_cell, bins["quota"].to_numpy(np.int64), strata, slack)
-            least = min(map(tuple, scores.tolist()))
-            for t in np.flatnonzero((scores == least).all(1)).tolist():
-                rank = (*least, _seed(seed, "tie", key[0], *names[side[t]]))
-                if best is None or rank < best[0]:
-                    best = rank, side[t].copy()
-        if strict and best[0][0]:
-            raise Unfeasible(f"{key[0]}: the best partition has the score {best[0][:-1]}")
-        return pd.DataFrame({"object": key[0], "image": names, "side": best[1].astype(np.int32)}).assign(**dict(zip(SCORE, best[0], strict=False)))
+        half, rng, at = int(pdf["half"].iloc[0]), np.random.default_rng(_seed(seed, key[0])), int(key[1]) * BLOCK
+        for _ in range(1, at):  # the orders of the blocks before
+            rng.permutation(len(names))
+        side = np.zeros((min(BLOCK, trials - at), len(names)), bool)
+        for t in range(len(side)):
+            side[t, np.arange(half) if at + t == 0 else rng.permutation(len(names))[:half]] = True
+        scores = partition_scores(side, low, high, cell, bin_of_cell, bins["quota"].to_numpy(np.int64), strata, slack)
+        least = min(map(tuple, scores.tolist()))
+        tie, t = min((_tie(seed, "tie", key[0], *names[side[t]]), t) for t in np.flatnonzero((scores == least).all(1)).tolist())
+        taken = pd.Series([names[side[t]].tolist()])
+        return pd.DataFrame({"object": [key[0]], **{c: [v] for c, v in zip(SCORE, least, strict=True)}, "tie": [tie]}).assign(first=taken)
 
     name, image = (images.schema[c].dataType.simpleString() for c in ("object", "image"))
     whole = edges.select("object", "bin", "sub_bin", "low", "high").join(halves.select("object", "half"), "object").join(quotas.select("object", "bin", "quota"), ["object", "bin"])
-    schema = f"object {name}, image {image}, side int, " + ", ".join(f"{t} long" for t in SCORE)
-    whole = _own(whole, "object", "bin", "sub_bin", "low", "high", "half", "quota")
-    return whole.groupBy("object").cogroup(_own(images, "object", "image", "split", "height", "width", "camera").groupBy("object")).applyInPandas(run, schema)
+    whole, about = _own(whole, "object", "bin", "sub_bin", "low", "high", "half", "quota"), _own(images, "object", "image", "split", "height", "width", "camera")
+    terms = ", ".join(f"{t} long" for t in SCORE)
+    sides = (_in_blocks(x, trials, BLOCK).groupBy("object", "block") for x in (whole, about))
+    found = next(sides).cogroup(next(sides)).applyInPandas(run, f"object {name}, {terms}, tie binary, first array<{image}>")
+    best = found.groupBy("object").agg(F.min(F.struct(*SCORE, "tie", "first")).alias("best"))
+    if strict:
+        bad = F.raise_error(F.concat(F.col("object").cast("string"), F.lit(": the best partition has the score "), F.to_json(F.struct(*(f"best.{t}" for t in SCORE)))))
+        best = best.select("object", F.when(F.col(f"best.{SCORE[0]}") > 0, bad.cast(best.schema["best"].dataType)).otherwise(F.col("best")).alias("best"))
+    taken = best.select("object", F.explode("best.first").alias("image"), F.lit(1).alias("side"))
+    every = about.join(best.select("object", *(F.col(f"best.{t}").alias(t) for t in SCORE)), "object").join(taken, ["object", "image"], "left")
+    return every.select("object", "image", F.coalesce("side", F.lit(0)).cast("int").alias("side"), *SCORE)
 
 
 def partition_score(edges: DataFrame, sides: DataFrame) -> DataFrame:

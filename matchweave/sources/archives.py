@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Schema versions that can be read.
-DESCRIPTOR_VERSIONS, KEYPOINT_VERSION = (0, 1, 2), 1
-
+from matchweave.sources import npz
 
 def files(spark: SparkSession, path: str, suffixes: Iterable[str] = (), content: bool = False) -> DataFrame:
     """All files below a folder (path, length, and content if asked), with these suffixes in any case."""
@@ -36,110 +34,33 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- reading
-def _pair(data: Mapping, name: str, fallback: tuple[int, int]) -> tuple[int, int]:
-    if name not in data:
-        return fallback
-    value = np.asarray(data[name]).reshape(-1)
-    if value.shape != (2,) or (value <= 0).any():
-        raise ValueError(f"{name} is not two positive numbers")
-    return int(value[0]), int(value[1])
-
-
-def _scalars(data: Mapping, skip: Iterable[str]) -> dict[str, str]:
-    """What is not an array of features, as text: the archive's provenance."""
-    return {k: str(np.asarray(v).reshape(-1).tolist() if np.asarray(v).size != 1 else np.asarray(v).reshape(()).item()) for k, v in data.items() if k not in skip}
-
-
-def _descriptor(data: Mapping, patch: int) -> dict:
-    v = np.asarray(data["descriptor_map"], np.float32)
-    if v.ndim != 3:
-        raise ValueError("descriptor_map is not a grid of vectors")
-    version = int(np.asarray(data["schema_version"]).item()) if "schema_version" in data else 0
-    if version not in DESCRIPTOR_VERSIONS:
-        raise ValueError(f"schema version {version} cannot be read")
-    size = int(np.asarray(data["patch_size"]).item()) if "patch_size" in data else patch
-    if size <= 0:
-        raise ValueError("patch_size is not positive")
-    proc = _pair(data, "proc_hw", (v.shape[0] * size, v.shape[1] * size))
-    height, width = proc[0] // size, proc[1] // size
-    if height > v.shape[0] or width > v.shape[1]:
-        raise ValueError(f"proc_hw needs a grid of {height} x {width}, there are {v.shape[0]} x {v.shape[1]}")
-    original = _pair(data, "orig_hw", proc)
-    return {"grid": (height, width), "patch_size": size, "proc": proc, "orig": original, "v": v[:height, :width].reshape(height * width, -1), "meta": _scalars(data, ("descriptor_map",)), "legacy": version < DESCRIPTOR_VERSIONS[-1]}
-
-
-DESCRIPTORS = "path string, patch_size int, grid_h int, grid_w int, proc_h int, proc_w int, orig_h int, orig_w int, legacy boolean, meta map<string,string>, patch_idx int, gx int, gy int, v array<float>, problem string"
-
-
-def descriptors(spark: SparkSession, path: str, patch_size: int = 16) -> DataFrame:
-    """Descriptor archives as one row for each patch inside the processed size (DESCRIPTORS).  ``patch_size`` stands in where an old archive has none."""
+DESCRIPTORS, KEYPOINTS = npz.SCHEMAS["descriptors"], npz.SCHEMAS["keypoints"]
 
-    def run(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    with np.load(io.BytesIO(raw.as_py()), allow_pickle=False) as loaded:
-                        d = _descriptor({k: loaded[k] for k in loaded.files}, patch_size)
-                except Exception as e:  # the archive's own problem, whatever it is
-                    yield _rows([{"path": name, "problem": f"{type(e).__name__}: {e}"}], DESCRIPTORS)
-                    continue
-                head = {"path": name, "patch_size": d["patch_size"], "grid_h": d["grid"][0], "grid_w": d["grid"][1], "proc_h": d["proc"][0], "proc_w": d["proc"][1], "orig_h": d["orig"][0], "orig_w": d["orig"][1], "legacy": d["legacy"], "meta": list(d["meta"].items())}
-                yield _rows([head | {"patch_idx": i, "gx": i % d["grid"][1], "gy": i // d["grid"][1], "v": x} for i, x in enumerate(d["v"].tolist())], DESCRIPTORS)
-
-    return files(spark, path, (".npz",), content=True).select("path", "content").mapInArrow(run, DESCRIPTORS)
-
-
-KEYPOINTS = "path string, legacy boolean, meta map<string,string>, kp_idx int, x float, y float, score float, v array<float>, problem string"
-
-
-def _keypoints(data: Mapping) -> dict:
-    xy = np.asarray(data["keypoints"], np.float32)
-    if xy.ndim != 2 or xy.shape[1] != 2:
-        raise ValueError("keypoints is not a table of two columns")
-    v, score = (np.asarray(data[k], np.float32) if k in data else None for k in ("descriptors", "scores"))
-    if v is not None and (v.ndim != 2 or len(v) != len(xy)):
-        raise ValueError("descriptors and keypoints differ in number")
-    if score is not None and (score.ndim != 1 or len(score) != len(xy)):
-        raise ValueError("scores and keypoints differ in number")
-    if "schema_version" in data and int(np.asarray(data["schema_version"]).item()) != KEYPOINT_VERSION:
-        raise ValueError("schema version cannot be read")
-    for name in ("orig_hw", "proc_hw"):
-        if name in data and np.asarray(data[name]).size != 2:
-            raise ValueError(f"{name} is not two numbers")
-    return {"xy": xy, "v": v, "score": score, "meta": _scalars(data, ("keypoints", "descriptors", "scores")), "legacy": "schema_version" not in data}
-
-
-def keypoints(spark: SparkSession, path: str) -> DataFrame:
-    """Keypoint archives as one row for each point (KEYPOINTS); an archive without points has one row with a null kp_idx."""
 
+def _read(spark: SparkSession, path: str, kind: str, patch_size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    with np.load(io.BytesIO(raw.as_py()), allow_pickle=False) as loaded:
-                        d = _keypoints({k: loaded[k] for k in loaded.files})
-                except Exception as e:  # the archive's own problem, whatever it is
-                    yield _rows([{"path": name, "problem": f"{type(e).__name__}: {e}"}], KEYPOINTS)
-                    continue
-                head = {"path": name, "legacy": d["legacy"], "meta": list(d["meta"].items())}
-                points = [head | {"kp_idx": i, "x": x, "y": y, "score": None if d["score"] is None else float(d["score"][i]), "v": None if d["v"] is None else d["v"][i].tolist()} for i, (x, y) in enumerate(d["xy"].tolist())]
-                yield _rows(points or [head], KEYPOINTS)
+                yield npz.batch(kind, name, raw.as_py(), patch_size)
 
-    return files(spark, path, (".npz",), content=True).select("path", "content").mapInArrow(run, KEYPOINTS)
+    return files(spark, path, (".npz",), content=True).select("path", "content").mapInArrow(run, npz.SCHEMAS[kind])
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
+def descriptors(spark: SparkSession, path: str, patch_size: int = 16) -> DataFrame:
+    """Descriptor archives as one row for each patch inside the processed size (DESCRIPTORS).  ``patch_size`` stands in where an old archive has none.
+    Read through Spark's own file systems; ``npz.FeatureArchives`` is the data source with planned partitions."""
+    return _read(spark, path, "descriptors", patch_size)
 
 
-def _rows(rows: list[dict], schema: str) -> pa.RecordBatch:
-    fields = [c.split(" ") for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
+def keypoints(spark: SparkSession, path: str) -> DataFrame:
+    """Keypoint archives as one row for each point (KEYPOINTS); an archive without points has one row with a null kp_idx."""
+    return _read(spark, path, "keypoints", 0)
 
 
 def write_archives(rows: DataFrame, key: str, columns: Mapping[str, str], order: str) -> DataFrame:
     """One NPZ for each key, as rows (key, content): ``columns`` names the arrays and the columns they come from, in the order of ``order``.
 
-    The caller writes the contents where archives live; nothing goes to a local disk here.
+    As (name, content) they go to the sink ``npz.FeatureArchives``, which publishes all of them or none; nothing goes to a local disk here.
     """
 
     def run(table: pa.Table) -> pa.Table:

@@ -637,7 +637,7 @@ def test_low_degree_edges(spark):
         assert max(own) <= 4 and max(degree) <= 6 and len({(r.bin, r.sub_bin, r.low, r.high) for r in chosen}) == 10
     best = sampling.low_degree_edges(e, wanted, trials=20).collect()
     assert tuple(best[0][c] for c in sampling._DEGREES) == min(tuple(r[c] for c in sampling._DEGREES) for r in every)
-    for bad, message in (({"most": 0}, "no selection within"), ({}, "edges for a quota")):
+    for bad, message in (({"most": 0}, "no selection within"), ({}, "the quota is")):
         more = wanted if bad else wanted.withColumn("target", F.lit(99).cast("long"))
         with pytest.raises(Exception, match=message):
             sampling.low_degree_edges(e, more, trials=2, **bad).collect()
