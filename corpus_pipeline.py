@@ -43,19 +43,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id, a null id last, then with the smallest
+    digest of its text.  Which one stays depends on the group alone, whatever ids other rows have.
 
-    Where ids repeat or are null, rows are numbered first and the smallest number of a group stays, so that different texts with one id all stay.
+    Where ids repeat or are null, rows are numbered, so that different texts with one id are different nodes; the rule is the same.
     Null and empty texts are no duplicates of anything.
     """
     space = Workspace(bounded_batches(spark), "pipeline-minhash")
-    name = "doc_id"
-    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        name = "row"
-        docs = space.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     # the ids that go are few beside the texts: while they are small they are sent to these, which then need no shuffle
     scope = Workspace(spark, "pipeline-minhash-links")
-    gone = space.table(minhash.near_duplicates(docs, scope, n=5, percent=80, doc_id=name).filter("NOT kept").select(name), "gone")
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        name = "doc_id"
+        gone = space.table(minhash.near_duplicates(docs, scope, n=5, percent=80, doc_id=name).filter("NOT kept").select(name), "gone")
+    else:
+        name = "row"
+        docs = space.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        links = space.table(minhash.near_duplicates(docs, scope, n=5, percent=80, doc_id=name).select("row", "component_id"), "links")
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2("text", 256).alias("digest"), "row")
+        stay = links.join(docs.select("row", rank.alias("rank")), "row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+        gone = space.table(links.select("row").join(stay, "row", "left_anti"), "gone")
     scope.clear()
     return docs.join(broadcast_if_small(gone), name, "left_anti").select(*COLUMNS)
 
