@@ -24,7 +24,7 @@ from matchweave.functions.geometry import finite
 from matchweave.functions.text import first_segment
 from matchweave.functions.vector import normalize, residual_prefixes
 from matchweave.operators import knn
-from matchweave.operators.metrics import finite_mean
+from matchweave.operators.metrics import finite_mean, percentile_columns
 
 DIRECTIONS = ("a_to_b", "b_to_a")
 CONFIG = ("layer", "rank")
@@ -187,7 +187,8 @@ def match_count_reports(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame,
     """(per object, per bin): mean matches of an object's pairs; over objects the mean of these, over pairs the median and the 90th percentile."""
     rows = counts.join(pairs.select("pair_idx", "bin", "object"), "pair_idx")
     category = rows.groupBy("bin", "object", *CONFIG, "k").agg(F.count("*").alias("pair_count"), F.avg("matches").alias("mean_matches"))
-    per = rows.groupBy("bin", *CONFIG, "k").agg(F.count("*").alias("pair_count"), F.percentile("matches", 0.5).alias("pair_median"), F.percentile("matches", 0.9).alias("pair_p90"))
+    keys = ["bin", *CONFIG, "k"]
+    per = rows.groupBy(*keys).agg(F.count("*").alias("pair_count")).join(percentile_columns(rows, keys, "matches", {"pair_median": 0.5, "pair_p90": 0.9}), keys, "left")
     macro = category.groupBy("bin", *CONFIG, "k").agg(F.count("*").alias("category_count"), F.avg("mean_matches").alias("macro_mean"))
     return category, per.join(macro, ["bin", *CONFIG, "k"])
 

@@ -30,14 +30,33 @@ def neighbours(turn: int) -> list[tuple[int, int, int, int]]:
     return [(0, 0, 0, 0)] + [(*left, *_RING[(i - turn) % 8]) for i, left in enumerate(_RING)]
 
 
+_AREA = [f"{c}{s}" for s in "12" for c in "xy"]
+
+
 def bounds(edges: DataFrame, grid: int = 20) -> DataFrame:
-    """Per pair and side: origin and size of the area that its points take, with a margin of half a cell."""
-    sides = []
-    for side in "12":
-        span = F.greatest(F.max(f"x{side}") - F.min(f"x{side}"), F.max(f"y{side}") - F.min(f"y{side}"))
-        margin = F.ceil(span / (2 * (grid - 1)))
-        sides += [(F.min(f"{c}{side}") - margin).alias(f"{c}{side}_from") for c in "xy"] + [(F.max(f"{c}{side}") - F.min(f"{c}{side}") + 2 * margin).alias(f"{c}{side}_size") for c in "xy"]
-    return edges.groupBy("pair_idx").agg(*sides)
+    """Per pair the area of each side that its points take: ``<c>_from`` and ``<c>_size`` in whole pixels.
+
+    The margin is that of the pair, half a cell of the widest of its four spans, so that a shift by half a cell leaves no point outside.
+    """
+    low, high = ({c: f(c) for c in _AREA} for f in (F.min, F.max))
+    margin = F.ceil(F.greatest(*(high[c] - low[c] for c in _AREA)) / (2 * (grid - 1)))
+    sizes = [F.greatest(F.floor((high[c] + margin) - (low[c] - margin)) + 1, F.lit(1)).alias(f"{c}_size") for c in _AREA]
+    return edges.groupBy("pair_idx").agg(*((low[c] - margin).cast("double").alias(f"{c}_from") for c in _AREA), *sizes)
+
+
+def image_sizes(cameras: DataFrame) -> DataFrame:
+    """(pair_idx, x1_size, y1_size, x2_size, y2_size) of cameras (pair_idx, cx1, cy1, cx2, cy2): twice the principal point, one pixel at least.
+    A camera with a number that is missing gives no size."""
+    whole = cameras.filter(" AND ".join(f"c{c} IS NOT NULL AND NOT isnan(c{c})" for c in _AREA))
+    return whole.select("pair_idx", *(F.greatest(F.round(2.0 * F.col(f"c{c}")).cast("long"), F.lit(1)).alias(f"{c}_size") for c in _AREA))
+
+
+def image_areas(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per pair the area of each side that its image takes, from the origin on (columns of ``bounds``): the size of ``image_sizes``, or as far as the points reach
+    if that is more; pairs without sizes take the latter."""
+    reach = edges.groupBy("pair_idx").agg(*(F.greatest(F.floor(F.max(c)) + 1, F.lit(1)).alias(f"_{c}") for c in _AREA))
+    both = reach.join(sizes, "pair_idx", "left")
+    return both.select("pair_idx", *(F.lit(0.0).alias(f"{c}_from") for c in _AREA), *(F.greatest(F.coalesce(f"{c}_size", F.lit(0)), F.col(f"_{c}")).alias(f"{c}_size") for c in _AREA))
 
 
 def _cell(x: Column, y: Column, shift_x: bool, shift_y: bool, width: int, height: int) -> Column:
@@ -161,17 +180,12 @@ def in_frame(x: Column, y: Column, width: Column, height: Column) -> tuple[Colum
 
 def filter_files(edges: DataFrame, grid: int = 20, factor: float = 6.0, with_scale: bool = False, with_rotation: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """The whole filter on association rows (pair_idx, left_idx, right_idx, x1, y1, x2, y2 in pixels, k, similarity): places of first rows, points in
-    the unit square of each side's area (``sizes``: pair_idx, w1, h1, w2, h2; else the area that the points take), the exact filter, and ids
+    the unit square of each side's area (of the images with ``sizes``, see ``image_sizes``; else of the points alone), the exact filter, and ids
     renumbered in the order of the rows that are left.  Rows with a coordinate that is no place are dropped with their edge."""
     valid = in_frame(F.col("x1"), F.col("y1"), F.lit(float("inf")), F.lit(float("inf")))[0] & in_frame(F.col("x2"), F.col("y2"), F.lit(float("inf")), F.lit(float("inf")))[0]
     placed = first_seen(edges.filter(valid).withColumn("ordinal", ordinal()))
-    if sizes is None:
-        area = bounds(placed, grid)
-        unit = {f"u{c}{s}": (F.col(f"{c}{s}") - F.col(f"{c}{s}_from")) / F.greatest(F.col(f"{c}{s}_size"), F.lit(1e-9)) for c in "xy" for s in "12"}
-    else:
-        area = sizes
-        unit = {f"u{c}{s}": F.col(f"{c}{s}") / F.col(f"{'w' if c == 'x' else 'h'}{s}") for c in "xy" for s in "12"}
-    square = placed.join(area, "pair_idx").withColumns(unit)
+    area = bounds(placed, grid) if sizes is None else image_areas(placed, sizes)
+    square = placed.join(area, "pair_idx").withColumns({f"u{c}": (F.col(c) - F.col(f"{c}_from")) / F.col(f"{c}_size") for c in _AREA})
     names = {f"u{c}{s}": f"{c}{s}" for c in "xy" for s in "12"}
     kept = filter_exact(square.select("pair_idx", "left_idx", "right_idx", *(F.col(u).alias(c) for u, c in names.items())), grid, factor, with_scale, with_rotation).select("pair_idx", "left_idx", "right_idx")
     left = placed.join(kept, ["pair_idx", "left_idx", "right_idx"], "left_semi")

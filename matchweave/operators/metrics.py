@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +90,11 @@ def percentiles(table: DataFrame, keys: Sequence[str], value: str, shares: Seque
     return both.select(*keys, "share", (F.col("_low") + (F.col("at") - F.col("low")) * (F.col("_high") - F.col("_low"))).alias("value"))
 
 
+def percentile_columns(table: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """``percentiles`` with a column for each named share."""
+    return percentiles(table, keys, value, tuple(shares.values())).groupBy(*keys).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in shares.items()))
+
+
 def runtime(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, median and 95th percentile (linear interpolation) of finite values, with coverage."""
     x = F.when(finite(F.col(value)), F.col(value))
@@ -155,7 +160,8 @@ def added_edges(cumulative: DataFrame) -> DataFrame:
 
 
 def match_counts(cumulative: DataFrame) -> DataFrame:
-    return cumulative.groupBy("k").agg(F.avg("edges").alias("mean"), F.percentile("edges", 0.5).alias("median"), F.percentile("edges", 0.9).alias("p90"))
+    means = cumulative.groupBy("k").agg(F.avg("edges").alias("mean"))
+    return means.join(percentile_columns(cumulative, ["k"], "edges", {"median": 0.5, "p90": 0.9}), "k", "left").select("k", "mean", "median", "p90")
 
 
 def inclusion_rate(table: DataFrame, dataset: str, k: str, included: str) -> DataFrame:

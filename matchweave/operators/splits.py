@@ -110,7 +110,7 @@ def split_problems(selected: DataFrame, source: DataFrame, sides: DataFrame, quo
     reused_in_all = ends.groupBy("family", "image").count().filter(F.col("count") > most)
     low = reduce(lambda a, b: F.when(F.col("bin") == b[0], F.lit(float(b[1][0]))).otherwise(a), bins.items(), F.lit(None).cast("double"))
     fine = selected.groupBy("object", "bin", sub_bin(d, low, width).alias("sub_bin"), "family").agg(F.count("*").alias("n"))
-    uneven = families.select("family").join(F.broadcast(fine.select("object", "bin", "sub_bin").distinct())).join(fine, ["object", "bin", "sub_bin", "family"], "left").groupBy("object", "bin", "sub_bin").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max(F.coalesce("n", F.lit(0))).alias("most")).filter("least < most")
+    uneven = families.select("family").crossJoin(fine.select("object", "bin", "sub_bin").distinct()).join(fine, ["object", "bin", "sub_bin", "family"], "left").groupBy("object", "bin", "sub_bin").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max(F.coalesce("n", F.lit(0))).alias("most")).filter("least < most")
     found = [
         count(shared, "images in several families"), count(sizes, "pairs of a bin"), count(quota, "quotas"), count(twice, "duplicate edges"), count(absent, "edges outside the source"), count(misplaced, "distance outside the bin"),
         count(crossing, "ends in another family"), count(unbalanced, "roles out of balance"), count(reused, "degree in a bin"), count(reused_in_all, "degree in a family"), count(uneven, "distance histograms differ"),

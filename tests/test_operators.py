@@ -162,7 +162,19 @@ def test_grid_filter_keeps_a_coherent_set(spark):
 def test_bounds(spark):
     e = spark.createDataFrame([(0, 0, 0, 10.0, 0.0, 0.0, 0.0), (0, 1, 1, 48.0, 19.0, 38.0, 1.0)], "pair_idx int, left_idx int, right_idx int, x1 double, y1 double, x2 double, y2 double")
     r = gridfilter.bounds(e, 20).first()
-    assert (r.x1_from, r.x1_size, r.y1_from, r.y1_size) == (9.0, 40.0, -1.0, 21.0)
+    assert (r.x1_from, r.x1_size, r.y1_from, r.y1_size, r.x2_from, r.x2_size) == (9.0, 41, -1.0, 22, -1.0, 41)
+
+
+def test_image_areas(spark):
+    """Twice the principal point, or as far as the points reach; without a usable size the reach alone."""
+    e = spark.createDataFrame([(p, i, i, x, 2.0, 3.0, 0.2) for p in (0, 1, 2) for i, x in enumerate((10.0, 48.9))], "pair_idx int, left_idx int, right_idx int, x1 double, y1 double, x2 double, y2 double")
+    cameras = spark.createDataFrame([(0, 320.0, 240.25, 0.1, 1.75), (1, None, 240.0, 1.0, 1.0)], "pair_idx int, cx1 double, cy1 double, cx2 double, cy2 double")
+    got = {r.pair_idx: (r.x1_size, r.y1_size, r.x2_size, r.y2_size, r.x1_from) for r in gridfilter.image_areas(e, gridfilter.image_sizes(cameras)).collect()}
+    assert got == {0: (640, 481, 4, 4, 0.0), 1: (49, 3, 4, 1, 0.0), 2: (49, 3, 4, 1, 0.0)}
+    rows = [(1, i, i, 100.0 + i, 100.0 + i, 110.0 + i, 100.0 + i, 5, 0.9 - i / 100) for i in range(10)]
+    many = spark.createDataFrame(rows, "pair_idx int, left_idx int, right_idx int, x1 double, y1 double, x2 double, y2 double, k int, similarity double")
+    sizes = gridfilter.image_sizes(spark.createDataFrame([(1, 500.0, 500.0, 500.0, 500.0)], "pair_idx int, cx1 double, cy1 double, cx2 double, cy2 double"))
+    assert sorted((r.left_idx, r.right_idx) for r in gridfilter.filter_files(many, sizes=sizes).collect()) == [(i, i) for i in range(10)]
 
 
 # ---------------------------------------------------------------- geometry

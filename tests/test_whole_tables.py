@@ -130,15 +130,33 @@ def test_grid_filter_exact(spark):
 
 
 def test_grid_filter_files(spark, graph):
-    """Associations that are left, renumbered in their order from 0."""
-    rows = {}
+    """Every pair against the plain filter on the unit squares of its area, renumbered as the rows that are left name their ends."""
+    left, right = adapters.sides(spark, FOLDER)
+    at = {r.idx: (np.float32(r.x), np.float32(r.y)) for side in (left, right) for r in side.select("idx", "x", "y").collect()}
+    found = {}
     for r in plans.QUERIES["grid_filter_files"](spark, FOLDER).collect():
-        rows.setdefault(r.pair_idx, []).append(r)
-    assert rows and all(len(rows[p]) <= len(graph[p]) for p in rows)
-    for mine in rows.values():
-        for side in ("left_idx", "right_idx"):
-            ids = [r[side] for r in sorted(mine, key=lambda r: (r.k, -r.similarity))]
-            assert sorted(set(ids)) == list(range(len(set(ids))))
+        found.setdefault(r.pair_idx, []).append((r.k, r.similarity, r.left_idx, r.right_idx))
+    grid, checked = 8, 0
+    for pair, rows in graph.items():
+        points = np.array([[*at[r.left_idx], *at[r.right_idx]] for r in rows], float)
+        margin = math.ceil((points.max(0) - points.min(0)).max() / (2 * (grid - 1)))
+        size = np.floor((points.max(0) + margin) - (points.min(0) - margin)) + 1
+        unit = (points - (points.min(0) - margin)) / size
+        edges = [(r.left_idx, r.right_idx, *map(float, u)) for r, u in zip(rows, unit, strict=True)]
+        best = set()
+        for scale in gridfilter.SCALES:
+            for turn in range(8):
+                now = plain_filter(edges, grid, 0.7, scale, turn)
+                if len(now) > len(best):
+                    best = now
+        numbers, want = ({}, {}), []
+        for r in rows:
+            if (r.left_idx, r.right_idx) in best:
+                ids = [n.setdefault(i, len(n)) for n, i in zip(numbers, (r.left_idx, r.right_idx), strict=True)]
+                want.append((r.k, round(r.similarity, 6), *ids))
+        assert sorted(found.get(pair, [])) == sorted(want)
+        checked += len(want)
+    assert checked > 20
 
 
 def test_partition_and_selection(spark):
@@ -160,12 +178,42 @@ def test_partition_and_selection(spark):
 
 
 def test_ransac_pose(spark, graph):
+    """Each pair's pose is as good as the best of many poses that a plain loop takes from samples of its own, and what is told of it is so."""
+    from matchweave.operators import ransac, relpose, scoring
+
     got = {r.pair_idx: r for r in plans.QUERIES["ransac_pose"](spark, FOLDER).collect()}
     assert set(got) == set(graph)
-    scored = association._graph(spark, FOLDER)
+    scored = scoring.with_prior(association._graph(spark, FOLDER)).toPandas()
+    assert len(scored) == sum(map(len, graph.values())) and not scored["x1"].isna().any()
+    estimated = 0
     for pair, r in got.items():
         assert r.n_edges == len(graph[pair])
-        if r.status == "success":
-            q = np.array([r.qw, r.qx, r.qy, r.qz])
-            assert abs(q @ q - 1) < 1e-9 and r.cardinality <= r.n_inliers <= r.n_edges
-    assert scored.count() == sum(map(len, graph.values())) and scored.filter(F.col("x1").isNull()).count() == 0
+        if r.status != "success":
+            assert r.message in ("not_enough_matches", "proposal_graph_not_enough_o2o", "ransac_failed")
+            continue
+        estimated += 1
+        mine = scored[scored["pair_idx"] == pair].sort_values(["left_idx", "right_idx"])
+        x, y = relpose.homogeneous(mine[["x1", "y1"]].to_numpy()), relpose.homogeneous(mine[["x2", "y2"]].to_numpy())
+
+        def inliers(q, t, x=x, y=y):
+            """By the definition: the squared residual of each edge, and two positive depths by least squares."""
+            rot = ransac._matrix(np.array(q))
+            e = np.cross(np.eye(3), t).T @ rot
+            fine = []
+            for a, b in zip(x, y, strict=True):
+                line, back = e @ a, e.T @ b
+                depth = np.linalg.lstsq(np.stack([rot @ a, -b], 1), -np.array(t), rcond=None)[0]
+                fine.append((b @ line) ** 2 < 0.01**2 * (line[0] ** 2 + line[1] ** 2 + back[0] ** 2 + back[1] ** 2) and (depth > 0.01).all())
+            return np.array(fine)
+
+        q, t = [r.qw, r.qx, r.qy, r.qz], [r.tx, r.ty, r.tz]
+        assert abs(np.dot(q, q) - 1) < 1e-9 and abs(np.linalg.norm(t) - 1) < 1e-9 and r.cardinality <= r.n_inliers <= r.n_edges and r.iterations >= 1000
+        pairs = mine[["left_idx", "right_idx"]].to_numpy()
+        assert largest_matching(map(tuple, pairs[inliers(q, t)].tolist())) >= 0.8 * r.cardinality  # the polish may move single edges over the threshold
+        rng, best = np.random.default_rng(pair), 0
+        for _ in range(60):
+            chosen = rng.permutation(len(mine))[:5]
+            for rot, move, _ in zip(*relpose.sample_poses(x[None, chosen, :2], y[None, chosen, :2]), strict=True):
+                best = max(best, largest_matching(map(tuple, pairs[inliers(ransac._quaternion(rot), move)].tolist())))
+        assert r.cardinality >= best
+    assert estimated >= 5
