@@ -76,18 +76,19 @@ def percentiles(table: DataFrame, keys: Sequence[str], value: str, shares: Seque
     rows = table.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"), F.count("*").alias("_n"))
     ranks = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("share"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at")) for p in shares)))
-    wanted = cuts.select(*keys, ranks.alias("r")).select(*keys, "r.share", "r.at", F.floor("r.at").alias("low"), F.ceil("r.at").alias("high"))
+    wanted = cuts.select(*keys, ranks.alias("_r")).select(*keys, F.col("_r.share").alias("_share"), F.col("_r.at").alias("_at"), F.floor("_r.at").alias("_low"), F.ceil("_r.at").alias("_high"))
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(cuts, list(keys)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_n")
     sizes = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
     ahead = sizes.withColumn("_ahead", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s"))  # as many rows as buckets
-    asked = wanted.select(*keys, F.explode(F.array_distinct(F.array("low", "high"))).alias("rank")).distinct()
-    hit = asked.join(ahead, list(keys)).filter((F.col("rank") >= F.col("_ahead")) & (F.col("rank") < F.col("_ahead") + F.col("_s"))).select(*keys, "_b", "_ahead", "rank")
+    asked = wanted.select(*keys, F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_rank")).distinct()
+    hit = asked.join(ahead, list(keys)).filter((F.col("_rank") >= F.col("_ahead")) & (F.col("_rank") < F.col("_ahead") + F.col("_s"))).select(*keys, "_b", "_ahead", "_rank")
     inside = counted.join(hit.select(*keys, "_b", "_ahead").distinct(), [*keys, "_b"])
     placed = inside.withColumn("_end", F.col("_ahead") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
-    found = hit.drop("_ahead").join(placed.select(*keys, "_b", "_v", "_c", "_end"), [*keys, "_b"]).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))).select(*keys, "rank", "_v")
-    ends = [found.select(*keys, F.col("rank").alias(name), F.col("_v").alias(f"_{name}")) for name in ("low", "high")]
-    both = wanted.join(ends[0], [*keys, "low"]).join(ends[1], [*keys, "high"])
-    return both.select(*keys, "share", (F.col("_low") + (F.col("at") - F.col("low")) * (F.col("_high") - F.col("_low"))).alias("value"))
+    found = hit.drop("_ahead").join(placed.select(*keys, "_b", "_v", "_c", "_end"), [*keys, "_b"]).filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c"))).select(*keys, "_rank", "_v")
+    ends = [found.select(*keys, F.col("_rank").alias(name), F.col("_v").alias(f"{name}_v")) for name in ("_low", "_high")]
+    both = wanted.join(ends[0], [*keys, "_low"]).join(ends[1], [*keys, "_high"])
+    between = F.col("_low_v") + (F.col("_at") - F.col("_low")) * (F.col("_high_v") - F.col("_low_v"))
+    return both.select(*keys, F.col("_share").alias("share"), between.alias("value"))
 
 
 def percentile_columns(table: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:

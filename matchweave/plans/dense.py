@@ -8,6 +8,7 @@ from matchweave.functions.vector import cosine_basis
 from matchweave.operators import dense
 from matchweave.plans.registry import r6, registered
 from matchweave.sources import adapters
+from matchweave.sources.staging import staged
 
 K, RANKS, THRESHOLDS = 3, (0, 2), (0.1, 0.2, 0.3)
 BASIS = cosine_basis(64, max(RANKS))
@@ -84,13 +85,15 @@ def study(spark, sf_dir):
     return pairs, descriptors, patches, still.unionByName(turned)
 
 
-def _evaluated(spark, sf_dir):
+def _evaluated(spark, sf_dir, *stored: str):
+    """pairs, candidates, minimum errors and counts; those that are named are written once and read by all that follows."""
     pairs, descriptors, patches, cameras = study(spark, sf_dir)
-    return pairs, *dense.evaluate(pairs, descriptors, patches, cameras, K, BASIS, RANKS)
+    made = dict(zip(("candidates", "minimum", "counts"), dense.evaluate(pairs, descriptors, patches, cameras, K, BASIS, RANKS), strict=True))
+    return pairs, *(staged(df, f"dense-{name}") if name in stored else df for name, df in made.items())
 
 
 def _directions(spark, sf_dir):
-    pairs, candidates, minimum, counts = _evaluated(spark, sf_dir)
+    pairs, candidates, minimum, counts = _evaluated(spark, sf_dir, "candidates", "minimum", "counts")
     configs = spark.createDataFrame([(layer, rank) for layer in (1, 2) for rank in RANKS], "layer int, rank int")
     return pairs, dense.direction_cdf(candidates, minimum, configs, THRESHOLDS, K), counts
 
@@ -153,13 +156,13 @@ def dense_threshold_mean(spark, sf_dir):
 
 @registered(f"WITH {MATCHES} SELECT bin, object, {_KEYS}, pair_count, round(mean_matches, 6) AS mean_matches FROM per_object")
 def dense_category_matches(spark, sf_dir):
-    pairs, _, _, counts = _evaluated(spark, sf_dir)
+    pairs, _, _, counts = _evaluated(spark, sf_dir, "counts")
     return dense.match_count_reports(counts, pairs)[0].select("bin", "object", *_longs("layer", "rank", "k"), "pair_count", r6("mean_matches"))
 
 
 @registered(f"WITH {MATCHES} SELECT bin, {_KEYS}, pair_count, category_count, round(pair_median, 6) AS pair_median, round(pair_p90, 6) AS pair_p90, round(macro_mean, 6) AS macro_mean FROM match_summary")
 def dense_summary_matches(spark, sf_dir):
-    pairs, _, _, counts = _evaluated(spark, sf_dir)
+    pairs, _, _, counts = _evaluated(spark, sf_dir, "counts")
     return dense.match_count_reports(counts, pairs)[1].select("bin", *_longs("layer", "rank", "k"), "pair_count", "category_count", *(r6(c) for c in ("pair_median", "pair_p90", "macro_mean")))
 
 
