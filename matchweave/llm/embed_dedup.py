@@ -12,9 +12,12 @@ The edges at or above the threshold are confirmed in double precision and give
 components.  Where a vector has more links than a plain list holds, its whole component
 is dense and its links are counted in blocks: tasks compare two blocks of bounded size and send
 counts, not pairs, so no cap loses a link and none of the group's pairs is written out.  Blocks of
-other dense components of the label are compared too, unless their centres are further apart than
+two dense components of the label are compared too where both have more vectors than the longest list holds,
+as their own links may have filled the lists (a smaller component leaves room in its lists for links that lead out of it, which the
+rounds find as any others), unless their centres are further apart than
 their radii and the threshold's angle together, so no link can lie between them; components that
-turn out to be linked become one.  A last audit, which takes dense queries too, fails the run
+turn out to be linked become one.  A similarity that equals the threshold is a link, and of equally near neighbours
+a list takes the smaller ids.  A last audit, which takes dense queries too, fails the run
 if counts are short.
 
 Equal vectors of a label are one point with a weight.  Vectors with a null label, and vectors that are null, empty, zero or
@@ -42,6 +45,8 @@ TREES, CELL, LIST, LONGEST, BLOCK, MOST_BLOCK, TILE, WORK = 4, 96, 10, 40, 160,
 SLACK = 1e-5
 #: Queries of the audit, how often they become four times as many while they hold fewer links than enough, enough links; recall that it asks for; rounds before cells are added, rounds at most.
 AUDIT, GROWS, ENOUGH, RECALL, ROUNDS, MOST_ROUNDS = 256, 2, 200, 0.99, 8, 24
+#: Queries whose best neighbour is so far below the threshold at most are asked where links are rare.
+NEAR = 0.05
 #: Bits of a hyperplane code.
 BITS = 24
 
@@ -171,21 +176,27 @@ def _exact(threshold: float):
     return run
 
 
-def _truth(points: DataFrame, threshold: float, n: int) -> dict:
+def _truth(points: DataFrame, graph: DataFrame, threshold: float, n: int) -> dict:
     """Links of the sampled queries by brute force, id -> (linked points, their weight with the query's equals left out).
 
-    The sample is AUDIT points, and four times as many, GROWS times at most, while it holds too few links and is not the whole table.
+    The sample is AUDIT points, and four times as many, GROWS times at most, while it holds too few links and is not the whole table.  Where links are rare
+    the same number is asked again of points whose best neighbour so far comes near the threshold, so that the audit has links to count.
     """
     for step in range(GROWS + 1):
         truth = _asked(points, threshold, AUDIT * 4**step)
         if sum(x for x, _ in truth.values()) >= ENOUGH or len(truth) >= n:
             return truth
-    warnings.warn(f"near_duplicates: {len(truth)} of {n} vectors hold {sum(x for x, _ in truth.values())} links, too few for a sure audit", stacklevel=3)
+    likely = graph.filter(F.col("s") >= threshold - NEAR).select(F.col("u").alias("id")).distinct()
+    truth |= _asked(points.join(likely, "id", "left_semi"), threshold, AUDIT * 4**GROWS, points)
+    if sum(x for x, _ in truth.values()) < ENOUGH:
+        warnings.warn(f"near_duplicates: {len(truth)} of {n} vectors hold {sum(x for x, _ in truth.values())} links, too few for a sure audit", stacklevel=3)
     return truth
 
 
-def _asked(points: DataFrame, threshold: float, most: int) -> dict:
-    sample = points.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(most).select("id", "label", "dim", "w", "wide").collect()
+def _asked(pool: DataFrame, threshold: float, most: int, points: DataFrame | None = None) -> dict:
+    """Links of some vectors of ``pool`` in all of ``points`` (else of the pool)."""
+    points = pool if points is None else points
+    sample = pool.orderBy(F.xxhash64(F.lit("audit"), F.col("id")), "id").limit(most).select("id", "label", "dim", "w", "wide").collect()
     queries: dict = {}
     for r in sample:
         queries.setdefault((r.label, r.dim), []).append((r.id, r.w, np.frombuffer(r.wide, np.float64)))
@@ -230,7 +241,7 @@ def _pack(kind: pa.DataType):
     """A block in one row, with its unit centre and its radius, the largest angle between the centre and a member."""
 
     def run(group: pa.Table) -> pa.Table:
-        first = {c: group.column(c).take([0]) for c in ("label", "dim", "component", "block")}
+        first = {c: group.column(c).take([0]) for c in ("label", "dim", "component", "block", "crowded")}
         ids, w = group.column("id").to_numpy().astype(np.int64), group.column("w").to_numpy().astype(np.int64)
         v = _matrix(group.column("wide"), np.float64)
         centre = v.sum(0)
@@ -299,7 +310,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     edge = f"u {id_type}, v {id_type}, s float"
     graph = space.table(_best(_first(space, points, 0, id_type, label_type, kind), threshold), "graph-0")
 
-    truth, short = _truth(points, threshold, n), False
+    truth, short = _truth(points, graph, threshold, n), False
     for number in range(1, MOST_ROUNDS + 1):
         lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.first("close").alias("close"), F.min("s").alias("least"))
         full = F.col("held") >= F.greatest(F.lit(LIST), F.least(F.lit(LONGEST), 2 * F.col("close")))
@@ -339,15 +350,17 @@ def near_duplicates(vectors: DataFrame, space: Workspace, threshold: float = 0.9
     dense = space.table(found.join(many, "id").select("component").distinct(), "dense")
     # each block is sent once for each block it is compared with, so blocks grow with the component
     rows_of_block = F.least(F.lit(float(MOST_BLOCK)), F.greatest(F.lit(float(BLOCK)), 8 * F.sqrt(F.count("*"))))
-    size = space.table(found.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / rows_of_block).alias("blocks")), "dense-sizes")
+    size = space.table(found.join(dense, "component").groupBy("component").agg(F.ceil(F.count("*") / rows_of_block).alias("blocks"), (F.count("*") > LONGEST).alias("crowded")), "dense-sizes")
     members = found.join(size, "component").join(points.select("id", "label", "dim", "w", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = members.groupBy("component", "block").applyInArrow(_pack(kind), f"label {label_type}, dim int, component {id_type}, block long, ids binary, ws binary, vs binary, centre binary, radius double")
+    packed = members.groupBy("component", "block", "crowded").applyInArrow(_pack(kind), f"label {label_type}, dim int, component {id_type}, block long, crowded boolean, ids binary, ws binary, vs binary, centre binary, radius double")
     packed = space.table(packed.withColumn("key", F.monotonically_increasing_id()), "packed")
-    tiles = space.table(packed.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "tiles")
-    tiled = packed.select("label", "dim", "key", "centre", "radius").join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    # a component that leaves room in its lists is one block and is compared with itself alone, so the tiles hold crowded ones only
+    alone, crowded = packed.filter("NOT crowded").select(F.col("key").alias("a"), F.col("key").alias("b")), packed.filter("crowded")
+    tiles = space.table(crowded.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "tiles")
+    tiled = crowded.select("label", "dim", "key", "centre", "radius").join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tiled = tiled.select("label", "dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "centre", "radius")
-    pairs = space.table(tiled.groupBy("label", "dim", "low", "high").applyInArrow(_close(threshold), "a long, b long"), "block-pairs")
+    pairs = space.table(tiled.groupBy("label", "dim", "low", "high").applyInArrow(_close(threshold), "a long, b long").unionByName(alone), "block-pairs")
     compared = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).join(packed.select("key", "component", "ids", "ws", "vs"), "key").select("a", "b", "component", "ids", "ws", "vs")
     counted = compared.groupBy("a", "b").applyInArrow(_count(threshold, kind), f"id {id_type}, n long, a {id_type}, b {id_type}")
     counted = space.table(counted.groupBy("id", "a", "b").agg(F.sum("n").alias("n")), "counted")

@@ -278,3 +278,41 @@ def test_each_block_sends_a_hash_once(monkeypatch):
     said = [r for b in range(4) if (mine := [r for r in rows if r[0] == 1 and r[2] == b]) for r in map(tuple, (x.values() for x in substring._repeated(table(mine)).to_pylist()))]
     found = substring._answers(table([*said, rows[-1]])).to_pylist()
     assert [(r["k1"], int(substring._bits(r["bits"], 5010).sum())) for r in found] == [(1, 5000)]
+
+
+def test_small_dense_groups_are_compared_with_themselves_alone(spark, space):
+    """Blocks are linear in the groups: 300 groups of twelve give 300 pairs of a block with itself; all links are counted."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(300, 24))
+    vectors = np.repeat(centres, 12, 0) + 0.002 * rng.normal(size=(3600, 24))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    sizes, plain = {}, space.table
+
+    def spy(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    space.table = spy
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), space).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    want = near.sum(1) - 1
+    assert sizes["packed"] == sizes["block-pairs"] == 300 and sizes["tiles"] == 0
+    assert all(r.n_links == want[r.vec_id] for r in got) and len({r.component_id for r in got}) == 300
+
+
+def test_rare_links_are_audited(spark, space):
+    """Where a random sample holds almost no links, vectors near a link are asked too, so the audit counts every one of them."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(6000, 16))
+    vectors[1:121:2] = vectors[0:120:2] + 0.01 * rng.normal(size=(60, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    seen = {}
+    plain = embed_dedup._truth
+    embed_dedup._truth = lambda *a: seen.setdefault("truth", plain(*a))
+    try:
+        got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, space).collect()}
+    finally:
+        embed_dedup._truth = plain
+    assert sum(n for n, _ in seen["truth"].values()) == 120 and sum(got.values()) == 120
