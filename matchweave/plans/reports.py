@@ -234,10 +234,15 @@ def content_hash(spark, sf_dir):
     return metrics.content_hash(o.withColumnRenamed("o_orderpriority", "dataset"), ["dataset"], F.floor(F.col("o_orderkey") / 1000), F.col("o_orderkey"), line)
 
 
-@registered("SELECT o_orderpriority AS dataset, '{\"dataset\":\"' || o_orderpriority || '\",\"n\":' || count(*) || ',\"bad\":null}' AS json FROM orders GROUP BY o_orderpriority")
+@registered(
+    """WITH g AS (SELECT o_orderpriority AS dataset, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL)
+SELECT dataset, '{"dataset":"' || dataset || '","status":"' || status || '","n":' || n || ',"value":' || CASE WHEN n % 2 = 0 OR n % 3 = 0 THEN 'null' ELSE (n / 4::DOUBLE)::VARCHAR END || '}' AS json FROM g"""
+)
 def strict_json(spark, sf_dir):
-    rows = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.count("*").alias("n"), F.max(F.lit(float("nan"))).alias("bad"))
-    made = readers.strict_json(rows)
+    """Groups whose value is NaN, infinite or a number, by their size."""
+    rows = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    value = F.when(F.col("n") % 2 == 0, F.lit(float("nan"))).when(F.col("n") % 3 == 0, F.lit(float("-inf"))).otherwise(F.col("n") / 4)
+    made = readers.strict_json(rows.withColumn("value", value))
     return made.select(F.get_json_object("json", "$.dataset").alias("dataset"), "json")
 
 
@@ -372,21 +377,25 @@ def _split(spark, sf_dir):
 
 @registered(
     f"""WITH {SPLIT}, per AS (SELECT family, bin, image, count(*) AS n FROM ends GROUP BY ALL), turned AS (SELECT s.family, s.bin, count(*) FILTER (q.distance IS NULL) AS n FROM sel s LEFT JOIN (SELECT DISTINCT image_1, image_2, distance FROM src) q ON q.image_1 = s.image_1 AND q.image_2 = s.image_2 AND q.distance = s.distance GROUP BY ALL),
-fine AS (SELECT object, bin, floor((distance::DOUBLE - CASE bin WHEN 'near' THEN 0 WHEN 'mid' THEN 15 ELSE 30 END) / 5) AS sub, count(*) FILTER (family = 'est') AS a, count(*) FILTER (family = 'cor') AS b FROM sel GROUP BY ALL)
-SELECT 'images in several families' AS "check", 0::BIGINT AS violations
+fine AS (SELECT object, bin, floor((distance::DOUBLE - CASE bin WHEN 'near' THEN 0 WHEN 'mid' THEN 15 ELSE 30 END) / 5) AS sub, count(*) FILTER (family = 'est') AS a, count(*) FILTER (family = 'cor') AS b FROM sel GROUP BY ALL),
+sides AS (SELECT * FROM side UNION ALL SELECT image, CASE family WHEN 'est' THEN 'cor' ELSE 'est' END FROM side WHERE image % 19 = 0)
+SELECT 'images in several families' AS "check", count(*) AS violations FROM (SELECT 1 FROM sides GROUP BY image HAVING count(DISTINCT family) > 1)
 UNION ALL SELECT 'pairs of a bin', count(*) FILTER (n <> 500) FROM (SELECT f.family, b.bin, (SELECT count(*) FROM sel s WHERE s.family = f.family AND s.bin = b.bin) AS n FROM fam f, (VALUES ('near'), ('mid'), ('far')) b(bin))
 UNION ALL SELECT 'quotas', count(*) FILTER (n <> 100) FROM (SELECT f.family, q.object, q.bin, (SELECT count(*) FROM sel s WHERE s.family = f.family AND s.bin = q.bin AND s.object = q.object) AS n FROM fam f, quota q)
 UNION ALL SELECT 'duplicate edges', count(*) FROM (SELECT 1 FROM sel GROUP BY family, bin, image_1, image_2 HAVING count(*) > 1)
 UNION ALL SELECT 'edges outside the source', count(*) FROM sel s WHERE NOT EXISTS (SELECT 1 FROM src q WHERE least(q.image_1, q.image_2) = least(s.image_1, s.image_2) AND greatest(q.image_1, q.image_2) = greatest(s.image_1, s.image_2) AND q.distance = s.distance)
 UNION ALL SELECT 'distance outside the bin', count(*) FILTER (bin <> CASE WHEN distance::DOUBLE < 15 THEN 'near' WHEN distance::DOUBLE < 30 THEN 'mid' ELSE 'far' END) FROM sel
-UNION ALL SELECT 'ends in another family', count(*) FROM ends JOIN side ON side.image = ends.image AND side.family <> ends.family
+UNION ALL SELECT 'ends in another family', count(*) FROM ends JOIN sides ON sides.image = ends.image AND sides.family <> ends.family
 UNION ALL SELECT 'roles out of balance', count(*) FILTER (n <> 250) FROM turned
 UNION ALL SELECT 'degree in a bin', count(*) FILTER (n > 4) FROM per
 UNION ALL SELECT 'degree in a family', count(*) FROM (SELECT 1 FROM ends GROUP BY family, image HAVING count(*) > 6)
 UNION ALL SELECT 'distance histograms differ', count(*) FILTER (a <> b) FROM fine"""
 )
 def split_validation(spark, sf_dir):
-    return splits.split_problems(*_split(spark, sf_dir), bins=BINS, pairs=500)
+    """Every nineteenth image is on both sides, so that each rule has something to find."""
+    selected, source, sides, quotas, images = _split(spark, sf_dir)
+    twice = sides.filter("image % 19 = 0").withColumn("family", F.when(F.col("family") == "est", "cor").otherwise("est"))
+    return splits.split_problems(selected, source, sides.unionByName(twice), quotas, images, bins=BINS, pairs=500)
 
 
 @registered(
@@ -483,12 +492,14 @@ def patch_geometry(spark, sf_dir):
 
 
 @registered(
-    """WITH s AS (SELECT p_partkey, (p_size % 50 + 1) / 60::DOUBLE AS r FROM part) SELECT p_partkey, CASE WHEN power(r, 5) >= 1 THEN 100 ELSE greatest(100, least(100000, ceil(ln(0.01::DOUBLE) / ln(1 - r*r*r*r*r)))) END::BIGINT AS iterations, round(0.5::DOUBLE * (1 / (400 + r) + 1 / (500 - r)), 6) AS scale FROM s"""
+    """WITH s AS (SELECT p_partkey, (p_size % 50 + 1) / 60::DOUBLE AS r, p_size % 50 + 5 AS m FROM part), q AS (SELECT *, m / 60::DOUBLE * ((m - 1) / 59::DOUBLE) * ((m - 2) / 58::DOUBLE) * ((m - 3) / 57::DOUBLE) * ((m - 4) / 56::DOUBLE) AS p FROM s)
+SELECT p_partkey, greatest(100, least(100000, ceil(ln(0.01::DOUBLE) / ln(1 - p))))::BIGINT AS iterations, round(0.5::DOUBLE * (1 / (400 + r) + 1 / (500 - r)), 6) AS scale FROM q"""
 )
 def adaptive_iterations(spark, sf_dir):
-    s = adapters.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") % 50 + 1) / 60.0).alias("r"))
-    r = F.col("r")
-    return s.select("p_partkey", g.adaptive_iterations([r] * 5, 0.99, 100, 100_000).alias("iterations"), r6(g.threshold_scale(400 + r, 500 - r), "scale"))
+    """Five draws without putting back, of sixty edges with 5 to 54 inliers."""
+    s = adapters.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") % 50 + 1) / 60.0).alias("r"), (F.col("p_size") % 50 + 5).alias("m"))
+    ratios = [(F.col("m") - i) / F.lit(60.0 - i) for i in range(5)]
+    return s.select("p_partkey", g.adaptive_iterations(ratios, 0.99, 100, 100_000).alias("iterations"), r6(g.threshold_scale(400 + F.col("r"), 500 - F.col("r")), "scale"))
 
 
 @registered("SELECT o_orderkey, printf('matching_%03d', o_orderkey) AS name, o_orderkey AS number, o_orderpriority AS object, cast('0x' || substr(sha256('7:' || o_orderkey || ':' || o_custkey), 1, 16) AS UBIGINT)::VARCHAR AS hash, CASE o_orderstatus WHEN 'F' THEN 'Failed' ELSE o_orderstatus END AS label FROM orders")
