@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions.vector import dot
+from matchweave.operators.lean import lean
 
-#: Rows of a matrix product; rows of a side that one task takes.
-BLOCK, SIDE = 512, 16_384
+#: Rows and columns of a matrix product, a tile; rows of a side that one task takes.
+BLOCK, WIDTH, SIDE = 256, 2048, 16_384
+#: Cells of one array in products of whole rows.
+CELLS = 1 << 19
 
 
 def similarity_join(left: DataFrame, right: DataFrame, pair: str = "pair_idx") -> DataFrame:
@@ -31,9 +34,10 @@ def similarity_summary(left: DataFrame, right: DataFrame, pair: str = "pair_idx"
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         (li, a), (_, b) = _side(l), _side(r)
         best, total = np.zeros(len(li)), np.zeros(len(li))
-        for low in range(0, len(li), BLOCK) if len(b) else ():
-            s = a[low : low + BLOCK] @ b.T
-            best[low : low + BLOCK], total[low : low + BLOCK] = s.max(1), s.sum(1)
+        step = max(1, CELLS // max(1, len(b)))
+        for low in range(0, len(li), step) if len(b) else ():
+            s = a[low : low + step] @ b.T
+            best[low : low + step], total[low : low + step] = s.max(1), s.sum(1)
         keep = len(li) if len(b) else 0
         name = l.column(pair).take(pa.array([0] * keep, pa.int64()))
         return pa.table({pair: name, "left_idx": pa.array(li[:keep], pa.int64()), "n": pa.array([len(b)] * keep, pa.int64()), "best": pa.array(best[:keep], pa.float64()), "total": pa.array(total[:keep], pa.float64())})
@@ -41,25 +45,70 @@ def similarity_summary(left: DataFrame, right: DataFrame, pair: str = "pair_idx"
     kind = left.schema[pair].dataType.simpleString()
     l, r, _ = dealt(*(x.select(F.col(pair).alias(pair), F.col("idx").cast("long").alias("idx"), F.col("v").alias("v")) for x in (left, right)), pair, most)
     cell = [pair, "bl", "br"]
-    parts = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, left_idx long, n long, best double, total double")
+    parts = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(lean(run), f"{pair} {kind}, left_idx long, n long, best double, total double")
     return parts.groupBy(pair, "left_idx").agg(F.sum("n").alias("n"), F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
-def _ranks(a: np.ndarray, b: np.ndarray, k: int):
-    """(row, column, similarity, rank) of each row's k best columns: similarity descending, then column ascending."""
-    k = min(k, len(b))
-    out = []
-    for low in range(0, len(a), BLOCK):
-        s = a[low : low + BLOCK] @ b.T
-        least = np.partition(s, len(b) - k, axis=1)[:, len(b) - k]
-        row, column = np.nonzero(s >= least[:, None])
-        value = s[row, column]
-        order = np.lexsort((column, -value, row))
-        row, column, value = row[order], column[order], value[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-        keep = rank <= k
-        out.append((row[keep] + low, column[keep], value[keep], rank[keep]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+class _Lists:
+    """The k best of each of n rows: value descending, then place ascending.  Tiles of values are offered in the order of their places, so
+    what equals a full list's last value comes too late for it."""
+
+    def __init__(self, n: int, k: int):
+        self.value, self.place = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+
+    def offer(self, s: np.ndarray, at: int, first: int) -> None:
+        """Values of the rows from ``at`` on at the places from ``first`` on."""
+        value, place = self.value[at : at + len(s)], self.place[at : at + len(s)]
+        k, held = value.shape[1], place >= 0
+        near = (s > value[:, -1:]) | ~held[:, -1:]
+        if near.sum() > 2 * k * len(s) and s.shape[1] > k:  # no more than k of a row can stay, of equal ones the first
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+            near &= s >= least
+            if near.sum() > k * len(s):
+                above, equal = s > least, near & (s == least)
+                near = near & above | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - (near & above).sum(1, dtype=np.int32)[:, None])
+        row, column = np.nonzero(near)
+        if not len(row):
+            return
+        old = np.nonzero(held & near.any(1)[:, None])
+        rows, values, places = np.concatenate((old[0], row)), np.concatenate((value[old], s[row, column])), np.concatenate((place[old], column + first))
+        order = np.lexsort((places, -values, rows))
+        rows, values, places = rows[order], values[order], places[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < k
+        value[rows[keep], rank[keep]], place[rows[keep], rank[keep]] = values[keep], places[keep]
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, value, rank from 1 on) of all that the lists hold."""
+        row, n = np.nonzero(self.place >= 0)
+        return row, self.place[row, n], self.value[row, n], n + 1
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row of a, row of b, similarity, rank for a, rank for b) of the k best of each row of either side; a rank is 0 beyond k.
+
+    Similarities come tile by tile and are looked at from both sides, so memory is that of the lists and of a tile.  One that is no number counts as
+    larger than all others, as in an ORDER BY.
+    """
+    left, right = _Lists(len(a), min(k, len(b))), _Lists(len(b), min(k, len(a)))
+    odd = not (np.isfinite(a).all() and np.isfinite(b).all())
+    for i in range(0, len(a), BLOCK):
+        for j in range(0, len(b), WIDTH):
+            s = a[i : i + BLOCK] @ b[j : j + WIDTH].T
+            if odd:
+                s[np.isnan(s)] = np.inf
+            left.offer(s, i, j)
+            right.offer(s.T, j, i)
+    (li, lj, lv, lr), (rj, ri, rv, rr) = left.listed(), right.listed()
+    key, of = np.unique(np.concatenate((li * len(b) + lj, ri * len(b) + rj)), return_inverse=True)
+    value, ranks = np.empty(len(key)), np.zeros((2, len(key)), np.int32)
+    value[of[: len(li)]], value[of[len(li) :]] = lv, rv
+    ranks[0, of[: len(li)]], ranks[1, of[len(li) :]] = lr, rr
+    row, column = np.divmod(key, max(1, len(b)))
+    if odd:
+        again = np.isinf(value)
+        value[again] = (a[row[again]] * b[column[again]]).sum(1)
+    return row, column, value, *ranks
 
 
 def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +144,17 @@ def ranked_candidates(left: DataFrame, right: DataFrame, k: int, pair: str = "pa
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         (li, a), (ri, b) = _side(l), _side(r)
-        found: dict[tuple[int, int], list] = {}
-        if len(li) and len(ri):
-            for i, j, s, n in zip(*(x.tolist() for x in _ranks(a, b, k)), strict=True):
-                found[i, j] = [s, n, None]
-            for j, i, s, n in zip(*(x.tolist() for x in _ranks(b, a, k)), strict=True):
-                found.setdefault((i, j), [s, None, None])[2] = n
-        keys, values = list(found), list(found.values())
-        name = (l if len(l) else r).column(pair).take(pa.array([0] * len(keys), pa.int64()))
-        return pa.table({pair: name, "left_idx": pa.array([int(li[i]) for i, _ in keys], pa.int64()), "right_idx": pa.array([int(ri[j]) for _, j in keys], pa.int64()), "similarity": pa.array([x[0] for x in values], pa.float64()), "rank_lr": pa.array([x[1] for x in values], pa.int32()), "rank_rl": pa.array([x[2] for x in values], pa.int32())})
+        row, column, value, *ranks = _ranks(a, b, k) if len(li) and len(ri) else [np.zeros(0, int)] * 5
+        name = (l if len(l) else r).column(pair).take(pa.array(np.zeros(len(row), np.int64)))
+        lr, rl = (pa.array(x, pa.int32(), mask=x == 0) for x in ranks)
+        return pa.table({pair: name, "left_idx": pa.array(li[row], pa.int64()), "right_idx": pa.array(ri[column], pa.int64()), "similarity": pa.array(value, pa.float64()), "rank_lr": lr, "rank_rl": rl})
 
     kind = left.schema[pair].dataType.simpleString()
     # both sides may come from one table: aliases give each its own columns
     sides = [x.select(F.col(pair).alias(pair), F.col("idx").cast("long").alias("idx"), F.col("v").alias("v")) for x in (left, right)]
     l, r, several = dealt(*sides, pair, most)
     cell = [pair, "bl", "br"]
-    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, left_idx long, right_idx long, similarity double, rank_lr int, rank_rl int")
+    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(lean(run), f"{pair} {kind}, left_idx long, right_idx long, similarity double, rank_lr int, rank_rl int")
     if not several:
         return found
     # of each cell's best the best of all: a pair that is among a vector's k best is among them in its cell too
@@ -179,6 +223,19 @@ def bilinear_rows(x: Column, y: Column, patch: int, columns: int, rows: int) ->
     return inside, F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
 
 
+def _nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distance of each point of ``a`` (n x 3) to the nearest of ``b``, some rows and one coordinate at a time."""
+    best, step = np.full(len(a), np.inf), max(1, CELLS // max(1, len(b)))
+    for low in range(0, len(a), step) if len(b) else ():
+        square = np.zeros((len(a[low : low + step]), len(b)))
+        for i in range(3):
+            d = a[low : low + step, i, None] - b[None, :, i]
+            d *= d
+            square += d
+        best[low : low + step] = np.sqrt(square.min(1))
+    return best
+
+
 def nearest_error(left: DataFrame, right: DataFrame, pair: str = "pair_idx", most: int = SIDE) -> DataFrame:
     """Per left point (idx, x, y, z; one row for each idx) the distance to the nearest right point; infinite if the pair has none.
 
@@ -187,17 +244,11 @@ def nearest_error(left: DataFrame, right: DataFrame, pair: str = "pair_idx", mos
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         a, b = (np.stack([np.asarray(t.column(c), np.float64) for c in "xyz"], 1) for t in (l, r))
-        best = np.full(len(a), np.inf)
-        if len(b):
-            step = max(1, (1 << 20) // len(b))
-            for low in range(0, len(a), step):
-                d = a[low : low + step, None, :] - b[None, :, :]
-                best[low : low + step] = np.sqrt((d * d).sum(2).min(1))
-        return pa.table({pair: l.column(pair), "idx": l.column("idx"), "min_error": pa.array(best, pa.float64())})
+        return pa.table({pair: l.column(pair), "idx": l.column("idx"), "min_error": pa.array(_nearest(a, b), pa.float64())})
 
     kind, idx = (left.schema[c].dataType.simpleString() for c in (pair, "idx"))
     sides = [x.select(F.col(pair).alias(pair), F.col("idx").alias("idx"), *(F.col(c).cast("double").alias(c) for c in "xyz")) for x in (left, right)]
     l, r, several = dealt(*sides, pair, most)
     cell = [pair, "bl", "br"]
-    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, f"{pair} {kind}, idx {idx}, min_error double")
+    found = l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(lean(run), f"{pair} {kind}, idx {idx}, min_error double")
     return found.groupBy(pair, "idx").agg(F.min("min_error").alias("min_error")) if several else found
