@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from matchweave.functions import geometry as g
 from matchweave.operators import relpose
 from matchweave.operators.graph import matching
+from matchweave.operators.lean import lean
 
 #: Samples of a batch, at most; cells (poses times edges) of one array.
-BATCH, CELLS = 256, 1 << 20
+BATCH, CELLS = 256, 1 << 17
 MODES = ("cm", "hcm", "mcm", "hcm_mc")
 POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
 TIMES = ("draw_ms", "solve_ms", "score_ms", "refine_ms", "rank_ms", "total_ms")
@@ -151,7 +152,8 @@ class Pool:
 
 @dataclass
 class Scored:
-    """Many poses of a pair with what they were scored; ``most`` bounds the one-to-one inliers from above."""
+    """Many poses of a pair with what they were scored; ``most`` bounds the one-to-one inliers from above.  ``inlier``: bits of each pose's
+    inliers, poses x edges, only where the mode counts one-to-one inliers of seeds."""
 
     r: np.ndarray
     t: np.ndarray
@@ -252,7 +254,7 @@ class Pair:
 
     def score(self, r: np.ndarray, t: np.ndarray, sample: np.ndarray | None = None) -> Scored:
         """Poses (m x 3 x 3, m x 3) on all edges, some at a time."""
-        parts, step = [], max(1, CELLS // max(1, len(self.p)))
+        parts, step, bits = [], max(1, CELLS // max(1, len(self.p))), self.options.mode == "mcm"
         for at in range(0, len(r), step):
             inlier, r2 = self.masks(r[at : at + step], t[at : at + step])
             k, edge = np.nonzero(inlier)
@@ -262,8 +264,8 @@ class Pair:
                 mass = np.bincount(cell, self.p[edge], minlength=m * len(weight)).reshape(m, -1)
                 hcm = hcm - np.log1p(weight * mass).sum(1)
                 most.append((np.bincount(cell, minlength=m * len(weight)).reshape(m, -1) > 0).sum(1))
-            parts.append((inlier, inlier.sum(1), hcm, np.where(inlier, r2 / self.threshold**2, 1.0).mean(1), np.minimum(*most)))
-        inlier, inliers, hcm, cost, most = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(self.p)), bool), *(np.zeros(0) for _ in range(4)))
+            parts.append((np.packbits(inlier[:, : bits * inlier.shape[1]], axis=1), inlier.sum(1), hcm, np.where(inlier, r2 / self.threshold**2, 1.0).mean(1), np.minimum(*most)))
+        inlier, inliers, hcm, cost, most = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, 0), np.uint8), *(np.zeros(0) for _ in range(4)))
         return Scored(r, t, np.zeros(len(r), np.int64) if sample is None else sample, inlier, inliers, hcm, cost, most)
 
     def one_to_one(self, inlier: np.ndarray) -> int:
@@ -273,7 +275,7 @@ class Pair:
         """The i-th pose; its one-to-one inliers are counted where the mode needs them and their bound does not rule it out already."""
         found = Seed((scored.r[i], scored.t[i]), float(scored.hcm[i]), int(scored.inliers[i]), 0, float(scored.cost[i]))
         if self.options.mode == "mcm" and (best is None or scored.most[i] >= best.cardinality):
-            found.cardinality = self.timed("rank_ms", self.one_to_one, scored.inlier[i])
+            found.cardinality = self.timed("rank_ms", self.one_to_one, np.unpackbits(scored.inlier[i], count=len(self.p)).astype(bool))
         return found
 
     def value(self, seed: Seed):
@@ -404,7 +406,7 @@ def estimate(edges: DataFrame, options: Options | None = None, cameras: DataFram
     columns = edges.sparkSession.createDataFrame([], SCHEMA).columns
     chosen = ["pair_idx", "left_idx", "right_idx", "x1", "y1", "x2", "y2", "p", "left_c", "right_c", *["k"] * bool(o.proposal_k)]
     ready = edges.select(*chosen, F.lit(1.0).alias("scale")) if cameras is None else calibrated(edges.select(*chosen), cameras)
-    return ready.groupBy("pair_idx").applyInPandas(run, SCHEMA)
+    return ready.groupBy("pair_idx").applyInPandas(lean(run), SCHEMA)
 
 
 def calibrated(edges: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from matchweave.operators import knn
+from matchweave.operators import knn, ransac
 
 
 def peak_mb(work, *arguments) -> float:
@@ -63,3 +64,21 @@ def test_nearest_holds_few_cells():
     assert peak_mb(knn._nearest, a, b) < 20  # a million cells of three coordinates are 24 MB, and were held twice
     assert np.allclose(knn._nearest(a[:50], b), np.sqrt(((a[:50, None] - b[None]) ** 2).sum(2)).min(1), rtol=1e-12)
     assert np.isinf(knn._nearest(a, b[:0])).all()
+
+
+@pytest.mark.parametrize("mode", ["hcm_mc", "mcm"])
+def test_scores_of_poses_hold_few_cells(mode):
+    """Many poses on a large pair: no array of all poses by all edges, and each pose is scored as it is by itself."""
+    random, n = np.random.default_rng(3), 20_000
+    x = random.normal(size=(n, 4)) / 4
+    pdf = pd.DataFrame({"left_idx": np.arange(n) // 2, "right_idx": random.integers(0, n // 2, n), **dict(zip(("x1", "y1", "x2", "y2"), x.T, strict=True)), "p": 0.15, "left_c": 120.0, "right_c": 130.0})
+    pair = ransac.Pair(pdf, ransac.Options(mode=mode, threshold=0.05))
+    r, t = np.linalg.qr(random.normal(size=(600, 3, 3)))[0], random.normal(size=(600, 3))
+    assert peak_mb(pair.score, r, t) < 40  # 600 poses by 20,000 edges are 12 MB of booleans, a million cells of two lines 48 MB
+    scored = pair.score(r, t)
+    assert scored.inliers.sum() > 0
+    for i in (0, 7, 599):
+        alone = pair.mask(r[i], t[i])[0]
+        assert scored.inliers[i] == alone.sum()
+        if mode == "mcm":
+            assert pair.seed(scored, i).cardinality == pair.one_to_one(alone)
