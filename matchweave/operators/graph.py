@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.operators.lean import lean
+
 
 def matching(edges) -> dict:
     """A maximum matching {left: right} of (left, right) pairs, the same for any order of them.
@@ -65,7 +67,7 @@ def max_matching(edges: DataFrame, group: list[str], left: str = "left_idx", rig
         return pa.table(head | {left: pa.array([a for a, _ in found], kinds[0]), right: pa.array([b for _, b in found], kinds[1])})
 
     chosen = edges.select(*group, left, right)
-    return chosen.groupBy(*group).applyInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema))
+    return chosen.groupBy(*group).applyInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema))
 
 
 def degree_prior(edges: DataFrame, q: float = 0.3) -> DataFrame:
@@ -115,7 +117,7 @@ def progressive_degree_cap(edges: DataFrame, most: int, order: str = "ordinal")
             open_, limit = later, limit + 1
         return rows.take(sorted(taken))
 
-    return edges.groupBy("pair_idx").applyInArrow(run, edges.schema)
+    return edges.groupBy("pair_idx").applyInArrow(lean(run), edges.schema)
 
 
 def endpoint_degrees(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from matchweave.operators import knn, ransac
+from matchweave.operators import graph, knn, lean, ransac
 
 
 def peak_mb(work, *arguments) -> float:
@@ -82,3 +82,32 @@ def test_scores_of_poses_hold_few_cells(mode):
         assert scored.inliers[i] == alone.sum()
         if mode == "mcm":
             assert pair.seed(scored, i).cardinality == pair.one_to_one(alone)
+
+
+def test_memory_goes_back_after_large_groups(monkeypatch):
+    """Of one table, two tables, or a key and a table; also where a group fails."""
+    asked = []
+    monkeypatch.setattr(lean, "give_back", lambda: asked.append(1))
+    assert lean.lean(lambda table: table[0])([7]) == 7 and not asked
+    assert lean.lean(lambda table: len(table))([0] * lean.LARGE) == lean.LARGE and len(asked) == 1
+    assert lean.lean(lambda key, table: key[0] + table[0])((1,), [2] * lean.LARGE) == 3 and len(asked) == 2
+    with pytest.raises(ZeroDivisionError):
+        lean.lean(lambda left, right: 1 // 0)([0] * lean.LARGE, [])
+    assert len(asked) == 3
+
+
+def test_degree_cap_of_a_large_pair(spark):
+    """A group above the bound of ``lean`` goes through it with the result of a plain program."""
+    edges = [(0, i % 37, 100 + i % 41, i) for i in range(1400)]
+    left, right, want, open_, limit = {}, {}, [], list(edges), 1
+    while open_ and len(want) < 500:
+        later = []
+        for e in open_:
+            if len(want) < 500 and left.get(e[1], 0) < limit and right.get(e[2], 0) < limit:
+                left[e[1]], right[e[2]] = left.get(e[1], 0) + 1, right.get(e[2], 0) + 1
+                want.append(e)
+            else:
+                later.append(e)
+        open_, limit = later, limit + 1
+    found = graph.progressive_degree_cap(spark.createDataFrame(edges, "pair_idx int, left_idx long, right_idx long, ordinal long"), 500)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
