@@ -5,8 +5,9 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from matchweave.operators import graph, knn, lean, ransac
+from matchweave.operators import graph, gridfilter, knn, lean, ransac
 
 
 def peak_mb(work, *arguments) -> float:
@@ -111,3 +112,10 @@ def test_degree_cap_of_a_large_pair(spark):
         open_, limit = later, limit + 1
     found = graph.progressive_degree_cap(spark.createDataFrame(edges, "pair_idx int, left_idx long, right_idx long, ordinal long"), 500)
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_grid_filter_of_a_large_pair(spark):
+    """A pair above the bound of ``lean``, matches on a line, goes through the filter whole."""
+    n = 2 * lean.LARGE
+    edges = spark.range(n).select(F.lit(0).alias("pair_idx"), F.col("id").alias("left_idx"), F.col("id").alias("right_idx"), *((F.col("id") / n).alias(f"{c}{s}") for s in "12" for c in "xy"))
+    assert gridfilter.filter_exact(edges, 8, 0.7).count() == n
