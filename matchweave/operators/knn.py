@@ -112,26 +112,40 @@ def _ranks(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """idx and vectors in the order of idx: each batch's rows go to their places, so beside the table there is one array and no joined copy."""
     idx = table.column("idx").to_numpy()
     if not len(idx):
         return idx, np.zeros((0, 1))
     order = np.argsort(idx, kind="stable")
-    flat = table.column("v").combine_chunks().flatten().to_numpy()
-    return idx[order], flat.reshape(len(idx), -1)[order]
+    place, low, v = np.empty(len(idx), np.int64), 0, None
+    place[order] = np.arange(len(idx))
+    for batch in table.column("v").chunks:
+        if not len(batch):
+            continue
+        rows = batch.flatten().to_numpy().reshape(len(batch), -1)
+        if v is None:
+            v = np.empty((len(idx), rows.shape[1]))
+        if rows.shape[1] != v.shape[1]:
+            raise ValueError("vectors of a pair differ in length")
+        v[place[low : low + len(batch)]] = rows
+        low += len(batch)
+    return idx[order], v
 
 
 def dealt(left: DataFrame, right: DataFrame, pair: str, most: int) -> tuple[DataFrame, DataFrame, bool]:
     """Both sides of each pair in blocks of about ``most`` rows, each block of one side once for each block of the other: columns ``bl`` and ``br``
-    name a cell.  The last value tells whether any pair has several cells; if none has, the sides come back as they are, in one cell each."""
-    sizes = [x.groupBy(pair).agg(F.ceil(F.count("*") / most).alias(n)) for x, n in ((left, "nl"), (right, "nr"))]
-    whole = sizes[0].join(sizes[1], pair)
+    name a cell; a side without another is cut too.  The last value tells whether any pair has several cells; if none has, the sides come back as
+    they are, in one cell each."""
+    rows = left.select(pair, F.lit(1).alias("nl"), F.lit(0).alias("nr")).unionByName(right.select(pair, F.lit(0).alias("nl"), F.lit(1).alias("nr")))
+    whole = rows.groupBy(F.col(pair).alias("_pair")).agg(*(F.greatest(F.ceil(F.sum(n) / most), F.lit(1).cast("long")).alias(n) for n in ("nl", "nr")))
     largest = whole.agg(F.greatest(F.max("nl"), F.max("nr"))).first()[0] or 1
     if largest <= 1:
         return *(x.withColumns({"bl": F.lit(0).cast("long"), "br": F.lit(0).cast("long")}) for x in (left, right)), False
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
-    block = lambda n: F.pmod(F.xxhash64("idx"), F.coalesce(F.col(n), F.lit(1)))
-    l = left.join(whole, pair, "left").withColumn("bl", block("nl")).withColumn("br", every("nr")).drop("nl", "nr")
-    r = right.join(whole, pair, "left").withColumn("br", block("nr")).withColumn("bl", every("nl")).drop("nl", "nr")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("idx"), F.col(n))
+    sized = lambda x: x.join(whole, F.col(pair).eqNullSafe(F.col("_pair")))
+    l = sized(left).withColumn("bl", block("nl")).withColumn("br", every("nr")).drop("_pair", "nl", "nr")
+    r = sized(right).withColumn("br", block("nr")).withColumn("bl", every("nl")).drop("_pair", "nl", "nr")
     return l, r, True
 
 

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,34 @@ def test_ranks_hold_tiles_only(copies):
     assert peak_mb(knn._ranks, a, b, 5) < 45  # rows of 512 by 12,000 are 47 MB, and were held twice
 
 
+def test_sides_are_read_without_a_joined_copy():
+    """Arrow is not asked for one table of all batches: 4,000 vectors of 64 are 2 MB."""
+    random = np.random.default_rng(4)
+    idx, v = random.permutation(4000), random.normal(size=(4000, 64))
+    batches = [pa.table({"idx": idx[i : i + 1500], "v": pa.array(list(v[i : i + 1500]))}) for i in (0, 1500, 3000)]
+    table, pool, before = pa.concat_tables([*batches, batches[0][:0]]), pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = knn._side(table)
+    finally:
+        pa.set_memory_pool(before)
+    assert pool.max_memory() < 1 << 20
+    assert np.array_equal(got[0], np.arange(4000)) and np.array_equal(got[1], v[np.argsort(idx)])
+
+
+def test_sides_without_another_are_cut(spark):
+    """Points of a pair that has one side only, or of no named pair, are dealt in blocks as others are; all come back."""
+    point = lambda pair, n, at: [(pair, i, float(i), at, 0.0) for i in range(n)]
+    schema = "pair_idx int, idx long, x double, y double, z double"
+    left, right = (spark.createDataFrame(rows, schema) for rows in ([*point(0, 90, 0.0), *point(1, 20, 0.0), *point(None, 90, 0.0)], [*point(1, 20, 2.0), *point(None, 90, 3.0), *point(2, 90, 0.0)]))
+    for side, mine, pairs in zip(knn.dealt(left, right, "pair_idx", 30), ("bl", "br"), ({0: 1, None: 3}, {2: 1, None: 3}), strict=False):
+        found = {r.pair_idx: r for r in side.groupBy("pair_idx").agg(F.countDistinct(mine).alias("blocks"), F.count("*").alias("rows")).collect()}
+        for pair, times in pairs.items():
+            assert found[pair].blocks == 3 and found[pair].rows == 90 * times
+    near = knn.nearest_error(left, right, most=30).collect()
+    assert len(near) == 200 and {(r.pair_idx, r.min_error) for r in near} == {(0, float("inf")), (1, 2.0), (None, 3.0)}
+
+
 def test_nearest_holds_few_cells():
     random = np.random.default_rng(2)
     a, b = random.normal(size=(2000, 3)), random.normal(size=(2000, 3))
