@@ -13,7 +13,7 @@ Background targets keep the finite error of their point, so that it can be audit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -118,9 +118,14 @@ def ranked(pairs: DataFrame, descriptors: DataFrame, k: int, basis: Sequence[Seq
     return found.select(part(1, "long").alias("pair_idx"), part(2, "int").alias("layer"), part(3, "int").alias("rank"), F.col("left_idx").alias("left"), F.col("right_idx").alias("right"), F.col("similarity").alias("cosine"), "rank_lr", "rank_rl")
 
 
-def evaluate(pairs: DataFrame, descriptors: DataFrame, patches: DataFrame, cameras: DataFrame, k: int, basis: Sequence[Sequence[float]] = (), ranks: Sequence[int] = (0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates with errors, minimum errors of the queries, match_counts): everything that the reports need."""
-    found = ranked(pairs, descriptors, k, basis, ranks)
+def evaluate(
+    pairs: DataFrame, descriptors: DataFrame, patches: DataFrame, cameras: DataFrame, k: int, basis: Sequence[Sequence[float]] = (), ranks: Sequence[int] = (0,), keep: Callable[[DataFrame], DataFrame] = lambda found: found
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates with errors, minimum errors of the queries, match_counts): everything that the reports need.
+
+    Candidates and counts both read the ranked lists: ``keep`` may store these, so that all similarities are computed once.
+    """
+    found = keep(ranked(pairs, descriptors, k, basis, ranks))
     entry = F.when(F.col("rank_lr").isNotNull() & F.col("rank_rl").isNotNull(), F.greatest("rank_lr", "rank_rl")).otherwise(k + 1).cast("int")
     turn = lambda d, a, b, r: F.struct(F.lit(d).alias("direction"), F.col(a).alias("source"), F.col(b).alias("target"), F.col(r).alias("cand_rank"))
     both = F.explode(F.array(turn("a_to_b", "left", "right", "rank_lr"), turn("b_to_a", "right", "left", "rank_rl"))).alias("e")

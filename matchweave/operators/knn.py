@@ -16,9 +16,9 @@ from matchweave.functions.vector import dot
 from matchweave.operators.lean import lean
 
 #: Rows and columns of a matrix product, a tile; rows of a side that one task takes.
-BLOCK, WIDTH, SIDE = 256, 2048, 16_384
+BLOCK, WIDTH, SIDE = 256, 512, 16_384
 #: Cells of one array in products of whole rows.
-CELLS = 1 << 19
+CELLS = 1 << 17
 
 
 def similarity_join(left: DataFrame, right: DataFrame, pair: str = "pair_idx") -> DataFrame:

@@ -86,15 +86,17 @@ def study(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir, *stored: str):
-    """pairs, candidates, minimum errors and counts; those that are named are written once and read by all that follows."""
+    """pairs, candidates, minimum errors and counts; those that are named, and ``ranked`` below candidates and counts, are written once and read by all that follows."""
     pairs, descriptors, patches, cameras = study(spark, sf_dir)
-    made = dict(zip(("candidates", "minimum", "counts"), dense.evaluate(pairs, descriptors, patches, cameras, K, BASIS, RANKS), strict=True))
-    return pairs, *(staged(df, f"dense-{name}") if name in stored else df for name, df in made.items())
+    kept = lambda df, name: staged(df, f"dense-{name}") if name in stored else df
+    made = dense.evaluate(pairs, descriptors, patches, cameras, K, BASIS, RANKS, keep=lambda found: kept(found, "ranked"))
+    return pairs, *(kept(df, name) for name, df in zip(("candidates", "minimum", "counts"), made, strict=True))
 
 
 def _directions(spark, sf_dir):
-    pairs, candidates, minimum, counts = _evaluated(spark, sf_dir, "candidates", "minimum", "counts")
-    configs = spark.createDataFrame([(layer, rank) for layer in (1, 2) for rank in RANKS], "layer int, rank int")
+    pairs, candidates, minimum, counts = _evaluated(spark, sf_dir, "ranked", "minimum")
+    # made by Spark: a table of Python rows would start Python workers of its own on all executors, which then stay
+    configs = spark.range(1, 3).select(F.col("id").cast("int").alias("layer"), F.explode(F.array(*map(F.lit, RANKS))).alias("rank"))
     return pairs, dense.direction_cdf(candidates, minimum, configs, THRESHOLDS, K), counts
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from matchweave.operators import dense
+from matchweave.plans import dense as plan
 
 PAIRS = [(1, "b", "o", "a1", "b1", 10.0), (2, "b", "o", "a2", "b2", 20.0), (3, "b", "p", "a3", "b3", 30.0)]
 
@@ -77,3 +78,15 @@ def test_sweep_curves(spark):
     assert math.isclose(gain[1], 20.0) and math.isclose(gain[2], -20.0) and math.isclose(gain[3], 20.0)
     twice = points.unionByName(points.filter("layer = 1 AND k = 3"))
     assert dense.curve_gain(twice, 1, 3).filter(F.col("layer") == 1).first().gain_pp is None
+
+
+def test_reports_rank_once_and_start_no_other_python(spark, monkeypatch):
+    """Similarities are computed in one step and distances in another, both stored; what follows has no Python in it, not even for its small tables."""
+    written, store = [], plan.staged
+    shown = lambda df: df._jdf.queryExecution().toString()
+    monkeypatch.setattr(plan, "staged", lambda df, name: (written.append(shown(df)), store(df, name))[1])
+    _, directions, counts = plan._directions(spark, "/root/testdata/sf0.001")
+    kernels = [text.split("== Physical Plan ==")[1].count("FlatMapCoGroupsInArrow") for text in written]
+    after = [shown(df).split("== Physical Plan ==")[1] for df in (directions, counts)]
+    assert sum(kernels) == 2 and not any("FlatMapCoGroupsInArrow" in text or "ExistingRDD" in text for text in after)
+    assert directions.count() == 720 and counts.count() == 120

@@ -60,6 +60,17 @@ def test_ranks_hold_tiles_only(copies):
     assert peak_mb(knn._ranks, a, b, 5) < 45  # rows of 512 by 12,000 are 47 MB, and were held twice
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_tiles_are_small(copies):
+    """A tile and what is made of it, for either side, stay within a few MB; so do distances."""
+    random = np.random.default_rng(5)
+    a, b = random.normal(size=(1200, 8)), random.normal(size=(3000, 8))
+    if copies:
+        a[:], b[:] = a[0], a[0]
+    assert peak_mb(knn._ranks, a, b, 3) < 8  # tiles of 256 by 2,048 took 9 MB, and 14 where all tie
+    assert peak_mb(knn._nearest, a[:, :3], b[:, :3]) < 6  # 524,288 cells took 12 MB
+
+
 def test_sides_are_read_without_a_joined_copy():
     """Arrow is not asked for one table of all batches: 4,000 vectors of 64 are 2 MB."""
     random = np.random.default_rng(4)
